@@ -146,7 +146,7 @@ def _collect_sums(parts: DataFrame) -> tuple[np.ndarray, int]:
 
 def _local_epoch(rows: DataFrame, start: SaeParams, cfg: FitConfig) -> tuple[SaeParams, np.ndarray]:
     """One pass of mini-batch steps in every shard; rows come sorted by shard and are read as a stream."""
-    shared = rows.sparkSession.sparkContext.broadcast(start)
+    shared = rows.sparkSession.sparkContext.broadcast(start.arrays)
     d, k, lr, size = start.w_enc.shape[1], cfg.k, cfg.rate, cfg.batch_size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +171,8 @@ def _local_epoch(rows: DataFrame, start: SaeParams, cfg: FitConfig) -> tuple[Sae
                             learn(held)
                         yield _part(_pack(params, fired) * n, n)
                     shard, held, n = shards[at[0]], np.zeros((0, d)), 0
-                    params, adam, fired = shared.value, Adam(lr), np.zeros(shared.value.n_latents, bool)
+                    params = SaeParams(*shared.value)
+                    adam, fired = Adam(lr), np.zeros(params.n_latents, bool)
                 held = np.vstack([held, x[at]])
                 n += len(at)
                 whole = len(held) // size * size
@@ -190,7 +191,7 @@ def _local_epoch(rows: DataFrame, start: SaeParams, cfg: FitConfig) -> tuple[Sae
 
 def full_gradient(rows: DataFrame, p: SaeParams, k: int) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
     """Gradient of the mean squared error over all rows, which latents fired, and the error before the step."""
-    shared = rows.sparkSession.sparkContext.broadcast(p)
+    shared = rows.sparkSession.sparkContext.broadcast(p.arrays)
     d = p.w_enc.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +200,7 @@ def full_gradient(rows: DataFrame, p: SaeParams, k: int) -> tuple[dict[str, np.n
             x = matrix(batch.column(batch.num_columns - 1), d)
             if not len(x):
                 continue
-            grads, fired, loss = gradients(shared.value, x, k)
+            grads, fired, loss = gradients(SaeParams(*shared.value), x, k)
             part = _pack(SaeParams(**grads), fired)
             part[-1, d] = loss
             total, n = part if total is None else total + part, n + len(x)
@@ -213,11 +214,11 @@ def full_gradient(rows: DataFrame, p: SaeParams, k: int) -> tuple[dict[str, np.n
 
 def reconstruction_loss(rows: DataFrame, p: SaeParams, k: int, vector_col: str = "vector") -> float:
     """Mean squared error per element over all rows."""
-    shared = rows.sparkSession.sparkContext.broadcast(p)
+    shared = rows.sparkSession.sparkContext.broadcast(p.arrays)
 
     @F.arrow_udf("double")
     def row_error(column: pa.Array) -> pa.Array:
-        params = shared.value
+        params = SaeParams(*shared.value)
         x = matrix(column, params.w_enc.shape[1])
         ids, values = largest((x - params.b_dec) @ params.w_enc.T + params.b_enc, k)
         z = dense_codes(codes_column(ids, values), params.n_latents)

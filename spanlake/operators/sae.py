@@ -30,6 +30,11 @@ class SaeParams:
     def n_latents(self) -> int:
         return self.w_enc.shape[0]
 
+    @property
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The plain arrays, which is what tasks are sent."""
+        return self.w_enc, self.w_dec, self.b_enc, self.b_dec
+
     @property
     def nbytes(self) -> int:
         return self.w_enc.nbytes + self.w_dec.nbytes
