@@ -85,6 +85,54 @@ def with_tokens(df: DataFrame, text: Column, out: str = "tokens") -> DataFrame:
     return once(df, **{out: rows}).drop("_pieces", "_ends")
 
 
+def _ints(values: pa.Array) -> np.ndarray:
+    return values.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _inner_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Running sums that start anew in each row."""
+    sums = np.concatenate([[0], np.cumsum(values)])
+    return sums[1:] - np.repeat(sums[bounds[:-1]], np.diff(bounds))
+
+
+def _row_of(bounds: np.ndarray) -> np.ndarray:
+    return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+
+
+class _TokenAxis:
+    """The tokens of a batch of rows on one sorted axis, so that one binary search serves all rows."""
+
+    def __init__(self, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, reach: int):
+        wide = ends > starts
+        row = _row_of(bounds)
+        self.index = (np.arange(len(starts)) - np.repeat(bounds[:-1], np.diff(bounds)))[wide]
+        self.stride = 2 + max(reach, int(ends.max()) if len(ends) else 0)
+        self.starts = (row * self.stride + starts)[wide]
+        self.ends = (row * self.stride + ends)[wide]
+        if (np.diff(self.starts) < 0).any() or (np.diff(self.ends) < 0).any():
+            raise ValueError("token offsets decrease within a row; use the relational align_spans")
+
+    def _indices(self, first: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        none = first >= after
+        if not len(self.index):
+            return np.zeros(len(first), np.int64), np.zeros(len(first), np.int64), none
+        lo = self.index[np.where(none, 0, first)]
+        hi = self.index[np.where(none, 0, after - 1)] + 1
+        return lo, hi, none
+
+    def overlapping(self, row: np.ndarray, start: np.ndarray, end: np.ndarray):
+        """Range of the tokens that end after ``start`` and begin before ``end``, and where there is none."""
+        first = np.searchsorted(self.ends, row * self.stride + start, side="right")
+        after = np.searchsorted(self.starts, row * self.stride + end, side="left")
+        return self._indices(first, after)
+
+    def starting_from(self, row: np.ndarray, start: np.ndarray):
+        """Range of the tokens of a row that begin at ``start`` or later, and where there is none."""
+        first = np.searchsorted(self.starts, row * self.stride + start, side="left")
+        after = np.searchsorted(self.starts, (row + 1) * self.stride, side="left")
+        return self._indices(first, after)
+
+
 def align_in_row(span_starts: Column, span_ends: Column, tok_starts: Column, tok_ends: Column) -> Column:
     """Token range of each span of a row: ``ARRAY<STRUCT<tok_start, tok_end>>``, both null when no token overlaps.
 
@@ -94,34 +142,98 @@ def align_in_row(span_starts: Column, span_ends: Column, tok_starts: Column, tok
 
     @F.arrow_udf("array<struct<tok_start:bigint,tok_end:bigint>>")
     def align(s0: pa.Array, s1: pa.Array, t0: pa.Array, t1: pa.Array) -> pa.Array:
-        starts, span_bounds = list_parts(s0)
+        starts, bounds = list_parts(s0)
         ends, _ = list_parts(s1)
         tok_a, tok_bounds = list_parts(t0)
         tok_b, _ = list_parts(t1)
-        starts, ends, tok_a, tok_b = (
-            v.to_numpy(zero_copy_only=False).astype(np.int64) for v in (starts, ends, tok_a, tok_b)
+        starts, ends = _ints(starts), _ints(ends)
+        axis = _TokenAxis(_ints(tok_a), _ints(tok_b), tok_bounds, int(ends.max()) if len(ends) else 0)
+        lo, hi, none = axis.overlapping(_row_of(bounds), starts, ends)
+        columns = [pa.array(v, pa.int64(), mask=none) for v in (lo, hi)]
+        return list_column(pa.StructArray.from_arrays(columns, ["tok_start", "tok_end"]), bounds)
+
+    return align(span_starts, span_ends, tok_starts, tok_ends)
+
+
+_CUT = (
+    "struct<sents:array<struct<char_start:bigint,char_end:bigint,tok_start:bigint,tok_end:bigint>>,"
+    "n_tokens:bigint,resp_start:bigint,resp_end:bigint>"
+)
+
+
+def _cut(piece: tuple[Column, Column, Column], tokens: tuple[Column, Column], measured: bool, shift: Column) -> Column:
+    """All offsets of a row in one pass over ints: sentences in the response, tokens in prefix + response.
+
+    ``piece`` holds length, length without leading and length without outer white space of each sentence piece.
+    ``tokens`` holds the same first two of each token piece when ``measured``, else start and end offsets.
+    """
+
+    @F.arrow_udf(_CUT)
+    def cut(whole: pa.Array, left: pa.Array, core: pa.Array, t0: pa.Array, t1: pa.Array, at: pa.Array) -> pa.Array:
+        lengths, bounds = list_parts(whole)
+        row = _row_of(bounds)
+        start = _inner_sums(_ints(lengths), bounds) - _ints(list_parts(left)[0])
+        end = start + _ints(list_parts(core)[0])
+        first, tok_bounds = list_parts(t0)
+        first, second = _ints(first), _ints(list_parts(t1)[0])
+        if measured:
+            tok_end = _inner_sums(first, tok_bounds)
+            tok_start = tok_end - second
+        else:
+            tok_start, tok_end = first, second
+        offset = _ints(at)
+        reach = int((end + offset[row]).max()) if len(end) else 0
+        axis = _TokenAxis(tok_start, tok_end, tok_bounds, max(reach, int(offset.max()) if len(offset) else 0))
+        lo, hi, none = axis.overlapping(row, start + offset[row], end + offset[row])
+        kept = end > start
+        columns = [pa.array(start[kept]), pa.array(end[kept])]
+        columns += [pa.array(v[kept], pa.int64(), mask=none[kept]) for v in (lo, hi)]
+        names = ["char_start", "char_end", "tok_start", "tok_end"]
+        kept_bounds = np.concatenate([[0], np.cumsum(kept)])[bounds]
+        sents = list_column(pa.StructArray.from_arrays(columns, names), kept_bounds)
+        n = np.diff(tok_bounds)
+        a, b, nothing = axis.starting_from(np.arange(len(n)), offset)
+        a, b = np.where(nothing, n, a), np.where(nothing, n, b)
+        return pa.StructArray.from_arrays(
+            [sents, pa.array(n), pa.array(a), pa.array(b)], ["sents", "n_tokens", "resp_start", "resp_end"]
         )
-        rows = np.arange(len(s0))
-        span_row = np.repeat(rows, np.diff(span_bounds))
-        tok_row = np.repeat(rows, np.diff(tok_bounds))
-        tok_idx = np.arange(len(tok_a)) - np.repeat(tok_bounds[:-1], np.diff(tok_bounds))
-        keep = tok_b > tok_a
-        tok_a, tok_b, tok_row, tok_idx = tok_a[keep], tok_b[keep], tok_row[keep], tok_idx[keep]
-        # one stride per row makes a single sorted axis out of all rows of the batch
-        stride = 2 + max((int(v.max()) for v in (ends, tok_b) if len(v)), default=0)
-        axis_a, axis_b = tok_row * stride + tok_a, tok_row * stride + tok_b
-        if (np.diff(axis_a) < 0).any() or (np.diff(axis_b) < 0).any():
-            raise ValueError("token offsets decrease within a row; use the relational align_spans")
-        first = np.searchsorted(axis_b, span_row * stride + starts, side="right")
-        after = np.searchsorted(axis_a, span_row * stride + ends, side="left")
-        none = first >= after
-        safe_first = np.where(none, 0, first)
-        safe_last = np.where(none, 0, after - 1)
-        lo = tok_idx[safe_first] if len(tok_idx) else np.zeros(len(first), np.int64)
-        hi = tok_idx[safe_last] + 1 if len(tok_idx) else np.zeros(len(first), np.int64)
-        ranges = pa.StructArray.from_arrays(
-            [pa.array(lo, pa.int64(), mask=none), pa.array(hi, pa.int64(), mask=none)], ["tok_start", "tok_end"]
+
+    return cut(*piece, *tokens, shift)
+
+
+def with_cut(
+    df: DataFrame, response: Column, prefix: Column, max_length: int, token_col: str | None = None, out: str = "cut"
+) -> DataFrame:
+    """Adds the sentences of the response with their token ranges in prefix + response, the number of tokens and
+    the token range of the response. Sentence offsets count in the response. ``<out>.sents`` is empty when the
+    text has more than ``max_length`` tokens.
+    """
+    full = F.concat(prefix, response)
+    tokens = F.col(token_col) if token_col else token_pieces(full)
+    df = once(df, _text=response, _tokens=tokens, _shift=F.length(prefix), _odd=F.contains(response, F.lit(_MARK)))
+    used = F.when(F.size("_tokens") <= max_length, F.col("_text")).otherwise("")
+    df = once(df, _pieces=_sentence_pieces(used))
+    piece = (
+        F.transform("_pieces", F.length),
+        F.transform("_pieces", lambda p: F.length(_ltrim(p))),
+        F.transform("_pieces", lambda p: F.length(_trim(p))),
+    )
+    if token_col:
+        ends = (F.col("_tokens.start"), F.col("_tokens.end"))
+    else:
+        ends = (F.transform("_tokens", F.length), F.transform("_tokens", lambda t: F.length(_ltrim(t))))
+    df = df.withColumn("_offsets", _cut(piece, ends, not token_col, F.col("_shift")))
+    texts = F.filter(F.transform("_pieces", _trim), lambda t: t != "")
+
+    def named(t: Column, o: Column) -> Column:
+        own = F.substring(F.col("_text"), o["char_start"].cast("int") + 1, F.length(t))
+        return F.struct(
+            F.when(F.col("_odd"), own).otherwise(t).alias("text"),
+            *[o[c].alias(c) for c in ("char_start", "char_end", "tok_start", "tok_end")],
         )
-        return list_column(ranges, span_bounds)
 
-    return align(span_starts, span_ends, tok_starts, tok_ends)
+    made = F.struct(
+        F.zip_with(texts, F.col("_offsets.sents"), named).alias("sents"),
+        *[F.col(f"_offsets.{c}").alias(c) for c in ("n_tokens", "resp_start", "resp_end")],
+    )
+    return once(df, **{out: made}).drop("_text", "_tokens", "_shift", "_odd", "_pieces", "_offsets")

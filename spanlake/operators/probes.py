@@ -167,6 +167,6 @@ def compare_results(ours: DataFrame, paper: DataFrame, tol: float = fixed.COMPAR
     verdict = (
         F.when(F.col("paper").isNull(), fixed.NO_PAPER_REF)
         .when(F.abs(delta) <= tol, fixed.VERIFIED)
-        .otherwise(F.format_string("%+.3f", delta))
+        .otherwise(F.format_string("%+.3f", F.round(delta, 3)))
     )
     return joined.select("model", "metric", "ours", "paper", delta.alias("delta"), verdict.alias("verdict"))

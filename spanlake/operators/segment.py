@@ -119,64 +119,32 @@ def segment(
     tokenizer as ``ARRAY<STRUCT<start, end>>``. Nothing here shuffles.
     """
     prefix = F.coalesce(F.col(prefix_col), F.lit("")) if prefix_col else F.lit("")
-    out = spans.once(
-        df,
-        _response=F.coalesce(F.col(text_col), F.lit("")),
-        _shift=F.length(prefix).cast("long"),
-        _blank=text.is_blank(F.col(text_col)),
-    )
-    if token_col:
-        out = out.withColumn("_tokens", F.col(token_col))
-    else:
-        out = spans.with_tokens(out, F.concat(prefix, F.col("_response")), "_tokens")
-    n = F.size("_tokens").cast("long")
-    usable = ~F.col("_blank") & (n <= max_length)
-    # a text that is not used is not cut either
-    out = spans.with_sentences(out, F.when(usable, F.col("_response")).otherwise(""), "_sents")
-    ranges = spans.align_in_row(
-        F.transform("_sents", lambda s: s["char_start"] + F.col("_shift")),
-        F.transform("_sents", lambda s: s["char_end"] + F.col("_shift")),
-        F.col("_tokens.start"),
-        F.col("_tokens.end"),
-    )
-    merged = F.zip_with(
-        "_sents", "_ranges", lambda s, r: s.withField("tok_start", r["tok_start"]).withField("tok_end", r["tok_end"])
-    )
-    out = spans.once(out.withColumn("_ranges", ranges), _all=merged)
+    blank = text.is_blank(F.col(text_col))
+    response = F.when(blank, "").otherwise(F.col(text_col))  # a blank response has no sentences
+    out = spans.with_cut(df, response, prefix, max_length, token_col, "_cut")
+    n = F.col("_cut.n_tokens")
 
     def event(reason: str, detail: Column) -> Column:
         return F.struct(F.lit(reason).alias("reason"), detail.cast("string").alias("detail"))
 
-    lost = F.transform(
-        F.filter("_all", lambda s: s["tok_start"].isNull()),
-        lambda s: event(fixed.DEGENERATE_SPAN, F.substring(s["text"], 1, 80)),
-    )
+    missed = F.filter("_cut.sents", lambda s: s["tok_start"].isNull())
+    lost = F.transform(missed, lambda s: event(fixed.DEGENERATE_SPAN, F.substring(s["text"], 1, 80)))
     nothing = F.lit(None)
-    # null and empty events fall away when the list is compacted
-    events = F.array_compact(
-        F.array(
-            F.when(F.col("_blank"), event(fixed.EMPTY_RESPONSE, nothing)),
-            F.when(~F.col("_blank") & (n > max_length), event(fixed.TOO_LONG, n)),
-            F.when(usable & ~F.exists("_all", lambda s: s["tok_start"].isNotNull()), event(fixed.NO_VALID_SENTENCES, nothing)),
-        )
-    )
-    inside = F.filter(
-        F.transform(
-            "_tokens", lambda t, i: F.when((t["start"] < t["end"]) & (t["start"] >= F.col("_shift")), i.cast("long"))
-        ),
-        lambda i: i.isNotNull(),
+    any_sentence = F.exists("_cut.sents", lambda s: s["tok_start"].isNotNull())
+    whole = (
+        F.when(blank, event(fixed.EMPTY_RESPONSE, nothing))
+        .when(n > max_length, event(fixed.TOO_LONG, n))
+        .when(~any_sentence, event(fixed.NO_VALID_SENTENCES, nothing))
     )
     out = spans.once(
         out,
         n_tokens_full_text=n,
-        spans=F.filter("_all", lambda s: s["tok_start"].isNotNull()),
-        skips=F.concat(lost, events),
-        _inside=inside,
+        resp_tok_start=F.col("_cut.resp_start"),
+        resp_tok_end=F.col("_cut.resp_end"),
+        spans=F.filter("_cut.sents", lambda s: s["tok_start"].isNotNull()),
+        skips=F.concat(lost, F.array_compact(F.array(whole))),
     )
-    total = F.col("n_tokens_full_text")
-    out = out.withColumn("resp_tok_start", F.coalesce(F.array_min("_inside"), total))
-    out = out.withColumn("resp_tok_end", F.coalesce(F.array_max("_inside") + 1, total))
-    return out.drop("_response", "_shift", "_blank", "_tokens", "_sents", "_ranges", "_all", "_inside")
+    return out.drop("_cut")
 
 
 def route_skips(segmented: DataFrame, id_col: str = "response_id") -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanlake.sources.tables import spread
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
@@ -40,6 +42,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The documents, dealt out to all cores before they are cut."""
+    return spread(table(spark, sf_dir, "documents").select(*columns) if columns else table(spark, sf_dir, "documents"))
+
+
 def r4(c: Column | str) -> Column:
     """Four decimals, without a negative zero."""
     rounded = F.round(c, 4)

@@ -109,7 +109,7 @@ paper AS (SELECT model, metric, value FROM value_ WHERE half = 1 AND NOT (model
     + f"""
 SELECT model, metric, {sql_r4('o.value')} AS ours, {sql_r4('p.value')} AS paper, {sql_r4('o.value - p.value')} AS delta,
        CASE WHEN p.value IS NULL THEN 'NO PAPER REF' WHEN abs(o.value - p.value) <= 0.02 THEN 'VERIFIED'
-            ELSE printf('%+.3f', o.value - p.value) END AS verdict
+            ELSE printf('%+.3f', round(o.value - p.value, 3)) END AS verdict
 FROM ours o LEFT JOIN paper p USING (model, metric)""",
 )
 def compared_results(spark, sf):

@@ -10,7 +10,7 @@ from spanlake.operators import gates, index, segment
 from spanlake.operators import prompts as pr
 from spanlake.plans import corpus
 from spanlake.plans import sql_parts as sp
-from spanlake.plans.catalog import query, r4, sql_r4, table
+from spanlake.plans.catalog import query, r4, sql_r4, table, texts
 
 #: Responses with more tokens than this are routed out in the queries; the given answers are short.
 QUERY_MAX_LENGTH = 400
@@ -20,7 +20,7 @@ _SPAN = _SENT + "," + sp.tokens("documents") + "," + sp.aligned()
 
 
 def _spans(spark, sf) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "doc_id", "text")
     return segment.sentence_rows(segment.segment(docs, None, "text", max_length=1 << 40), ["doc_id"])
 
 
@@ -29,23 +29,23 @@ _SPAN_COLS = ("doc_id", "sent_idx", "char_start", "char_end", "tok_start", "tok_
 
 @query("P7", _SENT + " SELECT * FROM sent")
 def sentences(spark, sf):
-    return segment.split_sentences(table(spark, sf, "documents"))
+    return segment.split_sentences(texts(spark, sf, "doc_id", "text"))
 
 
 @query("P8", "WITH " + sp.tokens("documents") + ' SELECT doc_id, tok_idx, start_ AS "start", end_ AS "end" FROM tok')
 def tokens(spark, sf):
-    return segment.tokenize(table(spark, sf, "documents"))
+    return segment.tokenize(texts(spark, sf, "doc_id", "text"))
 
 
 @query("P8", "WITH " + sp.tokens("documents") + " SELECT doc_id, count(*) AS n_tokens FROM tok GROUP BY doc_id")
 def token_counts(spark, sf):
     n = F.size(segment.spans.token_pieces(F.col("text"))).cast("long")
-    return table(spark, sf, "documents").select("doc_id", n.alias("n_tokens"))
+    return texts(spark, sf, "doc_id", "text").select("doc_id", n.alias("n_tokens"))
 
 
 @query("J1", _SPAN + " SELECT doc_id, sent_idx, char_start, char_end, tok_start, tok_end FROM span")
 def span_alignment_join(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "doc_id", "text")
     return segment.align_spans(segment.split_sentences(docs), segment.tokenize(docs))
 
 
@@ -67,7 +67,7 @@ GROUP BY n.doc_id, n""",
 )
 def response_token_span(spark, sf):
     prefix = F.concat("source", F.lit(": "))
-    chat = table(spark, sf, "documents").select(
+    chat = texts(spark, sf, "doc_id", "source", "text").select(
         "doc_id", F.length(prefix).alias("prefix_len"), F.concat(prefix, "text").alias("full_text")
     )
     return segment.response_span(segment.tokenize(chat, "full_text", ["doc_id", "prefix_len"]))
@@ -217,7 +217,7 @@ def content_fingerprint(spark, sf):
     _SENT + " SELECT doc_id, sent_idx, row_number() OVER (ORDER BY doc_id, sent_idx) - 1 AS global_idx FROM sent",
 )
 def dense_sentence_index(spark, sf):
-    rows = segment.split_sentences(table(spark, sf, "documents")).select("doc_id", "sent_idx")
+    rows = segment.split_sentences(texts(spark, sf, "doc_id", "text")).select("doc_id", "sent_idx")
     return index.dense_index(rows, ["doc_id", "sent_idx"])
 
 
@@ -278,7 +278,7 @@ checked AS (
     + f" SELECT *, {sp.normalize('decoded')} = {sp.normalize('expected')} AS agrees FROM checked",
 )
 def span_round_trip(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "doc_id", "text")
     return gates.check_spans(_spans(spark, sf), segment.tokenize(docs), docs, 20)
 
 
@@ -326,7 +326,7 @@ SELECT doc_id, sent_idx, {sql_r4('a')} AS mean_width, {sql_r4('b')} AS mean_plac
 def span_mean_pool(spark, sf):
     from spanlake.operators.pooling import mean_pool
 
-    toks = segment.tokenize(table(spark, sf, "documents"))
+    toks = segment.tokenize(texts(spark, sf, "doc_id", "text"))
     values = [F.col("end") - F.col("start"), F.col("start") % 7, F.col("tok_idx") % 5]
     vectors = toks.select("doc_id", "tok_idx", F.array(*[v.cast("double") for v in values]).alias("vector"))
     pooled = mean_pool(vectors, _spans(spark, sf), "doc_id", ["sent_idx"], extra_keys=[])

@@ -23,6 +23,17 @@ def exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with at least one task per core.
+
+    A file with a single row group is read by one task however large the cluster is, so a scan with fewer
+    partitions than cores is dealt out evenly first. Scans of many files pass unchanged. Only for scans:
+    counting the partitions of a plan with shuffles would run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def write_tables(sentences: DataFrame, responses: DataFrame, folder: str, mode: str = "errorifexists") -> None:
     """The frozen sentence and response tables."""
     sentences.write.mode(mode).parquet(f"{folder}/sentences")
