@@ -12,6 +12,7 @@ from spanlake.operators import prompts as pr
 from spanlake.operators import segment
 from spanlake.operators.index import dense_index
 from spanlake.schemas import RESPONSE, SENTENCE
+from spanlake.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -36,36 +37,38 @@ def tables_of(
     are numbered once, and a sentence's number is its response's first number plus its place. ``order`` must
     tell responses apart. ``first_*`` let a later batch go on counting.
     """
-    named = pr.with_response_id(generations) if "response_id" not in generations.columns else generations
+    named = generations if "response_id" in generations.columns else pr.with_response_id(generations)
     chat = pr.render_chat(named, template)
     cut = segment.segment(chat, "chat_prefix", "response", max_length, token_col)
+    carried = [f.name for f in RESPONSE if f.name in cut.columns]
+    # cut once: the three tables are read from here, and the texts of prompt and response stay behind
+    cut = cut_lineage(cut.select(*dict.fromkeys([*carried, *order, "spans", "skips"])))
     valid, skips = segment.route_skips(cut)
-    counted = valid.withColumn("n_sentences", F.size("spans").cast("long"))
-    made = {"response_idx"}  # texts stay behind: only what the two tables need is shuffled
-    kept = [f.name for f in RESPONSE if f.name not in made]
-    numbered = dense_index(counted.select(*dict.fromkeys([*kept, "spans", *order])), list(order), "_number")
-    numbered = _offsets(numbered).withColumn("response_idx", F.col("_number") + first_response)
+    valid = valid.withColumn("n_sentences", F.size("spans").cast("long"))
+    places = _places(valid.select(*order, "n_sentences"), list(order))
+    numbered = valid.join(places, list(order)).withColumn("response_idx", F.col("_number") + first_response)
     responses = numbered.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RESPONSE])
-    carried = ["response_id", "dataset", "row_id", "prompt_col", "sample_idx", "response_idx", "_first"]
-    rows = segment.sentence_rows(numbered, carried)
+    keys = ["response_id", "dataset", "row_id", "prompt_col", "sample_idx", "response_idx", "_first"]
+    rows = segment.sentence_rows(numbered, keys)
     rows = rows.withColumn("global_idx", F.col("_first") + F.col("sent_idx") + first_sentence)
     sentences = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SENTENCE])
     return CorpusTables(sentences, responses, skips)
 
 
-def _offsets(numbered: DataFrame, width: int = 20_000) -> DataFrame:
-    """Adds ``_first``: how many sentences the responses before have.
+def _places(counts: DataFrame, order: list[str], width: int = 20_000) -> DataFrame:
+    """Each response's number and, as ``_first``, how many sentences the responses before it have.
 
-    Two levels, so that no task sees the whole table: inside ranges of ``width`` responses, and over the ranges.
+    Works on keys and counts only. The running sum has two levels, so that no task sees the whole table: inside
+    ranges of ``width`` responses, and over the ranges.
     """
-    ranged = numbered.withColumn("_range", F.floor(F.col("_number") / width))
+    numbered = dense_index(counts, order, "_number").withColumn("_range", F.floor(F.col("_number") / width))
     inside = Window.partitionBy("_range").orderBy("_number").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("_range").agg(F.sum("n_sentences").alias("_n"))
+    totals = numbered.groupBy("_range").agg(F.sum("n_sentences").alias("_n"))
     bases = totals.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = ranged.withColumn("_within", F.coalesce(F.sum("n_sentences").over(inside), F.lit(0)))
-    joined = within.join(bases, "_range")
-    return joined.withColumn("_first", F.col("_base") + F.col("_within")).drop("_range", "_base", "_within")
+    within = numbered.withColumn("_within", F.coalesce(F.sum("n_sentences").over(inside), F.lit(0)))
+    first = (F.col("_base") + F.col("_within")).alias("_first")
+    return within.join(bases, "_range").select(*order, "_number", first)
 
 
 def conversation_generations(spark: SparkSession, sf_dir: str) -> DataFrame:

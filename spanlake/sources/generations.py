@@ -16,7 +16,8 @@ def read_generations(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_generation_sets(spark: SparkSession, folder: str) -> DataFrame:
     """What :func:`write_generations` wrote."""
-    return spark.read.schema(GENERATION).option("mode", "FAILFAST").json(folder)
+    df = spark.read.schema(GENERATION).option("mode", "FAILFAST").json(folder)
+    return df.select(*GENERATION.fieldNames())
 
 
 def write_generations(df: DataFrame, folder: str, mode: str = "errorifexists") -> None:
