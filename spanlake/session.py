@@ -22,6 +22,9 @@ def get_session(app_name: str = "spanlake", master: str | None = None, **conf: s
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # rows carry whole texts' offsets or 4,096-wide vectors; smaller batches bound the memory of a Python worker
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
         "spark.sql.parquet.filterPushdown": "true",
     }
     for key, value in {**defaults, **{k.replace("__", "."): v for k, v in conf.items()}}.items():

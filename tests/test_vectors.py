@@ -248,3 +248,31 @@ def test_labels_valid(spark):
 def test_empty_sample_has_no_verdict(spark):
     row = gates.span_verdict(spark.createDataFrame([], "agrees boolean")).first()
     assert (row.n, row.pass_rate, row.passed) == (0, None, None)
+
+
+def test_probe_benchmark(spark, tmp_path):
+    import json
+
+    from spanlake.plans.probing import probe_benchmark
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(120):
+        shift = np.array([3.0 * (2 * (i % 2) - 1), 0.0])
+        for family, head in (("mha", 0), ("mlp", None), ("residual", None)):
+            rows.append((family, 5, head, i, (rng.normal(size=2) + shift).tolist()))
+    acts = spark.createDataFrame(rows, "family string, layer int, head int, example_id long, vector array<double>")
+    labels = spark.createDataFrame([(i, "t", i % 2) for i in range(120)], "example_id long, text string, label int")
+    path = tmp_path / "paper_results.json"
+    path.write_text(json.dumps({"m": {"mha_best_accuracy": 1.0, "mlp_best_accuracy": 0.5}}))
+    cfg = probes.ProbeConfig(lr=0.05)
+    out = probe_benchmark(acts, labels, "m", [str(path)], cfg)
+    verdicts = {r.metric: r.verdict for r in out["comparison"].collect()}
+    assert verdicts["mha_best_accuracy"] == "VERIFIED"
+    assert verdicts["mlp_best_accuracy"].startswith("+0.")
+    assert verdicts["residual_best_accuracy"] == "NO PAPER REF"
+    assert [r.best_layer for r in out["best"].collect()] == [5, 5, 5]
+    with pytest.raises(ValueError):
+        probe_benchmark(acts.filter("family = 'mha'"), labels, "m", [str(path)], cfg)
+    with pytest.raises(ValueError):
+        probe_benchmark(acts, labels.withColumn("label", F.lit(1)), "m", [str(path)], cfg)
