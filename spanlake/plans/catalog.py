@@ -60,6 +60,6 @@ def sql_r4(expr: str) -> str:
 
 def load_all() -> dict[str, Query]:
     """All registered queries."""
-    from spanlake.plans import cluster_queries, probe_queries, prompt_queries, text_queries, vector_queries  # noqa: F401
+    from spanlake.plans import cluster_queries, io_queries, probe_queries, prompt_queries, text_queries, vector_queries  # noqa: F401
 
     return QUERIES

@@ -102,6 +102,14 @@ ours AS (SELECT model, metric, value FROM value_ WHERE half = 0),
 paper AS (SELECT model, metric, value FROM value_ WHERE half = 1 AND NOT (model = 'en' AND metric = 'toxic'))"""
 
 
+def rates_by_half(spark, sf) -> DataFrame:
+    """Label rates per language for two halves of the documents: our numbers and the ones to compare with."""
+    langs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("model"))
+    rows = langs.join(table(spark, sf, "labels"), "doc_id")
+    half = (F.col("doc_id") % 2).alias("half")
+    return rows.groupBy("model", half).agg(F.avg("quality").alias("quality"), F.avg("toxic").alias("toxic"))
+
+
 @query(
     "J9",
     "WITH "
@@ -113,9 +121,7 @@ SELECT model, metric, {sql_r4('o.value')} AS ours, {sql_r4('p.value')} AS paper,
 FROM ours o LEFT JOIN paper p USING (model, metric)""",
 )
 def compared_results(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("model")).join(table(spark, sf, "labels"), "doc_id")
-    rates = rows.groupBy("model", (F.col("doc_id") % 2).alias("half")).agg(F.avg("quality").alias("quality"), F.avg("toxic").alias("toxic"))
-    values = rates.unpivot(["model", "half"], ["quality", "toxic"], "metric", "value")
+    values = rates_by_half(spark, sf).unpivot(["model", "half"], ["quality", "toxic"], "metric", "value")
     ours = values.filter("half = 0").drop("half")
     paper = values.filter("half = 1 and not (model = 'en' and metric = 'toxic')").drop("half")
     out = probes.compare_results(ours, paper)

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from spanlake.schemas import GENERATION
 
 
-def read_generations(spark: SparkSession, folder: str) -> DataFrame:
+def read_generations(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> DataFrame:
     """All ``*.jsonl`` of a folder with the file each row comes from; a malformed line raises, blank ones do not."""
-    reader = spark.read.schema(GENERATION).option("mode", "FAILFAST").option("pathGlobFilter", "*.jsonl")
+    reader = spark.read.schema(GENERATION).option("mode", "FAILFAST").option("pathGlobFilter", glob)
     return reader.json(folder).withColumn("_file", F.col("_metadata.file_name"))
 
 

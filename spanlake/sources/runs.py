@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanlake.functions.text import parse_run_name
+from spanlake.operators.sae import SaeParams
 from spanlake.schemas import LABEL, RUN_CONFIG, RUN_METRICS
 
 
@@ -88,6 +89,12 @@ def finished_runs(spark: SparkSession, folder: str) -> list[str]:
     return [r["run"] for r in read_run_table(spark, folder, "metrics").select("run").distinct().collect()]
 
 
+def read_params(spark: SparkSession, folder: str, run: str) -> SaeParams:
+    """Parameters of a stored run."""
+    bias = read_run_table(spark, folder, "bias", run).first()["b_dec"]
+    return SaeParams.from_table(read_run_table(spark, folder, "latents", run).drop("run"), bias)
+
+
 def write_labels(labels: DataFrame, folder: str, run: str, batch: int) -> None:
     """Appends the labels of one batch; writing the same batch again replaces it, finished ones before stay."""
     labels.drop("run").write.mode("overwrite").parquet(f"{folder}/labels/run={run}/batch={batch}")

@@ -29,6 +29,7 @@ def ingest_stream(
     template: pr.ChatTemplate = pr.ChatTemplate(),
     max_length: int = fixed.MAX_LENGTH,
     done: DataFrame | None = None,
+    glob: str = "*.jsonl",
 ) -> StreamingQuery:
     """Processes what has arrived in ``in_dir`` since the last call, then stops.
 
@@ -40,7 +41,7 @@ def ingest_stream(
     arrived = (
         spark.readStream.schema(GENERATION)
         .option("mode", "FAILFAST")
-        .option("pathGlobFilter", "*.jsonl")
+        .option("pathGlobFilter", glob)
         .json(in_dir)
     )
     fresh = pr.with_response_id(arrived).dropDuplicates(["response_id"])

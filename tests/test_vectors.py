@@ -209,6 +209,11 @@ def test_train_run_writes_and_skips_finished_runs(spark, folder):
         assert len(row.firing_rate) == n and row.mean_l0 <= 2 and row.n_epochs_trained == 2
     assigned = runs.read_run_table(spark, folder, "assignments", names[0])
     assert assigned.count() == 300 and gates.check_keys(assigned).first().dense
+    stored = runs.read_params(spark, folder, names[0])
+    again = sae.assignments(sae.encode(x, stored, 2), 2).orderBy("global_idx").collect()
+    assert [(r.global_idx, r.latent_id) for r in again] == [
+        (r.global_idx, r.latent_id) for r in assigned.orderBy("global_idx").collect()
+    ]
     centered = training.train_run(x, 18, grid[0], folder, response_vectors=x)
     assert centered == "L18_n3_k2_centered_s0"
 
