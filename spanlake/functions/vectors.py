@@ -80,15 +80,29 @@ def codes_column(ids: np.ndarray, values: np.ndarray) -> pa.Array:
     return list_column(entries, bounds)
 
 
-def dense_codes(column: pa.Array, width: int) -> np.ndarray:
-    """The inverse of :func:`codes_column`."""
+def gathered(column: pa.Array, w: np.ndarray, first: int = 0) -> np.ndarray:
+    """Sum of ``strength · w[latent]`` over the entries of each code; only the firing rows of ``w`` are touched."""
     entries, bounds = list_parts(column)
-    z = np.zeros((len(column), width))
+    latent = entries.field("latent_id").to_numpy(zero_copy_only=False) - first
+    strength = entries.field("strength").to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(len(column)), np.diff(bounds))
-    z[row, entries.field("latent_id").to_numpy(zero_copy_only=False)] = entries.field("strength").to_numpy(
-        zero_copy_only=False
-    )
-    return z
+    here = (latent >= 0) & (latent < len(w))
+    total = np.zeros((len(column), w.shape[1]))
+    np.add.at(total, row[here], strength[here, None] * w[latent[here]])
+    return total
+
+
+def dense(ids: np.ndarray, values: np.ndarray, width: int) -> np.ndarray:
+    """Codes from :func:`largest` as full rows."""
+    z = np.zeros((len(ids), width + 1))  # the last column takes what does not fire
+    np.put_along_axis(z, np.where(ids >= 0, ids, width), values, axis=1)
+    return z[:, :width]
+
+
+def row_blocks(n: int, width: int, max_bytes: int = 64 << 20) -> list[slice]:
+    """Row ranges whose products with ``width`` columns stay below ``max_bytes``."""
+    step = max(1, max_bytes // (8 * max(width, 1)))
+    return [slice(a, a + step) for a in range(0, n, step)]
 
 
 def project(spark: SparkSession, v: Column, weights: np.ndarray, bias: np.ndarray, shift: np.ndarray) -> Column:
@@ -112,19 +126,23 @@ def top_codes(
     @F.arrow_udf(CODE)
     def code(x: pa.Array) -> pa.Array:
         w, b, c = shared.value
-        ids, values = largest((matrix(x, w.shape[0]) - c) @ w + b, k)
+        rows = matrix(x, w.shape[0]) - c
+        parts = [largest(rows[at] @ w + b, k) for at in row_blocks(len(rows), w.shape[1])]
+        if not parts:
+            return codes_column(np.zeros((0, k), np.int64), np.zeros((0, k)))
+        ids, values = (np.vstack(v) for v in zip(*parts))
         return codes_column(np.where(ids >= 0, ids + first, ids), values)
 
     return code(v)
 
 
-def rebuild(spark: SparkSession, code: Column, w_dec: np.ndarray, b_dec: np.ndarray) -> Column:
-    """The vector that a sparse code stands for."""
+def rebuild(spark: SparkSession, code: Column, w_dec: np.ndarray, b_dec: np.ndarray, first: int = 0) -> Column:
+    """The vector that a sparse code stands for, as far as the latents from ``first`` on that ``w_dec`` holds."""
     shared = spark.sparkContext.broadcast((w_dec, b_dec))
 
     @F.arrow_udf("array<double>")
     def vector(z: pa.Array) -> pa.Array:
         w, b = shared.value
-        return vectors_column(dense_codes(z, w.shape[0]) @ w + b)
+        return vectors_column(gathered(z, w, first) + b)
 
     return vector(code)

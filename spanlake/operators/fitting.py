@@ -14,12 +14,16 @@ from pyspark.sql import types as T
 
 from spanlake.functions.arrays import matrix, vectors_column
 from spanlake.functions.text import hash_order
-from spanlake.functions.vectors import codes_column, dense_codes, largest
+from spanlake.functions.vectors import dense, largest, row_blocks
 from spanlake.operators.index import train_val_split
 from spanlake.operators.pooling import sum_vectors
 from spanlake.operators.sae import SaeParams
 
 
+#: Each task of a fit holds the whole model, and the driver holds it between jobs.
+MAX_MODEL_BYTES = 4 << 30
+
+
 @dataclass(frozen=True)
 class FitConfig:
     """Settings of a fit.
@@ -78,7 +82,7 @@ def gradients(p: SaeParams, x: np.ndarray, k: int) -> tuple[dict[str, np.ndarray
     """Summed gradients of ``Σ‖x̂ - x‖²``, which latents fired, and that sum; divide by ``x.size`` for the mean."""
     shifted = x - p.b_dec
     ids, values = largest(shifted @ p.w_enc.T + p.b_enc, k)
-    z = dense_codes(codes_column(ids, values), p.n_latents)
+    z = dense(ids, values, p.n_latents)
     off = z @ p.w_dec + p.b_dec - x
     slope = 2 * off
     dz = (slope @ p.w_dec.T) * (z > 0)
@@ -198,12 +202,11 @@ def full_gradient(rows: DataFrame, p: SaeParams, k: int) -> tuple[dict[str, np.n
         total, n = None, 0
         for batch in batches:
             x = matrix(batch.column(batch.num_columns - 1), d)
-            if not len(x):
-                continue
-            grads, fired, loss = gradients(SaeParams(*shared.value), x, k)
-            part = _pack(SaeParams(**grads), fired)
-            part[-1, d] = loss
-            total, n = part if total is None else total + part, n + len(x)
+            for at in row_blocks(len(x), len(shared.value[0])):
+                grads, fired, loss = gradients(SaeParams(*shared.value), x[at], k)
+                part = _pack(SaeParams(**grads), fired)
+                part[-1, d] = loss
+                total, n = part if total is None else total + part, n + len(x[at])
         if n:
             yield _part(total, n)
 
@@ -220,9 +223,12 @@ def reconstruction_loss(rows: DataFrame, p: SaeParams, k: int, vector_col: str =
     def row_error(column: pa.Array) -> pa.Array:
         params = SaeParams(*shared.value)
         x = matrix(column, params.w_enc.shape[1])
-        ids, values = largest((x - params.b_dec) @ params.w_enc.T + params.b_enc, k)
-        z = dense_codes(codes_column(ids, values), params.n_latents)
-        return pa.array(((z @ params.w_dec + params.b_dec - x) ** 2).mean(axis=1))
+        errors = [np.zeros(0)]
+        for at in row_blocks(len(x), params.n_latents):
+            ids, values = largest((x[at] - params.b_dec) @ params.w_enc.T + params.b_enc, k)
+            off = dense(ids, values, params.n_latents) @ params.w_dec + params.b_dec - x[at]
+            errors.append((off**2).mean(axis=1))
+        return pa.array(np.concatenate(errors))
 
     return rows.select(row_error(vector_col).alias("e")).agg(F.avg("e")).first()[0]
 
@@ -241,6 +247,8 @@ def fit_topk_sae(df: DataFrame, cfg: FitConfig, id_col: str = "global_idx", vect
     n_train, d = counts["n_train"], counts["d"]
     if not n_train:
         raise ValueError("no training rows")
+    if cfg.n_latents * d * 16 > MAX_MODEL_BYTES:
+        raise ValueError(f"a model of {cfg.n_latents} x {d} is above the size that driver and tasks can hold")
     shards = cfg.shards or max(1, min(n_train // (32 * cfg.batch_size), spark.sparkContext.defaultParallelism))
     sharded = rows.filter(~F.col("is_val")).select(
         F.pmod(F.xxhash64("_id"), F.lit(shards)).alias("_shard"), "_id", "vector"

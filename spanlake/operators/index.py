@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,40 +66,44 @@ def sample_n(df: DataFrame, n: int, seed: int, id_cols: Sequence[str]) -> DataFr
     return df.orderBy(hash_order(seed, *ids), *ids).limit(n)
 
 
-def hash_cutoff(keys: DataFrame, n: int, digits: int = 3, small: int = 10_000) -> str | None:
-    """The ``n``-th smallest value of the hex column ``h`` (1-based); null when ``n`` is 0.
+def hash_cutoff(keys: DataFrame, rank_of: Callable[[int], int], digits: int = 3, small: int = 10_000) -> str | None:
+    """The value of the given rank (1-based, from the number of rows) of the hex column ``h`` in ascending order.
 
-    A search by prefix: each round counts the rows by their next hex digits and goes on inside the one prefix
-    that holds the wanted rank, so the driver sees at most ``16 ** digits`` counts or ``small`` hashes, and no
-    row is shuffled or sorted.
+    Null when the rank is 0 or beyond the last row. A search by prefix: each round counts the rows by their next
+    hex digits and goes on inside the one prefix that holds the wanted rank, so the driver sees at most
+    ``16 ** digits`` counts or ``small`` hashes, and no row is sorted as a whole.
     """
-    if n <= 0:
-        return None
-    prefix, rank = "", n
+    prefix, rank = "", None
     while True:
         inside = keys.filter(F.col("h").startswith(prefix))
         part = F.substring("h", 1, len(prefix) + digits)
         counts = inside.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()
-        held = 0
+        total = sum(row["n"] for row in counts)
+        rank = rank_of(total) if rank is None else rank
+        if not 0 < rank <= total:
+            return None
         for row in counts:
-            prefix, held = row["p"], row["n"]
-            if rank <= held:
+            if rank <= row["n"]:
                 break
-            rank -= held
-        else:
-            return None  # fewer than n rows: every row qualifies
-        if held <= small or len(prefix) >= 32:
+            rank -= row["n"]
+        prefix = row["p"]
+        if row["n"] <= small or len(prefix) >= 32:
             rows = keys.filter(F.col("h").startswith(prefix)).orderBy("h").limit(rank).collect()
             return rows[-1]["h"]
 
 
+def val_rule(df: DataFrame, frac: float, id_cols: Sequence[str], split_seed: int = 0) -> Column:
+    """The condition that marks exactly ``max(1, int(n * frac))`` rows of ``df`` as validation, by their ids.
+
+    As a condition on the ids it also applies to tables in which the ids occur many times, without a join.
+    """
+    h = hash_order(split_seed, *[F.col(c) for c in id_cols])
+    cutoff = hash_cutoff(df.select(h.alias("h")), lambda n: max(1, int(n * frac)))
+    return F.lit(False) if cutoff is None else h <= F.lit(cutoff)
+
+
 def train_val_split(
     df: DataFrame, frac: float, id_cols: Sequence[str], split_seed: int = 0, out: str = "is_val"
 ) -> DataFrame:
     """Marks exactly ``max(1, int(n * frac))`` rows as validation, the same ones for every run seed."""
-    ids = [F.col(c) for c in id_cols]
-    hashed = df.select(hash_order(split_seed, *ids).alias("h"))
-    n_val = max(1, int(hashed.count() * frac))
-    cutoff = hash_cutoff(hashed, n_val)
-    is_val = F.lit(True) if cutoff is None else hash_order(split_seed, *ids) <= F.lit(cutoff)
-    return df.withColumn(out, is_val)
+    return df.withColumn(out, val_rule(df, frac, id_cols, split_seed))

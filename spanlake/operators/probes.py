@@ -14,7 +14,7 @@ from spanlake import fixed
 from spanlake.functions.arrays import matrix, vectors_column
 from spanlake.functions.text import hash_order
 from spanlake.functions.vectors import dot
-from spanlake.operators.index import train_val_split
+from spanlake.operators.index import val_rule
 from spanlake.operators.pooling import sum_vectors
 
 
@@ -91,12 +91,11 @@ def fit_probes(dataset: DataFrame, cfg: ProbeConfig = ProbeConfig()) -> DataFram
     task is fitted in shards of bounded size whose weights are averaged, so no group is held as a whole.
     """
     examples = dataset.select("example_id").distinct()
-    split = train_val_split(examples, cfg.val_frac, ["example_id"], cfg.seed)
-    rows = dataset.join(split, "example_id").withColumn("head", F.coalesce("head", F.lit(-1)))
-    size = split.agg(F.count_if(~F.col("is_val")).alias("n")).withColumn(
-        "d", dataset.agg(F.max(F.size("vector"))).scalar()
-    ).first()
-    shards = max(1, -(-size["n"] * (size["d"] or 1) * 16 // cfg.max_group_bytes))
+    rule = val_rule(examples, cfg.val_frac, ["example_id"], cfg.seed)
+    rows = dataset.withColumn("is_val", rule).withColumn("head", F.coalesce("head", F.lit(-1)))
+    n = examples.count()
+    width = dataset.agg(F.max(F.size("vector"))).first()[0] or 1
+    shards = max(1, -(-n * width * 16 // cfg.max_group_bytes))
 
     schema = T.StructType(
         [dataset.schema["family"], dataset.schema["layer"], T.StructField("head", T.IntegerType())]

@@ -13,14 +13,19 @@ from spanlake import fixed
 from spanlake.functions import text
 
 
-def melt_prompts(df: DataFrame, dataset: str, id_col: str, prompt_cols: Sequence[str]) -> DataFrame:
-    """One row per (row, prompt column) with text; null and blank cells are dropped, texts are trimmed."""
+def melt_prompts(df: DataFrame, dataset: str | Column, id_col: str, prompt_cols: Sequence[str]) -> DataFrame:
+    """One row per (row, prompt column) with text; null and blank cells are dropped, texts are trimmed.
+
+    ``dataset`` is a name, or a column that holds it.
+    """
     wide = df.select(
-        F.col(id_col).cast("string").alias("row_id"), *[F.col(c).cast("string").alias(c) for c in prompt_cols]
+        (F.lit(dataset) if isinstance(dataset, str) else dataset).alias("dataset"),
+        F.col(id_col).cast("string").alias("row_id"),
+        *[F.col(c).cast("string").alias(c) for c in prompt_cols],
     )
-    long = wide.unpivot("row_id", list(prompt_cols), "prompt_col", "text")
+    long = wide.unpivot(["dataset", "row_id"], list(prompt_cols), "prompt_col", "text")
     kept = long.filter(~text.is_blank(F.col("text")))
-    return kept.select(F.lit(dataset).alias("dataset"), "row_id", "prompt_col", text.strip(F.col("text")).alias("text"))
+    return kept.withColumn("text", text.strip(F.col("text")))
 
 
 def all_prompts(frames: Sequence[DataFrame]) -> DataFrame:

@@ -91,10 +91,15 @@ def center(df: DataFrame, center_df: DataFrame | None, vector_col: str = "vector
     return held.withColumn(vector_col, vectors.minus(F.col(vector_col), F.col("_c"))).drop("_c")
 
 
-def preactivations(df: DataFrame, params: SaeParams, vector_col: str = "vector", out: str = "z_pre") -> DataFrame:
-    """Adds all encoder outputs before the mask."""
-    z = vectors.project(df.sparkSession, F.col(vector_col), params.w_enc, params.b_enc, params.b_dec)
-    return df.withColumn(out, z)
+def preactivations(
+    df: DataFrame, params: SaeParams, vector_col: str = "vector", out: str = "z_pre", max_bytes: int = MAX_PARAM_BYTES
+) -> DataFrame:
+    """Adds all encoder outputs before the mask; the encoder is sent in blocks of at most ``max_bytes``."""
+    parts = [
+        vectors.project(df.sparkSession, F.col(vector_col), params.w_enc[a:b], params.b_enc[a:b], params.b_dec)
+        for a, b in params.blocks(max_bytes)
+    ]
+    return df.withColumn(out, parts[0] if len(parts) == 1 else F.concat(*parts))
 
 
 def latent_preact(df: DataFrame, params: SaeParams, latent: int, vector_col: str = "vector") -> DataFrame:
@@ -150,9 +155,36 @@ def encode(
     return df.join(merged.select(*id_cols, best.cast(CODE).alias(out)), list(id_cols))
 
 
-def decode(df: DataFrame, params: SaeParams, code_col: str = "code", out: str = "xhat") -> DataFrame:
-    """Adds the reconstruction of each code."""
-    return df.withColumn(out, vectors.rebuild(df.sparkSession, F.col(code_col), params.w_dec, params.b_dec))
+def decode(
+    df: DataFrame,
+    params: SaeParams,
+    code_col: str = "code",
+    out: str = "xhat",
+    id_cols: Sequence[str] | None = None,
+    max_bytes: int = MAX_PARAM_BYTES,
+) -> DataFrame:
+    """Adds the reconstruction of each code.
+
+    A decoder above ``max_bytes`` is applied in blocks of latents like the encoder; the parts of a row are added up,
+    which needs ``id_cols``.
+    """
+    from spanlake.operators.pooling import sum_vectors
+
+    spark, blocks = df.sparkSession, params.blocks(max_bytes)
+    if len(blocks) == 1:
+        return df.withColumn(out, vectors.rebuild(spark, F.col(code_col), params.w_dec, params.b_dec))
+    if not id_cols:
+        raise ValueError("a decoder of this size is applied in blocks, which needs id_cols")
+    none = np.zeros_like(params.b_dec)
+    passes = [
+        df.select(
+            *id_cols,
+            vectors.rebuild(spark, F.col(code_col), params.w_dec[a:b], none if a else params.b_dec, a).alias("vector"),
+        )
+        for a, b in blocks
+    ]
+    total = sum_vectors(reduce(DataFrame.unionByName, passes), id_cols)
+    return df.join(total.select(*id_cols, F.col("_total").alias(out)), list(id_cols))
 
 
 def normalize_decoder(latents: DataFrame, col: str = "w_dec") -> DataFrame:

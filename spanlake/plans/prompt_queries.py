@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanlake.functions import text as tx
@@ -30,10 +29,8 @@ def _melted(spark, sf):
 
 
 def _every(spark, sf):
-    docs = table(spark, sf, "documents")
-    texts = pr.melt_prompts(docs, "documents", "doc_id", ["text"]).drop("dataset")
-    by_lang = texts.join(docs.select(F.col("doc_id").cast("string").alias("row_id"), "lang"), "row_id")
-    return pr.all_prompts([_melted(spark, sf), by_lang.select(F.col("lang").alias("dataset"), "row_id", "prompt_col", "text")])
+    docs = pr.melt_prompts(table(spark, sf, "documents"), F.col("lang"), "doc_id", ["text"])
+    return pr.all_prompts([_melted(spark, sf), docs])
 
 
 @query("P1", "WITH " + _MELT + " SELECT * FROM melted")
@@ -242,36 +239,34 @@ def batched_inference(spark, sf):
     return out.select("doc_id", "response")
 
 
-# --- run reports over parts: a brand stands for a run, its parts for labelled latents
+# --- run reports over parts: 64 parts with neighbouring keys stand for the labelled latents of a run
 
 _RUNS = """
 latent AS (
-  SELECT format('L18_n{}_k3_uncentered_s0', substring(p_brand, 7)) AS run,
-         (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1)::INTEGER AS latent_id,
+  SELECT format('L18_n64_k3_uncentered_s{}', p_partkey // 64) AS run, (p_partkey % 64)::INTEGER AS latent_id,
          p_size::BIGINT AS cluster_size, p_name AS title, p_type AS description,
          CASE WHEN p_size % 7 = 0 THEN 'error' WHEN p_size % 5 = 0 THEN 'skipped_empty_cluster' ELSE 'ok' END AS status
   FROM part),
-run_size AS (SELECT run, count(*)::INTEGER AS n_latents, sum(cluster_size) AS total FROM latent GROUP BY run),
+run_size AS (SELECT run, max(latent_id) + 1 AS n_latents, sum(cluster_size) AS total FROM latent GROUP BY run),
 summary AS (
   SELECT run, n_latents, latent_id, cluster_size, cluster_size / total AS firing_rate, status, title, description
   FROM latent JOIN run_size USING (run))"""
 
 
 def _summary(spark, sf):
-    number = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
-    size = F.col("p_size")
+    size, key = F.col("p_size"), F.col("p_partkey")
     status = F.when(size % 7 == 0, "error").when(size % 5 == 0, "skipped_empty_cluster").otherwise("ok")
-    brand = F.substring("p_brand", 7, 10).cast("int")
+    seed = F.floor(key / 64)
     labels = table(spark, sf, "part").select(
-        tx.run_name(F.lit(18), brand, F.lit(3), F.lit(False), F.lit(0)).alias("run"),
-        number.alias("latent_id"),
+        tx.run_name(F.lit(18), F.lit(64), F.lit(3), F.lit(False), seed).alias("run"),
+        (key % 64).cast("int").alias("latent_id"),
         size.cast("long").alias("cluster_size"),
         F.col("p_name").alias("title"),
         F.col("p_type").alias("description"),
         status.alias("status"),
     )
-    config = labels.groupBy("run").agg(F.count(F.lit(1)).cast("int").alias("n_latents"))
-    ordered = F.array_sort(F.collect_list(F.struct("latent_id", "cluster_size")))  # one entry per latent of a run
+    config = labels.groupBy("run").agg((F.max("latent_id") + 1).alias("n_latents"))
+    ordered = F.array_sort(F.collect_list(F.struct("latent_id", "cluster_size")))  # 64 entries per run
     metrics = labels.groupBy("run").agg(ordered.alias("s"), F.sum("cluster_size").alias("total"))
     metrics = metrics.select("run", F.transform("s", lambda e: e["cluster_size"] / F.col("total")).alias("firing_rate"))
     return reports.run_summary(reports.join_runs(config, metrics, labels))

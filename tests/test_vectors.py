@@ -49,8 +49,14 @@ def test_encode_decode_and_blocks(spark):
     assert np.allclose([r.xhat for r in got], dense @ p.w_dec + p.b_dec)
     blocks = sae.encode(df, p, 3, id_cols=["global_idx"], max_bytes=5 * 8 * 4).orderBy("global_idx").collect()
     assert [r.code for r in blocks] == [r.code for r in got]
-    with pytest.raises(ValueError):
-        sae.encode(df, p, 3, max_bytes=5 * 8 * 4)
+    coded = sae.encode(df, p, 3)
+    parts = sae.decode(coded, p, id_cols=["global_idx"], max_bytes=5 * 8 * 4).orderBy("global_idx").collect()
+    assert np.allclose([r.xhat for r in parts], [r.xhat for r in got])
+    pre = sae.preactivations(df, p, max_bytes=5 * 8 * 4).orderBy("global_idx").collect()
+    assert np.allclose([r.z_pre for r in pre], z)
+    for call in (sae.encode, sae.decode):
+        with pytest.raises(ValueError):
+            call(coded, p, *([3] if call is sae.encode else []), max_bytes=5 * 8 * 4)
 
 
 def test_assignment_of_rows_that_do_not_fire(spark):
@@ -132,8 +138,9 @@ def test_hash_cutoff_goes_into_deep_prefixes(spark):
     h = spark.range(3000).select(F.md5(F.col("id").cast("string")).alias("h"))
     ordered = sorted(r.h for r in h.collect())
     for n in (1, 2, 1500, 2999, 3000):
-        assert index.hash_cutoff(h, n, digits=1, small=3) == ordered[n - 1]
-    assert index.hash_cutoff(h, 3001) is None and index.hash_cutoff(h, 0) is None
+        assert index.hash_cutoff(h, lambda _, n=n: n, digits=1, small=3) == ordered[n - 1]
+    assert index.hash_cutoff(h, lambda total: total // 2) == ordered[1499]
+    assert index.hash_cutoff(h, lambda total: total + 1) is None and index.hash_cutoff(h, lambda _: 0) is None
 
 
 def numeric_gradient(p, x, k, name, at, eps=1e-6):
