@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +19,6 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Inner product of two vector columns."""
-    return F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def norm(v: Column) -> Column:
     """Euclidean norm."""
     return F.sqrt(F.aggregate(doubles(v), F.lit(0.0), lambda s, x: s + x * x))
@@ -32,19 +30,55 @@ def unit(v: Column, floor: float = 1e-8) -> Column:
     return F.transform(doubles(v), lambda x: x / length)
 
 
-def minus(a: Column, b: Column) -> Column:
-    """Difference of two vector columns."""
-    return F.zip_with(doubles(a), doubles(b), lambda x, y: x - y)
+def _row_by_row(a: Column, b: Column, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Column:
+    """One number per row from two vector columns, computed on whole batches; null where either is null."""
+
+    @F.arrow_udf("double")
+    def number(x: pa.Array, y: pa.Array) -> pa.Array:
+        both = pc.and_(x.is_valid(), y.is_valid())
+        out = np.zeros(len(x))
+        mask = both.to_numpy(zero_copy_only=False)
+        out[mask] = kernel(matrix(x.filter(both)), matrix(y.filter(both))) if mask.any() else 0.0
+        return pa.array(out, mask=~mask)
+
+    return number(a, b)
+
+
+def dot(a: Column, b: Column) -> Column:
+    """Inner product of two vector columns."""
+    return _row_by_row(a, b, lambda x, y: np.einsum("ij,ij->i", x, y))
 
 
-def sum_squares(v: Column) -> Column:
-    """Sum of squares."""
-    return F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
+def squared_distance(a: Column, b: Column) -> Column:
+    """Squared Euclidean distance of two vector columns."""
+    return _row_by_row(a, b, lambda x, y: ((x - y) ** 2).sum(axis=1))
 
 
 def max_abs_diff(a: Column, b: Column) -> Column:
     """Largest absolute difference over the dimensions."""
-    return F.array_max(F.transform(minus(a, b), F.abs))
+    return _row_by_row(a, b, lambda x, y: np.abs(x - y).max(axis=1))
+
+
+def shifted(spark: SparkSession, v: Column, origin: Sequence[float]) -> Column:
+    """The vector minus one fixed vector."""
+    shared = spark.sparkContext.broadcast(np.asarray(origin, dtype=np.float64))
+
+    @F.arrow_udf("array<double>")
+    def minus(x: pa.Array) -> pa.Array:
+        return vectors_column(matrix(x, len(shared.value)) - shared.value)
+
+    return minus(v)
+
+
+def squared_distance_to(spark: SparkSession, v: Column, origin: Sequence[float]) -> Column:
+    """Squared Euclidean distance to one fixed vector."""
+    shared = spark.sparkContext.broadcast(np.asarray(origin, dtype=np.float64))
+
+    @F.arrow_udf("double")
+    def distance(x: pa.Array) -> pa.Array:
+        return pa.array(((matrix(x, len(shared.value)) - shared.value) ** 2).sum(axis=1))
+
+    return distance(v)
 
 
 def largest(z: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -13,6 +13,10 @@ from spanlake.functions.text import normalize_ws
 from spanlake.operators.index import sample_n
 
 
+#: A sample above this size is joined like any other table.
+MAX_BROADCAST_ROWS = 10_000
+
+
 def check_spans(
     sentences: DataFrame,
     tokens: DataFrame,
@@ -29,10 +33,15 @@ def check_spans(
     picked = sample_n(
         sentences.select(doc_col, "sent_idx", "text", "tok_start", "tok_end"), n, seed, [doc_col, "sent_idx"]
     ).withColumnRenamed("text", "_sentence")
+
+    def light(df: DataFrame) -> DataFrame:
+        # at most n rows, so the tokens and texts can stay where they are
+        return F.broadcast(df) if n <= MAX_BROADCAST_ROWS else df
+
     at_ends = (F.col("tok_idx") == F.col("tok_start")) | (F.col("tok_idx") == F.col("tok_end") - 1)
-    ends = picked.join(tokens.select(doc_col, "tok_idx", "start", "end"), doc_col).filter(at_ends)
+    ends = tokens.select(doc_col, "tok_idx", "start", "end").join(light(picked), doc_col).filter(at_ends)
     cut = ends.groupBy(doc_col, "sent_idx", "_sentence").agg(F.min("start").alias("_a"), F.max("end").alias("_b"))
-    rebuilt = cut.join(texts.select(doc_col, F.col(text_col).alias("_full")), doc_col).withColumn(
+    rebuilt = texts.select(doc_col, F.col(text_col).alias("_full")).join(light(cut), doc_col).withColumn(
         "decoded", F.substring("_full", F.col("_a") + 1, F.col("_b") - F.col("_a"))
     )
     same = normalize_ws(F.col("decoded")) == normalize_ws(F.col("_sentence"))

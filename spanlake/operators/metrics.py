@@ -11,11 +11,10 @@ from spanlake.operators.pooling import global_center
 
 def explained_variance(df: DataFrame, vector_col: str = "vector", xhat_col: str = "xhat") -> DataFrame:
     """One row: ``1 - Σ‖x̂ - x‖² / Σ‖x - mean‖²`` over all rows."""
-    mean = global_center(df, vector_col)
-    held = df.withColumn("_mean", mean.scalar())
-    err = vectors.sum_squares(vectors.minus(F.col(xhat_col), F.col(vector_col)))
-    var = vectors.sum_squares(vectors.minus(F.col(vector_col), F.col("_mean")))
-    return held.select(err.alias("e"), var.alias("v")).agg(
+    mean = global_center(df, vector_col).first()[0]  # one vector
+    err = vectors.squared_distance(F.col(xhat_col), F.col(vector_col))
+    var = vectors.squared_distance_to(df.sparkSession, F.col(vector_col), mean)
+    return df.select(err.alias("e"), var.alias("v")).agg(
         F.sum("e").alias("recon_error"),
         F.sum("v").alias("total_variance"),
         (1 - F.sum("e") / F.sum("v")).alias("explained_variance"),
@@ -24,7 +23,7 @@ def explained_variance(df: DataFrame, vector_col: str = "vector", xhat_col: str
 
 def recon_mse(df: DataFrame, vector_col: str = "vector", xhat_col: str = "xhat", by: str | None = None) -> DataFrame:
     """Mean squared error per element, optionally per group such as train / validation."""
-    err = vectors.sum_squares(vectors.minus(F.col(xhat_col), F.col(vector_col))) / F.size(vector_col)
+    err = vectors.squared_distance(F.col(xhat_col), F.col(vector_col)) / F.size(vector_col)
     rows = df.select(*([by] if by else []), err.alias("e"))
     return rows.groupBy(*([by] if by else [])).agg(F.avg("e").alias("recon_mse"), F.count(F.lit(1)).alias("n"))
 

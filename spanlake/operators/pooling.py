@@ -17,8 +17,21 @@ from spanlake.operators.segment import overlap_join
 _N, _TOTAL = "_n", "_total"
 
 
-def _runs(keys: Sequence[str]):
-    """Sums of adjacent rows with equal keys, over the batches of one task; only one open run is kept."""
+def _codes(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
+    """A number per row that is equal where all keys are equal (nulls are equal to nulls)."""
+    codes = np.zeros(batch.num_rows, np.int64)
+    for k in keys:
+        encoded = batch.column(batch.schema.get_field_index(k)).dictionary_encode(null_encoding="encode")
+        pair = codes * len(encoded.dictionary) + encoded.indices.to_numpy(zero_copy_only=False)
+        codes = np.unique(pair, return_inverse=True)[1]
+    return codes
+
+
+def _runs(keys: Sequence[str], regroup: bool = False):
+    """Sums of adjacent rows with equal keys, over the batches of one task; only one open run is kept.
+
+    With ``regroup`` the rows of each batch are brought together by key first, for input that is not sorted.
+    """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key, open_n, open_total = None, 0, None
@@ -32,15 +45,13 @@ def _runs(keys: Sequence[str]):
             if batch.num_rows == 0:
                 continue
             types = {k: batch.schema.field(k).type for k in keys}
+            codes = _codes(batch, keys)
+            if regroup and keys:
+                order = np.argsort(codes, kind="stable")
+                batch, codes = batch.take(pa.array(order)), codes[order]
             x = matrix(batch.column(batch.schema.get_field_index(_TOTAL)))
             n = batch.column(batch.schema.get_field_index(_N)).to_numpy(zero_copy_only=False)
-            change = np.zeros(batch.num_rows, bool)
-            change[0] = True
-            for k in keys:
-                column = batch.column(batch.schema.get_field_index(k))
-                codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-                change[1:] |= codes[1:] != codes[:-1]
-            starts = np.flatnonzero(change)
+            starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
             totals, counts = np.add.reduceat(x, starts, axis=0), np.add.reduceat(n, starts)
             names = batch.select(list(keys)).take(pa.array(starts)).to_pydict() if keys else {}
             rows = [tuple(names[k][i] for k in keys) for i in range(len(starts))]
@@ -61,7 +72,8 @@ def _runs(keys: Sequence[str]):
 def sum_vectors(df: DataFrame, keys: Sequence[str], vector_col: str = "vector", n_col: str | None = None) -> DataFrame:
     """``keys, _n, _total``: number and sum of the vectors of each key.
 
-    Each task first folds its own rows, so a key with very many rows reaches the shuffle as a few partial sums.
+    Each task first folds its own rows batch by batch, so a key with very many rows reaches the shuffle as at most
+    one partial sum per batch.
     The second fold reads rows sorted by key and keeps one running sum, so no group is ever held as a whole.
     Null vectors are left out.
     """
@@ -73,7 +85,7 @@ def sum_vectors(df: DataFrame, keys: Sequence[str], vector_col: str = "vector",
         [T.StructField(k, rows.schema[k].dataType) for k in keys]
         + [T.StructField(_N, T.LongType()), T.StructField(_TOTAL, T.ArrayType(T.DoubleType()))]
     )
-    partial = rows.mapInArrow(_runs(keys), schema)
+    partial = rows.mapInArrow(_runs(keys, regroup=True), schema)
     if not keys:
         # one partial sum per task: add them up by dimension, with partial aggregation in the JVM
         long = partial.select(_N, F.posexplode(_TOTAL).alias("_i", "_x"))

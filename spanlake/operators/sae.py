@@ -86,9 +86,8 @@ def center(df: DataFrame, center_df: DataFrame | None, vector_col: str = "vector
     """Vectors minus the one-row center; unchanged when there is none."""
     if center_df is None:
         return df
-    (name,) = center_df.columns
-    held = df.withColumn("_c", center_df.select(name).scalar())
-    return held.withColumn(vector_col, vectors.minus(F.col(vector_col), F.col("_c"))).drop("_c")
+    origin = center_df.first()[0]  # one vector
+    return df.withColumn(vector_col, vectors.shifted(df.sparkSession, F.col(vector_col), origin))
 
 
 def preactivations(
@@ -232,9 +231,8 @@ def top_dims(df: DataFrame, id_cols: Sequence[str], vector_col: str = "vector",
 def vector_diff(df: DataFrame, base: DataFrame, vector_col: str = "vector") -> DataFrame:
     """Each vector against one base vector: exactly equal, and largest absolute difference."""
     held = df.withColumn("_b", base.select(vector_col).scalar())
-    return held.withColumn("exact_equal", F.col(vector_col) == F.col("_b")).withColumn(
-        "max_abs_diff", vectors.max_abs_diff(F.col(vector_col), F.col("_b"))
-    ).drop("_b")
+    largest = vectors.max_abs_diff(F.col(vector_col), F.col("_b"))
+    return held.select(df["*"], (F.col(vector_col) == F.col("_b")).alias("exact_equal"), largest.alias("max_abs_diff"))
 
 
 def cosine_matrix(latents: DataFrame, top_n: int, size_col: str, keys: Sequence[str], vector_col: str = "w_dec") -> DataFrame:

@@ -244,9 +244,8 @@ FROM d QUALIFY rank < 10""",
 )
 def top_differences(spark, sf):
     emb = table(spark, sf, "embeddings")
-    held = emb.withColumn("_b", emb.filter("vec_id = 0").select("embedding").scalar())
-    diff = held.select("vec_id", vectors.minus(F.col("embedding"), F.col("_b")).alias("vector"))
-    rows = sae.top_dims(diff, ["vec_id"])
+    base = emb.filter("vec_id = 0").select(F.col("embedding").alias("center"))
+    rows = sae.top_dims(sae.center(emb, base, "embedding"), ["vec_id"], "embedding")
     return rows.select("vec_id", "rank", (F.col("dim") + 1).cast("long").alias("dim"), r4("value").alias("value"))
 
 
@@ -290,7 +289,7 @@ SELECT label AS run, {sql_r4('min(e) * 1000')} AS best_loss_milli, arg_min(vec_i
 FROM e JOIN embeddings USING (vec_id) GROUP BY label""",
 )
 def best_loss_per_run(spark, sf):
-    err = vectors.sum_squares(vectors.minus(F.col("xhat"), F.col("embedding"))) / F.size("embedding")
+    err = vectors.squared_distance(F.col("xhat"), F.col("embedding")) / F.size("embedding")
     history = _decoded(spark, sf).select(F.col("label").alias("run"), F.col("vec_id").alias("epoch"), err.alias("val_loss"))
     best = metrics.best_loss(history)
     return best.select("run", r4(F.col("final_recon_loss") * 1000).alias("best_loss_milli"), "best_epoch", "n_epochs_trained")

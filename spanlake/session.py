@@ -26,6 +26,8 @@ def get_session(app_name: str = "spanlake", master: str | None = None, **conf: s
         # rows carry whole texts' offsets or 4,096-wide vectors; smaller batches bound the memory of a Python worker
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
         "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
+        # first-n-per-group queries cut each task's rows before the shuffle up to this n
+        "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
         # the ids that a stream has seen are kept on disk, not in executor memory
         "spark.sql.streaming.stateStore.providerClass": (
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
