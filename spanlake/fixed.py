@@ -48,6 +48,7 @@ WS = (
     r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 TEXT_WS = r"[ \t\n\f\r]"
 SENTENCE_END = r"([.!?]+)([ \t\n\f\r]+)"
 TOKEN = r"[ \t\n\f\r]*(?:[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\f\r])"

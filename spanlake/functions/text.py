@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spanlake.fixed import TEXT_WS, WS
+from spanlake.fixed import TEXT_WS, WS, WS_CHARS
 
 
 def strip(c: Column) -> Column:
     """Text without outer white space (any Unicode white space)."""
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
+    return F.trim(c, F.lit(WS_CHARS))
 
 
 def is_blank(c: Column) -> Column:

@@ -36,15 +36,15 @@ def _runs(keys: Sequence[str], regroup: bool = False):
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key, open_n, open_total = None, 0, None
 
-        def batch_of(frame, counts, totals):
-            columns = [pa.array(frame[k], type=types[k]) for k in keys]
-            columns += [pa.array(counts, pa.int64()), vectors_column(np.vstack(totals))]
-            return pa.RecordBatch.from_arrays(columns, names=[*keys, _N, _TOTAL])
+        def sums_of(heads: list[pa.Array], counts, totals) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [*heads, pa.array(np.atleast_1d(counts), pa.int64()), vectors_column(np.atleast_2d(totals))],
+                names=[*keys, _N, _TOTAL],
+            )
 
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            types = {k: batch.schema.field(k).type for k in keys}
             codes = _codes(batch, keys)
             if regroup and keys:
                 order = np.argsort(codes, kind="stable")
@@ -53,18 +53,19 @@ def _runs(keys: Sequence[str], regroup: bool = False):
             n = batch.column(batch.schema.get_field_index(_N)).to_numpy(zero_copy_only=False)
             starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
             totals, counts = np.add.reduceat(x, starts, axis=0), np.add.reduceat(n, starts)
-            names = batch.select(list(keys)).take(pa.array(starts)).to_pydict() if keys else {}
-            rows = [tuple(names[k][i] for k in keys) for i in range(len(starts))]
-            if open_key is not None and rows[0] == open_key:
-                totals[0] += open_total
-                counts[0] += open_n
-            elif open_key is not None:
-                yield batch_of({k: [v] for k, v in zip(keys, open_key)}, [open_n], [open_total])
-            if len(rows) > 1:
-                yield batch_of({k: [r[j] for r in rows[:-1]] for j, k in enumerate(keys)}, counts[:-1], totals[:-1])
-            open_key, open_n, open_total = rows[-1], counts[-1], totals[-1].copy()
+            heads = [batch.column(batch.schema.get_field_index(k)).take(pa.array(starts)) for k in keys]
+            if open_key is not None:
+                if [h[0].as_py() for h in heads] == [h[0].as_py() for h in open_key]:
+                    totals[0] += open_total
+                    counts[0] += open_n
+                else:
+                    yield sums_of(open_key, open_n, open_total)
+            last = len(starts) - 1
+            if last:
+                yield sums_of([h.slice(0, last) for h in heads], counts[:last], totals[:last])
+            open_key, open_n, open_total = [h.slice(last) for h in heads], counts[last], totals[last].copy()
         if open_key is not None:
-            yield batch_of({k: [v] for k, v in zip(keys, open_key)}, [open_n], [open_total])
+            yield sums_of(open_key, open_n, open_total)
 
     return fold
 

@@ -9,7 +9,7 @@ from spanlake.operators import audit, infer, labeling, reports
 from spanlake.operators import prompts as pr
 from spanlake.plans import corpus
 from spanlake.plans import sql_parts as sp
-from spanlake.plans.catalog import query, r4, sql_r4, table
+from spanlake.plans.catalog import query, r4, sql_r4, table, texts
 
 _MELT = f"""melted AS (
   SELECT 'part' AS dataset, p_partkey::VARCHAR AS row_id, prompt_col, {sp.strip('text')} AS text
@@ -29,7 +29,7 @@ def _melted(spark, sf):
 
 
 def _every(spark, sf):
-    docs = pr.melt_prompts(table(spark, sf, "documents"), F.col("lang"), "doc_id", ["text"])
+    docs = pr.melt_prompts(texts(spark, sf, "doc_id", "lang", "text"), F.col("lang"), "doc_id", ["text"])
     return pr.all_prompts([_melted(spark, sf), docs])
 
 
@@ -128,7 +128,7 @@ miss AS (SELECT doc_id FROM a EXCEPT SELECT doc_id FROM b)"""
 
 
 def _pair(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = texts(spark, sf, "doc_id", "text")
     labelled = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id")
     return docs, labelled.select("doc_id", tx.normalize_ws(F.col("text")).alias("text"))
 

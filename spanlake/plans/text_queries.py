@@ -164,7 +164,7 @@ def response_table(spark, sf):
 
 @query("F1", f"SELECT doc_id, md5({sp.normalize('text')}) AS text_md5, length({sp.normalize('text')}) AS n_chars FROM documents")
 def normalized_whitespace(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", tx.normalize_ws(F.col("text")).alias("t"))
+    docs = texts(spark, sf, "doc_id", "text").select("doc_id", tx.normalize_ws(F.col("text")).alias("t"))
     return docs.select("doc_id", F.md5("t").alias("text_md5"), F.length("t").cast("long").alias("n_chars"))
 
 
@@ -209,7 +209,7 @@ SELECT sha256(string_agg(item, ',' ORDER BY item)) AS fingerprint FROM l3""",
 def content_fingerprint(spark, sf):
     from spanlake.sources.freeze import fingerprint
 
-    return fingerprint(table(spark, sf, "documents").select("doc_id", "text"))
+    return fingerprint(texts(spark, sf, "doc_id", "text"))
 
 
 @query(
