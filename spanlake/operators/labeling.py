@@ -72,6 +72,7 @@ def label_clusters(
     status ``error`` and leaves the others alone; labels that are finished in ``existing`` are taken over as
     they are unless ``force``. ``judge_fn`` gets the prompt and returns the reply.
 
+    ``parallelism`` is the number of tasks that call the judge; without it the partitioning of ``prompts`` decides.
     Write the result before using it twice: each evaluation calls the judge.
     """
     names = [*by, *[f for f in _RECORD if f not in by]]

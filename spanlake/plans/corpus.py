@@ -26,7 +26,7 @@ def tables_of(
     generations: DataFrame,
     template: pr.ChatTemplate = pr.ChatTemplate(),
     max_length: int = fixed.MAX_LENGTH,
-    order: tuple[str, ...] = ("response_id",),
+    order: tuple[str, ...] | None = None,
     token_col: str | None = None,
     first_sentence: int = 0,
     first_response: int = 0,
@@ -35,8 +35,9 @@ def tables_of(
 
     Cutting and aligning happen inside each row. The only step over the whole table is the numbering: responses
     are numbered once, and a sentence's number is its response's first number plus its place. ``order`` must
-    tell responses apart. ``first_*`` let a later batch go on counting.
+    tell responses apart; it is the input order when the rows carry their ``_place``, else the response id. ``first_*`` let a later batch go on counting.
     """
+    order = order or (("_place",) if "_place" in generations.columns else ("response_id",))
     named = generations if "response_id" in generations.columns else pr.with_response_id(generations)
     chat = pr.render_chat(named, template)
     cut = segment.segment(chat, "chat_prefix", "response", max_length, token_col)

@@ -9,9 +9,17 @@ from spanlake.schemas import GENERATION
 
 
 def read_generations(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> DataFrame:
-    """All ``*.jsonl`` of a folder with the file each row comes from; a malformed line raises, blank ones do not."""
+    """All ``*.jsonl`` of a folder; a malformed line raises, blank ones do not.
+
+    ``_place`` (file, block of the file, row) sorts the rows by file name and line, for what depends on input order.
+    """
     reader = spark.read.schema(GENERATION).option("mode", "FAILFAST").option("pathGlobFilter", glob)
-    return reader.json(folder).withColumn("_file", F.col("_metadata.file_name"))
+    place = F.struct(
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),  # grows within a block
+    )
+    return reader.json(folder).withColumn("_place", place)
 
 
 def read_generation_sets(spark: SparkSession, folder: str) -> DataFrame:

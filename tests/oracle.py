@@ -33,9 +33,17 @@ def _rows(columns, rows):
     return [columns[i] for i in order], sorted(plain, key=lambda r: tuple((v is None, str(type(v)), v) for v in r))
 
 
+def product_join(df):
+    """The product join in a plan, if there is one."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return next((name for name in ("CartesianProduct", "BroadcastNestedLoopJoin") if name in plan), None)
+
+
 def compare(spark, con, sf_dir, query):
     """None when equal, else a message."""
     df = query.run(spark, sf_dir)
+    if product_join(df):
+        return f"plan holds a {product_join(df)}"
     names, got = _rows(df.columns, [tuple(r) for r in df.collect()])
     cursor = con.execute(query.sql)
     sql_names = [d[0] for d in cursor.description]

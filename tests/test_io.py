@@ -55,16 +55,29 @@ def test_generations(spark, tmp_path):
         f.write("\n" + json.dumps(generation(3, "Three.")) + "\n\n")
     (tmp_path / "notes.txt").write_text("not json")
     df = generations.read_generations(spark, str(tmp_path))
-    assert sorted((r._file, r.row_id) for r in df.collect()) == [("a.jsonl", "3"), ("b.jsonl", "1"), ("b.jsonl", "2")]
+    assert sorted((r._place.file, r.row_id) for r in df.collect()) == [("a.jsonl", "3"), ("b.jsonl", "1"), ("b.jsonl", "2")]
     out = str(tmp_path / "out")
     generations.write_generations(df, out)
     again = generations.read_generation_sets(spark, out)
-    assert sorted(map(str, again.collect())) == sorted(map(str, df.drop("_file").collect()))
+    assert sorted(map(str, again.collect())) == sorted(map(str, df.drop("_place").collect()))
     (tmp_path / "c.jsonl").write_text("{broken\n")
     with pytest.raises(PySparkException):
         generations.read_generations(spark, str(tmp_path)).collect()
 
 
+def test_input_order(spark, tmp_path):
+    from spanlake.operators import prompts as pr
+
+    write_lines(tmp_path / "b.jsonl", [generation("1", f"Text {i}.") for i in range(50)])
+    write_lines(tmp_path / "a.jsonl", [generation("1", "Earlier."), generation("0", "Only one.")])
+    gens = pr.with_response_id(generations.read_generations(spark, str(tmp_path)))
+    last = pr.attach_text(gens.select("response_id").distinct(), gens, ["_place"])
+    assert sorted(r.response for r in last.collect()) == ["Only one.", "Text 49."]
+    made = tables_of(gens)
+    texts = [r.text for r in made.sentences.orderBy("global_idx").collect()]
+    assert texts == ["Earlier.", "Only one.", *[f"Text {i}." for i in range(50)]]
+
+
 def test_tables_vectors_and_caches(spark, folder):
     gens = spark.createDataFrame([tuple(generation(str(i), "Yes. No.").values()) for i in range(4)], GENERATION)
     made = tables_of(gens)
