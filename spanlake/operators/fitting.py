@@ -144,7 +144,7 @@ def _part(rows: np.ndarray, n: int) -> pa.RecordBatch:
 
 def _collect_sums(parts: DataFrame) -> tuple[np.ndarray, int]:
     """Parameter-sized sums over all parts; they are added up by latent on the executors."""
-    rows = sum_vectors(parts, ["latent_id"], "vector", "n").orderBy("latent_id").collect()
+    rows = sorted(sum_vectors(parts, ["latent_id"], "vector", "n").collect(), key=lambda r: r["latent_id"])
     return np.array([r["_total"] for r in rows]), rows[0]["_n"]
 
 

@@ -46,7 +46,7 @@ def _runs(keys: Sequence[str], regroup: bool = False):
             if batch.num_rows == 0:
                 continue
             codes = _codes(batch, keys)
-            if regroup and keys:
+            if regroup and np.count_nonzero(np.diff(codes)) > codes.max():  # a key comes in several runs
                 order = np.argsort(codes, kind="stable")
                 batch, codes = batch.take(pa.array(order)), codes[order]
             x = matrix(batch.column(batch.schema.get_field_index(_TOTAL)))

@@ -54,7 +54,7 @@ class SaeParams:
             raise ValueError(f"latent table too large for one model: {size['n']} x {size['d']}")
         if size["n"] and size["last"] != size["n"] - 1:
             raise ValueError("latent ids must be 0..n-1")
-        rows = latents.orderBy("latent_id").collect()
+        rows = sorted(latents.collect(), key=lambda r: r["latent_id"])
         w_enc = np.array([r["w_enc"] for r in rows], dtype=np.float64)
         w_dec = np.array([r["w_dec"] for r in rows], dtype=np.float64)
         bias = np.array([r["b_enc"] for r in rows], dtype=np.float64)
