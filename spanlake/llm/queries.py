@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import decontaminate, simhash, tokens
+from spanlake.llm import decontaminate, quality, simhash, tokens, vafile
 from spanlake.llm.catalog import query
 from spanlake.llm.storage import stored
 from spanlake.plans.catalog import table
@@ -69,3 +69,36 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
     counted = tokens.count_tokens(sized, public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > SEQUENCE).alias("over_limit"))
+
+
+#: Documents with a lower score are rejected.
+LEAST_SCORE = 0.3
+
+
+@query()
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit_on(docs, table(spark, sf_dir, "labels"))
+    scored = quality.with_score(docs, model)
+    kept = (F.col("score") >= LEAST_SCORE).cast("int")
+    return scored.select("doc_id", quality.is_held_out().alias("held_out"), "score", kept.alias("predicted"))
+
+
+@query(
+    """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
+row_of AS (SELECT vec_id, q, row_number() OVER () AS r FROM v),
+pair AS (
+  SELECT a.r, a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM row_of a JOIN row_of b ON a.vec_id % 50 = 0 AND a.r <> b.r AND len(a.q) = len(b.q))
+SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM pair QUALIFY rank <= 5
+"""
+)
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best neighbours of every fiftieth vector."""
+    return vafile.nearest(table(spark, sf_dir, "embeddings"), 50, 5)
