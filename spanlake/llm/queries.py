@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import decontaminate, quality, simhash, tokens, vafile
+from spanlake.llm import decontaminate, pii, quality, simhash, tokens, vafile
 from spanlake.llm.catalog import query
 from spanlake.llm.storage import stored
 from spanlake.plans.catalog import table
@@ -102,3 +102,18 @@ FROM pair QUALIFY rank <= 5
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best neighbours of every fiftieth vector."""
     return vafile.nearest(table(spark, sf_dir, "embeddings"), 50, 5)
+
+
+@query()
+def op5_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document and the terms near it that give it away."""
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    terms = F.transform("terms", lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *map(count, pii.KINDS),
+        F.sha2(pii.written("spans"), 256).alias("base_sha256"),
+        pii.written(F.concat("spans", terms)).alias("spans"),
+        F.size("terms").cast("long").alias("n_terms"),
+    )
