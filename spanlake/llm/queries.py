@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import decontaminate, pii, quality, simhash, tokens, vafile
+import corpus_pipeline
+from spanlake.llm import decontaminate, mixing, pii, quality, sharding, simhash, tokens, vafile
 from spanlake.llm.catalog import query
 from spanlake.llm.storage import stored
 from spanlake.plans.catalog import table
@@ -71,17 +72,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > SEQUENCE).alias("over_limit"))
 
 
-#: Documents with a lower score are rejected.
-LEAST_SCORE = 0.3
-
-
 @query()
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit_on(docs, table(spark, sf_dir, "labels"))
     scored = quality.with_score(docs, model)
-    kept = (F.col("score") >= LEAST_SCORE).cast("int")
+    kept = (F.col("score") >= corpus_pipeline.LEAST_SCORE).cast("int")
     return scored.select("doc_id", quality.is_held_out().alias("held_out"), "score", kept.alias("predicted"))
 
 
@@ -117,3 +114,104 @@ def op5_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
         pii.written(F.concat("spans", terms)).alias("spans"),
         F.size("terms").cast("long").alias("n_terms"),
     )
+
+
+_SIZE = sharding.table_size(len(corpus_pipeline.SHARDS))
+_NUMBER = "('0x' || substr(md5({}), 1, 15))::BIGINT"
+
+
+@query(
+    f"""
+WITH RECURSIVE shard AS (
+  SELECT i, 'shard-' || lpad(i::VARCHAR, 2, '0') AS name FROM range({len(corpus_pipeline.SHARDS)}) AS t(i)),
+pref AS (
+  SELECT i, {_NUMBER.format("'offset|' || name")} % {_SIZE} AS first, {_NUMBER.format("'skip|' || name")} % {_SIZE - 1} + 1 AS skip
+  FROM shard),
+fill(turn, owner) AS (
+  SELECT 0::BIGINT, list_transform(range({_SIZE}), lambda x: (-1)::BIGINT)
+  UNION ALL
+  SELECT turn + 1, list_concat(owner[1:slot], [i], owner[slot + 2:])
+  FROM (
+    SELECT turn, owner, i,
+           (first + skip * list_filter(range({_SIZE}), lambda k: owner[(first + skip * k) % {_SIZE} + 1] = -1)[1]) % {_SIZE} AS slot
+    FROM fill JOIN pref ON i = turn % {len(corpus_pipeline.SHARDS)} WHERE turn < {_SIZE})),
+owner AS (SELECT unnest(owner) AS i, generate_subscripts(owner, 1) - 1 AS slot FROM fill WHERE turn = {_SIZE}),
+placed AS (SELECT doc_id, {_NUMBER.format("coalesce(doc_id::VARCHAR, '')")} % {_SIZE} AS slot FROM documents)
+SELECT doc_id, slot, name AS shard FROM placed JOIN owner USING (slot) JOIN shard USING (i)
+"""
+)
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and shard of every document."""
+    return sharding.with_shard(table(spark, sf_dir, "documents").select("doc_id"), corpus_pipeline.SHARDS)
+
+
+def _power(k: str, more: str = "") -> str:
+    return f"list_sum(list_transform(lp, lambda l: exp({k} / 1048576.0::DOUBLE * l){more}))"
+
+
+def _entropy(k: str) -> str:
+    return f"ln({_power(k)}) - {_power(k, f' * {k} / 1048576.0::DOUBLE * l')} / {_power(k)}"
+
+
+def _bisect(name: str, low: int, holds: str, keep: str) -> str:
+    """A bisection of the grid; ``keep`` is the bound that a point which holds moves."""
+    yes, no = ("mid", "lo") if keep == "lo" else ("lo", "mid")
+    yes_hi, no_hi = ("hi", "mid") if keep == "lo" else ("mid", "hi")
+    return f"""
+{name}(lo, hi) AS (
+  SELECT {low}::BIGINT, 1048576::BIGINT
+  UNION ALL
+  SELECT CASE WHEN ok THEN {yes} ELSE {no} END, CASE WHEN ok THEN {yes_hi} ELSE {no_hi} END
+  FROM (SELECT lo, hi, mid, {holds} AS ok FROM (SELECT lo, hi, (lo + hi) // 2 AS mid FROM {name} WHERE hi - lo > 1), lists))"""
+
+
+@query(
+    rf"""
+WITH RECURSIVE tok AS (
+  SELECT doc_id, coalesce('=' || source, '') AS s, source,
+         len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS n_tokens FROM documents),
+src AS (SELECT s, sum(n_tokens)::BIGINT AS tokens FROM tok GROUP BY s HAVING sum(n_tokens) > 0),
+tot AS (SELECT sum(tokens)::BIGINT AS total, count(*) AS n FROM src),
+lists AS (
+  SELECT list(ln(tokens / total::DOUBLE)) AS lp, list(tokens::DOUBLE) AS ts, any_value(total)::DOUBLE AS budget, any_value(n) AS n
+  FROM src, tot),
+{_bisect("even", 0, f"{_entropy('mid')} >= {corpus_pipeline.MIX.evenness} * ln(n::DOUBLE) - 1e-12", "lo")},
+{_bisect("near", -1, f"list_max(list_transform(list_zip(lp, ts), lambda z: exp(mid / 1048576.0::DOUBLE * z[1]) / z[2])) / {_power('mid')} * budget <= {corpus_pipeline.MIX.most_epochs}", "hi")},
+expo AS (
+  SELECT greatest(CASE WHEN {_entropy("1048576")} >= {corpus_pipeline.MIX.evenness} * ln(n::DOUBLE) - 1e-12 THEN 1048576
+                       ELSE (SELECT max(lo) FROM even) END, (SELECT min(hi) FROM near)) AS k, lp, budget FROM lists),
+plan AS (
+  SELECT s, tokens, floor(round(exp(k / 1048576.0::DOUBLE * ln(tokens / total::DOUBLE)) / {_power("k")} * budget, 3))::BIGINT AS quota,
+         ceil(tokens / {corpus_pipeline.MIX.block_tokens}.0)::BIGINT AS n_blocks FROM src, tot, expo),
+whole AS (SELECT s, quota // tokens AS whole, quota % tokens AS rest, n_blocks FROM plan),
+keyed AS (
+  SELECT doc_id, source, s, n_tokens, whole, coalesce(rest, 0) AS rest,
+         ('0x' || substr(md5('{corpus_pipeline.MIX.seed}|' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT % coalesce(n_blocks, 1) AS block,
+         md5('{corpus_pipeline.MIX.seed}|' || whole || '|' || coalesce(doc_id::VARCHAR, '')) AS dk
+  FROM tok LEFT JOIN whole USING (s)),
+rows_ AS (SELECT *, md5('{corpus_pipeline.MIX.seed}|' || whole || '|' || s || '|' || block) AS bk FROM keyed),
+blocks AS (SELECT s, rest, bk, sum(n_tokens) AS t FROM rows_ WHERE rest > 0 GROUP BY ALL),
+ends AS (SELECT *, sum(t) OVER (PARTITION BY s ORDER BY bk) AS e FROM blocks),
+cut AS (SELECT s, bk AS cut_bk, rest - e + t AS remaining FROM ends WHERE e > rest QUALIFY row_number() OVER (PARTITION BY s ORDER BY bk) = 1),
+filled AS (
+  SELECT r.s, dk, remaining, sum(n_tokens) OVER (PARTITION BY r.s ORDER BY dk) AS e
+  FROM rows_ r JOIN cut ON r.s = cut.s AND r.bk = cut_bk),
+last AS (SELECT s, max(dk) AS cut_dk FROM filled WHERE e <= remaining GROUP BY s),
+copies AS (
+  SELECT r.*, CASE WHEN whole IS NULL THEN 1
+    ELSE whole + (rest > 0 AND (bk < cut_bk OR bk = cut_bk AND coalesce(dk <= cut_dk, false)))::BIGINT END AS n
+  FROM rows_ r LEFT JOIN cut USING (s) LEFT JOIN last USING (s))
+SELECT doc_id, source, unnest(range(n))::INTEGER AS epoch, block, n_tokens FROM copies
+"""
+)
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the mix draws, by epoch."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.draws(docs, corpus_pipeline.MIX).select("doc_id", "source", "epoch", "block", "n_tokens")
+
+
+@query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    return corpus_pipeline.run(spark, sf_dir)
