@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spanlake.llm import decontaminate, mixing, pii, quality, sharding, simhash, tokens, vafile
+from spanlake.llm import decontaminate, html, mixing, pii, quality, sharding, simhash, tokens, vafile
 from spanlake.llm.catalog import query
 from spanlake.llm.storage import stored
 from spanlake.plans.catalog import table
@@ -116,6 +116,14 @@ def op5_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html.with_main_text(pages, html.fit(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 _SIZE = sharding.table_size(len(corpus_pipeline.SHARDS))
 _NUMBER = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 
