@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spanlake.llm import decontaminate, html, mixing, pii, quality, sharding, simhash, tokens, vafile
+from spanlake.llm import decontaminate, html, lines, mixing, pii, quality, sharding, simhash, tokens, vafile
 from spanlake.llm.catalog import query
 from spanlake.llm.storage import stored
 from spanlake.plans.catalog import table
@@ -124,6 +124,13 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+@query()
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with one line left of each group of similar lines."""
+    found = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_kept", "text")
+
+
 _SIZE = sharding.table_size(len(corpus_pipeline.SHARDS))
 _NUMBER = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 
