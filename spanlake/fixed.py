@@ -53,7 +53,8 @@ TEXT_WS = r"[ \t\n\f\r]"
 SENTENCE_END = r"([.!?]+)([ \t\n\f\r]+)"
 TOKEN = r"[ \t\n\f\r]*(?:[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\f\r])"
 
-
-def default_layers(n_blocks: int = 32, n_layers: int = 6) -> list[int]:
-    """Evenly spaced inner layers of a model with ``n_blocks`` blocks."""
-    return [round(i / (n_layers + 1) * n_blocks) for i in range(1, n_layers + 1)]
+# Words that stand for a missing value in a CSV file.
+MISSING_WORDS = (
+    "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)

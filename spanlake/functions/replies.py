@@ -38,7 +38,7 @@ def extract_json(c: Column) -> Column:
         def one(reply):
             try:
                 return json.dumps(first_json_object(reply), ensure_ascii=False, sort_keys=True)
-            except (ValueError, TypeError, AttributeError):
+            except (ValueError, TypeError, AttributeError, RecursionError):
                 return None
 
         return replies.map(one)

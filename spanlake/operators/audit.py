@@ -70,17 +70,27 @@ def verdict(missing: Column, mismatched: Column) -> Column:
 
 
 def coverage_report(a: DataFrame, b: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row: sizes of both tables, missing ids, differing texts, verdict."""
-    counts_a = id_counts(a, id_col).select(
-        F.col("n_rows").alias("a_rows"), F.col("n_ids").alias("a_ids")
-    )
-    counts_b = id_counts(b, id_col)
-    gone = a.select(id_col).subtract(b.select(id_col)).agg(F.count(F.lit(1)).alias("n"))
-    other = text_mismatches(a, b, id_col, text_col).agg(F.count(F.lit(1)).alias("n"))
-    report = (
-        counts_a.withColumn("b_rows", counts_b.select("n_rows").scalar())
-        .withColumn("b_ids", counts_b.select("n_ids").scalar())
-        .withColumn("n_missing", gone.scalar())
-        .withColumn("n_mismatched", other.scalar())
+    """One row: sizes of both tables, missing ids, differing texts, verdict.
+
+    Both tables are read once: rows are counted per id and text digest on either side, then per id, then in all. A null
+    id counts as an id that can be missing, but not as one of the different ids, and its texts are not compared.
+    """
+
+    def side(df: DataFrame, in_a: int) -> DataFrame:
+        digest = F.sha2(audit_text(F.col(text_col)), 256).alias("_d")
+        return df.select(F.col(id_col).alias("_id"), digest, F.lit(in_a).alias("_a"), F.lit(1 - in_a).alias("_b"))
+
+    texts = side(a, 1).unionAll(side(b, 0)).groupBy("_id", "_d").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    alone = F.sum(F.when(F.col("_b") == 0, F.col("_a")).otherwise(0))
+    ids = texts.groupBy("_id").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"), alone.alias("_alone"))
+    real = F.col("_id").isNotNull()
+    zero = F.lit(0)
+    report = ids.agg(
+        F.coalesce(F.sum("_a"), zero).alias("a_rows"),
+        F.count_if((F.col("_a") > 0) & real).alias("a_ids"),
+        F.coalesce(F.sum("_b"), zero).alias("b_rows"),
+        F.count_if((F.col("_b") > 0) & real).alias("b_ids"),
+        F.count_if((F.col("_a") > 0) & (F.col("_b") == 0)).alias("n_missing"),
+        F.coalesce(F.sum(F.when((F.col("_b") > 0) & real, F.col("_alone"))), zero).alias("n_mismatched"),
     )
     return report.withColumn("verdict", verdict(F.col("n_missing"), F.col("n_mismatched")))

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake import fixed
 from spanlake.functions.text import hash_order
 
+#: Parts of a group that are cut down before they meet.
+SALTS = 32
+
 
 def members_with_text(assign: DataFrame, sentences: DataFrame, key: str = "global_idx") -> DataFrame:
     """Assignments with the text of their sentence, by key."""
@@ -20,15 +24,20 @@ def _members(assign: DataFrame) -> DataFrame:
     return assign.filter(F.col("latent_id") >= 0)
 
 
-def top_exemplars(assign: DataFrame, n: int, by: Sequence[str] = ("latent_id",), key: str = "global_idx") -> DataFrame:
-    """The ``n`` strongest members of each latent, equal strengths by lower key.
+def _first(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], key: str, n: int) -> DataFrame:
+    """The first ``n`` rows of each group with their ``rank``, in two levels: by salt, then by group. Each task keeps ``n``
+    rows per group and salt before the first shuffle, and the second brings at most ``SALTS`` times ``n`` rows of a group
+    together, however many tasks there were."""
+    salt = F.pmod(F.xxhash64(key), F.lit(SALTS))
+    some = Window.partitionBy(*by, "_salt").orderBy(*order)
+    salted = df.withColumn("_salt", salt).withColumn("rank", F.row_number().over(some)).filter(F.col("rank") <= n)
+    every = Window.partitionBy(*by).orderBy(*order)
+    return salted.drop("_salt").withColumn("rank", F.row_number().over(every)).filter(F.col("rank") <= n)
 
-    Each task keeps its own ``n`` best per latent before the shuffle, so a latent that holds most rows still
-    reaches its task as ``n`` rows per input partition.
-    """
-    order = Window.partitionBy(*by).orderBy(F.col("strength").desc(), F.col(key))
-    ranked = _members(assign).withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= n)
+
+def top_exemplars(assign: DataFrame, n: int, by: Sequence[str] = ("latent_id",), key: str = "global_idx") -> DataFrame:
+    """The ``n`` strongest members of each latent, equal strengths by lower key."""
+    return _first(_members(assign), by, [F.col("strength").desc(), key], key, n)
 
 
 def random_exemplars(
@@ -47,13 +56,7 @@ def random_exemplars(
     """
     h = hash_order(seed, *[F.col(c) for c in by], F.col(key))
     order = Window.partitionBy(*by).orderBy("_h", key)
-    pool = (
-        _members(assign)
-        .withColumn("_h", h)
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= n_top + n_random)
-        .drop("rank")
-    )
+    pool = _first(_members(assign).withColumn("_h", h), by, ["_h", key], key, n_top + n_random).drop("rank")
     top = top_exemplars(assign, n_top, by, key).select(*by, key)
     rest = pool.join(top, [*by, key], "left_anti")
     return rest.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n_random).drop("_h")
@@ -74,22 +77,18 @@ def exemplars(
     return top.unionByName(rest)
 
 
-SYSTEM_PROMPT = "You interpret the latents of a sparse autoencoder that was trained on hidden activations of a language model."
-
-_TASK = (
-    "\n\nName the one job that these sentences do: a step of reasoning, a linguistic form or a role in the answer. "
-    "Their topics may differ widely and do not matter."
-    "\n\nSentences:\n"
-)
+@dataclass(frozen=True)
+class PromptTemplate:
+    """What a judge is told: the system message, the question before the numbered sentences, and the form of the answer."""
 
-_ANSWER = (
-    '\n\nAnswer with one JSON object and nothing around it. Its keys are "title" (a few words for a single concept, '
-    'without slashes or parentheses) and "description" (three or four sentences: what the latent stands for, '
-    "which sentences belong to it, and which similar ones do not)."
-)
+    system: str | None = "You read numbered sentences and say in JSON what they share."
+    question: str = "What do these sentences share?"
+    answer: str = 'Reply with {"title": "...", "description": "..."}.'
 
 
-def build_prompts(chosen: DataFrame, sizes: DataFrame, by: Sequence[str] = ("latent_id",)) -> DataFrame:
+def build_prompts(
+    chosen: DataFrame, sizes: DataFrame, by: Sequence[str] = ("latent_id",), template: PromptTemplate = PromptTemplate()
+) -> DataFrame:
     """``by, cluster_size, n_exemplars_used, prompt`` for every latent in ``sizes``; no prompt for an empty one.
 
     ``chosen`` holds the exemplars with their text, a bounded number per latent.
@@ -112,21 +111,10 @@ def build_prompts(chosen: DataFrame, sizes: DataFrame, by: Sequence[str] = ("lat
         ),
         "\n",
     )
-    n_top, n_random = F.col("_n_top").cast("string"), F.col("_n_random").cast("string")
-    sampled = F.concat(
-        n_top,
-        F.lit(" of them activate the latent most; "),
-        n_random,
-        F.lit(" more were drawn at random from the other members of its cluster."),
-    )
-    complete = F.concat(F.lit("All "), n_top, F.lit(" sentences of the latent's cluster are listed; none had to be drawn."))
-    prompt = F.concat(
-        F.lit("The sentences below activate one latent of a sparse autoencoder. "),
-        F.when(F.col("_n_random") > 0, sampled).otherwise(complete),
-        F.lit(_TASK),
-        numbered,
-        F.lit(_ANSWER),
+    counts = F.concat(
+        F.lit("("), F.col("_n_top").cast("string"), F.lit(" strongest, "), F.col("_n_random").cast("string"), F.lit(" random)")
     )
+    prompt = F.concat_ws("\n\n", F.concat_ws(" ", F.lit(template.question), counts), numbered, F.lit(template.answer))
     used = (F.col("_n_top") + F.col("_n_random")).cast("int")
     made = grouped.select(*by, used.alias("n_exemplars_used"), prompt.alias("prompt"))
     return sizes.join(made, list(by), "left").select(

@@ -7,40 +7,29 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanlake.functions.arrays import matrix, vectors_column
-from spanlake.functions.text import hash_order
 from spanlake.functions.vectors import dense, largest, row_blocks
 from spanlake.operators.index import train_val_split
 from spanlake.operators.pooling import sum_vectors
-from spanlake.operators.sae import SaeParams
-
-
-#: Each task of a fit holds the whole model, and the driver holds it between jobs.
-MAX_MODEL_BYTES = 4 << 30
+from spanlake.operators.sae import MAX_MODEL_BYTES, SaeParams
+from spanlake.session import remove, scratch_dir
 
 
 @dataclass(frozen=True)
 class FitConfig:
-    """Settings of a fit.
-
-    ``local_sgd`` runs one job per epoch: every shard of the rows takes mini-batch steps from the same start and
-    the results are averaged by row count. ``full_batch`` takes one step over all rows per job.
-    """
+    """Settings of a fit: an epoch takes ``steps`` Adam steps, each over one part of the rows (by a hash of their ids)."""
 
     n_latents: int
     k: int = 3
     seed: int = 0
-    batch_size: int = 512
+    steps: int = 8
     max_epochs: int = 300
     patience: int = 10
     val_frac: float = 0.05
-    method: str = "local_sgd"
-    shards: int | None = None
     lr: float | None = None
     split_seed: int = 0
     min_gain: float = 1e-8
@@ -56,6 +45,7 @@ class FitResult:
     history: list[dict] = field(default_factory=list)
     fired: np.ndarray | None = None
     early_stopped: bool = False
+    n_train: int = 0
 
     @property
     def best_val_loss(self) -> float:
@@ -144,53 +134,8 @@ def _part(rows: np.ndarray, n: int) -> pa.RecordBatch:
 
 def _collect_sums(parts: DataFrame) -> tuple[np.ndarray, int]:
     """Parameter-sized sums over all parts; they are added up by latent on the executors."""
-    rows = sorted(sum_vectors(parts, ["latent_id"], "vector", "n").collect(), key=lambda r: r["latent_id"])
-    return np.array([r["_total"] for r in rows]), rows[0]["_n"]
-
-
-def _local_epoch(rows: DataFrame, start: SaeParams, cfg: FitConfig) -> tuple[SaeParams, np.ndarray]:
-    """One pass of mini-batch steps in every shard; rows come sorted by shard and are read as a stream."""
-    shared = rows.sparkSession.sparkContext.broadcast(start.arrays)
-    d, k, lr, size = start.w_enc.shape[1], cfg.k, cfg.rate, cfg.batch_size
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held, n = None, np.zeros((0, d)), 0
-        params = adam = fired = None
-
-        def learn(x):
-            nonlocal params, fired
-            grads, active, _ = gradients(params, x, k)
-            params = adam.step(params, {name: g / x.size for name, g in grads.items()})
-            fired |= active
-
-        for batch in batches:
-            shards = batch.column(0).to_numpy(zero_copy_only=False)
-            x = matrix(batch.column(1), d)
-            for at in np.split(np.arange(len(shards)), np.flatnonzero(np.diff(shards)) + 1):
-                if len(at) == 0:
-                    continue
-                if shards[at[0]] != shard:
-                    if shard is not None:
-                        if len(held):
-                            learn(held)
-                        yield _part(_pack(params, fired) * n, n)
-                    shard, held, n = shards[at[0]], np.zeros((0, d)), 0
-                    params = SaeParams(*shared.value)
-                    adam, fired = Adam(lr), np.zeros(params.n_latents, bool)
-                held = np.vstack([held, x[at]])
-                n += len(at)
-                whole = len(held) // size * size
-                for b in range(0, whole, size):
-                    learn(held[b : b + size])
-                held = held[whole:]
-        if shard is not None:
-            if len(held):
-                learn(held)
-            yield _part(_pack(params, fired) * n, n)
-
-    total, n = _collect_sums(rows.mapInArrow(run, _PART))
-    averaged, fired = _unpack(total / n, d)
-    return unit_decoder(averaged), fired
+    rows = sum_vectors(parts, ["latent_id"], "vector", "n").toArrow().sort_by("latent_id")
+    return matrix(rows["_total"]), rows["_n"][0].as_py()
 
 
 def full_gradient(rows: DataFrame, p: SaeParams, k: int) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
@@ -233,43 +178,42 @@ def reconstruction_loss(rows: DataFrame, p: SaeParams, k: int, vector_col: str =
     return rows.select(row_error(vector_col).alias("e")).agg(F.avg("e")).first()[0]
 
 
-def fit_topk_sae(df: DataFrame, cfg: FitConfig, id_col: str = "global_idx", vector_col: str = "vector") -> FitResult:
+def fit_topk_sae(
+    df: DataFrame, cfg: FitConfig, id_col: str = "global_idx", vector_col: str = "vector", start: SaeParams | None = None
+) -> FitResult:
     """Fits on the training share, stops when the validation loss has not improved for ``patience`` epochs, and
-    returns the parameters of the best epoch.
+    returns the parameters of the best epoch. ``start`` replaces the random start.
 
-    Rows are laid out by shard once. An epoch only sorts inside the partitions, in an order that depends on seed,
-    epoch and id, so the result does not depend on how the table is stored. Model state lives on the driver
-    between jobs; a lost executor costs the recomputation of its partitions.
+    A step adds up the gradients of its part of the rows in the tasks and moves the one model on the driver, whose Adam
+    state lasts for the whole fit. Parts depend on ids only and their number is a setting, so neither the number of rows,
+    partitions or cores nor the storage layout changes the method. The rows are written once, by part, to the shared
+    folder; a step reads its part there, in tasks as large as the scan makes them, and a lost executor costs a repeated
+    read.
     """
     spark = df.sparkSession
     rows = train_val_split(df.select(F.col(id_col).alias("_id"), F.col(vector_col).alias("vector")), cfg.val_frac, ["_id"], cfg.split_seed)
-    counts = rows.groupBy().agg(F.count_if(~F.col("is_val")).alias("n_train"), F.max(F.size("vector")).alias("d")).first()
-    n_train, d = counts["n_train"], counts["d"]
-    if not n_train:
-        raise ValueError("no training rows")
-    if cfg.n_latents * d * 16 > MAX_MODEL_BYTES:
-        raise ValueError(f"a model of {cfg.n_latents} x {d} is above the size that driver and tasks can hold")
-    shards = cfg.shards or max(1, min(n_train // (32 * cfg.batch_size), spark.sparkContext.defaultParallelism))
-    sharded = rows.filter(~F.col("is_val")).select(
-        F.pmod(F.xxhash64("_id"), F.lit(shards)).alias("_shard"), "_id", "vector"
-    )
-    train = sharded.repartition(shards, "_shard").persist(StorageLevel.MEMORY_AND_DISK)
-    val = rows.filter("is_val").select("vector").persist(StorageLevel.MEMORY_AND_DISK)
-
-    params = start_params(d, cfg.n_latents, cfg.seed)
-    result = FitResult(params, fired=np.zeros(cfg.n_latents, bool))
-    adam, best, stale = Adam(cfg.rate), float("inf"), 0
+    part = F.when(F.col("is_val"), -1).otherwise(F.pmod(F.xxhash64("_id"), F.lit(cfg.steps))).cast("int")
+    folder = scratch_dir(spark)
     try:
+        rows.select(part.alias("_part"), "vector").write.partitionBy("_part").parquet(folder)
+        parts = {r["_part"]: r for r in _sizes(spark.read.parquet(folder))}
+        order = sorted(p for p in parts if p >= 0)
+        if not order:
+            raise ValueError("no training rows")
+        d = parts[order[0]]["d"]
+        if cfg.n_latents * d * 16 > MAX_MODEL_BYTES:
+            raise ValueError(f"a model of {cfg.n_latents} x {d} is above the size that driver and tasks can hold")
+        schema = rows.select("vector").schema
+        of = {p: spark.read.schema(schema).parquet(f"{folder}/_part={p}") for p in parts}
+        params = start_params(d, cfg.n_latents, cfg.seed) if start is None else start
+        result = FitResult(params, fired=np.zeros(cfg.n_latents, bool), n_train=sum(parts[p]["n"] for p in order))
+        adam, best, stale = Adam(cfg.rate), float("inf"), 0
         for epoch in range(cfg.max_epochs):
-            if cfg.method == "full_batch":
-                grads, fired, _ = full_gradient(train, params, cfg.k)
+            for p in np.random.default_rng([cfg.seed, epoch]).permutation(order):
+                grads, fired, _ = full_gradient(of[p], params, cfg.k)
                 params = adam.step(params, grads)
-            else:
-                order = hash_order(f"{cfg.seed}|{epoch}", F.col("_id"))
-                stream = train.sortWithinPartitions("_shard", order).select("_shard", "vector")
-                params, fired = _local_epoch(stream, params, cfg)
-            result.fired |= fired
-            loss = reconstruction_loss(val, params, cfg.k)
+                result.fired |= fired
+            loss = reconstruction_loss(of[-1], params, cfg.k)
             result.history.append({"epoch": epoch + 1, "val_loss": loss})
             if loss < best - cfg.min_gain:
                 best, stale, result.params = loss, 0, params
@@ -279,6 +223,10 @@ def fit_topk_sae(df: DataFrame, cfg: FitConfig, id_col: str = "global_idx", vect
                     result.early_stopped = True
                     break
     finally:
-        train.unpersist()
-        val.unpersist()
+        remove(spark, folder)
     return result
+
+
+def _sizes(rows: DataFrame) -> list:
+    """Rows and vector length of each part."""
+    return rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).collect()

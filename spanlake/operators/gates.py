@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,15 +11,12 @@ from spanlake import fixed
 from spanlake.functions import vectors
 from spanlake.functions.text import normalize_ws
 from spanlake.operators.index import sample_n
-
-
-#: A sample above this size is joined like any other table.
-MAX_BROADCAST_ROWS = 10_000
+from spanlake.session import cut_lineage
 
 
 def check_spans(
     sentences: DataFrame,
-    tokens: DataFrame,
+    tokens: DataFrame | Callable[[DataFrame], DataFrame],
     texts: DataFrame,
     n: int,
     seed: int = 0,
@@ -28,23 +25,23 @@ def check_spans(
 ) -> DataFrame:
     """Sampled sentences with the text their token range stands for, and whether the two agree.
 
-    Only the sampled rows are joined, and only the offsets of their first and last token are needed.
+    Only the sampled rows are joined, and only the offsets of their first and last token are needed. A tokenizer may stand
+    for the token table: it then gets the texts of the sampled sentences only.
     """
-    picked = sample_n(
-        sentences.select(doc_col, "sent_idx", "text", "tok_start", "tok_end"), n, seed, [doc_col, "sent_idx"]
+    picked = cut_lineage(
+        sample_n(sentences.select(doc_col, "sent_idx", "text", "tok_start", "tok_end"), n, seed, [doc_col, "sent_idx"])
     ).withColumnRenamed("text", "_sentence")
-
-    def light(df: DataFrame) -> DataFrame:
-        # at most n rows, so the tokens and texts can stay where they are
-        return F.broadcast(df) if n <= MAX_BROADCAST_ROWS else df
-
+    full = texts.select(doc_col, text_col).join(picked.select(doc_col).distinct(), doc_col, "left_semi")
+    if callable(tokens):
+        tokens = tokens(full)
     at_ends = (F.col("tok_idx") == F.col("tok_start")) | (F.col("tok_idx") == F.col("tok_end") - 1)
-    ends = tokens.select(doc_col, "tok_idx", "start", "end").join(light(picked), doc_col).filter(at_ends)
-    cut = ends.groupBy(doc_col, "sent_idx", "_sentence").agg(F.min("start").alias("_a"), F.max("end").alias("_b"))
-    rebuilt = texts.select(doc_col, F.col(text_col).alias("_full")).join(light(cut), doc_col).withColumn(
-        "decoded", F.substring("_full", F.col("_a") + 1, F.col("_b") - F.col("_a"))
-    )
-    same = normalize_ws(F.col("decoded")) == normalize_ws(F.col("_sentence"))
+    places = picked.drop("_sentence")
+    ends = tokens.select(doc_col, "tok_idx", "start", "end").join(places, doc_col).filter(at_ends)
+    bounds = ends.groupBy(doc_col, "sent_idx").agg(F.min("start").alias("_a"), F.max("end").alias("_b"))
+    # a sentence whose tokens or text are not there stays, and does not agree
+    found = picked.join(bounds, [doc_col, "sent_idx"], "left").join(full.withColumnRenamed(text_col, "_full"), doc_col, "left")
+    rebuilt = found.withColumn("decoded", F.substring("_full", F.col("_a") + 1, F.col("_b") - F.col("_a")))
+    same = F.coalesce(normalize_ws(F.col("decoded")) == normalize_ws(F.col("_sentence")), F.lit(False))
     return rebuilt.select(doc_col, "sent_idx", F.col("_sentence").alias("expected"), "decoded", same.alias("agrees"))
 
 
@@ -59,11 +56,17 @@ def span_verdict(checked: DataFrame, min_rate: float = fixed.SPAN_PASS_RATE) ->
 def check_vectors(
     a: DataFrame, b: DataFrame, keys: Sequence[str] = ("layer", "global_idx"), by: str = "layer", tol: float = fixed.VECTOR_TOLERANCE
 ) -> DataFrame:
-    """Two computations of the same vectors: largest difference per layer and whether it stays within ``tol``."""
+    """Two computations of the same vectors, per layer: largest difference, vectors that only one of them has, and whether
+    there are none and the difference stays within ``tol``."""
     left = a.select(*keys, F.col("vector").alias("_a"))
     right = b.select(*keys, F.col("vector").alias("_b"))
-    pairs = left.join(right, list(keys)).select(by, vectors.max_abs_diff(F.col("_a"), F.col("_b")).alias("_d"))
-    return pairs.groupBy(by).agg(F.max("_d").alias("max_abs_diff"), (F.max("_d") <= tol).alias("passed"))
+    gap = vectors.max_abs_diff(F.col("_a"), F.col("_b")).alias("_d")
+    pairs = left.join(right, list(keys), "full").select(by, F.col("_a").isNull().alias("_no_a"), F.col("_b").isNull().alias("_no_b"), gap)
+    counted = pairs.groupBy(by).agg(
+        F.max("_d").alias("max_abs_diff"), F.count_if("_no_b").alias("only_in_a"), F.count_if("_no_a").alias("only_in_b")
+    )
+    whole = (F.col("only_in_a") == 0) & (F.col("only_in_b") == 0)
+    return counted.withColumn("passed", whole & F.coalesce(F.col("max_abs_diff") <= tol, F.lit(False)))
 
 
 def check_keys(df: DataFrame, key: str = "global_idx") -> DataFrame:

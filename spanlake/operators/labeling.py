@@ -31,7 +31,8 @@ def call_with_retry(call: Callable[[], str], attempts: int, pause: Callable[[flo
             if not is_transient(error):
                 raise
             last = error
-            pause(2**attempt)
+            if attempt + 1 < attempts:
+                pause(2**attempt)
     raise last
 
 
@@ -58,21 +59,23 @@ def progress(every: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 def label_clusters(
     prompts: DataFrame,
-    judge_fn: Callable[[str], str],
+    judge_fn: Callable[..., str],
     judge_model: str,
     existing: DataFrame | None = None,
     force: bool = False,
     attempts: int = 3,
     by: Sequence[str] = ("latent_id",),
     parallelism: int | None = None,
+    system: str | None = None,
 ) -> DataFrame:
     """A label record per latent.
 
     Latents without exemplars are recorded without a call; a failing call or reply becomes a record with
     status ``error`` and leaves the others alone; labels that are finished in ``existing`` are taken over as
-    they are unless ``force``. ``judge_fn`` gets the prompt and returns the reply.
+    they are unless ``force``. ``judge_fn`` gets the prompt, and the system message as a second argument when there
+    is one, and returns the reply.
 
-    ``parallelism`` is the number of tasks that call the judge; without it the partitioning of ``prompts`` decides.
+    ``parallelism`` is the number of tasks that call the judge, as many as the session has cores by default.
     Write the result before using it twice: each evaluation calls the judge.
     """
     names = [*by, *[f for f in _RECORD if f not in by]]
@@ -81,8 +84,8 @@ def label_clusters(
     if existing is not None and not force:
         kept = finished(existing)
         todo = pending(prompts, kept, by)
-    if parallelism:
-        todo = todo.repartition(parallelism, *by)
+    todo = todo.repartition(parallelism or prompts.sparkSession.sparkContext.defaultParallelism, *by)
+    extra = () if system is None else (system,)
     schema = T.StructType(
         [T.StructField(k, prompts.schema[k].dataType) for k in by]
         + [T.StructField(n, t) for n, t in _RECORD.items() if n not in by]
@@ -102,7 +105,7 @@ def label_clusters(
             if row["n_exemplars_used"] == 0:
                 return record
             try:
-                reply = call_with_retry(lambda: judge_fn(row["prompt"]), attempts)
+                reply = call_with_retry(lambda: judge_fn(row["prompt"], *extra), attempts)
                 record["title"], record["description"] = check_label(first_json_object(reply))
                 record["status"] = fixed_ok
             except Exception as e:

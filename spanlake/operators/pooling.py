@@ -15,6 +15,8 @@ from spanlake.functions.vectors import doubles
 from spanlake.operators.segment import overlap_join
 
 _N, _TOTAL = "_n", "_total"
+#: Partial sums of a task that are kept open together.
+MAX_OPEN_BYTES = 64 << 20
 
 
 def _codes(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
@@ -30,9 +32,43 @@ def _codes(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
 def _runs(keys: Sequence[str], regroup: bool = False):
     """Sums of adjacent rows with equal keys, over the batches of one task; only one open run is kept.
 
-    With ``regroup`` the rows of each batch are brought together by key first, for input that is not sorted.
+    With ``regroup``, for input that is not sorted, each key has one sum per task, as long as the sums of all keys stay
+    below ``MAX_OPEN_BYTES``; they are given out and begun anew each time they would pass it.
     """
 
+    def fold_any(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def folded() -> pa.RecordBatch:
+            together = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            return next(fold_batch(together))
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            held.append(next(fold_batch(batch)))
+            size += held[-1].nbytes
+            if size > MAX_OPEN_BYTES:
+                held = [folded()]
+                size = held[0].nbytes
+                if size > MAX_OPEN_BYTES // 2:
+                    yield held.pop()
+                    size = 0
+        if held:
+            yield folded()
+
+    def fold_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        codes = _codes(batch, keys)
+        order = np.argsort(codes, kind="stable")
+        batch = batch.take(pa.array(order))
+        x = matrix(batch.column(batch.schema.get_field_index(_TOTAL)))
+        n = batch.column(batch.schema.get_field_index(_N)).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(codes[order]) != 0]))
+        heads = [batch.column(batch.schema.get_field_index(k)).take(pa.array(starts)) for k in keys]
+        totals = [pa.array(np.add.reduceat(n, starts), pa.int64()), vectors_column(np.add.reduceat(x, starts, axis=0))]
+        yield pa.RecordBatch.from_arrays([*heads, *totals], names=[*keys, _N, _TOTAL])
+
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key, open_n, open_total = None, 0, None
 
@@ -46,9 +82,6 @@ def _runs(keys: Sequence[str], regroup: bool = False):
             if batch.num_rows == 0:
                 continue
             codes = _codes(batch, keys)
-            if regroup and np.count_nonzero(np.diff(codes)) > codes.max():  # a key comes in several runs
-                order = np.argsort(codes, kind="stable")
-                batch, codes = batch.take(pa.array(order)), codes[order]
             x = matrix(batch.column(batch.schema.get_field_index(_TOTAL)))
             n = batch.column(batch.schema.get_field_index(_N)).to_numpy(zero_copy_only=False)
             starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
@@ -67,14 +100,13 @@ def _runs(keys: Sequence[str], regroup: bool = False):
         if open_key is not None:
             yield sums_of(open_key, open_n, open_total)
 
-    return fold
+    return fold_any if regroup else fold
 
 
 def sum_vectors(df: DataFrame, keys: Sequence[str], vector_col: str = "vector", n_col: str | None = None) -> DataFrame:
     """``keys, _n, _total``: number and sum of the vectors of each key.
 
-    Each task first folds its own rows batch by batch, so a key with very many rows reaches the shuffle as at most
-    one partial sum per batch.
+    Each task first folds its own rows, so a key with very many rows reaches the shuffle as one partial sum per task.
     The second fold reads rows sorted by key and keeps one running sum, so no group is ever held as a whole.
     Null vectors are left out.
     """
@@ -117,8 +149,10 @@ def mean_pool(
     extra_keys: Sequence[str] = ("layer",),
     width: int = 64,
 ) -> DataFrame:
-    """Mean of the token vectors in ``[tok_start, tok_end)`` of each span, per layer; null for an empty span.
+    """Mean of the token vectors in ``[tok_start, tok_end)`` of each span, per layer, and ``n_vectors``, how many were there.
 
+    Every span has a row for each layer of its response, or one with null keys when the response has no vector at all;
+    without a vector in the span the mean is null and ``n_vectors`` 0.
     Spans and tokens meet in buckets of ``width`` tokens, so a long response is shared by several tasks.
     """
     named = spans.select(response_col, *span_cols, "tok_start", "tok_end")
@@ -127,13 +161,12 @@ def mean_pool(
     # a token lies in one bucket only, so no pair is counted twice
     hits = overlap_join(real, tokens, [response_col], ("tok_start", "tok_end"), ("tok_idx", "_tok_end"), width, "inner")
     keys = [response_col, *span_cols, *extra_keys]
-    pooled = mean_vectors(hits, keys).drop("n")
-    if not extra_keys:
-        return named.join(pooled, [response_col, *span_cols], "left")
-    empty = named.filter(F.col("tok_end") <= F.col("tok_start"))
-    layers = token_vectors.select(response_col, *extra_keys).distinct()
-    blank = empty.join(layers, response_col).select(*keys, F.lit(None).cast("array<double>").alias("vector"))
-    return pooled.select(*keys, "vector").unionByName(blank)
+    pooled = mean_vectors(hits, keys).withColumnRenamed("n", "n_vectors")
+    every = named.select(response_col, *span_cols)
+    if extra_keys:
+        every = every.join(token_vectors.select(response_col, *extra_keys).distinct(), response_col, "left")
+    found = every.join(pooled, keys, "left")
+    return found.select(*keys, "vector", F.coalesce("n_vectors", F.lit(0)).cast("long").alias("n_vectors"))
 
 
 def pool_nested(df: DataFrame, vectors_col: str, spans_col: str, out: str = "pooled") -> DataFrame:
@@ -151,10 +184,17 @@ def pool_nested(df: DataFrame, vectors_col: str, spans_col: str, out: str = "poo
         base = np.repeat(tok_bounds[:-1], np.diff(span_bounds))
         lo = base + s.to_numpy(zero_copy_only=False).astype(np.int64)
         hi = base + e.to_numpy(zero_copy_only=False).astype(np.int64)
-        sums = np.vstack([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0)])
         n = hi - lo
-        means = (sums[hi] - sums[lo]) / np.maximum(n, 1)[:, None]
-        rows = pa.array([m if c > 0 else None for m, c in zip(means, n)], pa.list_(pa.float64()))
-        return list_column(rows, span_bounds)
+        full = n > 0
+        # every second range is a span's own rows; the one more row lets a span end at the last token
+        ends = np.column_stack([lo[full], hi[full]]).ravel()
+        rows = np.vstack([x, np.zeros((1, x.shape[1]))])
+        sums = np.add.reduceat(rows, ends, axis=0)[::2] if len(ends) else np.zeros((0, x.shape[1]))
+        means = sums / n[full][:, None]
+        size = np.concatenate([[0], np.cumsum(np.where(full, x.shape[1], 0))])
+        values = pa.array(np.ascontiguousarray(means).reshape(-1))
+        # a null offset marks a null list
+        offsets = pa.array(size.astype(np.int32), mask=np.append(~full, False))
+        return list_column(pa.ListArray.from_arrays(offsets, values), span_bounds)
 
     return df.withColumn(out, pool(F.col(vectors_col), F.col(f"{spans_col}.tok_start"), F.col(f"{spans_col}.tok_end")))

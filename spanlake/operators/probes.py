@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,10 +13,10 @@ from pyspark.sql import types as T
 
 from spanlake import fixed
 from spanlake.functions.arrays import matrix, vectors_column
-from spanlake.functions.text import hash_order
 from spanlake.functions.vectors import dot
 from spanlake.operators.index import val_rule
 from spanlake.operators.pooling import sum_vectors
+from spanlake.session import remove, scratch_dir
 
 
 def label_summary(examples: DataFrame, label_col: str = "label") -> DataFrame:
@@ -47,30 +48,16 @@ def probe_dataset(acts: DataFrame, labels: DataFrame, key: str = "example_id") -
 
 @dataclass(frozen=True)
 class ProbeConfig:
-    lr: float = 1e-3
-    epochs: int = 25
-    batch_size: int = 25
+    """Settings of the probes: each takes ``steps`` Adam steps over all of its training rows, from zero weights."""
+
+    lr: float = 0.02
+    steps: int = 100
     val_frac: float = 0.2
     seed: int = 0
-    max_group_bytes: int = 256 << 20
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, cfg: ProbeConfig) -> np.ndarray:
-    """Weights and bias of a linear probe: cross entropy on logits, Adam, mini-batches in the given order."""
-    w = np.zeros(x.shape[1] + 1)
-    m, v, t = np.zeros_like(w), np.zeros_like(w), 0
-    ones = np.hstack([x, np.ones((len(x), 1))])
-    rng = np.random.default_rng(cfg.seed)
-    for _ in range(cfg.epochs):
-        order = rng.permutation(len(x))
-        for at in range(0, len(x), cfg.batch_size):
-            pick = order[at : at + cfg.batch_size]
-            p = 1 / (1 + np.exp(-np.clip(ones[pick] @ w, -500, 500)))
-            g = ones[pick].T @ (p - y[pick]) / len(pick)
-            t += 1
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w = w - cfg.lr * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w
+
+
+#: Weights of all probes together that the driver keeps between steps.
+MAX_WEIGHT_BYTES = 512 << 20
 
 
 _GROUP = ["family", "layer", "head"]
@@ -84,43 +71,66 @@ def wilson(accuracy: Column, n: Column) -> tuple[Column, Column]:
     return (middle - spread) / scale, (middle + spread) / scale
 
 
+def probe_gradients(train: DataFrame, weights: dict[tuple, np.ndarray]) -> dict[tuple, np.ndarray]:
+    """Mean gradient of the cross entropy per probe over all of its rows; the last entry belongs to the bias."""
+    shared = train.sparkSession.sparkContext.broadcast(weights)
+    schema = T.StructType(
+        [*(train.schema[c] for c in _GROUP), T.StructField("n", T.LongType()), T.StructField("vector", T.ArrayType(T.DoubleType()))]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in _GROUP)))
+            labels = batch.column("label").to_numpy(zero_copy_only=False).astype(float)
+            rows: dict[tuple, list[int]] = {}
+            for i, key in enumerate(keys):
+                rows.setdefault(key, []).append(i)
+            for key, at in rows.items():
+                x = np.hstack([matrix(batch.column("vector").take(pa.array(at))), np.ones((len(at), 1))])
+                w = shared.value.get(key, np.zeros(x.shape[1]))
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+                heads = [pa.array([k], f.type) for k, f in zip(key, batch.select(_GROUP).schema)]
+                total = vectors_column((x.T @ (p - labels[at]))[None, :])
+                yield pa.RecordBatch.from_arrays([*heads, pa.array([len(at)], pa.int64()), total], names=schema.fieldNames())
+
+    sums = sum_vectors(train.mapInArrow(run, schema), _GROUP, "vector", "n").toLocalIterator()
+    return {tuple(r[c] for c in _GROUP): np.array(r["_total"]) / r["_n"] for r in sums}
+
+
+def fit_weights(train: DataFrame, cfg: ProbeConfig) -> dict[tuple, np.ndarray]:
+    """Weights and bias of every probe. One job per step for all probes: gradients are summed in the tasks, the weights and
+    their Adam state stay on the driver. The method is the same for every number of rows, and no probe's rows are held."""
+    size = train.groupBy(*_GROUP).agg(F.max(F.size("vector")).alias("d")).agg(F.sum(F.col("d") + 1)).first()[0] or 0
+    if size * 8 > MAX_WEIGHT_BYTES:
+        raise ValueError(f"{size} weights are more than the driver keeps")
+    w: dict[tuple, np.ndarray] = {}
+    m, v = {}, {}
+    for t in range(1, cfg.steps + 1):
+        for key, g in probe_gradients(train, w).items():
+            m[key] = 0.9 * m.get(key, 0.0) + 0.1 * g
+            v[key] = 0.999 * v.get(key, 0.0) + 0.001 * g * g
+            w[key] = w.get(key, 0.0) - cfg.lr * (m[key] / (1 - 0.9**t)) / (np.sqrt(v[key] / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
 def fit_probes(dataset: DataFrame, cfg: ProbeConfig = ProbeConfig()) -> DataFrame:
     """One linear probe per (family, layer, head): ``accuracy`` on held-out examples with its interval, ``weights``.
 
-    All probes share one exact split by example. Probes are fitted in parallel; a probe with more rows than fit a
-    task is fitted in shards of bounded size whose weights are averaged, so no group is held as a whole.
+    All probes share one exact split by example. A probe without training or without held-out rows is left out.
     """
+    spark = dataset.sparkSession
     examples = dataset.select("example_id").distinct()
     rule = val_rule(examples, cfg.val_frac, ["example_id"], cfg.seed)
     rows = dataset.withColumn("is_val", rule).withColumn("head", F.coalesce("head", F.lit(-1)))
-    n = examples.count()
-    width = dataset.agg(F.max(F.size("vector"))).first()[0] or 1
-    shards = max(1, -(-n * width * 16 // cfg.max_group_bytes))
-
-    schema = T.StructType(
-        [dataset.schema["family"], dataset.schema["layer"], T.StructField("head", T.IntegerType())]
-        + [T.StructField("n", T.LongType()), T.StructField("vector", T.ArrayType(T.DoubleType()))]
-    )
-
-    def fit(table: pa.Table) -> pa.Table:
-        table = table.sort_by("_order")  # the order must not depend on how rows arrive
-        x, y = matrix(table["vector"]), table["label"].to_numpy().astype(float)
-        w = fit_logistic(x, y, cfg) * len(x)
-        keys = [table[c].slice(0, 1).combine_chunks() for c in _GROUP]
-        return pa.Table.from_arrays(
-            [*keys, pa.array([len(x)], pa.int64()), vectors_column(w[None, :])], names=schema.fieldNames()
-        )
-
-    train = rows.filter(~F.col("is_val")).select(
-        *_GROUP,
-        F.pmod(F.xxhash64("example_id"), F.lit(shards)).alias("_part"),
-        hash_order(cfg.seed, F.col("example_id")).alias("_order"),
-        "vector",
-        "label",
-    )
-    fitted = train.groupBy(*_GROUP, "_part").applyInArrow(fit, schema)
-    sums = sum_vectors(fitted, _GROUP, "vector", "n")
-    weights = sums.select(*_GROUP, F.transform("_total", lambda s: s / F.col("_n")).alias("weights"))
+    folder = scratch_dir(spark)
+    try:
+        # the steps read the joined rows from here
+        rows.filter(~F.col("is_val")).select(*_GROUP, "vector", "label").write.parquet(folder)
+        fitted = fit_weights(spark.read.parquet(folder), cfg)
+    finally:
+        remove(spark, folder)
+    schema = T.StructType([*(rows.schema[c] for c in _GROUP), T.StructField("weights", T.ArrayType(T.DoubleType()))])
+    weights = spark.createDataFrame([(*key, w.tolist()) for key, w in fitted.items()], schema)
     held = rows.filter("is_val").select(*_GROUP, "vector", "label").join(weights, _GROUP)
     logit = dot(F.concat(F.col("vector").cast("array<double>"), F.array(F.lit(1.0))), F.col("weights"))
     hit = ((logit > 0).cast("int") == F.col("label")).cast("int")

@@ -83,14 +83,14 @@ def render_chat(
 
 
 def attach_text(df: DataFrame, generations: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Adds ``prompt`` and ``response`` by response id; of a repeated id the last one in ``order`` counts.
+    """Adds ``prompt`` and ``response`` by response id (null for an unknown one); of a repeated id the last in ``order`` counts.
 
     Repeated ids are reduced by an aggregate, which combines before the shuffle, so they cannot pile up.
     """
     last = generations.groupBy("response_id").agg(
         F.max_by(F.struct("prompt", "response"), F.struct(*order)).alias("_t")
     )
-    return df.join(last, "response_id").select(df["*"], "_t.prompt", "_t.response")
+    return df.join(last, "response_id", "left").select(df["*"], "_t.prompt", "_t.response")
 
 
 def turn_pairs(conversations: DataFrame) -> DataFrame:

@@ -9,9 +9,13 @@ from spanlake import fixed
 
 
 def join_runs(config: DataFrame, metrics: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labels with the dictionary size of their run and the firing rate of their latent."""
+    """Labels with the dictionary size of their run and the firing rate of their latent; a label without one raises."""
     rates = metrics.select("run", F.posexplode("firing_rate").alias("latent_id", "firing_rate"))
-    return labels.join(config.select("run", "n_latents"), "run").join(rates, ["run", "latent_id"])
+    joined = labels.join(config.select("run", "n_latents"), "run", "left").join(rates, ["run", "latent_id"], "left")
+    for name, table in (("n_latents", "configuration"), ("firing_rate", "firing rate")):
+        missing = F.raise_error(F.concat(F.lit(f"a label of run "), F.col("run"), F.lit(f" has no {table}")))
+        joined = joined.withColumn(name, F.coalesce(F.col(name), missing))
+    return joined
 
 
 def run_summary(joined: DataFrame) -> DataFrame:

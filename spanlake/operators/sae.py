@@ -7,14 +7,19 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanlake.functions import vectors
+from spanlake.functions.arrays import matrix, vectors_column
+from spanlake.functions.spans import once
 from spanlake.schemas import CODE, SAE_PARAMS
 
-#: Parameters above this size are not taken to the driver and not sent to the executors in one piece.
+#: Parameters are sent to the executors in pieces of at most this size.
 MAX_PARAM_BYTES = 256 << 20
+#: The largest model (encoder and decoder) that the driver takes in and keeps between jobs.
+MAX_MODEL_BYTES = 512 << 20
 
 
 @dataclass
@@ -45,7 +50,7 @@ class SaeParams:
         return [(a, min(a + step, self.n_latents)) for a in range(0, self.n_latents, step)]
 
     @staticmethod
-    def from_table(latents: DataFrame, b_dec: Sequence[float] | None = None, max_bytes: int = 4 << 30) -> SaeParams:
+    def from_table(latents: DataFrame, b_dec: Sequence[float] | None = None, max_bytes: int = MAX_MODEL_BYTES) -> SaeParams:
         """Parameters from a latent table; raises before reading when the table is larger than a model can be."""
         size = latents.agg(
             F.count(F.lit(1)).alias("n"), F.max(F.size("w_enc")).alias("d"), F.max("latent_id").alias("last")
@@ -54,18 +59,16 @@ class SaeParams:
             raise ValueError(f"latent table too large for one model: {size['n']} x {size['d']}")
         if size["n"] and size["last"] != size["n"] - 1:
             raise ValueError("latent ids must be 0..n-1")
-        rows = sorted(latents.collect(), key=lambda r: r["latent_id"])
-        w_enc = np.array([r["w_enc"] for r in rows], dtype=np.float64)
-        w_dec = np.array([r["w_dec"] for r in rows], dtype=np.float64)
-        bias = np.array([r["b_enc"] for r in rows], dtype=np.float64)
+        table = latents.select("latent_id", "w_enc", "w_dec", F.col("b_enc").cast("double").alias("b_enc")).toArrow().sort_by("latent_id")
+        w_enc, w_dec = matrix(table["w_enc"]), matrix(table["w_dec"])
+        bias = table["b_enc"].to_numpy()
         shift = np.zeros(w_enc.shape[1]) if b_dec is None else np.asarray(b_dec, dtype=np.float64)
         return SaeParams(w_enc, w_dec, bias, shift)
 
     def to_table(self, spark: SparkSession) -> DataFrame:
-        rows = [
-            (i, self.w_enc[i].tolist(), self.w_dec[i].tolist(), float(self.b_enc[i])) for i in range(self.n_latents)
-        ]
-        return spark.createDataFrame(rows, SAE_PARAMS)
+        ids = pa.array(np.arange(self.n_latents, dtype=np.int32))
+        columns = [ids, vectors_column(self.w_enc), vectors_column(self.w_dec), pa.array(self.b_enc)]
+        return spark.createDataFrame(pa.Table.from_arrays(columns, names=SAE_PARAMS.fieldNames()), SAE_PARAMS)
 
 
 def centroid_latents(df: DataFrame, label_col: str = "label", vector_col: str = "embedding") -> DataFrame:
@@ -116,74 +119,34 @@ def topk_mask(z: Column, k: int) -> Column:
 
 
 def encode(
-    df: DataFrame,
-    params: SaeParams,
-    k: int,
-    vector_col: str = "vector",
-    out: str = "code",
-    id_cols: Sequence[str] | None = None,
-    max_bytes: int = MAX_PARAM_BYTES,
+    df: DataFrame, params: SaeParams, k: int, vector_col: str = "vector", out: str = "code", max_bytes: int = MAX_PARAM_BYTES
 ) -> DataFrame:
     """Adds the sparse code of each vector: at most ``k`` firing latents, strongest first.
 
-    The encoder is broadcast when it is small enough. A larger one is applied in blocks of latents, one pass
-    each; the best ``k`` of all blocks are the best ``k`` overall, so the result is the same. That way needs
-    ``id_cols`` to bring a row's blocks together.
+    The encoder is sent in blocks of latents of at most ``max_bytes``; the best ``k`` of all blocks of a row are its best
+    ``k``, so the size of the blocks does not show. The codes are computed once, whatever is filtered or read from them.
     """
-    spark = df.sparkSession
-    blocks = params.blocks(max_bytes)
-
-    def codes(first: int, last: int) -> Column:
-        part = slice(first, last)
-        return vectors.top_codes(
-            spark, F.col(vector_col), params.w_enc[part], params.b_enc[part], params.b_dec, k, first
-        )
-
-    if len(blocks) == 1:
-        return df.withColumn(out, codes(*blocks[0]))
-    if not id_cols:
-        raise ValueError("an encoder of this size is applied in blocks, which needs id_cols")
-    passes = [df.select(*id_cols, codes(a, b).alias("_c")) for a, b in blocks]
-    stacked = reduce(DataFrame.unionByName, passes)
-    # k entries per block at most
-    merged = stacked.groupBy(*id_cols).agg(F.flatten(F.collect_list("_c")).alias("_c"))
-    ranked = F.array_sort(F.transform("_c", lambda e: F.struct((-e["strength"]).alias("m"), e["latent_id"].alias("i"))))
+    parts = []
+    for a, b in params.blocks(max_bytes):
+        part = slice(a, b)
+        parts.append(vectors.top_codes(df.sparkSession, F.col(vector_col), params.w_enc[part], params.b_enc[part], params.b_dec, k, a))
+    if len(parts) == 1:
+        return once(df.drop(out), **{out: parts[0]})
+    entries = F.transform(F.flatten(F.array(*parts)), lambda e: F.struct((-e["strength"]).alias("m"), e["latent_id"].alias("i")))
     best = F.transform(
-        F.slice(ranked, 1, k), lambda e: F.struct(e["i"].alias("latent_id"), (-e["m"]).alias("strength"))
+        F.slice(F.array_sort(entries), 1, k), lambda e: F.struct(e["i"].alias("latent_id"), (-e["m"]).alias("strength"))
     )
-    return df.join(merged.select(*id_cols, best.cast(CODE).alias(out)), list(id_cols))
+    return once(df.drop(out), **{out: best.cast(CODE)})
 
 
-def decode(
-    df: DataFrame,
-    params: SaeParams,
-    code_col: str = "code",
-    out: str = "xhat",
-    id_cols: Sequence[str] | None = None,
-    max_bytes: int = MAX_PARAM_BYTES,
-) -> DataFrame:
-    """Adds the reconstruction of each code.
-
-    A decoder above ``max_bytes`` is applied in blocks of latents like the encoder; the parts of a row are added up,
-    which needs ``id_cols``.
-    """
-    from spanlake.operators.pooling import sum_vectors
-
-    spark, blocks = df.sparkSession, params.blocks(max_bytes)
-    if len(blocks) == 1:
-        return df.withColumn(out, vectors.rebuild(spark, F.col(code_col), params.w_dec, params.b_dec))
-    if not id_cols:
-        raise ValueError("a decoder of this size is applied in blocks, which needs id_cols")
+def decode(df: DataFrame, params: SaeParams, code_col: str = "code", out: str = "xhat", max_bytes: int = MAX_PARAM_BYTES) -> DataFrame:
+    """Adds the reconstruction of each code; the decoder is sent in blocks like the encoder, whose parts add up in the row."""
     none = np.zeros_like(params.b_dec)
-    passes = [
-        df.select(
-            *id_cols,
-            vectors.rebuild(spark, F.col(code_col), params.w_dec[a:b], none if a else params.b_dec, a).alias("vector"),
-        )
-        for a, b in blocks
+    parts = [
+        vectors.rebuild(df.sparkSession, F.col(code_col), params.w_dec[a:b], none if a else params.b_dec, a)
+        for a, b in params.blocks(max_bytes)
     ]
-    total = sum_vectors(reduce(DataFrame.unionByName, passes), id_cols)
-    return df.join(total.select(*id_cols, F.col("_total").alias(out)), list(id_cols))
+    return df.withColumn(out, reduce(lambda x, y: F.zip_with(x, y, lambda p, q: p + q), parts))
 
 
 def normalize_decoder(latents: DataFrame, col: str = "w_dec") -> DataFrame:

@@ -91,18 +91,26 @@ def align_spans_plain(
     )
 
 
-def response_span(tokens: DataFrame, prefix_len: str = "prefix_len", doc_cols: Sequence[str] = ("doc_id",)) -> DataFrame:
+def response_span(
+    tokens: DataFrame, prefix_len: str = "prefix_len", doc_cols: Sequence[str] = ("doc_id",), docs: DataFrame | None = None
+) -> DataFrame:
     """Token range of the text after the prefix, by token start; ``(n, n)`` when nothing starts there.
 
+    With ``docs`` their documents without any token are there too, as ``(0, 0)``.
+
     ``tokens`` carries the prefix length of its document in each row. Partial aggregates run before the shuffle.
     """
     inside = (F.col("start") < F.col("end")) & (F.col("start") >= F.col(prefix_len))
     n = F.count(F.lit(1))
-    return tokens.groupBy(*doc_cols).agg(
+    found = tokens.groupBy(*doc_cols).agg(
         F.coalesce(F.min(F.when(inside, F.col("tok_idx"))), n).alias("resp_tok_start"),
         F.coalesce(F.max(F.when(inside, F.col("tok_idx"))) + 1, n).alias("resp_tok_end"),
         n.alias("n_tokens"),
     )
+    if docs is None:
+        return found
+    none = {c: 0 for c in ("resp_tok_start", "resp_tok_end", "n_tokens")}
+    return docs.select(*doc_cols).distinct().join(found, list(doc_cols), "left").fillna(none)
 
 
 def segment(

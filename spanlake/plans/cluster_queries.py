@@ -101,21 +101,19 @@ def _quoted(text: str) -> str:
     _PROMPTS
     + f"""
 SELECT latent_id, cluster_size, coalesce(n, 0) AS n_exemplars_used,
-       'The sentences below activate one latent of a sparse autoencoder. '
-       || CASE WHEN n_random > 0
-          THEN n_top || ' of them activate the latent most; ' || n_random
-               || ' more were drawn at random from the other members of its cluster.'
-          ELSE 'All ' || n_top || ' sentences of the latent''s cluster are listed; none had to be drawn.' END
-       || {_quoted(ex._TASK)} || lines || {_quoted(ex._ANSWER)} AS prompt
+       {_quoted(ex.PromptTemplate.question)} || ' (' || n_top || ' strongest, ' || n_random || ' random)' || chr(10) || chr(10)
+       || lines || chr(10) || chr(10) || {_quoted(ex.PromptTemplate.answer)} AS prompt
 FROM size_ LEFT JOIN block USING (latent_id)""",
 )
 def exemplar_prompts(spark, sf):
     return _prompts(spark, sf)
 
 
-def _judge(prompt: str) -> str:
+def _judge(prompt: str, system: str) -> str:
     """A stand-in judge: names a cluster by the first words of its first exemplar, and fails when none was drawn."""
-    lines = prompt.split("Sentences:\n", 1)[1]
+    if "JSON" not in system:
+        raise ValueError("no system message")
+    lines = prompt.split("\n\n", 1)[1]
     n_random = lines.count("[random from cluster] ")
     if n_random == 0:
         raise RuntimeError("nothing drawn")
@@ -136,7 +134,7 @@ SELECT latent_id, cluster_size, coalesce(n, 0) AS n_exemplars_used, 'stand-in' A
 FROM size_ LEFT JOIN block USING (latent_id)""",
 )
 def cluster_labels(spark, sf):
-    return labeling.label_clusters(_prompts(spark, sf), _judge, "stand-in")
+    return labeling.label_clusters(_prompts(spark, sf), _judge, "stand-in", system=ex.PromptTemplate.system)
 
 
 _REPLY = "text || chr(10) || '```json' || chr(10) || '{\"title\": \"' || source || '\", \"description\": \"' || lang || '\"}' || chr(10) || '```'"

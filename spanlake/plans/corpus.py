@@ -34,8 +34,9 @@ def tables_of(
     """Sentences, responses and skip events of a generation table.
 
     Cutting and aligning happen inside each row. The only step over the whole table is the numbering: responses
-    are numbered once, and a sentence's number is its response's first number plus its place. ``order`` must
-    tell responses apart; it is the input order when the rows carry their ``_place``, else the response id. ``first_*`` let a later batch go on counting.
+    are numbered once, and a sentence's number is its response's first number plus its place. ``order`` is the
+    input order when the rows carry their ``_place``, else the response id; equal ones are numbered as they come.
+    ``first_*`` let a later batch go on counting.
     """
     order = order or (("_place",) if "_place" in generations.columns else ("response_id",))
     named = generations if "response_id" in generations.columns else pr.with_response_id(generations)
@@ -43,11 +44,13 @@ def tables_of(
     cut = segment.segment(chat, "chat_prefix", "response", max_length, token_col)
     carried = [f.name for f in RESPONSE if f.name in cut.columns]
     # cut once: the three tables are read from here, and the texts of prompt and response stay behind
-    cut = cut_lineage(cut.select(*dict.fromkeys([*carried, *order, "spans", "skips"])))
+    cut = cut.withColumn("_row", F.monotonically_increasing_id())
+    cut = cut_lineage(cut.select(*dict.fromkeys([*carried, *order, "_row", "spans", "skips"])))
     valid, skips = segment.route_skips(cut)
     valid = valid.withColumn("n_sentences", F.size("spans").cast("long"))
-    places = _places(valid.select(*order, "n_sentences"), list(order))
-    numbered = valid.join(places, list(order)).withColumn("response_idx", F.col("_number") + first_response)
+    # the stored row number tells equal keys apart and joins the numbers back
+    places = _places(valid.select(*order, "_row", "n_sentences"), [*order, "_row"]).select("_row", "_number", "_first")
+    numbered = valid.join(places, "_row").withColumn("response_idx", F.col("_number") + first_response)
     responses = numbered.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RESPONSE])
     keys = ["response_id", "dataset", "row_id", "prompt_col", "sample_idx", "response_idx", "_first"]
     rows = segment.sentence_rows(numbered, keys)

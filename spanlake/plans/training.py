@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import replace
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 
 from spanlake.operators import fitting, metrics, pooling, sae
+from spanlake.schemas import RUN_CONFIG, RUN_METRICS
 from spanlake.session import cut_lineage
 from spanlake.sources import runs
 
@@ -26,6 +26,7 @@ def train_run(
     response_vectors: DataFrame | None = None,
     input_hash: str | None = None,
     force: bool = False,
+    start: sae.SaeParams | None = None,
 ) -> str:
     """Fits one run on ``global_idx, vector`` and writes it; a finished run is left alone unless ``force``.
 
@@ -39,37 +40,19 @@ def train_run(
     x = vectors.select("global_idx", "vector")
     if centered:
         x = sae.center(x, pooling.global_center(response_vectors))
-    fit = fitting.fit_topk_sae(x, cfg)
-    coded = cut_lineage(sae.decode(sae.encode(x, fit.params, cfg.k, id_cols=["global_idx"]), fit.params))
+    fit = fitting.fit_topk_sae(x, cfg, start=start)
+    coded = cut_lineage(sae.decode(sae.encode(x, fit.params, cfg.k), fit.params))
     ev = metrics.explained_variance(coded).first()["explained_variance"]
     rates = metrics.firing_rate(coded, cfg.n_latents).orderBy("latent_id").collect()  # one row per latent
     l0 = metrics.mean_l0(coded).first()["mean_l0"]
     epochs = len(fit.history)
-    config = {
-        "layer": layer,
-        "n_latents": cfg.n_latents,
-        "k": cfg.k,
-        "centered": centered,
-        "seed": cfg.seed,
-        "lr": cfg.rate,
-        "batch_size": cfg.batch_size,
-        "max_epochs": cfg.max_epochs,
-        "patience": cfg.patience,
-        "val_frac": cfg.val_frac,
-        "d_in": fit.params.w_enc.shape[1],
-        "n_epochs_trained": epochs,
-        "activations_input_hash": input_hash,
-        "timestamp": datetime.now(UTC).isoformat(),
-    }
-    measured = {
-        "final_recon_loss": fit.best_val_loss,
-        "explained_variance": ev,
-        "firing_rate": [r["firing_rate"] for r in rates],
-        "dead_latent_count": len(fit.dead_latents),
-        "mean_l0": l0,
-        "n_epochs_trained": epochs,
-        "early_stopped": fit.early_stopped,
-    }
+    # fixed values: the fields of a run's two documents
+    known = dict(vars(cfg), layer=layer, centered=centered, lr=cfg.rate, d_in=fit.params.w_enc.shape[1], n_epochs_trained=epochs)
+    known |= {"batch_size": -(-fit.n_train // cfg.steps), "activations_input_hash": input_hash, "timestamp": datetime.now(UTC).isoformat()}
+    config = {f: known[f] for f in RUN_CONFIG.fieldNames()}
+    known |= {"final_recon_loss": fit.best_val_loss, "explained_variance": ev, "firing_rate": [r["firing_rate"] for r in rates]}
+    known |= {"dead_latent_count": len(fit.dead_latents), "mean_l0": l0, "early_stopped": fit.early_stopped}
+    measured = {f: known[f] for f in RUN_METRICS.fieldNames()}
     assigned = sae.assignments(coded, cfg.k)
     runs.write_run(run, folder, assigned, fit.params.to_table(spark), config, measured, fit.params.b_dec.tolist())
     return run
@@ -79,8 +62,3 @@ def sweep(vectors: DataFrame, layer: int, grid: Iterable[fitting.FitConfig], fol
     """Fits every configuration of a grid that is not finished yet, on the same held-out rows."""
     held = cut_lineage(vectors.select("global_idx", "vector"))
     return [train_run(held, layer, cfg, folder, **options) for cfg in grid]
-
-
-def seeds(cfg: fitting.FitConfig, values: Iterable[int]) -> list[fitting.FitConfig]:
-    """The configuration under several seeds."""
-    return [replace(cfg, seed=s) for s in values]

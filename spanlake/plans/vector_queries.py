@@ -133,7 +133,7 @@ def topk_codes_in_blocks(spark, sf):
     emb = table(spark, sf, "embeddings").select("vec_id", "embedding")
     params = dictionary(spark, sf)
     block = 4 * params.w_enc.shape[1] * 8  # room for four latents, so several passes are merged
-    return _code_rows(sae.encode(emb, params, K, "embedding", id_cols=["vec_id"], max_bytes=block))
+    return _code_rows(sae.encode(emb, params, K, "embedding", max_bytes=block))
 
 
 @query("V3", _CODE_ROWS)
@@ -347,11 +347,13 @@ def cluster_sizes(spark, sf):
 
 @query(
     "Q2",
-    f"""WITH {_LONG} SELECT label AS layer, {sql_r4('max(abs(x - round(x, 2)))')} AS max_abs_diff,
-       max(abs(x - round(x, 2))) <= 0.01 AS passed FROM long GROUP BY label""",
+    f"""WITH {_LONG} SELECT label AS layer, {sql_r4('max(abs(x - round(x, 2))) FILTER (NOT (vec_id % 7 = 0 AND label = 3))')} AS max_abs_diff,
+       0 AS only_in_a, count(DISTINCT vec_id) FILTER (vec_id % 7 = 0 AND label = 3) AS only_in_b,
+       max(abs(x - round(x, 2))) FILTER (NOT (vec_id % 7 = 0 AND label = 3)) <= 0.01
+         AND count(*) FILTER (vec_id % 7 = 0 AND label = 3) = 0 AS passed FROM long GROUP BY label""",
 )
 def vector_agreement(spark, sf):
     a = table(spark, sf, "embeddings").select(F.col("label").alias("layer"), F.col("vec_id").alias("global_idx"), F.col("embedding").alias("vector"))
     b = a.withColumn("vector", F.transform(vectors.doubles(F.col("vector")), lambda x: F.round(x, 2)))
-    got = gates.check_vectors(a, b)
-    return got.select("layer", r4("max_abs_diff").alias("max_abs_diff"), "passed")
+    got = gates.check_vectors(a.where("not (layer = 3 and global_idx % 7 = 0)"), b)
+    return got.select("layer", r4("max_abs_diff").alias("max_abs_diff"), "only_in_a", "only_in_b", "passed")

@@ -22,6 +22,8 @@ def get_session(app_name: str = "spanlake", master: str | None = None, **conf: s
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # files of checkpoints that nothing refers to any more are deleted
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # rows carry whole texts' offsets or 4,096-wide vectors; smaller batches bound the memory of a Python worker
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
@@ -59,6 +61,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder or file on its file system, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder name next to the checkpoints, where all executors can write."""
     return f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"

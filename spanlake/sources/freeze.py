@@ -5,15 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanlake.operators.labeling import progress
+from spanlake.session import remove
 from spanlake.sources.tables import exists, read_json, write_json
 
-#: Files above this size are not read as one cell.
-MAX_FILE_CELL = 1 << 30
-
 
 def fingerprint(df: DataFrame) -> DataFrame:
     """One row: a SHA-256 over all rows that does not depend on their order.
@@ -38,17 +36,26 @@ def _fold(items: DataFrame) -> DataFrame:
 
 
 def fingerprint_files(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> DataFrame:
-    """One row: a SHA-256 over names and contents of the files of a folder.
+    """One row: a SHA-256 over the names, sizes and lines, in their order, of the text files of a folder.
 
-    Files are hashed as a whole while each fits a cell; otherwise their lines are hashed, which splits large files.
+    A file is read in splits, so its size does not matter: lines are numbered inside a split, and a split's first number
+    is the number of lines in those before it.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
-    largest = files.agg(F.max("length").alias("n")).first()["n"] or 0  # the listing only, no content
     name = F.element_at(F.split("path", "/"), -1)
-    if largest <= MAX_FILE_CELL:
-        return fingerprint(files.select(name.alias("name"), F.sha2("content", 256).alias("digest")))
-    lines = spark.read.option("pathGlobFilter", glob).text(folder)
-    return fingerprint(lines.select(F.col("_metadata.file_name").alias("name"), "value"))
+    listed = files.select(name.alias("name"), F.lit(-1).cast("long").alias("line"), F.col("length").cast("string").alias("digest"))
+    lines = spark.read.option("pathGlobFilter", glob).text(folder).select(
+        F.col("_metadata.file_name").alias("name"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),  # grows within a block
+        F.sha2("value", 256).alias("digest"),
+    )
+    blocks = lines.groupBy("name", "block").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
+    before = Window.partitionBy("name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("name", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    numbered = lines.join(offsets, ["name", "block"])
+    line = (F.col("row") - F.col("first") + F.col("offset")).alias("line")
+    return fingerprint(numbered.select("name", line, "digest").unionByName(listed))
 
 
 def freeze(
@@ -61,7 +68,8 @@ def freeze(
 ) -> dict[str, DataFrame]:
     """Builds tables once and reuses them as long as input and parameters are the same.
 
-    The manifest is written after the tables. With a manifest of other values this raises; ``force`` rebuilds.
+    The manifest is written after the tables. With a manifest of other values this raises; ``force`` rebuilds. A rebuild
+    first removes the manifest, so that one that stops half-way leaves tables that nobody takes for finished.
     """
     manifest_path = f"{folder}/manifest"
     wanted = {**params, "input_hash": input_hash}
@@ -71,6 +79,7 @@ def freeze(
         if differing or set(manifest["params"]) != set(wanted):
             raise RuntimeError(f"{folder} was built with other values of {differing or 'its parameters'}; use force")
         return {name: spark.read.parquet(f"{folder}/{name}") for name in manifest["rows"]}
+    remove(spark, manifest_path)
     rows = {}
     for name, df in build().items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}")

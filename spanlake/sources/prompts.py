@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.fixed import PROMPT_SPECS
+from spanlake.fixed import MISSING_WORDS, PROMPT_SPECS
 from spanlake.operators.prompts import all_prompts, melt_prompts
 
 #: Name that the reader gives to a column without a header: the row index in front.
@@ -17,8 +17,12 @@ Spec = tuple[str | None, Sequence[str]]
 
 
 def read_prompt_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A prompt file, all columns as strings; the leading column without a name is the row index ``_c0``."""
-    return spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
+    """A prompt file, all columns as strings; the leading column without a name is the row index ``_c0``.
+
+    A malformed record raises. Cells that hold one of ``fixed.MISSING_WORDS`` are null.
+    """
+    rows = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False, mode="FAILFAST")
+    return rows.select(*(F.when(~F.col(f"`{c}`").isin(*MISSING_WORDS), F.col(f"`{c}`")).alias(c) for c in rows.columns))
 
 
 def list_prompt_sources(

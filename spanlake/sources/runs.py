@@ -9,35 +9,34 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanlake.functions.text import parse_run_name
 from spanlake.operators.sae import SaeParams
 from spanlake.schemas import LABEL, RUN_CONFIG, RUN_METRICS
+from spanlake.session import remove
 
 
 def _run_of(path: Column, levels_up: int) -> Column:
     return F.element_at(F.split(path, "/"), -1 - levels_up)
 
 
-def _read_documents(spark: SparkSession, folder: str, file_name: str, schema: T.StructType) -> DataFrame:
-    glob = f"{folder}/*/{file_name}"
+def _read_documents(spark: SparkSession, folder: str, file_name: str, schema: T.StructType, layer: int | None) -> DataFrame:
+    # the folders of other layers are not even listed
+    glob = f"{folder}/{'*' if layer is None else _layer_prefix(layer) + '*'}/{file_name}"
     df = spark.read.schema(schema).option("mode", "FAILFAST").json(glob, multiLine=True)
     return df.select(_run_of(F.col("_metadata.file_path"), 1).alias("run"), "*")
 
 
 def read_runs(spark: SparkSession, folder: str, layer: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(config, metrics, labels)`` of all runs of a folder that keeps each as JSON documents, keyed by run."""
-    frames = (
-        _read_documents(spark, folder, "config.json", RUN_CONFIG),
-        _read_documents(spark, folder, "metrics.json", RUN_METRICS),
-        _read_documents(spark, folder, "labels.json", LABEL),
-    )
-    if layer is None:
-        return frames
-    return tuple(f.filter(_is_layer(F.col("run"), layer)) for f in frames)
+    files = (("config.json", RUN_CONFIG), ("metrics.json", RUN_METRICS), ("labels.json", LABEL))
+    return tuple(_read_documents(spark, folder, name, schema, layer) for name, schema in files)
+
+
+def _layer_prefix(layer: int) -> str:
+    return f"L{layer:02d}_"
 
 
 def _is_layer(run: Column, layer: int) -> Column:
-    return run.startswith(f"L{layer:02d}_")
+    return run.startswith(_layer_prefix(layer))
 
 
 def select_runs(runs: DataFrame, configs: DataFrame, layer: int) -> DataFrame:
@@ -56,8 +55,9 @@ def write_run(
     b_dec: list[float],
 ) -> None:
     """Writes a fitted run: tables partitioned by run, and its two descriptions. The metrics go last, as the sign
-    that the run is complete."""
+    that the run is complete; those of an earlier fit of the run are removed first."""
     spark = assignments.sparkSession
+    remove(spark, f"{folder}/metrics/run={run}")
     for name, df in (("assignments", assignments), ("latents", latents)):
         df.drop("run").write.mode("overwrite").parquet(f"{folder}/{name}/run={run}")
     bias = spark.createDataFrame([(b_dec,)], "b_dec array<double>")
@@ -106,8 +106,3 @@ def read_labels(spark: SparkSession, folder: str) -> DataFrame:
     rest = [c for c in df.columns if c not in ("run", "latent_id", "batch")]
     latest = df.groupBy("run", "latent_id").agg(F.max_by(F.struct(*rest), "batch").alias("_r"))
     return latest.select("run", "latent_id", "_r.*")
-
-
-def with_run_parts(df: DataFrame) -> DataFrame:
-    """Adds what the run's name says."""
-    return df.withColumn("parts", parse_run_name(F.col("run")))

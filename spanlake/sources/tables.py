@@ -26,12 +26,12 @@ def exists(spark: SparkSession, path: str) -> bool:
 def spread(scan: DataFrame) -> DataFrame:
     """A scan with at least one task per core.
 
-    A file with a single row group is read by one task however large the cluster is, so a scan with fewer
-    partitions than cores is dealt out evenly first. Scans of many files pass unchanged. Only for scans:
+    A file with a single row group is read by one task however large the cluster is, so a scan with less than half as
+    many partitions as cores is dealt out evenly first. Other scans pass unchanged. Only for scans:
     counting the partitions of a plan with shuffles would run it.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    return scan if scan.rdd.getNumPartitions() >= cores // 2 else scan.repartition(cores)
 
 
 def write_tables(sentences: DataFrame, responses: DataFrame, folder: str, mode: str = "errorifexists") -> None:
@@ -55,28 +55,26 @@ def read_skips(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(SKIP).json(f"{folder}/skipped")
 
 
-def vector_width(df: DataFrame, vector_col: str = "vector") -> int | None:
-    """The common length of the vectors; raises when they differ."""
-    row = df.agg(F.min(F.size(vector_col)).alias("a"), F.max(F.size(vector_col)).alias("b")).first()
-    if row["a"] != row["b"]:
-        raise ValueError(f"vectors differ in length: {row['a']}..{row['b']}")
-    return row["a"]
+def write_vectors(df: DataFrame, path: str, batch: int = 0) -> None:
+    """Vectors in one folder per layer and batch; writing a batch again replaces it, so a repeated call adds nothing twice.
 
-
-def write_vectors(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Vectors in one folder per layer. Appending vectors of another length than the stored ones raises."""
-    width = vector_width(df)
+    All vectors have one length, that of the vectors stored before or else of the first one; another raises while writing.
+    """
     spark = df.sparkSession
-    if mode == "append" and width is not None and exists(spark, path):
-        stored = spark.read.parquet(path).select(F.size("vector").alias("n")).first()
-        if stored and stored["n"] != width:
-            raise ValueError(f"shape mismatch at {path}: stored {stored['n']}, new {width}")
-    df.withColumn("vector", F.col("vector").cast("array<float>")).write.mode(mode).partitionBy("layer").parquet(path)
+    size = F.size("vector").alias("n")
+    stored = spark.read.parquet(path).select(size).first() if exists(spark, path) else None
+    first = stored or df.select(size).first()
+    width = first["n"] if first else 0
+    wrong = F.raise_error(F.concat(F.lit(f"shape mismatch at {path}: expected {width}, found "), F.size("vector").cast("string")))
+    checked = F.when(F.size("vector") == width, F.col("vector").cast("array<float>")).otherwise(wrong)
+    rows = df.withColumn("vector", checked).withColumn("batch", F.lit(batch))
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("layer", "batch").parquet(path)
 
 
 def read_vectors(spark: SparkSession, path: str, layer: int | None = None) -> DataFrame:
     """Vectors, of one layer only when asked; the other folders are then not opened."""
-    df = spark.read.parquet(path)
+    df = spark.read.parquet(path).drop("batch")
     return df if layer is None else df.filter(F.col("layer") == layer)
 
 

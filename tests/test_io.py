@@ -20,6 +20,8 @@ def test_prompt_csv(spark, tmp_path):
     )
     (tmp_path / "OEQ.csv").write_text(",prompt\n5,only\n6,   \n", encoding="utf-8")
     (tmp_path / "SS.csv").write_text(",sentence\n0,left out\n", encoding="utf-8")
+    with open(tmp_path / "OEQ.csv", "a", encoding="utf-8") as f:
+        f.write("7,NA\n8,None\n")
     (tmp_path / "other file.csv").write_text(",a\n0,b\n", encoding="utf-8")
     known, unknown = prompts.list_prompt_sources(spark, str(tmp_path), excluded=["SS.csv"])
     assert [r.file_name for r in known.collect()] == ["AITA-NTA-FLIP.csv", "OEQ.csv"]
@@ -31,6 +33,9 @@ def test_prompt_csv(spark, tmp_path):
         ("AITA-NTA-FLIP", "x2", "flipped_story", "second"),
         ("OEQ", "5", "prompt", "only"),
     ]
+    (tmp_path / "AITA-YTA.csv").write_text(",prompt\n0,a,too many,cells\n", encoding="utf-8")
+    with pytest.raises(Exception, match="MALFORMED_CSV_RECORD"):
+        prompts.read_prompts(spark, str(tmp_path)).collect()
 
 
 def generation(row_id, response, sample=0, prompt="Ask."):
@@ -76,6 +81,9 @@ def test_input_order(spark, tmp_path):
     made = tables_of(gens)
     texts = [r.text for r in made.sentences.orderBy("global_idx").collect()]
     assert texts == ["Earlier.", "Only one.", *[f"Text {i}." for i in range(50)]]
+    # without the place, rows with one id are still separate responses
+    made = tables_of(gens.drop("_place"))
+    assert made.responses.count() == 52 and made.sentences.select("global_idx").distinct().count() == 52
 
 
 def test_tables_vectors_and_caches(spark, folder):
@@ -90,16 +98,18 @@ def test_tables_vectors_and_caches(spark, folder):
     path = f"{folder}/vectors"
     vec = spark.createDataFrame([(18, 0, [1.0, 2.0]), (9, 0, [3.0, 4.0])], "layer int, global_idx long, vector array<float>")
     tables.write_vectors(vec, path)
-    tables.write_vectors(vec.withColumn("global_idx", F.lit(1).cast("long")), path)
+    for _ in range(2):  # a repeated call adds nothing
+        tables.write_vectors(vec.withColumn("global_idx", F.lit(1).cast("long")), path, 1)
     assert tables.read_vectors(spark, path).count() == 4
     one = tables.read_vectors(spark, path, 18)
     assert one.count() == 2
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(layer" in plan
-    with pytest.raises(ValueError):
-        tables.write_vectors(vec.withColumn("vector", F.array(F.lit(1.0))), path)
-    with pytest.raises(ValueError):
-        tables.write_vectors(vec.withColumn("vector", F.when(F.col("layer") == 9, F.array(F.lit(1.0))).otherwise(F.col("vector"))), path)
+    with pytest.raises(PySparkException, match="shape mismatch"):
+        tables.write_vectors(vec.withColumn("vector", F.array(F.lit(1.0))), path, 2)
+    with pytest.raises(PySparkException, match="shape mismatch"):
+        tables.write_vectors(vec.withColumn("vector", F.when(F.col("layer") == 9, F.array(F.lit(1.0))).otherwise(F.col("vector"))), path, 2)
+    assert tables.read_vectors(spark, path).count() == 4
 
     acts = vec.select(F.lit("mlp").alias("family"), "layer", F.lit(None).cast("int").alias("head"), F.col("global_idx").alias("example_id"), "vector")
     labels = spark.createDataFrame([(0, 1)], "example_id long, label int")
@@ -128,6 +138,9 @@ def test_run_documents(spark, tmp_path):
         ("L18", 2, 0, 0.0, None),
     ]
     assert runs.read_runs(spark, str(tmp_path))[0].count() == 2
+    lost = labels.withColumn("run", F.lit("L18_n9_k3_uncentered_s0"))
+    with pytest.raises(PySparkException, match="has no configuration"):
+        reports.join_runs(config, metrics, lost).collect()
 
 
 def test_freeze_guard(spark, folder):
@@ -147,6 +160,15 @@ def test_freeze_guard(spark, folder):
     freeze.freeze(build, spark, folder, params, "h2", force=True)
     assert built == [1, 1]
 
+    def broken():
+        return {"sentences": spark.range(9), "responses": spark.range(2).select(F.raise_error(F.lit("stopped")))}
+
+    with pytest.raises(PySparkException):
+        freeze.freeze(broken, spark, folder, params, "h3", force=True)
+    # nothing of the half-built tables is taken over
+    again = freeze.freeze(build, spark, folder, params, "h2")
+    assert built == [1, 1, 1] and again["sentences"].count() == 5
+
 
 def test_fingerprints(spark, tmp_path):
     df = spark.range(300).select("id", F.col("id").cast("string").alias("t"))
@@ -159,6 +181,17 @@ def test_fingerprints(spark, tmp_path):
     assert one == freeze.fingerprint_files(spark, str(tmp_path)).first()[0]
     write_lines(tmp_path / "b.jsonl", [generation(1, "x")])
     assert one != freeze.fingerprint_files(spark, str(tmp_path)).first()[0]
+    lines = [generation(i, "some words " * 20) for i in range(200)]
+    write_lines(tmp_path / "c.jsonl", lines)
+    whole = freeze.fingerprint_files(spark, str(tmp_path)).first()[0]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        assert whole == freeze.fingerprint_files(spark, str(tmp_path)).first()[0]
+        lines[3], lines[150] = lines[150], lines[3]
+        write_lines(tmp_path / "c.jsonl", lines)
+        assert whole != freeze.fingerprint_files(spark, str(tmp_path)).first()[0]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_completion_marker(spark, folder):

@@ -27,21 +27,21 @@ def picked(df, latent):
 
 
 def test_top_and_random(spark):
-    a = assignment_of(spark, [0, 1, 0, 1, 0, -1, 1, 0, 1, 0], [0.5, 0.1, 0.9, 0.2, 0.3, 0, 0.4, 0.7, 0.6, 0.8])
-    top, rest = picked(ex.exemplars(a, 2, 2), 0)
-    assert top == [2, 9]
-    assert len(rest) == 2 and set(rest) <= {0, 4, 7}
+    a = assignment_of(spark, [2, 0, 2, 2, -1, 0, 2, 0, 2, 2, 0], [0.15, 0.6, 0.95, 0.4, 0, 0.2, 0.85, 0.75, 0.3, 0.05, 0.1])
+    top, rest = picked(ex.exemplars(a, 3, 2), 2)
+    assert top == [2, 6, 3]
+    assert len(rest) == 2 and set(rest) <= {0, 8, 9}
 
 
 def test_empty_cluster(spark):
-    a = assignment_of(spark, [1] * 5, [0.1, 0.2, 0.3, 0.4, 0.5])
-    assert picked(ex.exemplars(a), 0) == ([], [])
+    a = assignment_of(spark, [4] * 3, [0.7, 0.25, 0.5])
+    assert picked(ex.exemplars(a), 3) == ([], [])
 
 
 def test_cluster_smaller_than_top(spark):
-    a = assignment_of(spark, [0, 0, 0, 1, 1, 1], [0.3, 0.1, 0.2, 0.9, 0.9, 0.9])
-    top, rest = picked(ex.exemplars(a), 0)
-    assert set(top) == {0, 1, 2} and rest == []
+    a = assignment_of(spark, [7, 7, 5, 7, 5], [0.3, 0.1, 0.8, 0.2, 0.9])
+    top, rest = picked(ex.exemplars(a), 7)
+    assert top == [0, 3, 1] and rest == []
 
 
 def test_disjoint_whole_and_stable(spark):
@@ -66,25 +66,25 @@ def test_random_pool_equals_choice_over_the_whole_rest(spark):
     assert rest == order[:15]
 
 
-PLAIN = '{"title": "a", "description": "b"}'
+PLAIN = '{"title": "Doubt", "description": "Takes back what was said."}'
 
 
-@pytest.mark.parametrize("reply", [PLAIN, f"```json\n{PLAIN}\n```", f"Sure, {{here}}:\n{PLAIN}\nHope that helps!"])
+@pytest.mark.parametrize("reply", [PLAIN, f"```json\n{PLAIN}\n```", f"As {{asked}}:\n{PLAIN}\nThat is all."])
 def test_json_is_found(reply):
-    assert first_json_object(reply) == {"title": "a", "description": "b"}
+    assert first_json_object(reply) == {"title": "Doubt", "description": "Takes back what was said."}
 
 
 def test_no_json_raises():
     with pytest.raises(ValueError):
-        first_json_object("no json here at all")
+        first_json_object("just words")
 
 
 def test_validation_in_spark(spark):
-    replies = [PLAIN, '{"title": ""}', "nothing", '{"title": 3, "description": "b"}']
+    replies = [PLAIN, '{"title": ""}', "nothing", '{"title": 3, "description": "x"}']
     df = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "i int, r string")
     got = [r.v for r in df.select("i", validate_label(F.col("r")).alias("v")).orderBy("i").collect()]
     assert [v.status for v in got] == ["ok", "error", "error", "error"]
-    assert got[0].title == "a" and all(v.error.startswith("ValueError: ") for v in got[1:])
+    assert got[0].title == "Doubt" and all(v.error.startswith("ValueError: ") for v in got[1:])
 
 
 def prompts(spark, rows):
@@ -93,20 +93,20 @@ def prompts(spark, rows):
 
 def test_failures_are_isolated_and_empty_clusters_not_asked(spark):
     def judge(prompt):
-        if prompt == "boom":
-            raise RuntimeError("boom")
+        if prompt == "fail":
+            raise RuntimeError("out of order")
         if prompt == "bad":
             return '{"title": ""}'
         assert prompt == "good"
-        return '{"title": "Hedging", "description": "d"}'
+        return '{"title": "Greeting", "description": "Says hello."}'
 
     made = labeling.label_clusters(
-        prompts(spark, [(0, 2, 2, "good"), (1, 0, 0, None), (2, 3, 3, "boom"), (3, 1, 1, "bad")]), judge, "x"
+        prompts(spark, [(0, 2, 2, "good"), (1, 0, 0, None), (2, 3, 3, "fail"), (3, 1, 1, "bad")]), judge, "x"
     )
     got = {r.latent_id: r for r in made.collect()}
     assert {i: r.status for i, r in got.items()} == {0: "ok", 1: "skipped_empty_cluster", 2: "error", 3: "error"}
-    assert got[0].title == "Hedging" and got[0].cluster_size == 2 and got[1].cluster_size == 0
-    assert got[2].title is None and "boom" in got[2].error
+    assert got[0].title == "Greeting" and got[0].cluster_size == 2 and got[1].cluster_size == 0
+    assert got[2].title is None and "out of order" in got[2].error
 
 
 class Status(Exception):
@@ -138,20 +138,20 @@ def test_retries(errors, calls, works):
     else:
         with pytest.raises(Exception):
             labeling.call_with_retry(call, 3, pauses.append)
-    assert len(made) == calls
+    assert len(made) == calls and len(pauses) == max(0, calls - 1)
 
 
 def counting_judge(folder, fail_on=None):
     """A judge that leaves a file per call, since it runs in worker processes."""
 
-    def judge(prompt):
+    def judge(prompt, system):
         import os
         import uuid
 
         open(os.path.join(folder, uuid.uuid4().hex), "w").close()
         if fail_on and fail_on in prompt:
-            raise RuntimeError("transient failure")
-        return json.dumps({"title": "T", "description": "D"})
+            raise RuntimeError("not now")
+        return json.dumps({"title": system[:3], "description": "same"})
 
     return judge
 
@@ -160,12 +160,12 @@ def test_rerun_asks_for_failures_only_and_force_for_all(spark, tmp_path):
     calls = tmp_path / "calls"
     calls.mkdir()
     folder = str(tmp_path / "runs")
-    a = assignment_of(spark, [0, 0, 0, 2, 2, -1, -1, -1, -1], [0.1, 0.2, 0.3, 0.4, 0.5, 0, 0, 0, 0])
-    sents = sentences_of(spark, 9)
+    a = assignment_of(spark, [-1, 2, 0, -1, 2, 0, 0, -1], [0, 0.8, 0.1, 0, 0.6, 0.7, 0.4, 0])
+    sents = sentences_of(spark, 8)
 
     def run(judge, **options):
         before = len(list(calls.iterdir()))
-        labels = flow.label_run(folder, "L99_n3_k3_uncentered_s0", a, sents, 3, judge, "x", **options)
+        labels = flow.label_run(folder, "L07_n3_k1_centered_s4", a, sents, 3, judge, "x", per_batch=2, **options)
         states = {r.latent_id: r.status for r in labels.collect()}
         return states, len(list(calls.iterdir())) - before
 
@@ -177,6 +177,26 @@ def test_rerun_asks_for_failures_only_and_force_for_all(spark, tmp_path):
     assert n == 2 and set(states.values()) == {"ok", "skipped_empty_cluster"}
 
 
+def test_a_call_that_stops_keeps_its_finished_batches(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "runs")
+    (tmp_path / "calls").mkdir()
+    a, sents = assignment_of(spark, [0, 1, 2, 3], [0.1, 0.2, 0.3, 0.4]), sentences_of(spark, 4)
+    write, done = runs.write_labels, []
+
+    def stopping(*args):
+        if done:
+            raise KeyboardInterrupt
+        done.append(write(*args))
+
+    monkeypatch.setattr(runs, "write_labels", stopping)
+    with pytest.raises(KeyboardInterrupt):
+        flow.label_run(folder, "r", a, sents, 4, counting_judge(str(tmp_path / "calls")), "x", per_batch=2)
+    monkeypatch.setattr(runs, "write_labels", write)
+    labels = flow.label_run(folder, "r", a, sents, 4, counting_judge(str(tmp_path / "calls")), "x", per_batch=2)
+    assert {r.latent_id: r.status for r in labels.collect()} == dict.fromkeys(range(4), "ok")
+    assert len(list((tmp_path / "calls").iterdir())) == 4
+
+
 def test_labels_need_matching_keys(spark, folder):
     a = assignment_of(spark, [0, 0], [0.1, 0.2])
     with pytest.raises(ValueError):
