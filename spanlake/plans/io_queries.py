@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanlake.fixed import MAX_LENGTH
 from spanlake.functions.text import run_name
-from spanlake.operators import labeling, probes
+from spanlake.operators import labeling, probes, reports
 from spanlake.operators import prompts as pr
 from spanlake.plans import corpus
 from spanlake.plans import sql_parts as sp
 from spanlake.plans.catalog import query, r4, sql_r4, table
 from spanlake.plans.cluster_queries import _MEMBERS, assigned
 from spanlake.plans.probe_queries import _ACTS, _RATES, _acts, _labels, rates_by_half
-from spanlake.plans.text_queries import _CHAT_SQL, QUERY_MAX_LENGTH
+from spanlake.plans.text_queries import SHORT, SKIPS_SQL, chat_sql
 from spanlake.plans.vector_queries import K, dictionary
-from spanlake.session import scratch_dir
+from spanlake.schemas import GENERATION
+from spanlake.session import remove, scratch_dir
 from spanlake.sources import freeze, generations, papers, prompts, runs, tables
 from spanlake.streaming.ingest import ingest_stream, read_ingested
 
@@ -41,16 +45,16 @@ def csv_prompts(spark, sf):
 def stored_generations(spark, sf):
     folder = scratch_dir(spark)
     generations.write_generations(corpus.conversation_generations(spark, sf), folder)
-    return generations.read_generation_sets(spark, folder)
+    return generations.read_generations(spark, folder, "*.json").select(*GENERATION.fieldNames())
 
 
 def _tables(spark, sf) -> corpus.CorpusTables:
-    return corpus.tables_of(corpus.conversation_generations(spark, sf), max_length=QUERY_MAX_LENGTH)
+    return corpus.tables_of(corpus.conversation_generations(spark, sf))
 
 
 @query(
     "S5",
-    _CHAT_SQL
+    chat_sql(MAX_LENGTH)
     + """ SELECT response_id, sent_idx, tok_start, tok_end, (SELECT count(DISTINCT response_id) FROM span WHERE tok_start IS NOT NULL) AS n_responses
 FROM span WHERE tok_start IS NOT NULL""",
 )
@@ -64,11 +68,12 @@ def stored_tables(spark, sf):
     return rows.withColumn("n_responses", n.scalar())
 
 
-@query("S6", _CHAT_SQL + f" SELECT response_id, 'too_long' AS reason, n::VARCHAR AS detail FROM n WHERE n > {QUERY_MAX_LENGTH}")
+@query("S6", SKIPS_SQL)
 def stored_skips(spark, sf):
     folder = scratch_dir(spark)
-    tables.write_skips(_tables(spark, sf).skips, folder)
-    return tables.read_skips(spark, folder).filter("reason = 'too_long'")
+    made = corpus.tables_of(corpus.conversation_generations(spark, sf), max_length=SHORT)
+    tables.write_skips(made.skips, folder)
+    return tables.read_skips(spark, folder)
 
 
 @query("S7", f"SELECT label AS layer, vec_id AS global_idx, {sql_r4('list_sum(embedding::DOUBLE[])')} AS total FROM embeddings WHERE label = 4")
@@ -112,14 +117,14 @@ def latest_labels(spark, sf):
     return runs.read_labels(spark, folder)
 
 
-@query("S11", "WITH " + _ACTS + " SELECT family, layer, head, example_id, label FROM data WHERE family = 'mlp'")
+@query("S11", "WITH " + _ACTS + " SELECT family, layer, head, example_id, label FROM data")
 def stored_probe_cache(spark, sf):
     folder = scratch_dir(spark)
     tables.write_probe_cache(_acts(spark, sf), _labels(spark, sf), folder, {"dtype": "float32"})
     acts, labels, meta = tables.read_probe_cache(spark, folder)
     if meta != {"dtype": "float32"}:
         raise RuntimeError("the description differs")
-    rows = probes.probe_dataset(acts.filter("family = 'mlp'"), labels)
+    rows = probes.probe_dataset(acts, labels)
     return rows.select("family", "layer", "head", "example_id", "label")
 
 
@@ -149,7 +154,7 @@ def frozen_table(spark, sf):
 
     value = freeze.fingerprint(docs).first()["fingerprint"]
     for _ in range(2):
-        out = freeze.freeze(build, spark, folder, {"max_length": QUERY_MAX_LENGTH}, value)
+        out = freeze.freeze(build, spark, folder, {"max_length": MAX_LENGTH}, value)
     if len(built) != 1:
         raise RuntimeError("the table was built again")
     return out["documents"]
@@ -170,7 +175,7 @@ def completion_marker(spark, sf):
 
 @query(
     "T1",
-    _CHAT_SQL
+    chat_sql(MAX_LENGTH)
     + """ SELECT row_number() OVER (ORDER BY response_id, sent_idx) - 1 AS global_idx, response_id, sent_idx, text, tok_start, tok_end
 FROM span WHERE tok_start IS NOT NULL""",
 )
@@ -179,7 +184,7 @@ def ingested_stream(spark, sf):
     arrived = pr.with_response_id(corpus.conversation_generations(spark, sf)).drop("response_id")
     arrived.write.json(f"{folder}/in")
     query_ = ingest_stream(
-        spark, f"{folder}/in", f"{folder}/out", f"{folder}/state", max_length=QUERY_MAX_LENGTH, glob="*.json"
+        spark, f"{folder}/in", f"{folder}/out", f"{folder}/state", glob="*.json"
     )
     query_.awaitTermination()
     rows = read_ingested(spark, f"{folder}/out")["sentences"]
@@ -190,16 +195,75 @@ def ingested_stream(spark, sf):
     "S15",
     "WITH "
     + _RATES
-    + f""" SELECT model, CASE metric WHEN 'quality' THEN 'mha_best_accuracy' ELSE 'mlp_best_accuracy' END AS metric,
-       {sql_r4('value')} AS value FROM paper""",
+    + f""" SELECT model || '/' || half AS model, CASE metric WHEN 'quality' THEN 'mha_best_accuracy' ELSE 'mlp_best_accuracy' END AS metric,
+       {sql_r4('value')} AS value FROM value_ WHERE NOT (model = 'en' AND metric = 'toxic')""",
 )
 def stored_paper_results(spark, sf):
     folder = scratch_dir(spark)
-    values = rates_by_half(spark, sf).filter("half = 1")
     toxic = F.when(F.col("model") != "en", F.col("toxic"))
     numbers = F.struct(F.col("quality").alias("mha_best_accuracy"), toxic.alias("mlp_best_accuracy"))
-    # one entry per language
-    document = values.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("model", numbers)))).alias("value"))
+    named = rates_by_half(spark, sf).select(F.concat_ws("/", "model", "half").alias("model"), numbers.alias("n"))
+    # one entry per language and half
+    document = named.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("model", "n")))).alias("value"))
     document.coalesce(1).write.text(folder)
     found = papers.read_paper_results(spark, [f"{folder}-missing", folder])
     return found.select("model", "metric", r4("value").alias("value"))
+
+
+def _as_file(df: DataFrame, path: str, kind: str) -> None:
+    """A small frame as one file of the given name."""
+    spark = df.sparkSession
+    folder = scratch_dir(spark)
+    writer = df.coalesce(1).write
+    writer.csv(folder, header=True, escape='"', quoteAll=True) if kind == "csv" else writer.text(folder)
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    at = fs_path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-"))
+    fs.mkdirs(fs_path(path).getParent())
+    fs.rename(part, fs_path(path))
+    remove(spark, folder)
+
+
+@query(
+    "S1 S2 P1 P2",
+    f"""SELECT r_name AS dataset, r_regionkey % 2 = 0 AS known, prompt_col,
+       CASE WHEN r_regionkey % 2 = 0 THEN n_nationkey::VARCHAR END AS row_id, CASE WHEN r_regionkey % 2 = 0 THEN {sp.strip('text')} END AS text
+FROM (UNPIVOT (SELECT n_nationkey, n_regionkey, n_name || ' ' || n_nationkey AS n_name, n_name AS n_comment FROM nation) ON n_name, n_comment
+      INTO NAME prompt_col VALUE text) JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey % 2 = 0
+UNION ALL SELECT r_name, false, NULL, NULL, NULL FROM region WHERE r_regionkey % 2 = 1""",
+)
+def listed_sources(spark, sf):
+    """A prompt file per region; those of even regions have a specification and are read, the others are only listed."""
+    folder = scratch_dir(spark)
+    nation = table(spark, sf, "nation").withColumn("n_comment", F.col("n_name")).withColumn("n_name", F.concat_ws(" ", "n_name", "n_nationkey"))
+    specs = {}
+    for region in table(spark, sf, "region").collect():  # five rows
+        rows = nation.where(F.col("n_regionkey") == region.r_regionkey).select("n_nationkey", "n_name", "n_comment")
+        _as_file(rows, f"{folder}/{region.r_name}.csv", "csv")
+        if region.r_regionkey % 2 == 0:
+            specs[f"{region.r_name}.csv"] = ("n_nationkey", ("n_name", "n_comment"))
+    known, unknown = prompts.list_prompt_sources(spark, folder, specs)
+    read = prompts.read_prompts(spark, folder, specs)
+    name = F.regexp_replace("file_name", "[.]csv$", "").alias("dataset")
+    listed = known.select(name, F.lit(True).alias("known")).join(read, "dataset", "left")
+    return listed.unionByName(unknown.select(name, F.lit(False).alias("known")), allowMissingColumns=True)
+
+
+@query(
+    "S8 J6 P11",
+    """WITH r AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
+SELECT 'L' || lpad((label + 10)::VARCHAR, 2, '0') || '_n2_k3_uncentered_s0' AS run, 2 AS n_latents, i::INTEGER AS latent_id, n AS cluster_size,
+       CASE i WHEN 0 THEN 0.25 ELSE 0.0 END::DOUBLE AS firing_rate, 'ok' AS status, 'group ' || label AS title, NULL::VARCHAR AS description
+FROM r, range(2) AS t(i) WHERE label = 4""",
+)
+def documents_of_runs(spark, sf):
+    """A run per label, kept as JSON documents; those of one layer are read."""
+    folder = scratch_dir(spark)
+    for r in table(spark, sf, "embeddings").groupBy("label").count().collect():  # one row per label
+        run = f"{folder}/L{r['label'] + 10:02d}_n2_k3_uncentered_s0"
+        labels = [{"latent_id": i, "cluster_size": r["count"], "status": "ok", "title": f"group {r['label']}"} for i in (0, 1)]
+        documents = {"config": {"layer": r["label"] + 10, "n_latents": 2}, "metrics": {"firing_rate": [0.25, 0.0]}, "labels": labels}
+        for name, content in documents.items():
+            _as_file(spark.createDataFrame([(json.dumps(content),)], "value string"), f"{run}/{name}.json", "text")
+    return reports.run_summary(reports.join_runs(*runs.read_runs(spark, folder, 14)))

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanlake.fixed import MAX_LENGTH
 from spanlake.functions import text as tx
 from spanlake.operators import gates, index, segment
 from spanlake.operators import prompts as pr
 from spanlake.plans import corpus
 from spanlake.plans import sql_parts as sp
 from spanlake.plans.catalog import query, r4, sql_r4, table, texts
+from spanlake.session import cut_lineage
 
 #: Responses with more tokens than this are routed out in the queries; the given answers are short.
-QUERY_MAX_LENGTH = 400
+SHORT = 400
 
 _SENT = "WITH " + sp.sentences("documents")
 _SPAN = _SENT + "," + sp.tokens("documents") + "," + sp.aligned()
@@ -96,44 +98,44 @@ def response_statistics(spark, sf):
     return segment.response_stats(_spans(spark, sf), "doc_id")
 
 
-_CHAT_SQL = (
-    "WITH "
-    + sp.GENERATIONS
-    + f""",
+def chat_sql(max_length: int) -> str:
+    """CTEs ending in ``span``: the sentences of the responses that are not too long, with their tokens."""
+    return (
+        "WITH "
+        + sp.GENERATIONS
+        + f""",
 chat AS (SELECT *, '<|user|>' || chr(10) || prompt || chr(10) || '<|assistant|>' || chr(10) AS prefix FROM gen),
 full_ AS (SELECT response_id, prefix || response AS full_text, length(prefix) AS shift FROM chat),"""
-    + sp.tokens("full_", "response_id", "full_text")
-    + """,
+        + sp.tokens("full_", "response_id", "full_text")
+        + f""",
 n AS (SELECT response_id, count(*) AS n FROM tok GROUP BY response_id),
 usable AS (
-  SELECT chat.*, n FROM chat JOIN n USING (response_id) WHERE trim(response) <> '' AND n <= """
-    + str(QUERY_MAX_LENGTH)
-    + "),"
-    + sp.sentences("usable", "response_id", "response")
-    + """,
+  SELECT chat.*, n FROM chat JOIN n USING (response_id) WHERE trim(response) <> '' AND n <= {max_length}),"""
+        + sp.sentences("usable", "response_id", "response")
+        + """,
 span AS (
   SELECT s.*, min(t.tok_idx) AS tok_start, max(t.tok_idx) + 1 AS tok_end
   FROM sent s JOIN full_ f USING (response_id) LEFT JOIN tok t
     ON t.response_id = s.response_id AND t.end_ > s.char_start + f.shift AND t.start_ < s.char_end + f.shift
   GROUP BY ALL)"""
-)
+    )
 
 
-@query(
-    "P6",
-    _CHAT_SQL
-    + f"""
-SELECT response_id, 'too_long' AS reason, n::VARCHAR AS detail FROM n WHERE n > {QUERY_MAX_LENGTH}
+#: All rows of the skip table under the short limit.
+SKIPS_SQL = chat_sql(SHORT) + f"""
+SELECT response_id, 'too_long' AS reason, n::VARCHAR AS detail FROM n WHERE n > {SHORT}
 UNION ALL SELECT response_id, 'empty_response', NULL FROM chat WHERE trim(response) = ''
-UNION ALL SELECT response_id, 'degenerate_token_span', left(text, 80) FROM span WHERE tok_start IS NULL""",
-)
+UNION ALL SELECT response_id, 'degenerate_token_span', left(text, 80) FROM span WHERE tok_start IS NULL"""
+
+
+@query("P6", SKIPS_SQL)
 def skip_events(spark, sf):
-    return corpus.tables_of(corpus.conversation_generations(spark, sf), max_length=QUERY_MAX_LENGTH).skips
+    return corpus.tables_of(corpus.conversation_generations(spark, sf), max_length=SHORT).skips
 
 
 @query(
     "P4 P5 P6 P7 P8 J1 W1",
-    _CHAT_SQL
+    chat_sql(MAX_LENGTH)
     + """
 SELECT row_number() OVER (ORDER BY s.response_id, sent_idx) - 1 AS global_idx,
        dense_rank() OVER (ORDER BY s.response_id) - 1 AS response_idx,
@@ -142,12 +144,12 @@ SELECT row_number() OVER (ORDER BY s.response_id, sent_idx) - 1 AS global_idx,
 FROM span s JOIN usable u USING (response_id) WHERE tok_start IS NOT NULL""",
 )
 def sentence_table(spark, sf):
-    return corpus.tables_of(corpus.conversation_generations(spark, sf), max_length=QUERY_MAX_LENGTH).sentences
+    return corpus.tables_of(corpus.conversation_generations(spark, sf)).sentences
 
 
 @query(
     "A4 J2 W1",
-    _CHAT_SQL
+    chat_sql(MAX_LENGTH)
     + """,
 per AS (SELECT response_id, count(*) AS n_sentences FROM span WHERE tok_start IS NOT NULL GROUP BY response_id),
 inside AS (
@@ -159,7 +161,7 @@ SELECT row_number() OVER (ORDER BY response_id) - 1 AS response_idx, response_id
 FROM per JOIN usable USING (response_id) LEFT JOIN inside USING (response_id)""",
 )
 def response_table(spark, sf):
-    return corpus.tables_of(corpus.conversation_generations(spark, sf), max_length=QUERY_MAX_LENGTH).responses
+    return corpus.tables_of(corpus.conversation_generations(spark, sf)).responses
 
 
 @query("F1", f"SELECT doc_id, md5({sp.normalize('text')}) AS text_md5, length({sp.normalize('text')}) AS n_chars FROM documents")
@@ -278,8 +280,7 @@ checked AS (
     + f" SELECT *, {sp.normalize('decoded')} = {sp.normalize('expected')} AS agrees FROM checked",
 )
 def span_round_trip(spark, sf):
-    docs = texts(spark, sf, "doc_id", "text")
-    return gates.check_spans(_spans(spark, sf), segment.tokenize(docs), docs, 20)
+    return gates.check_spans(_spans(spark, sf), segment.tokenize, texts(spark, sf, "doc_id", "text"), 20)
 
 
 @query(
@@ -329,6 +330,33 @@ def span_mean_pool(spark, sf):
     toks = segment.tokenize(texts(spark, sf, "doc_id", "text"))
     values = [F.col("end") - F.col("start"), F.col("start") % 7, F.col("tok_idx") % 5]
     vectors = toks.select("doc_id", "tok_idx", F.array(*[v.cast("double") for v in values]).alias("vector"))
-    pooled = mean_pool(vectors, _spans(spark, sf), "doc_id", ["sent_idx"], extra_keys=[])
+    spans = cut_lineage(_spans(spark, sf).select("doc_id", "sent_idx", "tok_start", "tok_end"))  # read twice
+    pooled = mean_pool(vectors, spans, "doc_id", ["sent_idx"], extra_keys=[])
     names = ("mean_width", "mean_place", "mean_index")
     return pooled.select("doc_id", "sent_idx", *[r4(F.get("vector", F.lit(i))).alias(n) for i, n in enumerate(names)])
+
+
+@query(
+    "A6",
+    f"""WITH v AS (
+  SELECT vec_id // 50 AS block, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY vec_id // 50 ORDER BY vec_id) - 1 AS pos FROM embeddings),
+span AS (
+  SELECT block, i AS span, [0, 3, 3, 0][i + 1] AS a, [3, 9, 3, 50][i + 1] AS b FROM (SELECT DISTINCT block FROM v), range(4) AS t(i)),
+m AS (
+  SELECT block, span, avg(e[1]) AS x, avg(e[64]) AS y FROM span JOIN v USING (block) WHERE pos >= a AND pos < b GROUP BY ALL)
+SELECT block, span, {sql_r4('x')} AS first_value, {sql_r4('y')} AS last_value FROM span LEFT JOIN m USING (block, span)""",
+)
+def pooled_in_row(spark, sf):
+    """Spans over rows of fifty vectors: a short one, a longer one, an empty one, and all."""
+    from spanlake.operators.pooling import pool_nested
+
+    block = F.floor(F.col("vec_id") / 50).alias("block")
+    item = F.struct("vec_id", "embedding")
+    nested = table(spark, sf, "embeddings").groupBy(block).agg(F.array_sort(F.collect_list(item)).alias("_v"))
+    n = F.size("_v")
+    ends = ((0, 3), (3, 9), (3, 3), (0, 50))
+    spans = F.array(*[F.struct(F.least(F.lit(a), n).alias("tok_start"), F.least(F.lit(b), n).alias("tok_end")) for a, b in ends])
+    rows = nested.select("block", F.col("_v.embedding").alias("v"), spans.alias("spans"))
+    pooled = pool_nested(rows, "v", "spans").select("block", F.posexplode("pooled").alias("span", "mean"))
+    values = [r4(F.get("mean", F.lit(i))).alias(name) for i, name in ((0, "first_value"), (63, "last_value"))]
+    return pooled.select("block", F.col("span").cast("long").alias("span"), *values)

@@ -116,6 +116,9 @@ def test_pooling_forms_agree(spark):
         [(r, vecs[r].tolist(), spans[r]) for r in spans],
         "response_id string, v array<array<double>>, spans array<struct<tok_start:long,tok_end:long>>",
     )
+    holed = nested.withColumn("v", F.when(F.col("response_id") == "a", F.transform("v", lambda t: F.transform(t, lambda x: x * float("nan")))).otherwise(F.col("v")))
+    other = {r.response_id: r.pooled for r in pooling.pool_nested(holed, "v", "spans").collect()}
+    assert np.allclose(other["b"][0], vecs["b"][5]) and np.isnan(other["a"][0]).all()
     for row in pooling.pool_nested(nested, "v", "spans").collect():
         for i, mean in enumerate(row.pooled):
             assert mean is None if got[row.response_id, i, 1] is None else np.allclose(mean, got[row.response_id, i, 1])
