@@ -15,10 +15,13 @@ from spanlake.sources.tables import exists
 TABLES = ("sentences", "responses", "skips")
 
 
-def _rows_before(spark: SparkSession, path: str, batch_id: int) -> int:
-    if not exists(spark, path):
-        return 0
-    return spark.read.parquet(path).filter(F.col("batch") < batch_id).count()
+def _counted(spark: SparkSession, out_dir: str, batch_id: int) -> tuple[int, int]:
+    """Sentences and responses of the batches before, from the one row that each batch leaves."""
+    if not exists(spark, f"{out_dir}/counts"):
+        return 0, 0
+    before = spark.read.parquet(f"{out_dir}/counts").filter(F.col("batch") < batch_id)
+    row = before.agg(F.sum("sentences").alias("s"), F.sum("responses").alias("r")).first()
+    return row["s"] or 0, row["r"] or 0
 
 
 def ingest_stream(
@@ -50,15 +53,13 @@ def ingest_stream(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        tables = tables_of(
-            batch,
-            template,
-            max_length,
-            first_sentence=_rows_before(session, f"{out_dir}/sentences", batch_id),
-            first_response=_rows_before(session, f"{out_dir}/responses", batch_id),
-        )
+        sentences, responses = _counted(session, out_dir, batch_id)
+        tables = tables_of(batch, template, max_length, first_sentence=sentences, first_response=responses)
         for name in TABLES:
             getattr(tables, name).write.mode("overwrite").parquet(f"{out_dir}/{name}/batch={batch_id}")
+        written = [session.read.parquet(f"{out_dir}/{name}/batch={batch_id}").count() for name in ("sentences", "responses")]
+        counts = session.createDataFrame([tuple(written)], "sentences long, responses long")
+        counts.write.mode("overwrite").parquet(f"{out_dir}/counts/batch={batch_id}")
 
     return (
         fresh.writeStream.foreachBatch(write)
