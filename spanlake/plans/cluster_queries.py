@@ -13,6 +13,7 @@ from spanlake.operators import labeling, metrics, sae
 from spanlake.plans import sql_parts as sp
 from spanlake.plans.catalog import query, r4, sql_r4, table
 from spanlake.plans.vector_queries import K, N_LATENTS, coded
+from spanlake.session import cut_lineage
 
 N_TOP, N_RANDOM, SEED = 5, 5, 0
 
@@ -87,7 +88,7 @@ size_ AS (
 
 
 def _prompts(spark, sf) -> DataFrame:
-    assign = assigned(spark, sf)
+    assign = cut_lineage(assigned(spark, sf))  # read three times, encoded once
     chosen = ex.members_with_text(ex.exemplars(assign, N_TOP, N_RANDOM, SEED), _texts(spark, sf))
     return ex.build_prompts(chosen, metrics.cluster_sizes(assign, N_LATENTS))
 

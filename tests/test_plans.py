@@ -38,6 +38,25 @@ def test_exemplars_are_cut_before_the_shuffle(spark, sf_dir):
     assert plan_of(ex.random_exemplars(rows, 5, 5)).count("WindowGroupLimit") >= 2
 
 
+def test_vectors_are_encoded_once(spark, sf_dir):
+    rows = assigned(spark, sf_dir)
+    for df in (rows, rows.filter("latent_id >= 0"), ex.top_exemplars(rows, 5)):
+        plan = plan_of(df)
+        assert plan.count("ArrowEvalPython") == plan.count("Scan parquet") == 1
+
+
+def test_coverage_report_reads_each_side_once(spark, sf_dir):
+    # one side of the query is a table, the other a join of two
+    assert plan_of(QUERIES["coverage_report"].run(spark, sf_dir)).count("Scan parquet") == 3
+
+
+def test_heavy_cluster_is_cut_in_two_levels(spark):
+    rows = spark.range(5000).selectExpr("id AS global_idx", "int(id >= 4900) AS latent_id", "cast(id % 977 AS double) AS strength")
+    got = [r.global_idx for r in ex.top_exemplars(rows.repartition(11), 7).where("latent_id = 0").orderBy("rank").collect()]
+    assert got == sorted(range(4900), key=lambda i: (-(i % 977), i))[:7]
+    assert plan_of(ex.top_exemplars(rows, 7)).count("WindowGroupLimit") >= 3
+
+
 def test_alignment_join_is_an_equality_join(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     plan = plan_of(segment.align_spans(segment.split_sentences(docs), segment.tokenize(docs)))
