@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.session import cut_lineage
+from spanlake.llm.storage import stored
 
 GRID = 1 << 20
 #: Exponents tried in one pass over the sources; each pass adds five bits.
@@ -78,7 +78,7 @@ def weights(docs: DataFrame, mix: Mix, source: str = "source", text: str = "text
     The entropy does not fall below the target where a = 0 can reach it; the repetition limit goes first. No tokens at
     all give no row.
     """
-    counted = cut_lineage(docs.groupBy(_tag(source).alias("__s")).agg(F.sum(n_tokens(text)).alias("tokens")).where("tokens > 0"))
+    counted = stored(docs.groupBy(_tag(source).alias("__s")).agg(F.sum(n_tokens(text)).alias("tokens")).where("tokens > 0"))
     row = counted.agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).first()
     total = row.t or 0
     budget = mix.budget if mix.budget is not None else total
@@ -110,7 +110,8 @@ def draws(docs: DataFrame, mix: Mix, id_col: str = "doc_id", source: str = "sour
     shares = weights(docs, mix, source, text)
     whole = F.floor(F.col("quota") / F.col("tokens"))
     n_blocks = F.ceil(F.col("tokens") / F.lit(mix.block_tokens))
-    plan = cut_lineage(shares.select("__s", whole.alias("whole"), (F.col("quota") - whole * F.col("tokens")).alias("rest"), n_blocks.alias("n_blocks")))
+    # stored, so that its size is known and Spark joins it without a shuffle of the documents where it is small
+    plan = stored(shares.select("__s", whole.alias("whole"), (F.col("quota") - whole * F.col("tokens")).alias("rest"), n_blocks.alias("n_blocks")))
     # a null id has the empty key
     row_key = F.md5(F.concat_ws("|", F.lit(str(mix.seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     block = F.conv(F.substring(row_key, 1, 12), 16, 10).cast("long") % F.coalesce("n_blocks", F.lit(1))
@@ -121,13 +122,13 @@ def draws(docs: DataFrame, mix: Mix, id_col: str = "doc_id", source: str = "sour
     blocks = narrow.groupBy("__s", "rest", "block", "bk").agg(F.sum("n_tokens").alias("t"))
     so_far = F.sum("t").over(Window.partitionBy("__s").orderBy("bk"))
     cut = blocks.withColumn("end", so_far).where("end > rest").groupBy("__s").agg(F.min_by(F.struct("bk", (F.col("rest") - F.col("end") + F.col("t")).alias("left")), "bk").alias("c"))
-    cut = cut_lineage(cut.select("__s", F.col("c.bk").alias("cut_bk"), F.col("c.left").alias("left")))
+    cut = stored(cut.select("__s", F.col("c.bk").alias("cut_bk"), F.col("c.left").alias("left")))
     # ties of the row key share one running sum, so equal rows stay together
     inside = narrow.join(cut, (narrow["__s"] == cut["__s"]) & (F.col("bk") == F.col("cut_bk"))).select(narrow["__s"], "dk", "n_tokens", "left")
     taken = inside.groupBy("__s", "dk", "left").agg(F.sum("n_tokens").alias("t"))
     filled = F.sum("t").over(Window.partitionBy("__s").orderBy("dk"))
     last = taken.withColumn("end", filled).where("end <= left").groupBy("__s").agg(F.max("dk").alias("cut_dk"))
-    cuts = cut_lineage(plan.join(cut, "__s", "left").join(last, "__s", "left").select("__s", "cut_bk", "cut_dk"))
+    cuts = stored(plan.join(cut, "__s", "left").join(last, "__s", "left").select("__s", "cut_bk", "cut_dk"))
     found = keyed.join(cuts, "__s", "left")
     part = (F.col("rest") > 0) & (
         F.col("cut_bk").isNull() | (block_key < F.col("cut_bk")) | ((block_key == F.col("cut_bk")) & F.coalesce(id_key <= F.col("cut_dk"), F.lit(False)))
