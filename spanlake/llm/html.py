@@ -7,7 +7,6 @@ is kept when its own value and those of its kept children add up to more than no
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -165,53 +164,54 @@ OF_GROUP = {t: i for i, g in enumerate(GROUPS) for t in g.split()}
 #: Kinds of ancestors that a node is told of.
 ABOVE = (0, 7, 8, 9, 10, 11)
 HASHED = 16
-SENTENCE = re.compile(r"[.,;:!?]")
 
 
 def features(nodes: list[Node]) -> np.ndarray:
     """A row per node: kind, attribute words (own and of ancestors), depth, subtree density and sibling statistics."""
     n = len(nodes)
-    chars, linked, marks, tags, runs = (np.zeros(n) for _ in range(5))
-    good, bad, above = np.zeros(n), np.zeros(n), np.zeros((n, len(ABOVE)))
-    out = []
-    for i in range(n - 1, -1, -1):
-        node = nodes[i]
-        if node.tag == "#text":
-            chars[i], linked[i], marks[i], runs[i] = len(node.text), node.linked, len(SENTENCE.findall(node.text)), 1
-        else:
-            tags[i] += 1
-        if node.parent >= 0:
-            for v in (chars, linked, marks, tags, runs):
-                v[node.parent] += v[i]
+    leaf = [node.tag == "#text" for node in nodes]
+    chars = [len(node.text) for node in nodes]
+    linked = [node.linked for node in nodes]
+    marks = [sum(map(node.text.count, ".,;:!?")) if node.text else 0 for node in nodes]
+    tags, runs = [int(not x) for x in leaf], list(map(int, leaf))
+    for i in range(n - 1, 0, -1):
+        at = nodes[i].parent
+        chars[at] += chars[i]
+        linked[at] += linked[i]
+        marks[at] += marks[i]
+        tags[at] += tags[i]
+        runs[at] += runs[i]
+    group = [OF_GROUP.get(node.tag, 2) for node in nodes]
+    hashed = np.zeros((n, HASHED))
+    own = np.zeros((n, 2))
     for i, node in enumerate(nodes):
-        if node.parent >= 0:
-            good[i], bad[i], above[i] = good[node.parent], bad[node.parent], above[node.parent]
-        own_good = sum(w in GOOD for w in node.attributes)
-        own_bad = sum(w in BAD for w in node.attributes)
-        good[i] += own_good
-        bad[i] += own_bad
-        group = OF_GROUP.get(node.tag, 2)
-        if group in ABOVE:
-            above[i, ABOVE.index(group)] += 1
-        up = nodes[node.parent].children if node.parent >= 0 else [i]
-        place = node.place
-        siblings = len(up)
-        before = chars[up[place - 1]] if place else 0
-        behind = chars[up[place + 1]] if place + 1 < siblings else 0
-        hashed = [0.0] * HASHED
         for w in node.attributes:
-            hashed[zlib.crc32(w.encode()) % HASHED] = 1.0
-        kind = [0.0] * len(GROUPS)
-        kind[group] = 1.0
-        whole = max(chars[node.parent], 1) if node.parent >= 0 else max(chars[i], 1)
-        out.append(
-            [
-                *kind, *hashed, own_good, own_bad, good[i], bad[i], *above[i], node.depth, len(node.children), place / siblings, math.log1p(siblings),
-                math.log1p(chars[i]), chars[i] / max(chars[0], 1), chars[i] / whole, linked[i] / max(chars[i], 1), marks[i] / max(chars[i], 1), math.log1p(marks[i]),
-                tags[i] / max(chars[i], 1), chars[i] / max(runs[i], 1), math.log1p(before), math.log1p(behind), OF_GROUP.get(nodes[max(node.parent, 0)].tag, 2),
-            ]
-        )
-    return np.array(out, float)
+            hashed[i, zlib.crc32(w.encode()) % HASHED] = 1.0
+            own[i, 0] += w in GOOD
+            own[i, 1] += w in BAD
+    kind = np.zeros((n, len(GROUPS)))
+    kind[np.arange(n), group] = 1.0
+    # what a node and its ancestors add up to
+    path = np.column_stack([own, kind[:, list(ABOVE)]])
+    siblings, before, behind = [1] * n, [0] * n, [0] * n
+    for i in range(1, n):
+        node = nodes[i]
+        path[i] += path[node.parent]
+        up = nodes[node.parent].children
+        siblings[i] = len(up)
+        if node.place:
+            before[i] = chars[up[node.place - 1]]
+        if node.place + 1 < len(up):
+            behind[i] = chars[up[node.place + 1]]
+    parent = np.array([max(node.parent, 0) for node in nodes])
+    chars, linked, marks, tags, runs = (np.array(v, float) for v in (chars, linked, marks, tags, runs))
+    some, place = np.maximum(chars, 1), np.array([node.place for node in nodes], float)
+    rest = (
+        [node.depth for node in nodes], [len(node.children) for node in nodes], place / siblings, np.log1p(siblings), np.log1p(chars), chars / some[0],
+        chars / some[parent], linked / some, marks / some, np.log1p(marks), tags / some, chars / np.maximum(runs, 1), np.log1p(before), np.log1p(behind),
+        np.array(group)[parent],
+    )
+    return np.column_stack([kind, hashed, own, path, *rest])
 
 
 def number_siblings(nodes: list[Node]) -> list[Node]:
@@ -225,14 +225,13 @@ def tree_of(html: str | None) -> list[Node]:
     return number_siblings(parse(html or ""))
 
 
-def chosen(nodes: list[Node], value: np.ndarray) -> np.ndarray:
+def chosen(nodes: list[Node], value: np.ndarray) -> list[bool]:
     """The consistent choice of nodes with the greatest total value: a child only with its parent. The root is always in."""
-    best = value.astype(float).copy()
+    best = value.tolist()
     for i in range(len(nodes) - 1, 0, -1):
         if best[i] > 0:
             best[nodes[i].parent] += best[i]
-    keep = np.zeros(len(nodes), bool)
-    keep[0] = True
+    keep = [True] * len(nodes)
     for i in range(1, len(nodes)):
         keep[i] = keep[nodes[i].parent] and best[i] > 0
     return keep
@@ -380,13 +379,35 @@ def fit(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> Forest
     return as_arrays(model.fit(rows.select(array_to_vector("x").alias("f"), "label")))
 
 
+#: Nodes that are judged together.
+TOGETHER = 20_000
+
+
 def main_texts(pages: list[str | None], forest: Forest | None) -> list[str]:
     """Main text of each page: its chosen blocks in page order, two newlines between them."""
-    out = []
+    out: list[str] = []
+    held: list[list[Node]] = []
+
+    def judge() -> None:
+        if forest:
+            values = forest.log_odds(np.concatenate([features(nodes) for nodes in held]))
+        else:
+            values = np.concatenate([np.where(is_main(nodes), 1.0, -1.0) for nodes in held])
+        ends = np.cumsum([len(nodes) for nodes in held])
+        for nodes, own in zip(held, np.split(values, ends[:-1])):
+            keep = chosen(nodes, own)
+            out.append("\n\n".join(n.text for n, k in zip(nodes, keep) if k and n.tag == "#text"))
+        held.clear()
+
+    size = 0
     for page in pages:
-        nodes = tree_of(page)
-        keep = chosen(nodes, forest.log_odds(features(nodes)) if forest else np.where(is_main(nodes), 1.0, -1.0))
-        out.append("\n\n".join(n.text for n, k in zip(nodes, keep) if k and n.tag == "#text"))
+        held.append(tree_of(page))
+        size += len(held[-1])
+        if size > TOGETHER:
+            judge()
+            size = 0
+    if held:
+        judge()
     return out
 
 
