@@ -12,10 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spanlake.llm.blocks import blocks
+from spanlake.llm.blocks import LOWER, blocks
 from spanlake.llm.graph import components
 from spanlake.llm.storage import stored
 
@@ -24,25 +26,55 @@ SHINGLE, ALIKE = 7, (4, 5)
 BANDS, ROWS, SEED = 12, 4, 11
 #: Lines of a bucket that are compared in one piece.
 PIECE = 1024
+#: Up to so many lines are compared set by set.
+FEW = 8
 #: Text that signatures are made of at a time.
 PART_BYTES = 2 << 20
 
 
-def normal(line: Column | str) -> Column:
-    """The form in which lines are compared."""
-    lowered = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.btrim(F.regexp_replace(lowered, "[ \t-\r]+", " "))
-
-
 def text_key(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
+def normal(line: bytes) -> bytes:
+    """The form in which lines are compared, of a line in which A-Z are lowered."""
+    return b" ".join(line.split())  # splits at blanks and the controls 9 to 13
+
+
 def _instances(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``(id, key, pos, line, h)``: the non-blank lines of all texts in their compared form, and its hash."""
-    rows = docs.select(F.col(id_col).alias("id"), text_key(text).alias("key"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "raw"))
-    lines = rows.select("id", "key", "pos", normal("raw").alias("line")).where("line <> ''")
-    return lines.withColumn("h", F.xxhash64("line"))
+    """``(id, key, pos, line, h)``: the non-blank lines of all texts in their compared form, and its XXH64."""
+    source = docs.select(F.col(id_col).alias("id"), text_key(text).alias("key"), F.col(text).cast("string").alias("text"))
+    schema = T.StructType(
+        [*source.schema.fields[:2], T.StructField("pos", T.IntegerType()), T.StructField("line", T.StringType()), T.StructField("h", T.LongType())]
+    )
+    lower = LOWER.tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at, to, _ in blocks(whole.column(2)):
+                batch = whole.slice(at, to - at)
+                rows, places, lines = [], [], []
+                for i, raw in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
+                    for pos, part in enumerate(raw.translate(lower).split(b"\n") if raw else ()):
+                        line = normal(part)
+                        if line:
+                            rows.append(i)
+                            places.append(pos)
+                            lines.append(line)
+                hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in lines), np.uint64, len(lines)).view(np.int64)
+                pick = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pick),
+                        batch.column(1).take(pick),
+                        pa.array(places, pa.int32()),
+                        pa.array(lines, pa.binary()).cast(pa.string()),
+                        pa.array(hashes),
+                    ],
+                    names=schema.fieldNames(),
+                )
+
+    return source.mapInArrow(run, schema)
 
 
 def signatures(lines: list[str]) -> np.ndarray:
@@ -106,6 +138,8 @@ def forest(lines: list[str]) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links among the lines: each line reached is compared with those not reached yet, so a
     dense bucket costs little more than its size."""
     sets = list(map(shingle_set, lines))
+    if len(lines) > FEW:
+        return _forest_of_many(sets)
     left = list(range(len(lines)))
     edges = []
     while len(left) > 1:
@@ -121,6 +155,40 @@ def forest(lines: list[str]) -> list[tuple[int, int]]:
     return edges
 
 
+def _forest_of_many(sets: list[set[str]]) -> list[tuple[int, int]]:
+    """The same search with the shingles numbered, so that one line is compared with all others in a few array steps."""
+    top, bottom = ALIKE
+    number: dict[str, int] = {}
+    coded = [np.fromiter((number.setdefault(s, len(number)) for s in own), np.int64, len(own)) for own in sets]
+    size = np.fromiter(map(len, coded), np.int64, len(coded))
+    has = np.zeros(len(number), bool)
+    inside, alive = np.arange(len(sets)), np.ones(len(sets), bool)
+    flat, first = np.concatenate(coded), np.cumsum(size) - size
+    edges: list[tuple[int, int]] = []
+    stack: list[int] = []
+    while alive.any():
+        if not stack:
+            start = int(np.argmax(alive))
+            alive[start] = False
+            stack.append(int(inside[start]))
+            continue
+        at = stack.pop()
+        has[coded[at]] = True
+        both = np.add.reduceat(has[flat], first, dtype=np.int64)
+        has[coded[at]] = False
+        near = alive & (bottom * both >= top * (size[inside] + size[at] - both))
+        reached = inside[near].tolist()
+        edges += [(at, i) for i in reached]
+        stack += reached
+        alive &= ~near
+        if 2 * alive.sum() < len(inside) and alive.any():
+            inside = inside[alive]
+            alive = np.ones(len(inside), bool)
+            flat = np.concatenate([coded[i] for i in inside])
+            first = np.cumsum(size[inside]) - size[inside]
+    return edges
+
+
 def links(instances: DataFrame, piece: int = PIECE) -> DataFrame:
     """``(a, b)``: hashes of lines that link, a spanning forest per bucket and piece."""
     once = buckets(instances).repartition("bucket").dropDuplicates(["bucket", "h"])

@@ -82,6 +82,30 @@ def test_given_documents(spark, sf_dir):
     assert sum(r[2] for r in found) <= 1.001 * sum(r[2] for r in want)
 
 
+def test_both_forms_of_the_search_agree(monkeypatch):
+    rng = np.random.default_rng(3)
+    base = "".join(chr(97 + c) for c in rng.integers(0, 26, 120))
+    made = []
+    for i in range(80):
+        own = list(base if i % 4 else base[::-1])
+        for at in rng.integers(0, 120, i % 5):
+            own[at] = "#"
+        made.append("".join(own) + str(i % 7))
+    made.append("short")
+
+    def groups(edges):
+        root = list(range(len(made)))
+        for a, b in edges:
+            ra, rb = root[a], root[b]
+            root = [rb if r == ra else r for r in root]
+        return {frozenset(i for i, r in enumerate(root) if r == k) for k in set(root)}
+
+    many = lines.forest(made)
+    monkeypatch.setattr(lines, "FEW", 1000)
+    few = lines.forest(made)
+    assert groups(many) == groups(few) and len(many) == len(few) == len(made) - len(groups(few))
+
+
 def test_recall_and_pieces(spark):
     rng = np.random.default_rng(9)
     words = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(400)]
