@@ -192,8 +192,12 @@ def _forest_of_many(sets: list[set[str]]) -> list[tuple[int, int]]:
 def links(instances: DataFrame, piece: int = PIECE) -> DataFrame:
     """``(a, b)``: hashes of lines that link, a spanning forest per bucket and piece."""
     once = buckets(instances).repartition("bucket").dropDuplicates(["bucket", "h"])
-    size = F.count("*").over(Window.partitionBy("bucket"))
-    members = stored(once.withColumn("n", size).where("n > 1"))
+    own = Window.partitionBy("bucket")
+    # similar lines share many buckets: of buckets with the same members (told by two hashes of all of them) one is enough
+    same = {"n": F.count("*").over(own), "x": F.bit_xor("h").over(own), "y": F.bit_xor(F.xxhash64("h")).over(own)}
+    found = stored(once.withColumns(same).where("n > 1"))
+    chosen = found.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
+    members = stored(found.join(chosen, "bucket", "left_semi").select("bucket", "h", "n"))
     texts = stored(instances.select("h", "line").join(members.select("h").distinct(), "h", "left_semi").distinct())
     pieces = F.ceil(F.col("n") / piece).cast("int")
     placed = members.withColumn("pieces", pieces).withColumn("own", F.pmod(F.xxhash64("h", F.lit(1)), F.col("pieces")).cast("int"))
