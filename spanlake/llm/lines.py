@@ -41,42 +41,51 @@ def normal(line: bytes) -> bytes:
     return b" ".join(line.split())  # splits at blanks and the controls 9 to 13
 
 
-def _instances(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``(id, key, pos, line, h)``: the non-blank lines of all texts in their compared form, and its XXH64."""
-    source = docs.select(F.col(id_col).alias("id"), text_key(text).alias("key"), F.col(text).cast("string").alias("text"))
-    schema = T.StructType(
-        [*source.schema.fields[:2], T.StructField("pos", T.IntegerType()), T.StructField("line", T.StringType()), T.StructField("h", T.LongType())]
-    )
+def cut_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """Row, position, compared form and XXH64 of the non-blank lines of the texts."""
     lower = LOWER.tobytes()
+    rows, places, lines = [], [], []
+    for i, raw in enumerate(texts.cast(pa.binary()).to_pylist()):
+        for pos, part in enumerate(raw.translate(lower).split(b"\n") if raw else ()):
+            line = normal(part)
+            if line:
+                rows.append(i)
+                places.append(pos)
+                lines.append(line)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in lines), np.uint64, len(lines)).view(np.int64)
+    return np.array(rows, np.int64), np.array(places, np.int32), lines, hashes
+
+
+def places(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``(id, key, pos, h)``: where the non-blank lines of all texts are, by the hash of their compared form."""
+    source = docs.select(F.col(id_col).alias("id"), text_key(text).alias("key"), F.col(text).cast("string").alias("text"))
+    schema = T.StructType([*source.schema.fields[:2], T.StructField("pos", T.IntegerType()), T.StructField("h", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at, to, _ in blocks(whole.column(2)):
+            for at, to, _ in blocks(whole.column(2), PART_BYTES):
                 batch = whole.slice(at, to - at)
-                rows, places, lines = [], [], []
-                for i, raw in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
-                    for pos, part in enumerate(raw.translate(lower).split(b"\n") if raw else ()):
-                        line = normal(part)
-                        if line:
-                            rows.append(i)
-                            places.append(pos)
-                            lines.append(line)
-                hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in lines), np.uint64, len(lines)).view(np.int64)
-                pick = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pick),
-                        batch.column(1).take(pick),
-                        pa.array(places, pa.int32()),
-                        pa.array(lines, pa.binary()).cast(pa.string()),
-                        pa.array(hashes),
-                    ],
-                    names=schema.fieldNames(),
-                )
+                rows, pos, _, hashes = cut_lines(batch.column(2))
+                ids = [batch.column(i).take(pa.array(rows)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(pos), pa.array(hashes)], names=schema.fieldNames())
 
     return source.mapInArrow(run, schema)
 
 
+def line_texts(docs: DataFrame, text: str) -> DataFrame:
+    """``(h, line)`` of all texts; a line found twice in a block comes once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to, _ in blocks(batch.column(0), PART_BYTES):
+                _, _, lines, hashes = cut_lines(batch.column(0).slice(at, to - at))
+                hashes, first = np.unique(hashes, return_index=True)
+                found = pa.array([lines[i] for i in first], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), found], names=["h", "line"])
+
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "h long, line string")
+
+
 def signatures(lines: list[str]) -> np.ndarray:
     """A row of bucket keys per line; every line must have a shingle."""
     rng = np.random.default_rng(SEED)
@@ -104,21 +113,21 @@ def signatures(lines: list[str]) -> np.ndarray:
     return out
 
 
-def buckets(instances: DataFrame) -> DataFrame:
-    """``(bucket, h)`` of every line; a line found twice in a task may still come twice."""
+def buckets(docs: DataFrame, text: str) -> DataFrame:
+    """``(bucket, h)`` of every line; a line found twice in a block comes once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, own = np.unique(batch.column(1).to_numpy(), return_index=True)
-            once = batch.take(pa.array(np.sort(own)))
-            for at, to, _ in blocks(once.column(0), PART_BYTES):
-                lines, hashes = once.column(0).slice(at, to - at).to_pylist(), once.column(1).slice(at, to - at).to_numpy()
-                pick = [i for i, s in enumerate(lines) if len(s) >= SHINGLE]
+            for at, to, _ in blocks(batch.column(0), PART_BYTES):
+                _, _, lines, hashes = cut_lines(batch.column(0).slice(at, to - at))
+                hashes, first = np.unique(hashes, return_index=True)
+                found = [lines[i].decode() for i in first]
+                pick = [i for i, s in enumerate(found) if len(s) >= SHINGLE]
                 if pick:
-                    keys = signatures([lines[i] for i in pick])
+                    keys = signatures([found[i] for i in pick])
                     yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(hashes[pick], BANDS))], names=["bucket", "h"])
 
-    return instances.select("line", "h").mapInArrow(run, "bucket long, h long")
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "bucket long, h long")
 
 
 def shingle_set(line: str) -> set[str]:
@@ -189,16 +198,16 @@ def _forest_of_many(sets: list[set[str]]) -> list[tuple[int, int]]:
     return edges
 
 
-def links(instances: DataFrame, piece: int = PIECE) -> DataFrame:
+def links(docs: DataFrame, text: str = "text", piece: int = PIECE) -> DataFrame:
     """``(a, b)``: hashes of lines that link, a spanning forest per bucket and piece."""
-    once = buckets(instances).repartition("bucket").dropDuplicates(["bucket", "h"])
+    once = buckets(docs, text).repartition("bucket").dropDuplicates(["bucket", "h"])
     own = Window.partitionBy("bucket")
     # similar lines share many buckets: of buckets with the same members (told by two hashes of all of them) one is enough
     same = {"n": F.count("*").over(own), "x": F.bit_xor("h").over(own), "y": F.bit_xor(F.xxhash64("h")).over(own)}
     found = stored(once.withColumns(same).where("n > 1"))
     chosen = found.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
     members = stored(found.join(chosen, "bucket", "left_semi").select("bucket", "h", "n"))
-    texts = stored(instances.select("h", "line").join(members.select("h").distinct(), "h", "left_semi").distinct())
+    texts = stored(line_texts(docs, text).join(members.select("h").distinct(), "h", "left_semi").distinct())
     pieces = F.ceil(F.col("n") / piece).cast("int")
     placed = members.withColumn("pieces", pieces).withColumn("own", F.pmod(F.xxhash64("h", F.lit(1)), F.col("pieces")).cast("int"))
     shares = placed.select("bucket", "h", "own", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
@@ -231,10 +240,8 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     The first line of a component is that of the smallest id (null ids last), then text hash, then position. Rows with
     equal ids and texts are one. Blank lines are never dropped; lines shorter than a shingle only for equal ones.
     """
-    instances = _instances(docs, id_col, text)
-    places = stored(instances.select("id", "key", "pos", "h"))
-    roots = components(links(instances), "a", "b")
-    rooted = places.join(roots, F.col("h") == F.col("node"), "left").select("id", "key", "pos", F.coalesce("root", "h").alias("root"))
+    roots = components(links(docs, text), "a", "b")
+    rooted = places(docs, id_col, text).join(roots, F.col("h") == F.col("node"), "left").select("id", "key", "pos", F.coalesce("root", "h").alias("root"))
     rooted = stored(rooted)
     place = F.struct(F.col("id").isNull().alias("n"), "id", "key", "pos")
     first = rooted.groupBy("root").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").select("root", "first")

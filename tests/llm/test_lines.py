@@ -119,7 +119,7 @@ def test_recall_and_pieces(spark):
     found, want = run(spark, rows)
     assert sum(a == b for a, b in zip(found, want)) >= 0.99 * len(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    few = lines.links(lines._instances(docs, "doc_id", "text"), piece=3)
-    whole = lines.links(lines._instances(docs, "doc_id", "text"))
+    few = lines.links(docs, piece=3)
+    whole = lines.links(docs)
     groups = lambda df: {frozenset(r) for r in lines.components(df, "a", "b").groupBy("root").agg(lines.F.collect_set("node").alias("m")).rdd.map(lambda r: tuple(sorted([*r.m, r.root]))).collect()}
     assert groups(few) == groups(whole)
