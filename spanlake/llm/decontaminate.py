@@ -285,5 +285,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Null and empty texts stay. The index is stored in the shared folder; the decision is joined back by id and text hash.
     """
     bad = search(stored(build_index(docs, id_col, text)), benchmark, window=window).where("n_hit > 0")
-    bad = cut_lineage(bad.select(F.col("id").alias("__id"), F.col("key").alias("__key")).distinct())
+    # stored, so that its size is known and Spark joins it without a shuffle of the documents where it is small
+    bad = stored(bad.select(F.col("id").alias("__id"), F.col("key").alias("__key")).distinct())
     return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__id")) & (text_key(text) == F.col("__key")), "left_anti")
