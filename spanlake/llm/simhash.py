@@ -8,7 +8,7 @@ RADIUS differing bits some ``v`` is orthogonal to all of theirs, so the pair agr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,8 @@ WORD = ~byte_class((0x20, 0x20), (0x09, 0x0D))
 PIECE = 4096
 
 
-def fingerprints_of(block: Block, shingle: int = SHINGLE) -> np.ndarray:
-    """The fingerprint of each text of a block."""
+def shingles_of(block: Block, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts that have words, how many shingles each has, the hashes of all of them, and a hash of each text's words."""
     data = LOWER[block.data]
     start, end = block.runs(WORD)
     # words with one blank behind each: a shingle is then a contiguous range
@@ -40,17 +40,26 @@ def fingerprints_of(block: Block, shingle: int = SHINGLE) -> np.ndarray:
     lean = np.append(np.where(word, data[:-8], 32)[keep], np.full(8, 32, np.uint8)).astype(np.uint8)
     word_bounds = block.of_text(start)
     start, end = new_at[start], new_at[end - 1] + 1
-    out = np.zeros(len(block), np.uint64)
     n_words = np.diff(word_bounds)
     n_shingles = np.where(n_words >= shingle, n_words - shingle + 1, np.minimum(n_words, 1))
     has = np.flatnonzero(n_shingles)
     if not len(has):
-        return out
+        return has, has, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     sizes = n_shingles[has]
     offset = np.concatenate([[0], np.cumsum(sizes)])
     first = np.repeat(word_bounds[has] - offset[:-1], sizes) + np.arange(offset[-1])
     last = first + np.repeat(np.minimum(n_words[has], shingle) - 1, sizes)
-    hashes = xxh64(lean, start[first], end[last])
+    whole = xxh64(lean, start[word_bounds[has]], end[word_bounds[has + 1] - 1])
+    return has, sizes, xxh64(lean, start[first], end[last]), whole
+
+
+def fingerprints_of(block: Block, shingle: int = SHINGLE) -> np.ndarray:
+    """The fingerprint of each text of a block."""
+    out = np.zeros(len(block), np.uint64)
+    has, sizes, hashes, _ = shingles_of(block, shingle)
+    if not len(has):
+        return out
+    offset = np.concatenate([[0], np.cumsum(sizes)])
     # counts of eight bits at a time in the bytes of a 64-bit sum, over at most 255 hashes
     pieces = -(-sizes // 255)
     piece_of = np.concatenate([[0], np.cumsum(pieces)])
@@ -231,15 +240,18 @@ def hex_fingerprint(c: str = "fingerprint") -> Column:
     return F.lpad(F.lower(F.hex(c)), 16, "0")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", mark: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """``docs`` with one row of every component: that of its smallest id, null ids last; columns as they were.
 
     Rows with equal id and text are copies of each other and leave one, whatever their other columns hold. Of rows with
-    equal ids and different texts in one component, the one with the smallest text hash stays.
+    equal ids and different texts in one component, the one with the smallest text hash stays. ``mark`` adds another
+    notion of components: it gets ``__id``, ``__h`` (text hash) and ``__text`` and keeps the first two, with ``__root``.
     """
     hashed = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     narrow = docs.select(F.col(id_col).alias("__id"), hashed.alias("__h"), F.col(text).alias("__text"))
-    marked = near_duplicates(narrow, "__id", "__text", root="__root")
+    marked = mark(narrow) if mark else near_duplicates(narrow, "__id", "__text", root="__root")
     single = marked.groupBy("__id", "__h").agg(F.min("__root").alias("__root"), F.count("*").alias("__n"))
     order = F.struct(F.col("__id").isNull().alias("last"), "__id", "__h", "__n")
     kept = cut_lineage(single.groupBy("__root").agg(F.min(order).alias("f")).select("f.__id", "f.__h", "f.__n"))
