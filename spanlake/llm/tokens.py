@@ -284,13 +284,44 @@ class PrefixCounter:
         k = max(0, bisect_left(ends, n) - 1)
         return (counts[k - 1] if k else 0) + int(self.table([text[ends[k - 1] if k else 0 : n]])[1].sum())
 
+    def within_piece(self, text: str, ends: list[int], counts: list[int], k: int) -> list[int]:
+        """Tokens of ``text[:n]`` for every ``n`` behind the start of piece ``k``, up to its end.
+
+        One pass over the bytes of the piece; cuts that change the pieces themselves (in an added token, in a contraction,
+        behind white space) are counted by :meth:`at`.
+        """
+        start, before = (ends[k - 1], counts[k - 1]) if k else (0, 0)
+        piece = text[start : ends[k]]
+        blank = [self.classes[ord(c)] == SPACE for c in piece]
+        added = self.special is not None and self.special.fullmatch(piece)
+        run = all(blank) and not (start and self.classes[ord(text[start - 1])] == SPACE)
+        if added or len(piece) <= 3 or (all(blank) and not run):
+            return [self.at(text, ends, counts, start + i) for i in range(1, len(piece) + 1)]
+        raw = piece.encode("utf-8", "surrogatepass")
+        found = self.prefixes(np.frombuffer(raw, np.uint8)[None, :])[0] if len(raw) <= LONGEST else self.long_prefixes(raw)
+        byte = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in piece])
+        made = (before + found[byte]).tolist()
+        return [self.at(text, ends, counts, start + i) if blank[i - 1] and not run else n for i, n in enumerate(made, 1)]
+
     def fit(self, text: str, ends: list[int], counts: list[int], budget: int) -> int:
-        """Characters of the longest prefix reached from the last whole piece within ``budget`` tokens."""
+        """Characters of the longest prefix within ``budget`` tokens.
+
+        Counts inside a piece may fall again, so the last prefix within the budget is taken, not the one before the first
+        above it. A cut changes at most the piece before the one it is in, so no prefix beyond the second piece that
+        ends above the budget can fit.
+        """
         k = bisect_right(counts, budget)
-        n = ends[k - 1] if k else 0
-        while k < len(ends) and n < ends[k] and self.at(text, ends, counts, n + 1) <= budget:
-            n += 1
-        return n
+        for i in range(min(k + 1, len(ends) - 1), k - 1, -1):
+            start = ends[i - 1] if i else 0
+            # of the second piece, only cuts that join it to the piece before can fit
+            if i > k and ends[i] - start > 3 and not (self.special and self.special.fullmatch(text, start, ends[i])):
+                if self.classes[ord(text[start])] == SPACE and self.at(text, ends, counts, start + 1) <= budget:
+                    return start + 1
+                continue
+            for n, count in reversed(list(enumerate(self.within_piece(text, ends, counts, i), start + 1))):
+                if count <= budget:
+                    return n
+        return ends[k - 1] if k else 0
 
 
 def _each(docs: DataFrame, tokenizer: str, text: str, made: dict, fn: Callable, keep: bool, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -331,7 +362,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", out: str =
 def prefix_counts(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ends`` (characters) and ``counts`` (tokens so far) at every piece; both empty without a text.
 
-    The two arrays hold what is needed for the count at any prefix; see :func:`truncate` and ``PrefixCounter.at``.
+    Counts inside a piece are made from these when a cut needs them; see :func:`truncate` and ``PrefixCounter.at``.
     """
 
     def table(counter: PrefixCounter, texts: list[str]):
@@ -346,7 +377,7 @@ def prefix_counts(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFr
 
 def truncate(tables: DataFrame, tokenizer: str, budget: int, text: str = "text", out: str = "fits") -> DataFrame:
     """``tables`` of :func:`prefix_counts` with ``out``: characters of the prefix within ``budget`` tokens (all of a text
-    that fits). The stored counts answer it; no text is encoded again."""
+    that fits). The stored counts answer it but for the piece that is cut, whose prefixes are counted in one pass."""
 
     def fit(counter: PrefixCounter, texts: list[str], ends: list, counts: list):
         return (pa.array([counter.fit(*row, budget) for row in zip(texts, ends, counts)], pa.int32()),)
