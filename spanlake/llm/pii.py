@@ -3,7 +3,7 @@
 Protected entities are e-mail and IP addresses, card and phone numbers. A term is a word of letters between blanks
 (closing punctuation taken off) near an entity. The corpus says how much a term discloses: with the information of an entity
 IC(c) = -log2 p(c) and the pointwise mutual information PMI(c; t) = IC(c) + log2 p(c | t), a term whose PMI reaches
-``disclosure`` times IC, in at least ``support`` different texts, would let a reader infer the removed entity. Such a term
+``disclosure`` times IC would let a reader infer the removed entity. Such a term
 is generalised near that entity, or removed if it never occurs without it (PMI = IC).
 """
 
@@ -16,8 +16,9 @@ from spanlake.functions.spans import once
 from spanlake.llm.storage import stored
 
 KINDS = ("email", "ip", "card", "phone")
-#: Share of an entity's information that a term may not give away, and the different texts that must show it.
-DISCLOSURE, SUPPORT = 0.9, 3
+#: Share of an entity's information that a term may not give away, and the different texts that must show it: one, since most
+#: entities stand in one text only.
+DISCLOSURE, SUPPORT = 0.9, 1
 #: Characters on either side of an entity whose whole words are its terms.
 CONTEXT = 64
 #: Elements of an array whose running sums are made in one go.
