@@ -8,7 +8,7 @@ import corpus_pipeline
 from spanlake.llm import quality, sharding
 from tests.llm.test_decontaminate import brute as contaminated
 from tests.llm.test_mixing import brute as mixed
-from tests.llm.test_simhash import brute_components
+from tests.llm.test_near_copies import brute_kept
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,7 +23,7 @@ def plain(spark, folder):
 
     scores = model.score(quality.statistics_of(quality.Block(pa.array(texts, pa.string())))) if rows else []
     rows = [r for r, s in zip(rows, scores) if s >= 0.3]
-    kept = {c for _, _, c in brute_components([(r.doc_id, r.text) for r in rows])}
+    kept = set(brute_kept([(r.doc_id, r.text) for r in rows]))
     rows = [r for r in rows if r.doc_id in kept]
     clean = {d for d, _, hit, _ in contaminated([(r.doc_id, r.text) for r in rows], bench) if not hit}
     rows = [r for r in rows if r.doc_id in clean]
