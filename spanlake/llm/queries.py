@@ -1,4 +1,4 @@
-"""The queries of the ten operators over the given tables."""
+"""The queries of the operators over the given tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spanlake.llm import decontaminate, html, lines, mixing, pii, quality, sharding, simhash, tokens, vafile
+from spanlake.llm import decontaminate, html, lines, mixing, pii, quality, resample, sharding, simhash, tokens, vafile
 from spanlake.llm.catalog import query
 from spanlake.llm.storage import stored
 from spanlake.plans.catalog import table
@@ -226,6 +226,54 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.draws(docs, corpus_pipeline.MIX).select("doc_id", "source", "epoch", "block", "n_tokens")
 
 
+#: The draw of op11.
+DRAW = resample.Draw()
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    rf"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
+    lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+dw AS (SELECT r, w, count(*) AS n FROM (SELECT r, unnest(ws) AS w FROM d) GROUP BY ALL),
+bw AS (SELECT w, count(*) AS n FROM (SELECT unnest(ws) AS w FROM b) GROUP BY ALL),
+bytes AS (
+  SELECT w, list_transform(range(0, len(x), 2), lambda i: ('0x' || substr(x, (i + 1)::BIGINT, 2))::BIGINT) AS bs
+  FROM (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM dw UNION SELECT w FROM bw))),
+bucket AS (
+  SELECT w, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], bs),
+    lambda c, y: xor(c >> 8, t[xor(c & 255, y) + 1]))) % {DRAW.buckets} AS k FROM bytes, crc),
+s AS (SELECT k, sum(n)::BIGINT AS s FROM dw JOIN bucket USING (w) GROUP BY k),
+t AS (SELECT k, sum(n)::BIGINT AS t FROM bw JOIN bucket USING (w) GROUP BY k),
+tot AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::BIGINT AS big_s, (SELECT coalesce(sum(t), 0) FROM t)::BIGINT AS big_t),
+gain AS (
+  SELECT k, floor({DRAW.scale} * ln(((coalesce(t, 0) + 1) * (big_s + {DRAW.buckets}))::DOUBLE
+                                 / ((coalesce(s, 0) + 1) * (big_t + {DRAW.buckets}))::DOUBLE))::BIGINT AS g
+  FROM s FULL JOIN t USING (k), tot),
+weight AS (SELECT r, sum(n * g)::BIGINT AS w FROM dw JOIN bucket USING (w) JOIN gain USING (k) GROUP BY r),
+scored AS (
+  SELECT r, doc_id, len(ws)::BIGINT AS n_features, coalesce(weight.w, 0)::BIGINT AS weight,
+         coalesce(weight.w, 0)::BIGINT + floor(-{DRAW.scale}.0::DOUBLE * ln(-ln((
+           ('0x' || substr(sha256('{DRAW.seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN weight USING (r)),
+ranked AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS rank, count(*) OVER () AS n
+  FROM scored WHERE n_features >= {DRAW.fewest_words})
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= n * {DRAW.percent} // 100 THEN rank END AS rank
+FROM scored LEFT JOIN ranked USING (r)
+"""
+)
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight for the benchmark's distribution, and the rank of those that are drawn."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = resample.resample(docs, table(spark, sf_dir, "benchmark"), DRAW)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
