@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spanlake.llm import decontaminate, html, lines, mixing, pii, quality, resample, sharding, simhash, tokens, vafile
+from spanlake.llm import decontaminate, html, lines, mixing, pii, quality, resample, sharding, simhash, tokens, vafile, whitening
 from spanlake.llm.catalog import query
 from spanlake.llm.storage import stored
 from spanlake.plans.catalog import table
@@ -274,6 +274,12 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+@query()
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the four leading whitened components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
