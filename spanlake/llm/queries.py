@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spanlake.llm import decontaminate, html, lines, mixing, pii, quality, resample, sharding, simhash, tokens, vafile, whitening
+from spanlake.llm import decontaminate, html, lines, lm, mixing, pii, quality, resample, sharding, simhash, tokens, vafile, whitening
 from spanlake.llm.catalog import query
 from spanlake.llm.storage import stored
 from spanlake.plans.catalog import table
@@ -280,6 +280,12 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+@query()
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document by word counts and by the recurrent model."""
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
