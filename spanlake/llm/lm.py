@@ -29,8 +29,8 @@ from spanlake.llm.storage import stored
 #: Words that the recurrent model tells apart, classes of all others, and words whose counts every task holds.
 WORDS, TAILS, KNOWN = 2048, 32, 1 << 17
 ROUNDS = 4
-#: Symbols that are learnt from, or scored, together.
-TOKENS = 1 << 20
+#: Symbols that are learnt from together, and that are scored together: the longest texts of more symbols fill more lanes.
+TOKENS, SCORED_TOKENS = 1 << 20, 1 << 22
 #: Numbers of a model that one row carries while models are averaged.
 PIECE = 1 << 14
 #: Added to each count.
@@ -189,13 +189,13 @@ def with_symbols(docs: DataFrame, vocab: Vocabulary, text: str = "text") -> Data
     return source.mapInArrow(run, schema)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.Table, list[np.ndarray]]]:
-    """Rows together, up to about ``TOKENS`` symbols, with their symbol arrays."""
+def _gathered(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[tuple[pa.Table, list[np.ndarray]]]:
+    """Rows together, up to about ``most`` symbols, with their symbol arrays."""
     held, size = [], 0
     for batch in batches:
         held.append(batch)
         size += batch.column(column).nbytes // 2
-        if size >= TOKENS:
+        if size >= most:
             table = pa.Table.from_batches(held)
             yield table, [np.frombuffer(s, "<u2") for s in table[column].to_pylist()]
             held, size = [], 0
@@ -211,7 +211,7 @@ def _round(texts: DataFrame, model: gru.Model) -> gru.Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, n, key = gru.Model(shape, shared.value.copy()), 0, None
-        for table, symbols in _gathered(batches, "symbols"):
+        for table, symbols in _gathered(batches, "symbols", TOKENS):
             key = table["__row"][0].as_py() if key is None else key
             own.learn_texts(symbols)
             n += sum(map(len, symbols))
@@ -265,7 +265,7 @@ def with_model_score(texts: DataFrame, model: gru.Model, vocab: Vocabulary, out:
         flat, tail_logs = shared.value
         own = gru.Model(shape, flat.copy())
         divisor = np.concatenate([np.zeros(shape.words), tail_logs])
-        for table, symbols in _gathered(batches, "symbols"):
+        for table, symbols in _gathered(batches, "symbols", SCORED_TOKENS):
             score = own.score(symbols) / np.log(10)
             score -= np.array([divisor[s].sum() for s in symbols])
             for batch in table.select(kept).append_column(out, pa.array(score)).combine_chunks().to_batches():
