@@ -15,7 +15,8 @@ from spanlake.functions.arrays import matrix, vectors_column
 from spanlake.functions.vectors import dense, largest, row_blocks
 from spanlake.operators.index import train_val_split
 from spanlake.operators.pooling import sum_vectors
-from spanlake.operators.sae import MAX_MODEL_BYTES, SaeParams
+from spanlake.operators.latent_blocks import FIT_COPIES, LatentTable, Shelf, codes_of, gradient_rows, groups_of, packed, residuals_of, squared_error
+from spanlake.operators.sae import MAX_PARAM_BYTES, SaeParams
 from spanlake.session import remove, scratch_dir
 
 
@@ -41,7 +42,9 @@ class FitConfig:
 
 @dataclass
 class FitResult:
-    params: SaeParams
+    """``params`` of the best epoch: arrays, or a table of latents where they are more than one process takes."""
+
+    params: SaeParams | LatentTable
     history: list[dict] = field(default_factory=list)
     fired: np.ndarray | None = None
     early_stopped: bool = False
@@ -85,22 +88,127 @@ def gradients(p: SaeParams, x: np.ndarray, k: int) -> tuple[dict[str, np.ndarray
     return grads, (z > 0).any(axis=0), float((off**2).sum())
 
 
-class Adam:
-    """Adam with the usual constants over the parameters of one model."""
+def moved(p: np.ndarray, g: np.ndarray, m: np.ndarray | float, v: np.ndarray | float, t: int, lr: float) -> tuple:
+    """Parameter and moments after Adam's step number ``t``, with the usual constants."""
+    m = 0.9 * m + 0.1 * g
+    v = 0.999 * v + 0.001 * g * g
+    return p - lr * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8), m, v
+
 
-    def __init__(self, lr: float):
-        self.lr, self.t, self.m, self.v = lr, 0, {}, {}
+class Whole:
+    """A model that driver and tasks hold as one: a step is one job."""
 
-    def step(self, p: SaeParams, grads: dict[str, np.ndarray]) -> SaeParams:
+    def __init__(self, parts: dict[int, DataFrame], params: SaeParams, cfg: FitConfig):
+        self.parts, self.params, self.cfg = parts, params, cfg
+        self.t, self.m, self.v = 0, {}, {}
+        self.fired = np.zeros(params.n_latents, bool)
+        self.best = params
+
+    def step(self, part: int) -> None:
+        grads, fired, _ = full_gradient(self.parts[part], self.params, self.cfg.k)
+        self.fired |= fired
         self.t += 1
         new = {}
         for name, g in grads.items():
-            self.m[name] = 0.9 * self.m.get(name, 0.0) + 0.1 * g
-            self.v[name] = 0.999 * self.v.get(name, 0.0) + 0.001 * g * g
-            m = self.m[name] / (1 - 0.9**self.t)
-            v = self.v[name] / (1 - 0.999**self.t)
-            new[name] = getattr(p, name) - self.lr * m / (np.sqrt(v) + 1e-8)
-        return unit_decoder(SaeParams(**new))
+            new[name], self.m[name], self.v[name] = moved(getattr(self.params, name), g, self.m.get(name, 0.0), self.v.get(name, 0.0), self.t, self.cfg.rate)
+        self.params = unit_decoder(SaeParams(**new))
+
+    def loss(self, part: int) -> float:
+        return reconstruction_loss(self.parts[part], self.params, self.cfg.k)
+
+    def keep(self) -> None:
+        self.best = self.params
+
+    def close(self) -> None:
+        """Nothing is left behind."""
+
+
+#: One latent while it is fitted: encoder, decoder and encoder bias end to end, and both moments of that.
+_FITTED = T.StructType([T.StructField("latent_id", T.IntegerType()), *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("p", "m", "v"))])
+
+
+class InBlocks:
+    """A model of any size: latents and their Adam state lie in tables by group, and a step takes one group at a time.
+
+    The steps are those of :class:`Whole`; driver and tasks hold a group of at most ``max_bytes`` and vectors of length d.
+    """
+
+    def __init__(self, parts: dict[int, DataFrame], start: SaeParams | None, cfg: FitConfig, d: int, max_bytes: int):
+        self.spark = next(iter(parts.values())).sparkSession
+        self.shelf, self.data, self.cfg, self.d = Shelf(self.spark), Shelf(self.spark), cfg, d
+        self.parts, self.chunks = parts, {}
+        self.groups = groups_of(cfg.n_latents, d, max_bytes, FIT_COPIES)
+        self.t, self.fired = 0, np.zeros(cfg.n_latents, bool)
+        self.b_dec = np.zeros(d) if start is None else start.b_dec
+        self.moments = np.zeros((2, d))
+        self.tables, self.numbers, self.kept = [], [], []
+        rng = np.random.default_rng(cfg.seed)
+        for a, b in self.groups:
+            if start is None:  # the same numbers as one draw of the whole
+                w = rng.standard_normal((b - a, d))
+                own = np.hstack([w, w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-8), np.zeros((b - a, 1))])
+            else:
+                own = np.hstack([start.w_enc[a:b], start.w_dec[a:b], start.b_enc[a:b, None]])
+            self.tables.append(self._table(a, own, np.zeros_like(own), np.zeros_like(own)))
+            self.numbers.append(self.shelf.n)
+        self.keep()
+
+    def _table(self, first: int, *columns: np.ndarray) -> DataFrame:
+        ids = pa.array(np.arange(first, first + len(columns[0]), dtype=np.int32))
+        table = pa.Table.from_arrays([ids, *map(vectors_column, columns)], names=_FITTED.fieldNames())
+        return self.shelf.put(self.spark.createDataFrame(table, _FITTED))
+
+    def _latents(self, tables: list[DataFrame], b_dec: np.ndarray) -> LatentTable:
+        d, rows = self.d, tables[0]
+        for table in tables[1:]:
+            rows = rows.unionByName(table)
+        latents = rows.select("latent_id", F.slice("p", 1, d).alias("w_enc"), F.slice("p", d + 1, d).alias("w_dec"), F.element_at("p", 2 * d + 1).alias("b_enc"))
+        model = LatentTable(latents, b_dec)
+        model.groups = self.groups
+        return model
+
+    def _residuals(self, shelf: Shelf, part: int) -> DataFrame:
+        if part not in self.chunks:
+            self.chunks[part] = packed(self.data, self.parts[part], "vector")
+        model = self._latents(self.tables, self.b_dec)
+        return residuals_of(shelf, self.chunks[part], codes_of(shelf, self.chunks[part], model, self.cfg.k), model)
+
+    def step(self, part: int) -> None:
+        d = self.d
+        self.t += 1
+        tables, numbers, slope, n = [], [], np.zeros(d), 0
+        with Shelf(self.spark) as shelf:
+            off = self._residuals(shelf, part)
+            for (a, b), table in zip(self.groups, self.tables):
+                state = table.toArrow().sort_by("latent_id")  # one group
+                p, m, v = (matrix(state[c]) for c in ("p", "m", "v"))
+                rows, shared = gradient_rows(off, p[:, d : 2 * d], self.b_dec, a)
+                total, n = _collect_sums(rows)
+                shared.destroy()
+                grads = total[:-1, : 2 * d + 1]
+                self.fired[a:b] |= total[:-1, -1] > 0
+                slope -= grads[:, -1] @ p[:, :d]
+                if a == 0:
+                    slope += total[-1, :d]
+                p, m, v = moved(p, grads / (n * d), m, v, self.t, self.cfg.rate)
+                p[:, d : 2 * d] /= np.maximum(np.linalg.norm(p[:, d : 2 * d], axis=1, keepdims=True), 1e-8)
+                tables.append(self._table(a, p, m, v))
+                numbers.append(self.shelf.n)
+        self.b_dec, *self.moments = moved(self.b_dec, slope / (n * d), *self.moments, self.t, self.cfg.rate)
+        self.tables, self.numbers = tables, numbers
+        self.shelf.clear({*self.numbers, *self.kept})
+
+    def loss(self, part: int) -> float:
+        with Shelf(self.spark) as shelf:
+            return squared_error(self._residuals(shelf, part), self.d)
+
+    def keep(self) -> None:
+        self.best, self.kept = self._latents(self.tables, self.b_dec), self.numbers
+        self.best.shelf = self.shelf
+
+    def close(self) -> None:
+        self.data.close()
+        self.shelf.clear({*self.kept})
 
 
 def _pack(p: SaeParams, fired: np.ndarray) -> np.ndarray:
@@ -156,6 +264,7 @@ def full_gradient(rows: DataFrame, p: SaeParams, k: int) -> tuple[dict[str, np.n
             yield _part(total, n)
 
     total, n = _collect_sums(rows.mapInArrow(run, _PART))
+    shared.destroy()
     grads, fired = _unpack(total / (n * d), d)
     return {f: getattr(grads, f) for f in ("w_enc", "w_dec", "b_enc", "b_dec")}, fired, total[-1, d] / (n * d)
 
@@ -175,11 +284,18 @@ def reconstruction_loss(rows: DataFrame, p: SaeParams, k: int, vector_col: str =
             errors.append((off**2).mean(axis=1))
         return pa.array(np.concatenate(errors))
 
-    return rows.select(row_error(vector_col).alias("e")).agg(F.avg("e")).first()[0]
+    found = rows.select(row_error(vector_col).alias("e")).agg(F.avg("e")).first()[0]
+    shared.destroy()
+    return found
 
 
 def fit_topk_sae(
-    df: DataFrame, cfg: FitConfig, id_col: str = "global_idx", vector_col: str = "vector", start: SaeParams | None = None
+    df: DataFrame,
+    cfg: FitConfig,
+    id_col: str = "global_idx",
+    vector_col: str = "vector",
+    start: SaeParams | None = None,
+    max_bytes: int = MAX_PARAM_BYTES,
 ) -> FitResult:
     """Fits on the training share, stops when the validation loss has not improved for ``patience`` epochs, and
     returns the parameters of the best epoch. ``start`` replaces the random start.
@@ -188,7 +304,8 @@ def fit_topk_sae(
     state lasts for the whole fit. Parts depend on ids only and their number is a setting, so neither the number of rows,
     partitions or cores nor the storage layout changes the method. The rows are written once, by part, to the shared
     folder; a step reads its part there, in tasks as large as the scan makes them, and a lost executor costs a repeated
-    read.
+    read. A model that takes more than ``max_bytes`` with its state is fitted by groups of latents (:class:`InBlocks`), in the
+    same steps; its table lies in the scratch folder until it is written elsewhere.
     """
     spark = df.sparkSession
     rows = train_val_split(df.select(F.col(id_col).alias("_id"), F.col(vector_col).alias("vector")), cfg.val_frac, ["_id"], cfg.split_seed)
@@ -201,27 +318,29 @@ def fit_topk_sae(
         if not order:
             raise ValueError("no training rows")
         d = parts[order[0]]["d"]
-        if cfg.n_latents * d * 16 > MAX_MODEL_BYTES:
-            raise ValueError(f"a model of {cfg.n_latents} x {d} is above the size that driver and tasks can hold")
         schema = rows.select("vector").schema
         of = {p: spark.read.schema(schema).parquet(f"{folder}/_part={p}") for p in parts}
-        params = start_params(d, cfg.n_latents, cfg.seed) if start is None else start
-        result = FitResult(params, fired=np.zeros(cfg.n_latents, bool), n_train=sum(parts[p]["n"] for p in order))
-        adam, best, stale = Adam(cfg.rate), float("inf"), 0
+        if 8 * FIT_COPIES * cfg.n_latents * d <= max_bytes:
+            model = Whole(of, start_params(d, cfg.n_latents, cfg.seed) if start is None else start, cfg)
+        else:
+            model = InBlocks(of, start, cfg, d, max_bytes)
+        result = FitResult(model.best, n_train=sum(parts[p]["n"] for p in order))
+        best, stale = float("inf"), 0
         for epoch in range(cfg.max_epochs):
             for p in np.random.default_rng([cfg.seed, epoch]).permutation(order):
-                grads, fired, _ = full_gradient(of[p], params, cfg.k)
-                params = adam.step(params, grads)
-                result.fired |= fired
-            loss = reconstruction_loss(of[-1], params, cfg.k)
+                model.step(p)
+            loss = model.loss(-1)
             result.history.append({"epoch": epoch + 1, "val_loss": loss})
             if loss < best - cfg.min_gain:
-                best, stale, result.params = loss, 0, params
+                best, stale = loss, 0
+                model.keep()
             else:
                 stale += 1
                 if stale >= cfg.patience:
                     result.early_stopped = True
                     break
+        result.params, result.fired = model.best, model.fired
+        model.close()
     finally:
         remove(spark, folder)
     return result

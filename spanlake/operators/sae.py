@@ -18,7 +18,7 @@ from spanlake.schemas import CODE, SAE_PARAMS
 
 #: Parameters are sent to the executors in pieces of at most this size.
 MAX_PARAM_BYTES = 256 << 20
-#: The largest model (encoder and decoder) that the driver takes in and keeps between jobs.
+#: The largest model (encoder and decoder) that the driver takes in as arrays; larger ones stay tables (``latent_blocks``).
 MAX_MODEL_BYTES = 512 << 20
 
 
@@ -35,6 +35,10 @@ class SaeParams:
     def n_latents(self) -> int:
         return self.w_enc.shape[0]
 
+    @property
+    def d_in(self) -> int:
+        return self.w_enc.shape[1]
+
     @property
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The plain arrays, which is what tasks are sent."""
@@ -56,7 +60,7 @@ class SaeParams:
             F.count(F.lit(1)).alias("n"), F.max(F.size("w_enc")).alias("d"), F.max("latent_id").alias("last")
         ).first()
         if size["n"] * (size["d"] or 0) * 16 > max_bytes:
-            raise ValueError(f"latent table too large for one model: {size['n']} x {size['d']}")
+            raise ValueError(f"{size['n']} x {size['d']} latents are too many for arrays; use latent_blocks.LatentTable")
         if size["n"] and size["last"] != size["n"] - 1:
             raise ValueError("latent ids must be 0..n-1")
         table = latents.select("latent_id", "w_enc", "w_dec", F.col("b_enc").cast("double").alias("b_enc")).toArrow().sort_by("latent_id")

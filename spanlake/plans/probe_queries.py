@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.operators import fitting, probes
+from spanlake.operators import fitting, latent_blocks, probes
 from spanlake.plans import sql_parts as sp
 from spanlake.plans import training
 from spanlake.plans.catalog import query, r4, sql_r4, table
@@ -254,12 +254,29 @@ def _two_steps(k: int, n: int) -> fitting.FitConfig:
     return fitting.FitConfig(n_latents=n, k=k, steps=1, max_epochs=2, lr=_LR)
 
 
-@query("M1", _fit_sql(3) + f" SELECT epoch, {sql_r4('val_loss * 1000')} AS val_loss_milli FROM loss")
+_LOSSES = _fit_sql(3) + f" SELECT epoch, {sql_r4('val_loss * 1000')} AS val_loss_milli FROM loss"
+
+
+@query("M1", _LOSSES)
 def sae_fit(spark, sf):
     """Losses of a fit of all given vectors that starts at the label dictionary; longer fits are compared with NumPy in
     the tests."""
     start = dictionary(spark, sf)
     fit = fitting.fit_topk_sae(_given_vectors(spark, sf), _two_steps(3, start.n_latents), start=start)
+    return _losses(spark, fit)
+
+
+@query("M1", _LOSSES)
+def sae_fit_in_blocks(spark, sf):
+    """The same fit where no process may hold more than four latents with their state."""
+    start = dictionary(spark, sf)
+    most = 4 * 8 * latent_blocks.FIT_COPIES * start.d_in
+    fit = fitting.fit_topk_sae(_given_vectors(spark, sf), _two_steps(3, start.n_latents), start=start, max_bytes=most)
+    fit.params.close()
+    return _losses(spark, fit)
+
+
+def _losses(spark, fit: fitting.FitResult) -> DataFrame:
     rows = [(h["epoch"], float(h["val_loss"])) for h in fit.history]
     losses = spark.createDataFrame(rows, "epoch int, val_loss double")
     return losses.select("epoch", r4(F.col("val_loss") * 1000).alias("val_loss_milli"))

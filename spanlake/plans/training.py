@@ -7,7 +7,7 @@ from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 
-from spanlake.operators import fitting, metrics, pooling, sae
+from spanlake.operators import fitting, latent_blocks, metrics, pooling, sae
 from spanlake.schemas import RUN_CONFIG, RUN_METRICS
 from spanlake.session import cut_lineage
 from spanlake.sources import runs
@@ -27,6 +27,7 @@ def train_run(
     input_hash: str | None = None,
     force: bool = False,
     start: sae.SaeParams | None = None,
+    max_bytes: int = sae.MAX_PARAM_BYTES,
 ) -> str:
     """Fits one run on ``global_idx, vector`` and writes it; a finished run is left alone unless ``force``.
 
@@ -40,14 +41,19 @@ def train_run(
     x = vectors.select("global_idx", "vector")
     if centered:
         x = sae.center(x, pooling.global_center(response_vectors))
-    fit = fitting.fit_topk_sae(x, cfg, start=start)
-    coded = cut_lineage(sae.decode(sae.encode(x, fit.params, cfg.k), fit.params))
+    fit = fitting.fit_topk_sae(x, cfg, start=start, max_bytes=max_bytes)
+    with latent_blocks.Shelf(spark) as shelf:
+        if isinstance(fit.params, sae.SaeParams):
+            coded = sae.decode(sae.encode(x, fit.params, cfg.k), fit.params)
+        else:
+            coded = latent_blocks.coded(x, fit.params, cfg.k, ["global_idx"], shelf=shelf)
+        coded = cut_lineage(coded)
     ev = metrics.explained_variance(coded).first()["explained_variance"]
     rates = metrics.firing_rate(coded, cfg.n_latents).orderBy("latent_id").collect()  # one row per latent
     l0 = metrics.mean_l0(coded).first()["mean_l0"]
     epochs = len(fit.history)
     # fixed values: the fields of a run's two documents
-    known = dict(vars(cfg), layer=layer, centered=centered, lr=cfg.rate, d_in=fit.params.w_enc.shape[1], n_epochs_trained=epochs)
+    known = dict(vars(cfg), layer=layer, centered=centered, lr=cfg.rate, d_in=fit.params.d_in, n_epochs_trained=epochs)
     known |= {"batch_size": -(-fit.n_train // cfg.steps), "activations_input_hash": input_hash, "timestamp": datetime.now(UTC).isoformat()}
     config = {f: known[f] for f in RUN_CONFIG.fieldNames()}
     known |= {"final_recon_loss": fit.best_val_loss, "explained_variance": ev, "firing_rate": [r["firing_rate"] for r in rates]}
@@ -55,6 +61,8 @@ def train_run(
     measured = {f: known[f] for f in RUN_METRICS.fieldNames()}
     assigned = sae.assignments(coded, cfg.k)
     runs.write_run(run, folder, assigned, fit.params.to_table(spark), config, measured, fit.params.b_dec.tolist())
+    if isinstance(fit.params, latent_blocks.LatentTable):
+        fit.params.close()
     return run
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.functions import vectors
-from spanlake.operators import gates, index, metrics, pooling, sae
+from spanlake.operators import gates, index, latent_blocks, metrics, pooling, sae
 from spanlake.plans import sql_parts as sp
 from spanlake.plans.catalog import query, r4, sql_r4, table
 
@@ -136,6 +136,19 @@ def topk_codes_in_blocks(spark, sf):
     return _code_rows(sae.encode(emb, params, K, "embedding", max_bytes=block))
 
 
+def latent_table(spark, sf, latents_at_once: int) -> latent_blocks.LatentTable:
+    """The same dictionary, left as a table."""
+    latents = sae.centroid_latents(table(spark, sf, "embeddings"))
+    width = latents.agg(F.max(F.size("w_enc"))).first()[0]
+    return latent_blocks.LatentTable(latents, max_bytes=latents_at_once * 2 * 8 * width)
+
+
+@query("V2 V3", _CODE_ROWS)
+def topk_codes_of_table(spark, sf):
+    """The dictionary stays a table of which no process holds more than three latents."""
+    return _code_rows(latent_blocks.encode(table(spark, sf, "embeddings"), latent_table(spark, sf, 3), K, ["vec_id"], "embedding"))
+
+
 @query("V3", _CODE_ROWS)
 def topk_mask_of_arrays(spark, sf):
     z = sae.preactivations(table(spark, sf, "embeddings"), dictionary(spark, sf), "embedding")
@@ -160,6 +173,12 @@ def reconstructions(spark, sf):
     return _entries(_decoded(spark, sf), "vec_id", col="xhat")
 
 
+@query("V4", _XHAT + f" SELECT vec_id, dim, {sql_r4('h')} AS value FROM recon")
+def reconstructions_of_table(spark, sf):
+    emb = table(spark, sf, "embeddings")
+    return _entries(latent_blocks.coded(emb, latent_table(spark, sf, 4), K, ["vec_id"], "embedding"), "vec_id", col="xhat")
+
+
 @query(
     "V5",
     f"""WITH {_LONG}, m AS (SELECT label, dim, sum(x) AS s FROM long GROUP BY label, dim)

@@ -193,10 +193,13 @@ def test_fit_matches_numpy_over_several_epochs(spark):
     fit = fitting.fit_topk_sae(df, cfg)
     split = index.train_val_split(df, cfg.val_frac, ["global_idx"]).collect()
     train, val = (np.array([r.vector for r in split if r.is_val == v]) for v in (False, True))
-    params, adam = fitting.start_params(x.shape[1], 6, 0), fitting.Adam(0.02)
+    params, m, v = fitting.start_params(x.shape[1], 6, 0), {}, {}
     for h in fit.history:
         grads, _, _ = fitting.gradients(params, train, 2)
-        params = adam.step(params, {n: g / train.size for n, g in grads.items()})
+        new = {}
+        for n, g in grads.items():
+            new[n], m[n], v[n] = fitting.moved(getattr(params, n), g / train.size, m.get(n, 0), v.get(n, 0), h["epoch"], 0.02)
+        params = fitting.unit_decoder(sae.SaeParams(**new))
         _, _, off = fitting.gradients(params, val, 2)
         assert h["val_loss"] == pytest.approx(off / val.size)
 
