@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 
 from spanlake.functions.arrays import list_column, list_parts, matrix, vectors_column
 from spanlake.functions.vectors import doubles
-from spanlake.operators.segment import overlap_join
 
 _N, _TOTAL = "_n", "_total"
 #: Partial sums of a task that are kept open together.
@@ -141,32 +140,152 @@ def global_center(response_vectors: DataFrame, vector_col: str = "vector", out:
     return mean_vectors(response_vectors, [], vector_col, out).select(out)
 
 
+def _prefix_sums(groups: Sequence[str], span_keys: Sequence[str], width: int):
+    """Vector sums of span pieces over sorted rows: those of a group adjacent, its pieces before its vectors, these by place.
+
+    A running sum over the vectors gives each piece as the difference of two of its rows. Only the rows of the last group of
+    a batch, of at most ``width`` places, are held until the next one.
+    """
+
+    def pooled(batch: pa.RecordBatch, group: np.ndarray) -> pa.RecordBatch:
+        column = lambda c: batch.column(batch.schema.get_field_index(c))
+        numbers = lambda c: column(c).to_numpy(zero_copy_only=False)
+        is_piece = numbers("_kind") == 0
+        piece, token = np.flatnonzero(is_piece), np.flatnonzero(~is_piece)
+        key = group * (width + 1) + numbers("_from")
+        low = np.searchsorted(key[token], key[piece])
+        high = np.searchsorted(key[token], group[piece] * (width + 1) + numbers("_to")[piece])
+        n = high - low
+        piece, low, high, n = (v[n > 0] for v in (piece, low, high, n))
+        sums = np.zeros((0, 0))
+        if len(piece):
+            x = matrix(column(_TOTAL).take(pa.array(token)))
+            running = np.vstack([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0)])
+            sums = running[high] - running[low]
+        heads = [column(c).take(pa.array(piece)) for c in span_keys]
+        return pa.RecordBatch.from_arrays([*heads, pa.array(n.astype(np.int64)), vectors_column(sums)], names=[*span_keys, _N, _TOTAL])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            rows = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+            codes = _codes(rows, groups)
+            group = np.cumsum(np.concatenate([[0], codes[1:] != codes[:-1]]))
+            last = int(np.searchsorted(group, group[-1]))
+            if last:
+                yield pooled(rows.slice(0, last), group[:last])
+            held = [rows.slice(last)]
+        if held:
+            yield pooled(held[0], np.zeros(held[0].num_rows, np.int64))
+
+    return run
+
+
+def _fold_sums(keys: Sequence[str]):
+    """Means of adjacent rows with equal keys from their sums and numbers; rows without a sum count for nothing, and keys
+    without any have a null mean. One open key is kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, open_n, open_total = None, 0, None
+
+        def out(heads: list[pa.Array], n: np.ndarray, totals: list) -> pa.RecordBatch:
+            full = n > 0
+            sums = [t for t, f in zip(totals, full) if f]
+            means = np.vstack(sums) / n[full][:, None] if sums else np.zeros((0, 0))
+            size = np.concatenate([[0], np.cumsum(np.where(full, means.shape[1], 0))])
+            offsets = pa.array(size.astype(np.int32), mask=np.append(~full, False))  # a null offset marks a null list
+            return pa.RecordBatch.from_arrays(
+                [*heads, pa.ListArray.from_arrays(offsets, pa.array(means.reshape(-1))), pa.array(n, pa.int64())], names=[*keys, "vector", "n_vectors"]
+            )
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            codes = _codes(batch, keys)
+            starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+            n = np.add.reduceat(batch.column(len(keys)).to_numpy(zero_copy_only=False), starts)
+            column = batch.column(len(keys) + 1)
+            there = column.is_valid().to_numpy(zero_copy_only=False)
+            x = matrix(column.take(pa.array(np.flatnonzero(there))))
+            place = np.concatenate([[0], np.cumsum(there)])[np.append(starts, len(there))]
+            totals: list = [x[a:b].sum(axis=0) if b > a else None for a, b in zip(place, place[1:])]
+            heads = [batch.column(i).take(pa.array(starts)) for i in range(len(keys))]
+            if open_key is not None:
+                if [h[0].as_py() for h in heads] == [h[0].as_py() for h in open_key]:
+                    n[0] += open_n
+                    if open_total is not None:
+                        totals[0] = open_total if totals[0] is None else totals[0] + open_total
+                else:
+                    yield out(open_key, np.array([open_n]), [open_total])
+            last = len(starts) - 1
+            if last:
+                yield out([h.slice(0, last) for h in heads], n[:last], totals[:last])
+            open_key, open_n, open_total = [h.slice(last) for h in heads], int(n[last]), totals[last]
+        if open_key is not None:
+            yield out(open_key, np.array([open_n]), [open_total])
+
+    return run
+
+
 def mean_pool(
     token_vectors: DataFrame,
     spans: DataFrame,
     response_col: str = "response_id",
     span_cols: Sequence[str] = ("sent_idx",),
     extra_keys: Sequence[str] = ("layer",),
-    width: int = 64,
+    width: int = 1024,
 ) -> DataFrame:
     """Mean of the token vectors in ``[tok_start, tok_end)`` of each span, per layer, and ``n_vectors``, how many were there.
 
     Every span has a row for each layer of its response, or one with null keys when the response has no vector at all;
-    without a vector in the span the mean is null and ``n_vectors`` 0.
-    Spans and tokens meet in buckets of ``width`` tokens, so a long response is shared by several tasks.
+    without a vector in the span the mean is null and ``n_vectors`` 0. Null vectors count as not there.
+
+    Token positions are cut into runs of ``width``; each run's vectors come together in one sorted stream, whose running sum
+    gives any span as a difference, so no vector is copied or joined, and a long response is shared by several tasks. A span
+    over several runs has a piece in each, and the pieces' sums are added up.
     """
-    named = spans.select(response_col, *span_cols, "tok_start", "tok_end")
-    real = named.filter(F.col("tok_end") > F.col("tok_start"))
-    tokens = token_vectors.withColumn("_tok_end", F.col("tok_idx") + 1)
-    # a token lies in one bucket only, so no pair is counted twice
-    hits = overlap_join(real, tokens, [response_col], ("tok_start", "tok_end"), ("tok_idx", "_tok_end"), width, "inner")
     keys = [response_col, *span_cols, *extra_keys]
-    pooled = mean_vectors(hits, keys).withColumnRenamed("n", "n_vectors")
-    every = named.select(response_col, *span_cols)
+    every = spans.select(response_col, *span_cols, "tok_start", "tok_end")
     if extra_keys:
+        # which layers a response has; of the vectors only the keys are read
         every = every.join(token_vectors.select(response_col, *extra_keys).distinct(), response_col, "left")
-    found = every.join(pooled, keys, "left")
-    return found.select(*keys, "vector", F.coalesce("n_vectors", F.lit(0)).cast("long").alias("n_vectors"))
+    start, end = F.col("tok_start").cast("long"), F.col("tok_end").cast("long")
+    runs = F.sequence(F.floor(start / width), F.floor((end - 1) / width))
+    pieces = every.filter(end > start).withColumn("_run", F.explode(runs))
+    base = F.col("_run") * width
+    pieces = pieces.select(
+        *keys,
+        "_run",
+        F.lit(0).alias("_kind"),
+        F.greatest(start - base, F.lit(0)).alias("_from"),
+        F.least(end - base, F.lit(width)).alias("_to"),
+        F.lit(None).cast("array<double>").alias(_TOTAL),
+    )
+    place = F.col("tok_idx").cast("long")
+    tokens = token_vectors.filter(F.col("vector").isNotNull()).select(
+        response_col,
+        *[F.lit(None).cast(every.schema[c].dataType).alias(c) for c in span_cols],
+        *extra_keys,
+        F.floor(place / width).alias("_run"),
+        F.lit(1).alias("_kind"),
+        F.pmod(place, F.lit(width)).alias("_from"),
+        F.lit(0).cast("long").alias("_to"),
+        doubles(F.col("vector")).alias(_TOTAL),
+    )
+    groups = [response_col, *extra_keys, "_run"]
+    both = tokens.unionByName(pieces).repartition(*groups).sortWithinPartitions(*groups, "_kind", "_from")
+    schema = T.StructType(
+        [T.StructField(k, every.schema[k].dataType) for k in keys]
+        + [T.StructField(_N, T.LongType()), T.StructField(_TOTAL, T.ArrayType(T.DoubleType()))]
+    )
+    sums = both.mapInArrow(_prefix_sums(groups, keys, width), schema)
+    # each span stands here once without a sum, so that none is missing below
+    nothing = every.select(*keys, F.lit(0).cast("long").alias(_N), F.lit(None).cast("array<double>").alias(_TOTAL))
+    merged = sums.unionByName(nothing).repartition(*keys).sortWithinPartitions(*keys)
+    out = T.StructType([*schema.fields[: len(keys)], T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("n_vectors", T.LongType())])
+    return merged.mapInArrow(_fold_sums(keys), out)
 
 
 def pool_nested(df: DataFrame, vectors_col: str, spans_col: str, out: str = "pooled") -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +17,7 @@ from spanlake.plans.probe_queries import _ACTS, _RATES, _acts, _labels, rates_by
 from spanlake.plans.text_queries import SHORT, SKIPS_SQL, chat_sql
 from spanlake.plans.vector_queries import K, dictionary
 from spanlake.schemas import GENERATION
-from spanlake.session import remove, scratch_dir
+from spanlake.session import scratch_dir
 from spanlake.sources import freeze, generations, papers, prompts, runs, tables
 from spanlake.streaming.ingest import ingest_stream, read_ingested
 
@@ -210,39 +208,23 @@ def stored_paper_results(spark, sf):
     return found.select("model", "metric", r4("value").alias("value"))
 
 
-def _as_file(df: DataFrame, path: str, kind: str) -> None:
-    """A small frame as one file of the given name."""
-    spark = df.sparkSession
-    folder = scratch_dir(spark)
-    writer = df.coalesce(1).write
-    writer.csv(folder, header=True, escape='"', quoteAll=True) if kind == "csv" else writer.text(folder)
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    at = fs_path(folder)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    part = next(f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-"))
-    fs.mkdirs(fs_path(path).getParent())
-    fs.rename(part, fs_path(path))
-    remove(spark, folder)
+_UNPIVOTED = """(UNPIVOT (SELECT o_orderkey, o_orderpriority, o_orderstatus || ' of "' || o_orderkey || '"' AS note, o_orderstatus AS status FROM orders)
+      ON note, status INTO NAME prompt_col VALUE text)"""
 
 
 @query(
     "S1 S2 P1 P2",
-    f"""SELECT r_name AS dataset, r_regionkey % 2 = 0 AS known, prompt_col,
-       CASE WHEN r_regionkey % 2 = 0 THEN n_nationkey::VARCHAR END AS row_id, CASE WHEN r_regionkey % 2 = 0 THEN {sp.strip('text')} END AS text
-FROM (UNPIVOT (SELECT n_nationkey, n_regionkey, n_name || ' ' || n_nationkey AS n_name, n_name AS n_comment FROM nation) ON n_name, n_comment
-      INTO NAME prompt_col VALUE text) JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey % 2 = 0
-UNION ALL SELECT r_name, false, NULL, NULL, NULL FROM region WHERE r_regionkey % 2 = 1""",
+    f"""SELECT o_orderpriority AS dataset, true AS known, prompt_col, o_orderkey::VARCHAR AS row_id, {sp.strip('text')} AS text
+FROM {_UNPIVOTED} WHERE o_orderpriority[1] IN ('1', '3', '5')
+UNION ALL SELECT DISTINCT o_orderpriority, false, NULL, NULL, NULL FROM orders WHERE o_orderpriority[1] NOT IN ('1', '3', '5')""",
 )
 def listed_sources(spark, sf):
-    """A prompt file per region; those of even regions have a specification and are read, the others are only listed."""
+    """A prompt source per priority, written by Spark; three have a specification and are read, the others are only listed."""
     folder = scratch_dir(spark)
-    nation = table(spark, sf, "nation").withColumn("n_comment", F.col("n_name")).withColumn("n_name", F.concat_ws(" ", "n_name", "n_nationkey"))
-    specs = {}
-    for region in table(spark, sf, "region").collect():  # five rows
-        rows = nation.where(F.col("n_regionkey") == region.r_regionkey).select("n_nationkey", "n_name", "n_comment")
-        _as_file(rows, f"{folder}/{region.r_name}.csv", "csv")
-        if region.r_regionkey % 2 == 0:
-            specs[f"{region.r_name}.csv"] = ("n_nationkey", ("n_name", "n_comment"))
+    note = F.concat("o_orderstatus", F.lit(' of "'), "o_orderkey", F.lit('"'))
+    rows = table(spark, sf, "orders").select("o_orderkey", note.alias("note"), F.col("o_orderstatus").alias("status"), F.concat("o_orderpriority", F.lit(".csv")).alias("file"))
+    rows.write.partitionBy("file").csv(folder, header=True, escape='"', quoteAll=True)
+    specs = {f"{name}.csv": ("o_orderkey", ("note", "status")) for name in ("1-URGENT", "3-MEDIUM", "5-LOW")}
     known, unknown = prompts.list_prompt_sources(spark, folder, specs)
     read = prompts.read_prompts(spark, folder, specs)
     name = F.regexp_replace("file_name", "[.]csv$", "").alias("dataset")
@@ -250,20 +232,42 @@ def listed_sources(spark, sf):
     return listed.unionByName(unknown.select(name, F.lit(False).alias("known")), allowMissingColumns=True)
 
 
+_RUN_SQL = "'L' || lpad((label + 10)::VARCHAR, 2, '0') || '_n3_k3_uncentered_s' || (vec_id // 50)"
+
+
 @query(
-    "S8 J6 P11",
-    """WITH r AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
-SELECT 'L' || lpad((label + 10)::VARCHAR, 2, '0') || '_n2_k3_uncentered_s0' AS run, 2 AS n_latents, i::INTEGER AS latent_id, n AS cluster_size,
-       CASE i WHEN 0 THEN 0.25 ELSE 0.0 END::DOUBLE AS firing_rate, 'ok' AS status, 'group ' || label AS title, NULL::VARCHAR AS description
-FROM r, range(2) AS t(i) WHERE label = 4""",
+    "S8 S12 J6 P11",
+    f"""WITH v AS (SELECT {_RUN_SQL} AS run, label + 10 AS layer, vec_id % 3 AS latent_id FROM embeddings),
+n AS (SELECT run, layer, i::INTEGER AS latent_id, count(*) FILTER (latent_id = i) AS cluster_size, count(*) AS n FROM v, range(3) AS t(i) GROUP BY ALL),
+r AS (
+  SELECT layer, run, 3 AS n_latents, latent_id, cluster_size, cluster_size / n::DOUBLE AS firing_rate,
+         CASE WHEN cluster_size > 0 THEN 'ok' ELSE 'skipped_empty_cluster' END AS status,
+         CASE WHEN cluster_size > 0 THEN 'group "' || run || '/' || latent_id || '"' END AS title, NULL::VARCHAR AS description FROM n)
+SELECT 'all' AS scope, * EXCLUDE (layer) FROM r UNION ALL SELECT 'one layer', * EXCLUDE (layer) FROM r WHERE layer = 14""",
 )
 def documents_of_runs(spark, sf):
-    """A run per label, kept as JSON documents; those of one layer are read."""
+    """A run per label and fifty vectors, kept as JSON documents that Spark writes; all are read, then those of one layer."""
     folder = scratch_dir(spark)
-    for r in table(spark, sf, "embeddings").groupBy("label").count().collect():  # one row per label
-        run = f"{folder}/L{r['label'] + 10:02d}_n2_k3_uncentered_s0"
-        labels = [{"latent_id": i, "cluster_size": r["count"], "status": "ok", "title": f"group {r['label']}"} for i in (0, 1)]
-        documents = {"config": {"layer": r["label"] + 10, "n_latents": 2}, "metrics": {"firing_rate": [0.25, 0.0]}, "labels": labels}
-        for name, content in documents.items():
-            _as_file(spark.createDataFrame([(json.dumps(content),)], "value string"), f"{run}/{name}.json", "text")
-    return reports.run_summary(reports.join_runs(*runs.read_runs(spark, folder, 14)))
+    run = F.concat(F.lit("L"), F.lpad((F.col("label") + 10).cast("string"), 2, "0"), F.lit("_n3_k3_uncentered_s"), F.floor(F.col("vec_id") / 50))
+    vecs = table(spark, sf, "embeddings").select(run.alias("run"), (F.col("label") + 10).alias("layer"), (F.col("vec_id") % 3).alias("latent"))
+    sizes = [F.count_if(F.col("latent") == i) for i in range(3)]
+    found = vecs.groupBy("run", "layer").agg(F.array(*sizes).alias("size"), F.count("*").alias("n"))
+
+    def label(size, i):
+        title = F.when(size > 0, F.concat(F.lit('group "'), "run", F.lit("/"), i, F.lit('"')))
+        status = F.when(size > 0, "ok").otherwise("skipped_empty_cluster")
+        return F.struct(i.cast("int").alias("latent_id"), size.alias("cluster_size"), status.alias("status"), title.alias("title"))
+
+    documents = {
+        "config": F.struct("layer", F.lit(3).alias("n_latents")),
+        "metrics": F.struct(F.transform("size", lambda x: x / F.col("n")).alias("firing_rate")),
+        "labels": F.transform("size", label),
+    }
+    entries = F.array(*[F.struct(F.lit(f"{name}.json").alias("file"), F.to_json(content).alias("value")) for name, content in documents.items()])
+    rows = found.select("run", F.explode(entries).alias("e")).select("run", "e.file", "e.value")
+    rows.repartition("run").write.partitionBy("run", "file").text(folder)
+    read = [
+        reports.run_summary(reports.join_runs(*runs.read_runs(spark, folder, layer))).select(F.lit(scope).alias("scope"), "*")
+        for scope, layer in (("all", None), ("one layer", 14))
+    ]
+    return read[0].unionByName(read[1])

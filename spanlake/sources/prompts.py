@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,11 +29,21 @@ def read_prompt_csv(spark: SparkSession, path: str) -> DataFrame:
 def list_prompt_sources(
     spark: SparkSession, folder: str, specs: Mapping[str, Spec] = PROMPT_SPECS, excluded: Sequence[str] = ()
 ) -> tuple[DataFrame, DataFrame]:
-    """``(known, unknown)`` CSV files of a folder, sorted by name; excluded ones are in neither."""
+    """``(known, unknown)`` CSV sources of a folder, ``file_name, path`` sorted by name; excluded ones are in neither.
+
+    A source is a file, or a folder of part files named like one (``x.csv/part-*.csv``, or ``file=x.csv/…`` as Spark's
+    partitioned writer leaves it).
+    """
     # only the listing is read: no column of the files' content is asked for
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path")
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("_enc"), "path")
-    named = named.select(F.url_decode(F.replace("_enc", F.lit("+"), F.lit("%2B"))).alias("file_name"), "path")
+    options = {"pathGlobFilter": "*.csv", "recursiveFileLookup": "true"}
+    files = spark.read.format("binaryFile").options(**options).load(folder).select("path")
+    below = F.regexp_extract("path", f"/{re.escape(folder.rstrip('/').rsplit('/', 1)[-1])}/((?:file=)?[^/]+[.]csv)(?:/part-[^/]*)?$", 1)
+    named = files.withColumn("_enc", below).filter("_enc <> ''")
+    at = F.regexp_extract("path", "^(.*[.]csv)(?:/part-[^/]*)$", 1)
+    decoded = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    named = named.withColumn("path", decoded(F.when(at != "", at).otherwise(F.col("path"))))
+    plain = F.regexp_replace(decoded(F.col("_enc")), "^file=", "")
+    named = named.select(plain.alias("file_name"), "path").distinct()
     if excluded:
         named = named.filter(~F.col("file_name").isin(list(excluded)))
     has_spec = F.col("file_name").isin(list(specs))
@@ -44,11 +55,11 @@ def read_prompts(
 ) -> DataFrame:
     """The prompts of all known files of a folder."""
     known, _ = list_prompt_sources(spark, folder, specs, excluded)
-    names = [row["file_name"] for row in known.select("file_name").collect()]  # at most one per spec
+    found = [(row["file_name"], row["path"]) for row in known.collect()]  # at most one per spec
     frames = []
-    for name in names:
+    for name, path in found:
         id_col, prompt_cols = specs[name]
-        csv = read_prompt_csv(spark, f"{folder}/{name}")
+        csv = read_prompt_csv(spark, path)
         frames.append(melt_prompts(csv, name.removesuffix(".csv"), id_col or INDEX_COL, prompt_cols))
     if not frames:
         raise FileNotFoundError(f"no prompt file with a spec in {folder}")

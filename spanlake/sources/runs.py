@@ -14,20 +14,20 @@ from spanlake.schemas import LABEL, RUN_CONFIG, RUN_METRICS
 from spanlake.session import remove
 
 
-def _run_of(path: Column, levels_up: int) -> Column:
-    return F.element_at(F.split(path, "/"), -1 - levels_up)
-
-
-def _read_documents(spark: SparkSession, folder: str, file_name: str, schema: T.StructType, layer: int | None) -> DataFrame:
-    # the folders of other layers are not even listed
-    glob = f"{folder}/{'*' if layer is None else _layer_prefix(layer) + '*'}/{file_name}"
+def _read_documents(spark: SparkSession, folder: str, name: str, schema: T.StructType, layer: int | None) -> DataFrame:
+    # the folders of other layers are not even listed; a document is a file, or what a writer partitioned by run and file left
+    prefix = "" if layer is None else _layer_prefix(layer)
+    glob = f"{folder}/{{,run=}}{prefix}*/{{,file=}}{name}.json"
     df = spark.read.schema(schema).option("mode", "FAILFAST").json(glob, multiLine=True)
-    return df.select(_run_of(F.col("_metadata.file_path"), 1).alias("run"), "*")
+    run = F.regexp_extract("_metadata.file_path", f"([^/=]+)/(?:file=)?{name}[.]json(?:/[^/]+)?$", 1)
+    return df.select(run.alias("run"), "*")
 
 
 def read_runs(spark: SparkSession, folder: str, layer: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(config, metrics, labels)`` of all runs of a folder that keeps each as JSON documents, keyed by run."""
-    files = (("config.json", RUN_CONFIG), ("metrics.json", RUN_METRICS), ("labels.json", LABEL))
+    """``(config, metrics, labels)`` of all runs of a folder that keeps each as JSON documents, keyed by run.
+
+    A run's documents lie in a folder of its name, or as Spark's writer partitions them (``run=.../file=config.json``)."""
+    files = (("config", RUN_CONFIG), ("metrics", RUN_METRICS), ("labels", LABEL))
     return tuple(_read_documents(spark, folder, name, schema, layer) for name, schema in files)
 
 

@@ -38,6 +38,21 @@ def test_prompt_csv(spark, tmp_path):
         prompts.read_prompts(spark, str(tmp_path)).collect()
 
 
+def test_sources_with_blanks_and_in_parts(spark, tmp_path):
+    folder = str(tmp_path / "in put")
+    rows = [(i, f"text {i}", f"{'a b+c' if i % 2 else 'd'}.csv") for i in range(20)]
+    spark.createDataFrame(rows, "id long, prompt string, file string").repartition(3).write.partitionBy("file").csv(folder, header=True)
+    (tmp_path / "in put" / "one file.csv").write_text("id,prompt\n77,single\n", encoding="utf-8")
+    (tmp_path / "in put" / "deeper").mkdir()
+    (tmp_path / "in put" / "deeper" / "x.csv").write_text("id,prompt\n1,not listed\n", encoding="utf-8")
+    specs = {name: ("id", ("prompt",)) for name in ("a b+c.csv", "one file.csv")}
+    known, unknown = prompts.list_prompt_sources(spark, folder, specs)
+    assert [r.file_name for r in known.collect()] == ["a b+c.csv", "one file.csv"]
+    assert [r.file_name for r in unknown.collect()] == ["d.csv"]
+    read = sorted((r.dataset, int(r.row_id), r.text) for r in prompts.read_prompts(spark, folder, specs).collect())
+    assert read == [("a b+c", i, f"text {i}") for i in range(1, 20, 2)] + [("one file", 77, "single")]
+
+
 def generation(row_id, response, sample=0, prompt="Ask."):
     return {
         "dataset": "d",

@@ -124,6 +124,39 @@ def test_pooling_forms_agree(spark):
             assert mean is None if got[row.response_id, i, 1] is None else np.allclose(mean, got[row.response_id, i, 1])
 
 
+def test_pooling_by_prefix_sums(spark):
+    """Random spans over responses of which one holds most tokens, with gaps, null vectors and repeated places."""
+    rng = np.random.default_rng(6)
+    tokens, spans = [], []
+    for r, n in (("hot", 900), ("b", 40), ("c", 1), (None, 5)):
+        for t in range(n):
+            if t % 7 != 3:
+                tokens.append((r, 1, t, None if t % 11 == 5 else rng.normal(size=3).tolist()))
+            if t % 50 == 0:
+                tokens.append((r, 1, t, rng.normal(size=3).tolist()))
+    for i in range(120):
+        a = int(rng.integers(0, 900))
+        spans.append(("hot", i, a, a + int(rng.integers(0, 400))))
+    spans += [("b", 0, 0, 40), ("b", 1, 3, 4), ("b", 2, 39, 900), ("c", 0, 0, 1), ("none", 0, 0, 3), (None, 0, 0, 5)]
+    tv = spark.createDataFrame(tokens, "response_id string, layer int, tok_idx int, vector array<double>").repartition(6)
+    sp = spark.createDataFrame(spans, "response_id string, sent_idx long, tok_start long, tok_end long").repartition(3)
+    got = {(r.response_id, r.sent_idx): r for r in pooling.mean_pool(tv, sp, width=32).collect()}
+    assert len(got) == len(spans)
+    for r, i, a, b in spans:
+        inside = [v for q, _, t, v in tokens if q == r is not None and a <= t < b and v is not None]
+        row = got[r, i]
+        assert row.n_vectors == len(inside) and row.layer == (1 if r in ("hot", "b", "c") else None)
+        assert row.vector is None if not inside else np.allclose(row.vector, np.mean(inside, axis=0))
+
+
+def test_pooling_moves_each_vector_once(spark):
+    """Token vectors pass one exchange, by response and run of places; the other one moves sums of spans."""
+    tv = spark.createDataFrame([("a", 0, [1.0])], "response_id string, tok_idx long, vector array<double>")
+    sp = spark.createDataFrame([("a", 0, 0, 1)], "response_id string, sent_idx long, tok_start long, tok_end long")
+    plan = pooling.mean_pool(tv, sp, extra_keys=[])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "Join" not in plan and "hashpartitioning(response_id" in plan
+
+
 def test_dense_index(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), F.lit("x").alias("same")).repartition(9)
     rows = index.dense_index(df, [F.col("k").desc()]).collect()
