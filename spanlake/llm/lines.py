@@ -255,15 +255,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     Null texts stay null with no lines; columns of these two names are replaced.
     """
     out = [c for c in docs.columns if c not in ("n_lines", "n_kept")]
-    found = dropped_lines(docs, id_col, text).select(F.col("id").alias("__id"), F.col("key").alias("__key"), "dropped")
+    found = dropped_lines(docs, id_col, text).select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("dropped").alias("__dropped"))
     joined = docs.select(*out).join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (text_key(text) == F.col("__key")), "left")
     lines = F.split(F.col(text), "\n", -1)
     n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("long")
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("long")
-    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped"))
+    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped"))
     left = F.array_join(F.transform(keep, lambda i: F.element_at(lines, i + 1)), "\n")
     return joined.select(
-        *(F.when(F.col("dropped").isNull(), F.col(c)).otherwise(left).alias(c) if c == text else F.col(c) for c in out),
+        *(F.when(F.col("__dropped").isNull(), F.col(c)).otherwise(left).alias(c) if c == text else F.col(c) for c in out),
         n_lines.alias("n_lines"),
-        (n_lines - F.coalesce(F.size("dropped"), F.lit(0)) * F.col("dropped").isNotNull().cast("int")).cast("long").alias("n_kept"),
+        (n_lines - F.coalesce(F.size("__dropped"), F.lit(0)) * F.col("__dropped").isNotNull().cast("int")).cast("long").alias("n_kept"),
     )

@@ -111,28 +111,28 @@ def draws(docs: DataFrame, mix: Mix, id_col: str = "doc_id", source: str = "sour
     whole = F.floor(F.col("quota") / F.col("tokens"))
     n_blocks = F.ceil(F.col("tokens") / F.lit(mix.block_tokens))
     # stored, so that its size is known and Spark joins it without a shuffle of the documents where it is small
-    plan = stored(shares.select("__s", whole.alias("whole"), (F.col("quota") - whole * F.col("tokens")).alias("rest"), n_blocks.alias("n_blocks")))
+    plan = stored(shares.select("__s", whole.alias("__whole"), (F.col("quota") - whole * F.col("tokens")).alias("__rest"), n_blocks.alias("__n_blocks")))
     # a null id has the empty key
     row_key = F.md5(F.concat_ws("|", F.lit(str(mix.seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    block = F.conv(F.substring(row_key, 1, 12), 16, 10).cast("long") % F.coalesce("n_blocks", F.lit(1))
+    block = F.conv(F.substring(row_key, 1, 12), 16, 10).cast("long") % F.coalesce("__n_blocks", F.lit(1))
     keyed = docs.withColumns({"__s": _tag(source), "n_tokens": n_tokens(text)}).join(plan, "__s", "left").withColumn("block", block)
-    block_key = _key(mix.seed, F.col("whole"), F.col("__s"), F.col("block"))
-    id_key = _key(mix.seed, F.col("whole"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    narrow = keyed.where("rest > 0").select("__s", "rest", "block", "n_tokens", block_key.alias("bk"), id_key.alias("dk"))
-    blocks = narrow.groupBy("__s", "rest", "block", "bk").agg(F.sum("n_tokens").alias("t"))
+    block_key = _key(mix.seed, F.col("__whole"), F.col("__s"), F.col("block"))
+    id_key = _key(mix.seed, F.col("__whole"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    narrow = keyed.where("__rest > 0").select("__s", "__rest", "block", "n_tokens", block_key.alias("bk"), id_key.alias("dk"))
+    blocks = narrow.groupBy("__s", "__rest", "block", "bk").agg(F.sum("n_tokens").alias("t"))
     so_far = F.sum("t").over(Window.partitionBy("__s").orderBy("bk"))
-    cut = blocks.withColumn("end", so_far).where("end > rest").groupBy("__s").agg(F.min_by(F.struct("bk", (F.col("rest") - F.col("end") + F.col("t")).alias("left")), "bk").alias("c"))
-    cut = stored(cut.select("__s", F.col("c.bk").alias("cut_bk"), F.col("c.left").alias("left")))
+    cut = blocks.withColumn("end", so_far).where("end > __rest").groupBy("__s").agg(F.min_by(F.struct("bk", (F.col("__rest") - F.col("end") + F.col("t")).alias("left")), "bk").alias("c"))
+    cut = stored(cut.select("__s", F.col("c.bk").alias("__cut_bk"), F.col("c.left").alias("left")))
     # ties of the row key share one running sum, so equal rows stay together
-    inside = narrow.join(cut, (narrow["__s"] == cut["__s"]) & (F.col("bk") == F.col("cut_bk"))).select(narrow["__s"], "dk", "n_tokens", "left")
+    inside = narrow.join(cut, (narrow["__s"] == cut["__s"]) & (F.col("bk") == F.col("__cut_bk"))).select(narrow["__s"], "dk", "n_tokens", "left")
     taken = inside.groupBy("__s", "dk", "left").agg(F.sum("n_tokens").alias("t"))
     filled = F.sum("t").over(Window.partitionBy("__s").orderBy("dk"))
-    last = taken.withColumn("end", filled).where("end <= left").groupBy("__s").agg(F.max("dk").alias("cut_dk"))
-    cuts = stored(plan.join(cut, "__s", "left").join(last, "__s", "left").select("__s", "cut_bk", "cut_dk"))
+    last = taken.withColumn("end", filled).where("end <= left").groupBy("__s").agg(F.max("dk").alias("__cut_dk"))
+    cuts = stored(plan.join(cut, "__s", "left").join(last, "__s", "left").select("__s", "__cut_bk", "__cut_dk"))
     found = keyed.join(cuts, "__s", "left")
-    part = (F.col("rest") > 0) & (
-        F.col("cut_bk").isNull() | (block_key < F.col("cut_bk")) | ((block_key == F.col("cut_bk")) & F.coalesce(id_key <= F.col("cut_dk"), F.lit(False)))
+    part = (F.col("__rest") > 0) & (
+        F.col("__cut_bk").isNull() | (block_key < F.col("__cut_bk")) | ((block_key == F.col("__cut_bk")) & F.coalesce(id_key <= F.col("__cut_dk"), F.lit(False)))
     )
-    copies = F.when(F.col("whole").isNull(), 1).otherwise(F.col("whole") + part.cast("int")).cast("int")
+    copies = F.when(F.col("__whole").isNull(), 1).otherwise(F.col("__whole") + part.cast("int")).cast("int")
     found = found.withColumn("__copies", copies).where("__copies > 0")
     return found.select(*docs.columns, F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)).alias("epoch"), "block", "n_tokens")

@@ -45,9 +45,10 @@ def brute(rows, key_of):
 
 
 def run(spark, rows):
-    docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, key string, n_lines int")
+    more = ["key", "dropped", "id", "pos", "root", "h", "line", "bucket", "first", "node"]
+    docs = spark.createDataFrame([(d, t, 1, *more) for d, t in rows], "doc_id long, text string, n_lines int, " + ", ".join(f"{c} string" for c in more))
     out = lines.dedup(docs)
-    assert out.columns == ["doc_id", "text", "key", "n_lines", "n_kept"]
+    assert out.columns == ["doc_id", "text", *more, "n_lines", "n_kept"]
     keys = {r.t: r.k for r in docs.selectExpr("coalesce(text, '') AS t", "xxhash64(coalesce(text, '')) AS k").collect()}
     found = [(r.doc_id, r.n_lines, r.n_kept, r.text) for r in out.collect()]
     return sorted(found, key=str), sorted(brute(rows, keys), key=str)

@@ -93,10 +93,11 @@ CASES = WORDS + [(None, None, "a b c"), (None, None, "a b c"), (1, "none", None)
 @pytest.mark.parametrize("rows", [WORDS, CASES, CASES[-6:-4], [], WORDS[:1]], ids=["words", "cases", "no tokens", "empty", "one"])
 @pytest.mark.parametrize("mix", [Mix(), Mix(0.8, 4.0, 64), Mix(1.0, 2.0, 20, 3), Mix(0.9, 8.0, 40, 2, 3000), Mix(1.0, 50.0, 40, 2, 100)], ids=str)
 def test_draws(spark, rows, mix):
-    docs = spark.createDataFrame([(d, s, t, "x", 1) for d, s, t in rows], "doc_id long, source string, text string, epoch string, tokens int")
+    more = "epoch string, tokens int, rest int, whole int, n_blocks int, cut_bk string, cut_dk string, left int, bk int, dk int, t int, weight int, quota int"
+    docs = spark.createDataFrame([(d, s, t, "x", 1, 2, 3, 4, "y", "z", *range(6)) for d, s, t in rows], f"doc_id long, source string, text string, {more}")
     exponent, want = brute(rows, mix)
     got = mixing.draws(docs, mix)
-    assert got.columns == ["doc_id", "source", "text", "tokens", "epoch", "block", "n_tokens"]
+    assert got.columns == [*(c for c in docs.columns if c != "epoch"), "epoch", "block", "n_tokens"]
     assert Counter((r.doc_id, r.source, r.text) for r in got.collect()) == want
     found = {r.exponent for r in mixing.weights(docs, mix).collect()}
     assert found <= {exponent}
