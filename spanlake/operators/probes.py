@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 from spanlake import fixed
 from spanlake.functions.arrays import matrix, vectors_column
 from spanlake.functions.vectors import dot
+from spanlake.operators.fitting import moved
 from spanlake.operators.index import val_rule
-from spanlake.operators.pooling import sum_vectors
+from spanlake.operators.pooling import _codes, sum_vectors
 from spanlake.session import remove, scratch_dir
 
 
@@ -56,8 +57,8 @@ class ProbeConfig:
     seed: int = 0
 
 
-#: Weights of all probes together that the driver keeps between steps.
-MAX_WEIGHT_BYTES = 512 << 20
+#: Weights of the probes that are fitted together, with their Adam state; more probes are fitted wave by wave.
+MAX_WAVE_BYTES = 512 << 20
 
 
 _GROUP = ["family", "layer", "head"]
@@ -80,57 +81,82 @@ def probe_gradients(train: DataFrame, weights: dict[tuple, np.ndarray]) -> dict[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in _GROUP)))
+            if batch.num_rows == 0:
+                continue
+            codes = _codes(batch, _GROUP)
+            batch = batch.take(pa.array(np.argsort(codes, kind="stable")))
+            starts = np.append(np.flatnonzero(np.diff(np.sort(codes), prepend=-1)), batch.num_rows)
             labels = batch.column("label").to_numpy(zero_copy_only=False).astype(float)
-            rows: dict[tuple, list[int]] = {}
-            for i, key in enumerate(keys):
-                rows.setdefault(key, []).append(i)
-            for key, at in rows.items():
-                x = np.hstack([matrix(batch.column("vector").take(pa.array(at))), np.ones((len(at), 1))])
+            heads = [batch.column(c).take(pa.array(starts[:-1])) for c in _GROUP]
+            for at, key in enumerate(zip(*(h.to_pylist() for h in heads))):  # probes, not rows
+                own = slice(starts[at], starts[at + 1])
+                x = np.hstack([matrix(batch.column("vector")[own]), np.ones((own.stop - own.start, 1))])
                 w = shared.value.get(key, np.zeros(x.shape[1]))
                 p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-                heads = [pa.array([k], f.type) for k, f in zip(key, batch.select(_GROUP).schema)]
-                total = vectors_column((x.T @ (p - labels[at]))[None, :])
-                yield pa.RecordBatch.from_arrays([*heads, pa.array([len(at)], pa.int64()), total], names=schema.fieldNames())
+                total = vectors_column((x.T @ (p - labels[own]))[None, :])
+                yield pa.RecordBatch.from_arrays([*(h.slice(at, 1) for h in heads), pa.array([len(x)], pa.int64()), total], names=schema.fieldNames())
 
     sums = sum_vectors(train.mapInArrow(run, schema), _GROUP, "vector", "n").toLocalIterator()
-    return {tuple(r[c] for c in _GROUP): np.array(r["_total"]) / r["_n"] for r in sums}
-
-
-def fit_weights(train: DataFrame, cfg: ProbeConfig) -> dict[tuple, np.ndarray]:
-    """Weights and bias of every probe. One job per step for all probes: gradients are summed in the tasks, the weights and
-    their Adam state stay on the driver. The method is the same for every number of rows, and no probe's rows are held."""
-    size = train.groupBy(*_GROUP).agg(F.max(F.size("vector")).alias("d")).agg(F.sum(F.col("d") + 1)).first()[0] or 0
-    if size * 8 > MAX_WEIGHT_BYTES:
-        raise ValueError(f"{size} weights are more than the driver keeps")
-    w: dict[tuple, np.ndarray] = {}
-    m, v = {}, {}
-    for t in range(1, cfg.steps + 1):
-        for key, g in probe_gradients(train, w).items():
-            m[key] = 0.9 * m.get(key, 0.0) + 0.1 * g
-            v[key] = 0.999 * v.get(key, 0.0) + 0.001 * g * g
-            w[key] = w.get(key, 0.0) - cfg.lr * (m[key] / (1 - 0.9**t)) / (np.sqrt(v[key] / (1 - 0.999**t)) + 1e-8)
-    return w
-
-
-def fit_probes(dataset: DataFrame, cfg: ProbeConfig = ProbeConfig()) -> DataFrame:
+    found = {tuple(r[c] for c in _GROUP): np.array(r["_total"]) / r["_n"] for r in sums}
+    shared.destroy()
+    return found
+
+
+def waves_of(sizes: list[tuple[int, int]], max_bytes: int) -> int:
+    """How many waves by hash keep each wave's weights and moments within ``max_bytes``, from (hash, weights) per probe. A probe
+    that is larger by itself has a wave of its own."""
+    n = max(1, -(-24 * sum(size for _, size in sizes) // max_bytes))
+    while n < 1 << 20:
+        held: dict[int, list[int]] = {}
+        for h, size in sizes:
+            held.setdefault(h % n, []).append(size)
+        if all(24 * sum(own) <= max_bytes or len(own) == 1 for own in held.values()):
+            break
+        n *= 2
+    return n
+
+
+def fit_weights(train: DataFrame, cfg: ProbeConfig, folder: str, max_bytes: int = MAX_WAVE_BYTES) -> DataFrame:
+    """Weights and bias of every probe, written below ``folder``. One job per step for all probes of a wave: gradients are
+    summed in the tasks, weights and Adam state of the wave stay on the driver. Probes do not depend on each other, so waves
+    change nothing in the result; a wave's rows are laid out together once, and no probe's rows are held."""
+    spark, key_hash = train.sparkSession, F.xxhash64(*_GROUP)
+    # one row per probe
+    sizes = [(r["h"], r["d"] + 1) for r in train.groupBy(*_GROUP).agg(F.max(F.size("vector")).alias("d")).select(key_hash.alias("h"), "d").collect()]
+    n_waves = waves_of(sizes, max_bytes)
+    schema = T.StructType([*(train.schema[c] for c in _GROUP), T.StructField("weights", T.ArrayType(T.DoubleType()))])
+    if n_waves > 1:
+        train.withColumn("_wave", F.pmod(key_hash, F.lit(n_waves))).repartition("_wave", F.pmod(F.xxhash64("vector"), F.lit(64))).write.partitionBy("_wave").parquet(f"{folder}/waves")
+    spark.createDataFrame([], schema).write.parquet(f"{folder}/weights")
+    for wave in sorted({h % n_waves for h, _ in sizes}):
+        rows = train if n_waves == 1 else spark.read.schema(train.schema).parquet(f"{folder}/waves/_wave={wave}")
+        w: dict[tuple, np.ndarray] = {}
+        m, v = {}, {}
+        for t in range(1, cfg.steps + 1):
+            for key, g in probe_gradients(rows, w).items():
+                w[key], m[key], v[key] = moved(w.get(key, np.zeros(len(g))), g, m.get(key, 0.0), v.get(key, 0.0), t, cfg.lr)
+        fitted = spark.createDataFrame([(*key, own.tolist()) for key, own in w.items()], schema)
+        fitted.write.mode("append").parquet(f"{folder}/weights")
+    return spark.read.schema(schema).parquet(f"{folder}/weights")
+
+
+def fit_probes(dataset: DataFrame, cfg: ProbeConfig = ProbeConfig(), max_bytes: int = MAX_WAVE_BYTES) -> DataFrame:
     """One linear probe per (family, layer, head): ``accuracy`` on held-out examples with its interval, ``weights``.
 
-    All probes share one exact split by example. A probe without training or without held-out rows is left out.
+    The weights lie in a scratch folder, which the result reads. All probes share one exact split by example. A probe without training or without held-out rows is left out.
     """
     spark = dataset.sparkSession
     examples = dataset.select("example_id").distinct()
     rule = val_rule(examples, cfg.val_frac, ["example_id"], cfg.seed)
     rows = dataset.withColumn("is_val", rule).withColumn("head", F.coalesce("head", F.lit(-1)))
-    folder = scratch_dir(spark)
+    folder, kept = scratch_dir(spark), scratch_dir(spark)
     try:
         # the steps read the joined rows from here
         rows.filter(~F.col("is_val")).select(*_GROUP, "vector", "label").write.parquet(folder)
-        fitted = fit_weights(spark.read.parquet(folder), cfg)
+        weights = fit_weights(spark.read.parquet(folder), cfg, kept, max_bytes)
     finally:
         remove(spark, folder)
-    schema = T.StructType([*(rows.schema[c] for c in _GROUP), T.StructField("weights", T.ArrayType(T.DoubleType()))])
-    weights = spark.createDataFrame([(*key, w.tolist()) for key, w in fitted.items()], schema)
+        remove(spark, f"{kept}/waves")
     held = rows.filter("is_val").select(*_GROUP, "vector", "label").join(weights, _GROUP)
     logit = dot(F.concat(F.col("vector").cast("array<double>"), F.array(F.lit(1.0))), F.col("weights"))
     hit = ((logit > 0).cast("int") == F.col("label")).cast("int")

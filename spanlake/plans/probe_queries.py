@@ -93,18 +93,31 @@ acc AS (SELECT family, layer, head, count(*) AS n, avg(ok) AS a, 1.9599639845400
 )
 
 
-@query(
-    "M2 J11",
+_FIT_SQL = (
     _PROBES
     + f"""
 SELECT family, layer, nullif(head, -1) AS head, n AS n_val, {sql_r4('a')} AS accuracy,
        {sql_r4('(a + z * z / (2 * n) - z * sqrt(a * (1 - a) / n + z * z / (4 * n * n))) / (1 + z * z / n)')} AS ci_low,
        {sql_r4('(a + z * z / (2 * n) + z * sqrt(a * (1 - a) / n + z * z / (4 * n * n))) / (1 + z * z / n)')} AS ci_high
-FROM acc""",
+FROM acc"""
 )
+
+
+@query("M2 J11", _FIT_SQL)
 def probe_fit(spark, sf):
     """Probes of all families, layers and heads after two steps; more steps are compared with NumPy in the tests."""
-    fitted = probes.fit_probes(probes.probe_dataset(_acts(spark, sf), _labels(spark, sf)), probes.ProbeConfig(steps=2))
+    return _probe_rows(spark, sf, probes.MAX_WAVE_BYTES)
+
+
+@query("M2", _FIT_SQL)
+def probe_fit_in_waves(spark, sf):
+    """The same probes, of which no more than a few are fitted at a time."""
+    return _probe_rows(spark, sf, 10_000)
+
+
+def _probe_rows(spark, sf, most: int) -> DataFrame:
+    rows = probes.probe_dataset(_acts(spark, sf), _labels(spark, sf))
+    fitted = probes.fit_probes(rows, probes.ProbeConfig(steps=2), most)
     return fitted.select("family", "layer", "head", "n_val", *[r4(c).alias(c) for c in ("accuracy", "ci_low", "ci_high")])
 
 

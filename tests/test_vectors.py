@@ -280,7 +280,7 @@ def test_train_run_writes_and_skips_finished_runs(spark, folder):
     assert centered == "L18_n3_k2_centered_s0"
 
 
-def test_probes_learn_a_separable_label_and_not_noise(spark):
+def test_probes_learn_a_separable_label_and_not_noise(spark, folder):
     rng = np.random.default_rng(8)
     rows = []
     for i in range(300):
@@ -294,7 +294,18 @@ def test_probes_learn_a_separable_label_and_not_noise(spark):
     assert got["mha"].head == 1 and got["mlp"].head is None
     assert all(r.n_val == 60 and r.ci_low < r.accuracy < r.ci_high for r in got.values() if r.accuracy < 1)
     train = df.select("family", "layer", F.coalesce("head", F.lit(-1)).alias("head"), "vector", "label").repartition(3)
-    w = probes.fit_weights(train, probes.ProbeConfig(lr=0.05, steps=4))[("mha", 3, 1)]
+    for name, most in (("one", 1 << 20), ("waves", 24 * 5)):  # all together, and one probe at a time
+        fitted = probes.fit_weights(train, probes.ProbeConfig(lr=0.05, steps=4), f"{folder}/{name}", most)
+        assert fitted.count() == 2
+        w = fitted.where("family = 'mha'").first().weights
+        assert np.allclose(w, own_weights(rows))
+    best = {r.family: r.best_accuracy for r in probes.best_probe(probes.fit_probes(df, probes.ProbeConfig(steps=3))).collect()}
+    assert set(best) == {"mha", "mlp", "residual"} and best["residual"] == 0.0
+    assert [r.family for r in probes.missing_families(df).collect()] == ["residual"]
+
+
+def own_weights(rows):
+    """Four steps of the first probe in NumPy."""
     x = np.array([[*r[5], 1.0] for r in rows if r[0] == "mha"])
     y = np.array([r[4] for r in rows if r[0] == "mha"], float)
     own, m, v = np.zeros(5), 0, 0
@@ -302,10 +313,18 @@ def test_probes_learn_a_separable_label_and_not_noise(spark):
         g = x.T @ (1 / (1 + np.exp(-x @ own)) - y) / len(x)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         own = own - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    assert np.allclose(w, own)
-    best = {r.family: r.best_accuracy for r in probes.best_probe(probes.fit_probes(df, probes.ProbeConfig(steps=3))).collect()}
-    assert set(best) == {"mha", "mlp", "residual"} and best["residual"] == 0.0
-    assert [r.family for r in probes.missing_families(df).collect()] == ["residual"]
+    return own
+
+
+def test_waves_hold_what_fits():
+    sizes = [(i * 7919, 100) for i in range(50)]
+    for most in (1 << 30, 24 * 100 * 10, 1):
+        n = probes.waves_of(sizes, most)
+        held = {}
+        for h, size in sizes:
+            held.setdefault(h % n, []).append(size)
+        assert all(24 * sum(own) <= most or len(own) == 1 for own in held.values())
+    assert probes.waves_of(sizes, 1 << 30) == 1 and probes.waves_of([], 1) == 1
 
 
 def test_labels_valid(spark):
