@@ -3,23 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanlake.functions.text import hash_order
-from spanlake.session import cut_lineage
+from spanlake.session import cut_lineage, remove, scratch_dir
 
+_FIXED_SIZE = (T.NumericType, T.BooleanType, T.DatetimeType)
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in its low 33 bits
 
 
-def dense_index(df: DataFrame, order: Sequence[str | Column], out: str = "global_idx") -> DataFrame:
-    """0, 1, 2, … over the whole table in the given order; the order must tell all rows apart.
-
-    Rows are range-partitioned and sorted, written to the checkpoint folder with their place in the partition,
-    and the row counts of the partitions before are added. A window without a key would put the table in one
-    task; here the only table-wide step runs over one number per partition.
-    """
+def _numbered(df: DataFrame, order: Sequence[str | Column], out: str) -> DataFrame:
+    """Rows with their place: range-partitioned and sorted, written to the checkpoint folder with their place in the partition,
+    to which the row counts of the partitions before are added. A window without a key would put the table in one task; here
+    the only table-wide step runs over one number per partition."""
     placed = (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
@@ -38,6 +38,30 @@ def dense_index(df: DataFrame, order: Sequence[str | Column], out: str = "global
     return joined.withColumn(out, F.col("_pos") + F.col("_before")).drop("_part", "_pos", "_before")
 
 
+def dense_index(df: DataFrame, order: Sequence[str | Column], out: str = "global_idx") -> DataFrame:
+    """0, 1, 2, … over the whole table in the given order; rows that the order does not tell apart stand in any order.
+
+    Where the order is a list of columns and the rows hold texts or vectors beside them, only the order's columns are ranged,
+    sorted and written: the numbers of the keys are joined to the rows afterwards, so what is large is moved once and never
+    written. Keys that repeat cannot be joined; then, and where the order holds expressions, whole rows are numbered.
+    """
+    names = [c for c in order if isinstance(c, str)]
+    large = [f.name for f in df.schema if f.name not in names and not isinstance(f.dataType, _FIXED_SIZE)]
+    if len(names) < len(order) or not large:
+        return _numbered(df, order, out)
+    spark, folder = df.sparkSession, scratch_dir(df.sparkSession)
+    keys = df.select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(names)])
+    keys.write.parquet(folder)  # the sampling of the ranges and the sort read it here
+    columns = keys.columns
+    numbers = _numbered(spark.read.schema(keys.schema).parquet(folder), columns, "_number")
+    remove(spark, folder)
+    if numbers.groupBy(*columns).count().where("count > 1").limit(1).count():
+        return _numbered(df, order, out)
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(names, columns)])
+    kept = [c for c in df.columns if c != out]
+    return df.select(*kept).join(numbers, same).select(*kept, F.col("_number").alias(out))
+
+
 def with_batch_id(df: DataFrame, size: int, order: Sequence[str | Column], out: str = "batch_id") -> DataFrame:
     """Batches of ``size`` rows in the given order; the last one may be short."""
     indexed = dense_index(df, order, "_row")
