@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -57,6 +58,19 @@ def progress(every: DataFrame, done: DataFrame, key: str) -> DataFrame:
     )
 
 
+#: The fields that an answer fills; without exemplars nobody is asked.
+_OUTCOME = ("title", "description", "status", "error")
+_NOT_ASKED = (None, None, fixed.STATUS_EMPTY, None)
+
+
+def outcome_of(ask: Callable[[], str]) -> tuple[str | None, str | None, str, str | None]:
+    """Title, description, status and error of one reply, or of the failure to get or to read it."""
+    try:
+        return (*check_label(first_json_object(ask())), fixed.STATUS_OK, None)
+    except Exception as problem:
+        return None, None, fixed.STATUS_ERROR, f"{type(problem).__name__}: {problem}"
+
+
 def label_clusters(
     prompts: DataFrame,
     judge_fn: Callable[..., str],
@@ -92,30 +106,12 @@ def label_clusters(
     )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def label(row: dict) -> dict:
-            record = {k: row[k] for k in by} | {
-                "cluster_size": row["cluster_size"],
-                "n_exemplars_used": row["n_exemplars_used"],
-                "judge_model": judge_model,
-                "title": None,
-                "description": None,
-                "status": fixed_empty,
-                "error": None,
-            }
-            if row["n_exemplars_used"] == 0:
-                return record
-            try:
-                reply = call_with_retry(lambda: judge_fn(row["prompt"], *extra), attempts)
-                record["title"], record["description"] = check_label(first_json_object(reply))
-                record["status"] = fixed_ok
-            except Exception as e:
-                record["status"], record["error"] = fixed_error, f"{type(e).__name__}: {e}"
-            return record
-
         for frame in frames:
-            yield pd.DataFrame([label(row) for row in frame.to_dict("records")], columns=names, dtype=object)
+            asks = (partial(call_with_retry, partial(judge_fn, prompt, *extra), attempts) for prompt in frame["prompt"])
+            answers = [outcome_of(ask) if used else _NOT_ASKED for ask, used in zip(asks, frame["n_exemplars_used"])]
+            found = pd.DataFrame(answers, columns=list(_OUTCOME), dtype=object, index=frame.index)
+            yield frame.assign(judge_model=judge_model).join(found)[names]
 
-    fixed_ok, fixed_empty, fixed_error = fixed.STATUS_OK, fixed.STATUS_EMPTY, fixed.STATUS_ERROR
     made = todo.mapInPandas(run, schema)
     return made if kept is None else kept.select(*names).unionByName(made)
 
