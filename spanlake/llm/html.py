@@ -352,9 +352,36 @@ def variants(nodes: list[Node], seed: int) -> list[tuple[list[Node], np.ndarray]
     return [*out, (number_siblings(made), np.array(labels))]
 
 
+#: Made-up pages beside the sample.
+EXAMPLES = 24
+
+
+def example(seed: int) -> str:
+    """A page of made-up sentences that names its article."""
+    rng = np.random.default_rng(seed)
+
+    def words(n: int) -> str:
+        return " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(n))
+
+    prose = "".join(f"<p>{'. '.join(words(int(rng.integers(4, 18))).capitalize() for _ in range(rng.integers(1, 6)))}.</p>" for _ in range(rng.integers(2, 9)))
+    menu = "".join(f"<li><a href=/>{words(int(rng.integers(1, 4)))}</a></li>" for _ in range(rng.integers(3, 9)))
+    head, foot = f"<header><p>{words(3)}</p></header><nav><ul>{menu}</ul></nav>", f"<footer><p>{words(4)}</p></footer>"
+    return f"<body>{head}<article><h1>{words(5)}</h1>{prose}</article><aside><h2>{words(2)}</h2><p>{words(8)}</p></aside>{foot}</body>"
+
+
+#: Pages that name their article, whatever else they hold.
+NAMED = r"(?i)<(article|main)[\s>/]"
+
+
 def training_rows(pages: DataFrame, id_col: str, html: str) -> DataFrame:
-    """``(features, label)`` of the nodes of up to ``SAMPLE`` pages, the first by a hash of their text."""
-    sample = pages.where(F.col(html).isNotNull()).select(F.xxhash64(html).alias("h"), F.col(html).alias("html")).orderBy("h").limit(SAMPLE)
+    """``(features, label)`` of the nodes of up to ``SAMPLE`` different pages whose markup names its article, the first by a
+    hash of their text, and of ``EXAMPLES`` made-up pages, so that there is a model where no page names its article."""
+    named = pages.select(F.col(html).cast("string").alias("html")).where(F.col("html").rlike(NAMED)).select(F.xxhash64("html").alias("h"), "html")
+    first = named.select("h").distinct().orderBy("h").limit(SAMPLE)
+    # copies of a page meet after one is left of them in each task
+    sample = named.join(first, "h", "left_semi").dropDuplicates(["h"])
+    given = pages.sparkSession.createDataFrame([(seed, example(seed)) for seed in range(EXAMPLES)], "h long, html string")
+    sample = sample.unionAll(given)
     spread = sample.repartition(8, "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,8 +396,8 @@ def training_rows(pages: DataFrame, id_col: str, html: str) -> DataFrame:
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> Forest | None:
-    """Trees from a bounded sample of the pages whose markup names its article; None when there is none to learn from
-    (pages are then judged by :func:`is_main` alone)."""
+    """Trees from a bounded sample of the pages whose markup names its article and from the made-up ones. Tables without
+    such a page, empty ones too, give the trees of the made-up pages alone."""
     rows = stored(training_rows(pages, id_col, html))
     seen = rows.agg(F.min("label").alias("a"), F.max("label").alias("b")).first()
     if seen.a is None or seen.a == seen.b:

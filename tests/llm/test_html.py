@@ -91,7 +91,32 @@ def test_odd_pages(spark, forest, pages):
     if pages:
         assert by_html[None] == by_html[""] == by_html["   "] == by_html["<article></article>"] == ""
         assert by_html[ODD[8]] == ("long word " * 50000).strip()
-    assert html.fit(frame.where("html is null")) is None
+
+
+def bare(i, copies=1):
+    """A page whose main text stands in a div of no telling name."""
+    prose = "".join(f"<p>{p} ({i})</p>" for p in PROSE[: 3 + i % 6])
+    menu = "".join(f"<li><a href=/{k}>Part {k}</a></li>" for k in range(6))
+    return f"<body><nav><ul>{menu}</ul></nav><div class=text>{prose}</div><footer><p>&copy; us</p></footer></body>".replace("& ", "&amp; ")
+
+
+def test_no_page_names_its_article(spark):
+    docs = [(i, bare(i)) for i in range(40)]
+    frame = spark.createDataFrame(docs, "page_id long, html string")
+    found = {r.page_id: r.text for r in html.with_main_text(frame, html.fit(frame)).collect()}
+    assert found == {i: "\n\n".join(f"{p} ({i})" for p in PROSE[: 3 + i % 6]) for i in range(40)}
+
+
+def test_sample_is_of_different_named_pages(spark, monkeypatch):
+    monkeypatch.setattr(html, "SAMPLE", 5)
+    monkeypatch.setattr(html, "EXAMPLES", 0)
+    named = [f"<body><nav>menu</nav><article><p>Text {i} of a page.</p></article></body>" for i in range(5)]
+    pages = [None, "", *[bare(i) for i in range(50)], *named[:1] * 300, *named]
+    frame = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "page_id long, html string")
+    rows = html.training_rows(frame, "page_id", "html").count()
+    want = sum(len(nodes) - 1 for p in named for nodes, _ in html.variants(html.tree_of(p), 0)[:1])
+    alone = html.training_rows(spark.createDataFrame([(0, p) for p in named], "page_id long, html string"), "page_id", "html").count()
+    assert rows == alone > want
 
 
 def test_without_a_fit_the_markup_decides():
