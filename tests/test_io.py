@@ -257,6 +257,24 @@ def test_stream_in_two_arrivals_equals_batch(spark, tmp_path):
     assert sorted(r.response_idx for r in got["responses"].collect()) == list(range(9))
 
 
+def test_stream_of_many_batches_keeps_no_state(spark, tmp_path):
+    source, out, state = tmp_path / "in", str(tmp_path / "out"), tmp_path / "state"
+    source.mkdir()
+    for step in range(6):
+        known = [generation(i, "Again. For a known id") for i in range(max(0, step - 4), step)]
+        twice = [generation(step, f"Answer {step}. Short")] * 2
+        write_lines(source / f"{step}.jsonl", known + twice)
+        query = ingest_stream(spark, str(source), out, str(state), id_buckets=4, merge_every=2)
+        assert query.awaitTermination(120) and query.exception() is None
+    got = read_ingested(spark, out)
+    assert sorted(r.row_id for r in got["responses"].collect()) == [str(i) for i in range(6)]
+    assert not any("Again" in str(r) for r in got["sentences"].collect())
+    assert sorted(r.response_idx for r in got["responses"].collect()) == list(range(6))
+    assert not (state / "state").exists()
+    assert spark.read.parquet(f"{out}/ids_merged/upto=6").count() == 6
+    assert spark.read.parquet(f"{out}/ids_merged/upto=4").count() == 4
+
+
 def test_inference_keeps_order_and_batches(spark):
     df = spark.range(25).select(F.col("id"), F.concat(F.lit("t"), "id").alias("text")).coalesce(2)
 
