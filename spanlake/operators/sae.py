@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanlake.functions import vectors
 from spanlake.functions.arrays import matrix, vectors_column
@@ -202,17 +203,29 @@ def vector_diff(df: DataFrame, base: DataFrame, vector_col: str = "vector") -> D
     return held.select(df["*"], (F.col(vector_col) == F.col("_b")).alias("exact_equal"), largest.alias("max_abs_diff"))
 
 
-def cosine_matrix(latents: DataFrame, top_n: int, size_col: str, keys: Sequence[str], vector_col: str = "w_dec") -> DataFrame:
+def cosine_matrix(
+    latents: DataFrame, top_n: int, size_col: str, keys: Sequence[str], vector_col: str = "w_dec", block: int = 512
+) -> DataFrame:
     """Cosine of each pair among the ``top_n`` largest latents: ``i, j, cosine``, by rank in size.
 
-    The report is ``top_n`` squared by nature; only the ``top_n`` vectors are gathered, as one small matrix.
+    The report is ``top_n`` squared by nature. Ranks are given to narrow rows; the vectors meet in pairs of blocks of
+    ``block`` ranks, so a task holds two blocks and their product, and none of them reaches the driver. ``keys`` tell the
+    latents apart.
     """
-    best = latents.orderBy(F.col(size_col).desc(), *keys).limit(top_n).select(*keys, size_col, vector_col)
-    picked = best.collect()
-    block = np.array([r[vector_col] for r in picked], dtype=np.float64)
-    block /= np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-8)
-    zero = np.zeros(block.shape[1])
-    rank = F.row_number().over(Window.orderBy(F.col(size_col).desc(), *keys)) - 1  # over top_n rows
-    cosines = vectors.project(latents.sparkSession, vectors.unit(F.col(vector_col)), block, np.zeros(len(block)), zero)
-    rows = best.withColumn("i", rank).withColumn("_c", cosines)
-    return rows.select("i", *keys, F.posexplode("_c").alias("j", "cosine"))
+    order = Window.orderBy(F.col(size_col).desc(), *keys)  # over top_n narrow rows
+    best = latents.select(*keys, size_col).orderBy(F.col(size_col).desc(), *keys).limit(top_n)
+    ranked = best.select(*keys, (F.row_number().over(order) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy()).alias("_n"))
+    placed = ranked.join(latents.select(*keys, vectors.unit(F.col(vector_col)).alias("_v")), list(keys))
+    placed = placed.withColumns({"_own": F.floor(F.col("i") / block), "_blocks": F.ceil(F.col("_n") / block)})
+    dealt = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_other"))
+    left = dealt.select("i", *keys, "_v", F.col("_own").alias("_a"), F.col("_other").alias("_b"))
+    right = dealt.select(F.col("i").alias("j"), F.col("_v").alias("_w"), F.col("_other").alias("_a"), F.col("_own").alias("_b"))
+    schema = T.StructType([*(left.schema[c] for c in ("i", *keys)), T.StructField("j", T.IntegerType()), T.StructField("cosine", T.DoubleType())])
+
+    def product(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, y = (matrix(v.combine_chunks(), len(v[0])) for v in (a.column("_v"), b.column("_w")))  # no block is empty
+        row, column = np.repeat(np.arange(len(x)), len(y)), np.tile(np.arange(len(y)), len(x))
+        made = a.select(["i", *keys]).take(pa.array(row))
+        return made.append_column("j", b.column("j").take(pa.array(column))).append_column("cosine", pa.array((x @ y.T).ravel()))
+
+    return left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInArrow(product, schema)

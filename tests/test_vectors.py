@@ -82,6 +82,24 @@ def test_params_round_trip(spark):
         sae.SaeParams.from_table(p.to_table(spark), max_bytes=10)
 
 
+@pytest.mark.parametrize("top_n, block", [(7, 3), (9, 512), (40, 4), (5, 1)])
+def test_cosine_matrix_in_blocks(spark, top_n, block):
+    x = np.random.default_rng(5).normal(size=(12, 6))
+    x[3] = 0
+    size = [int(s) for s in np.random.default_rng(6).integers(1, 5, 12)]
+    latents = spark.createDataFrame([(i, size[i], x[i].tolist()) for i in range(12)], "latent_id int, n long, w_dec array<double>")
+    best = sorted(range(12), key=lambda i: (-size[i], i))[:top_n]
+    unit = x[best] / np.maximum(np.linalg.norm(x[best], axis=1, keepdims=True), 1e-8)
+    found = {(r.i, r.latent_id, r.j): r.cosine for r in sae.cosine_matrix(latents, top_n, "n", ["latent_id"], block=block).collect()}
+    assert set(found) == {(i, best[i], j) for i in range(len(best)) for j in range(len(best))}
+    assert all(np.isclose(c, unit[i] @ unit[j]) for (i, _, j), c in found.items())
+
+
+def test_cosine_matrix_of_no_latents(spark):
+    none = spark.createDataFrame([], "latent_id int, n long, w_dec array<double>")
+    assert sae.cosine_matrix(none, 3, "n", ["latent_id"]).collect() == []
+
+
 def test_sums_with_one_heavy_key(spark):
     rng = np.random.default_rng(3)
     keys = np.where(rng.random(500) < 0.7, 0, rng.integers(1, 40, 500))
