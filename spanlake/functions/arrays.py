@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -9,6 +11,46 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def codes(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
+    """A number per row that is equal where all keys are equal (nulls are equal to nulls)."""
+    found = np.zeros(batch.num_rows, np.int64)
+    for k in keys:
+        encoded = batch.column(batch.schema.get_field_index(k)).dictionary_encode(null_encoding="encode")
+        pair = found * len(encoded.dictionary) + encoded.indices.to_numpy(zero_copy_only=False)
+        found = np.unique(pair, return_inverse=True)[1]
+    return found
+
+
+def whole_groups(groups: Sequence[str], fn: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], least_bytes: int = 1 << 20):
+    """For ``mapInArrow`` over rows sorted by ``groups``: ``fn`` gets rows of whole groups with the number of each row's group,
+    counted from 0. Batches are taken together up to ``least_bytes``; beyond that only the rows of the last group are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        fresh = 0
+
+        def together() -> tuple[pa.RecordBatch, np.ndarray]:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            code = codes(rows, groups)
+            return rows, np.cumsum(np.concatenate([[0], code[1:] != code[:-1]]))
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            held.append(batch)
+            fresh += batch.nbytes
+            if fresh >= least_bytes:
+                rows, group = together()
+                last = int(np.searchsorted(group, group[-1]))
+                if last:
+                    yield fn(rows.slice(0, last), group[:last])
+                held, fresh = [rows.slice(last)], 0
+        if held:
+            yield fn(*together())
+
+    return run
+
+
 def list_parts(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Flat values and row boundaries (starting at 0) of a list column; a null list has no values."""
     lengths = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)

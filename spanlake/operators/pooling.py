@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanlake.functions.arrays import list_column, list_parts, matrix, vectors_column
+from spanlake.functions.arrays import codes, list_column, list_parts, matrix, vectors_column, whole_groups
 from spanlake.functions.vectors import doubles
 
 _N, _TOTAL = "_n", "_total"
@@ -18,16 +18,6 @@ _N, _TOTAL = "_n", "_total"
 MAX_OPEN_BYTES = 64 << 20
 
 
-def _codes(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
-    """A number per row that is equal where all keys are equal (nulls are equal to nulls)."""
-    codes = np.zeros(batch.num_rows, np.int64)
-    for k in keys:
-        encoded = batch.column(batch.schema.get_field_index(k)).dictionary_encode(null_encoding="encode")
-        pair = codes * len(encoded.dictionary) + encoded.indices.to_numpy(zero_copy_only=False)
-        codes = np.unique(pair, return_inverse=True)[1]
-    return codes
-
-
 def _runs(keys: Sequence[str], regroup: bool = False):
     """Sums of adjacent rows with equal keys, over the batches of one task; only one open run is kept.
 
@@ -58,12 +48,12 @@ def _runs(keys: Sequence[str], regroup: bool = False):
             yield folded()
 
     def fold_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        codes = _codes(batch, keys)
-        order = np.argsort(codes, kind="stable")
+        code = codes(batch, keys)
+        order = np.argsort(code, kind="stable")
         batch = batch.take(pa.array(order))
         x = matrix(batch.column(batch.schema.get_field_index(_TOTAL)))
         n = batch.column(batch.schema.get_field_index(_N)).to_numpy(zero_copy_only=False)
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(codes[order]) != 0]))
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(code[order]) != 0]))
         heads = [batch.column(batch.schema.get_field_index(k)).take(pa.array(starts)) for k in keys]
         totals = [pa.array(np.add.reduceat(n, starts), pa.int64()), vectors_column(np.add.reduceat(x, starts, axis=0))]
         yield pa.RecordBatch.from_arrays([*heads, *totals], names=[*keys, _N, _TOTAL])
@@ -80,10 +70,10 @@ def _runs(keys: Sequence[str], regroup: bool = False):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            codes = _codes(batch, keys)
+            code = codes(batch, keys)
             x = matrix(batch.column(batch.schema.get_field_index(_TOTAL)))
             n = batch.column(batch.schema.get_field_index(_N)).to_numpy(zero_copy_only=False)
-            starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+            starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
             totals, counts = np.add.reduceat(x, starts, axis=0), np.add.reduceat(n, starts)
             heads = [batch.column(batch.schema.get_field_index(k)).take(pa.array(starts)) for k in keys]
             if open_key is not None:
@@ -165,22 +155,7 @@ def _prefix_sums(groups: Sequence[str], span_keys: Sequence[str], width: int):
         heads = [column(c).take(pa.array(piece)) for c in span_keys]
         return pa.RecordBatch.from_arrays([*heads, pa.array(n.astype(np.int64)), vectors_column(sums)], names=[*span_keys, _N, _TOTAL])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            rows = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
-            codes = _codes(rows, groups)
-            group = np.cumsum(np.concatenate([[0], codes[1:] != codes[:-1]]))
-            last = int(np.searchsorted(group, group[-1]))
-            if last:
-                yield pooled(rows.slice(0, last), group[:last])
-            held = [rows.slice(last)]
-        if held:
-            yield pooled(held[0], np.zeros(held[0].num_rows, np.int64))
-
-    return run
+    return whole_groups(groups, pooled)
 
 
 def _fold_sums(keys: Sequence[str]):
@@ -203,8 +178,8 @@ def _fold_sums(keys: Sequence[str]):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            codes = _codes(batch, keys)
-            starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+            code = codes(batch, keys)
+            starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
             n = np.add.reduceat(batch.column(len(keys)).to_numpy(zero_copy_only=False), starts)
             column = batch.column(len(keys) + 1)
             there = column.is_valid().to_numpy(zero_copy_only=False)

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanlake import fixed
-from spanlake.functions.arrays import matrix, vectors_column
+from spanlake.functions.arrays import codes, matrix, vectors_column
 from spanlake.functions.vectors import dot
 from spanlake.operators.fitting import moved
 from spanlake.operators.index import val_rule
-from spanlake.operators.pooling import _codes, sum_vectors
+from spanlake.operators.pooling import sum_vectors
 from spanlake.session import remove, scratch_dir
 
 
@@ -83,9 +83,9 @@ def probe_gradients(train: DataFrame, weights: dict[tuple, np.ndarray]) -> dict[
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            codes = _codes(batch, _GROUP)
-            batch = batch.take(pa.array(np.argsort(codes, kind="stable")))
-            starts = np.append(np.flatnonzero(np.diff(np.sort(codes), prepend=-1)), batch.num_rows)
+            code = codes(batch, _GROUP)
+            batch = batch.take(pa.array(np.argsort(code, kind="stable")))
+            starts = np.append(np.flatnonzero(np.diff(np.sort(code), prepend=-1)), batch.num_rows)
             labels = batch.column("label").to_numpy(zero_copy_only=False).astype(float)
             heads = [batch.column(c).take(pa.array(starts[:-1])) for c in _GROUP]
             for at, key in enumerate(zip(*(h.to_pylist() for h in heads))):  # probes, not rows

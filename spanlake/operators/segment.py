@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanlake import fixed
 from spanlake.functions import spans, text
+from spanlake.operators import intervals
 
 
 def split_sentences(df: DataFrame, text_col: str = "text", id_cols: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -61,18 +62,15 @@ def align_spans(
     tokens: DataFrame,
     doc_cols: Sequence[str] = ("doc_id",),
     span_cols: Sequence[str] = ("sent_idx",),
-    width: int = 256,
+    width: int = intervals.STRETCH,
 ) -> DataFrame:
     """Token range ``[tok_start, tok_end)`` of each character span; null when no token overlaps it.
 
-    For token tables that come from outside. Zero-width tokens are ignored.
+    For token tables that come from outside: tokens may overlap and come in any order. Zero-width tokens are ignored.
+    Both tables are swept in one sorted stream by stretches of ``width`` characters.
     """
-    slim = spans_df.select(*doc_cols, *span_cols, "char_start", "char_end")
-    toks = tokens.filter(F.col("start") < F.col("end")).select(*doc_cols, "tok_idx", "start", "end")
-    hits = overlap_join(slim, toks, doc_cols, ("char_start", "char_end"), ("start", "end"), width)
-    return hits.groupBy(*doc_cols, *span_cols, "char_start", "char_end").agg(
-        F.min("tok_idx").alias("tok_start"), (F.max("tok_idx") + 1).alias("tok_end")
-    )
+    found = intervals.range_of_points(spans_df, tokens, doc_cols, span_cols, ("char_start", "char_end"), ("start", "end"), "tok_idx", width)
+    return found.select(*doc_cols, *span_cols, "char_start", "char_end", F.col("first").alias("tok_start"), (F.col("last") + 1).alias("tok_end"))
 
 
 def align_spans_plain(
@@ -81,7 +79,7 @@ def align_spans_plain(
     doc_cols: Sequence[str] = ("doc_id",),
     span_cols: Sequence[str] = ("sent_idx",),
 ) -> DataFrame:
-    """``align_spans`` without buckets: every pair of a document is tested. Kept as the twin for tests."""
+    """``align_spans`` without a sweep: every pair of a document is tested. Kept as the twin for tests."""
     toks = tokens.filter(F.col("start") < F.col("end")).select(*doc_cols, "tok_idx", "start", "end")
     left = spans_df.select(*doc_cols, *span_cols, "char_start", "char_end")
     same = [left[k] == toks[k] for k in doc_cols]

@@ -57,10 +57,35 @@ def test_heavy_cluster_is_cut_in_two_levels(spark):
     assert plan_of(ex.top_exemplars(rows, 7)).count("WindowGroupLimit") >= 3
 
 
-def test_alignment_join_is_an_equality_join(spark, sf_dir):
+def shuffled(spark, df):
+    """Rows and bytes that a run of ``df`` writes to shuffles."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+    gateway = spark.sparkContext._gateway
+    stages = lambda: store.stageList(None, False, False, gateway.new_array(jvm.double, 0), None)
+    before = {stages().apply(i).stageId() for i in range(stages().size())}
+    df.write.format("noop").mode("overwrite").save()
+    after = stages()
+    new = [s for s in (after.apply(i) for i in range(after.size())) if s.stageId() not in before]
+    return sum(s.shuffleWriteRecords() for s in new), sum(s.shuffleWriteBytes() for s in new)
+
+
+def test_alignment_is_a_sweep_without_join_or_copies(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    plan = plan_of(segment.align_spans(segment.split_sentences(docs), segment.tokenize(docs)))
-    assert "_bucket" in plan and ("SortMergeJoin" in plan or "HashJoin" in plan)
+    sentences, tokens = segment.split_sentences(docs), segment.tokenize(docs)
+    sweep = segment.align_spans(sentences, tokens)
+    plan = plan_of(sweep)
+    assert "Join" not in plan and plan.count("Exchange") == 2
+    slim = sentences.select("doc_id", "sent_idx", "char_start", "char_end")
+    pairs = segment.overlap_join(slim, tokens, ["doc_id"], ("char_start", "char_end"), ("start", "end"), 256)
+    joined = pairs.groupBy(*slim.columns).agg(F.min("tok_idx").alias("tok_start"), (F.max("tok_idx") + 1).alias("tok_end"))
+    assert sorted(joined.collect()) == sorted(sweep.select(*joined.columns).collect())
+    n, written = shuffled(spark, sweep)
+    assert n < tokens.count() + 2.1 * sentences.count()  # tokens once, spans twice
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with tables too large to broadcast
+    try:
+        assert written < shuffled(spark, joined)[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_last_text_is_aggregated_not_ranked(spark, sf_dir):

@@ -1,6 +1,8 @@
 """Spans, tokens and text expressions against plain Python."""
 
+import random
 import re
+from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -104,6 +106,45 @@ def test_foreign_tokens_straddling_and_zero_width(spark):
     assert [(r.tok_start, r.tok_end) for r in got] == [(1, 4), (4, 5)]
 
 
+def test_sweep_of_any_intervals(spark):
+    pick = random.Random(7)
+    spans_, tokens = [], []
+    for doc in ["a", "b", "hot", None]:
+        for i in range(600 if doc == "hot" else 40):
+            at = pick.randrange(400)
+            tokens.append((doc, i, at, at + pick.choice([0, 1, 1, 3, 20, 300])))
+            at = pick.randrange(-20, 450)
+            spans_.append((doc, i, at, at + pick.choice([-2, 0, 1, 7, 60, 500])))
+    spans_ += [("hot", 600, None, 5), ("hot", 601, 5, None), ("no tokens", 0, 0, 9), ("a", None, 0, 500), *spans_[:3]]
+    tokens += [("hot", 900, None, 5), ("hot", None, 0, 500), ("no spans", 0, 0, 9), *tokens[:3]]
+    pick.shuffle(tokens)
+    spans_df = spark.createDataFrame(spans_, "doc_id string, sent_idx int, char_start int, char_end int")
+    toks = spark.createDataFrame(tokens, "doc_id string, tok_idx int, start long, end long")
+    want = Counter()
+    for span in set(spans_):
+        doc, _, a, b = span
+        known = None not in (doc, a, b)
+        hit = [i for d, i, s, e in tokens if known and d == doc and None not in (i, s, e) and s < e and e > a and s < b]
+        want[(*span, min(hit, default=None), max(hit) + 1 if hit else None)] += 1
+    for width in (1, 16, 128, 1 << 16):
+        assert Counter(map(tuple, segment.align_spans(spans_df, toks, width=width).collect())) == want
+    assert segment.align_spans(spans_df, toks.limit(0)).where("tok_start IS NOT NULL").count() == 0
+    assert segment.align_spans(spans_df.limit(0), toks).count() == 0
+
+
+def test_sweep_over_many_batches(spark):
+    """Documents of a few tokens and one that fills many Arrow batches, in one stretch and over many."""
+    n = F.when(F.col("id") % 50 == 7, 9000).otherwise(F.col("id") % 5)
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab cd. "), n.cast("int")).alias("text"))
+    sents, toks = segment.split_sentences(docs), segment.tokenize(docs)
+    for width in (1 << 10, 1 << 16):
+        rows = segment.align_spans(sents, toks, width=width).select(
+            F.sum((F.col("tok_start") == 3 * F.col("sent_idx")).cast("int")).alias("right"), F.sum(F.col("tok_end") - F.col("tok_start")).alias("n"), F.count("*").alias("spans")
+        )
+        got = rows.first()
+        assert got.spans == sents.count() == got.right and got.n == toks.count()
+
+
 def test_skip_routing(spark):
     tokens = [(0, 2), (2, 3)]  # nothing for the second sentence
     rows = [
