@@ -82,3 +82,6 @@ PAPER_RESULTS = T.MapType(
 )
 
 CODE = "array<struct<latent_id:int,strength:double>>"
+
+#: Digest of a run of lines of a file.
+BLOCK_DIGEST = _struct(name=STRING, length=LONG, modified=T.TimestampType(), block=LONG, digest=STRING)
