@@ -246,7 +246,7 @@ r AS (
 SELECT 'all' AS scope, * EXCLUDE (layer) FROM r UNION ALL SELECT 'one layer', * EXCLUDE (layer) FROM r WHERE layer = 14""",
 )
 def documents_of_runs(spark, sf):
-    """A run per label and fifty vectors, kept as JSON documents that Spark writes; all are read, then those of one layer."""
+    """A run per label and fifty vectors, kept as JSON documents that Spark writes by layer; all are read, then those of one layer."""
     folder = scratch_dir(spark)
     run = F.concat(F.lit("L"), F.lpad((F.col("label") + 10).cast("string"), 2, "0"), F.lit("_n3_k3_uncentered_s"), F.floor(F.col("vec_id") / 50))
     vecs = table(spark, sf, "embeddings").select(run.alias("run"), (F.col("label") + 10).alias("layer"), (F.col("vec_id") % 3).alias("latent"))
@@ -264,8 +264,7 @@ def documents_of_runs(spark, sf):
         "labels": F.transform("size", label),
     }
     entries = F.array(*[F.struct(F.lit(f"{name}.json").alias("file"), F.to_json(content).alias("value")) for name, content in documents.items()])
-    rows = found.select("run", F.explode(entries).alias("e")).select("run", "e.file", "e.value")
-    rows.repartition("run").write.partitionBy("run", "file").text(folder)
+    runs.write_documents(found.select("run", F.explode(entries).alias("e")).select("run", "e.file", "e.value"), folder)
     read = [
         reports.run_summary(reports.join_runs(*runs.read_runs(spark, folder, layer))).select(F.lit(scope).alias("scope"), "*")
         for scope, layer in (("all", None), ("one layer", 14))

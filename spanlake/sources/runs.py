@@ -14,19 +14,51 @@ from spanlake.schemas import LABEL, RUN_CONFIG, RUN_METRICS
 from spanlake.session import remove
 
 
+#: Folder of the documents that runs keep together, and the name there of a run without one (Spark's writer gives it to folders).
+TOGETHER, NO_NAME = "together", "__HIVE_DEFAULT_PARTITION__"
+
+
 def _read_documents(spark: SparkSession, folder: str, name: str, schema: T.StructType, layer: int | None) -> DataFrame:
     # the folders of other layers are not even listed; a document is a file, or what a writer partitioned by run and file left
     prefix = "" if layer is None else _layer_prefix(layer)
     glob = f"{folder}/{{,run=}}{prefix}*/{{,file=}}{name}.json"
+    together = _any(spark, f"{folder}/{TOGETHER}")
+    if together and not _any(spark, glob):
+        return _read_together(spark, folder, name, schema, layer)
     df = spark.read.schema(schema).option("mode", "FAILFAST").json(glob, multiLine=True)
     run = F.regexp_extract("_metadata.file_path", f"([^/=]+)/(?:file=)?{name}[.]json(?:/[^/]+)?$", 1)
-    return df.select(run.alias("run"), "*")
+    alone = df.select(run.alias("run"), "*")
+    return alone.unionByName(_read_together(spark, folder, name, schema, layer)) if together else alone
+
+
+def _any(spark: SparkSession, glob: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at))
+
+
+def _read_together(spark: SparkSession, folder: str, name: str, schema: T.StructType, layer: int | None) -> DataFrame:
+    lines = spark.read.schema("run string, value string, layer string, file string").option("mode", "FAILFAST").json(f"{folder}/{TOGETHER}")
+    lines = lines.where(F.col("file") == f"{name}.json")
+    if layer is not None:
+        lines = lines.where((F.col("layer") == _layer_prefix(layer)[:-1]) & _is_layer(F.col("run"), layer))
+    # a document may be one object or an array of them
+    found = F.from_json("value", T.ArrayType(schema), {"mode": "FAILFAST"})
+    return lines.select("run", F.inline(found))
+
+
+def write_documents(documents: DataFrame, folder: str) -> None:
+    """Appends JSON documents ``run, file, value`` of any number of runs, as lines by layer and file: files grow in size, not
+    in number, with the runs."""
+    run = F.coalesce("run", F.lit(NO_NAME))
+    rows = documents.select(run.alias("run"), "value", F.regexp_extract(run, "^(L[0-9]+)_", 1).alias("layer"), "file")
+    rows.write.mode("append").partitionBy("layer", "file").json(f"{folder}/{TOGETHER}")
 
 
 def read_runs(spark: SparkSession, folder: str, layer: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(config, metrics, labels)`` of all runs of a folder that keeps each as JSON documents, keyed by run.
 
-    A run's documents lie in a folder of its name, or as Spark's writer partitions them (``run=.../file=config.json``)."""
+    A run's documents lie in a folder of its name, as Spark's writer partitions them (``run=.../file=config.json``), or beside
+    those of other runs, as :func:`write_documents` leaves them."""
     files = (("config", RUN_CONFIG), ("metrics", RUN_METRICS), ("labels", LABEL))
     return tuple(_read_documents(spark, folder, name, schema, layer) for name, schema in files)
 

@@ -1,13 +1,14 @@
 """Sources, sinks, guards and streaming."""
 
 import json
+import os
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from spanlake.functions.text import hash_order
-from spanlake.operators import infer
+from spanlake.operators import infer, reports
 from spanlake.plans.corpus import tables_of
 from spanlake.schemas import GENERATION
 from spanlake.sources import freeze, generations, papers, prompts, runs, tables
@@ -158,6 +159,29 @@ def test_run_documents(spark, tmp_path):
         reports.join_runs(config, metrics, lost).collect()
 
 
+def test_run_documents_together(spark, folder):
+    """Many runs are few files; runs that are alone in their folder are read beside them."""
+    names = [f"L{18 + i % 2}_n2_k3_uncentered_s{i}" for i in range(40)] + [None]
+    entry = {"config.json": {"n_latents": 2}, "metrics.json": {"firing_rate": [0.25, 0.0]}}
+    entry["labels.json"] = [{"latent_id": i, "cluster_size": 4 - i, "title": 'a "b"\n'} for i in range(2)]
+    rows = [(run, file, json.dumps(value)) for run in names for file, value in entry.items()]
+    runs.write_documents(spark.createDataFrame(rows, "run string, file string, value string").repartition(2), folder)
+    assert sum(name.startswith("part-") for _, _, files in os.walk(folder) for name in files) <= 3 * 3 * 2
+
+    def found(layer=None):
+        summary = reports.run_summary(reports.join_runs(*runs.read_runs(spark, folder, layer)))
+        return sorted((r.run, r.latent_id, r.cluster_size, r.firing_rate, r.title) for r in summary.collect())
+
+    of = lambda runs_: sorted((r or runs.NO_NAME, i, 4 - i, [0.25, 0.0][i], 'a "b"\n') for r in runs_ for i in range(2))
+    assert found() == of(names) and found(18) == of(names[:40:2]) and found(17) == []
+    alone = os.path.join(folder, "L17_n2_k3_uncentered_s0")
+    os.mkdir(alone)
+    for file, value in entry.items():
+        with open(os.path.join(alone, file), "w") as f:
+            json.dump(value, f, indent=2)
+    assert found(17) == of([os.path.basename(alone)]) and found() == of([*names, os.path.basename(alone)])
+
+
 def test_freeze_guard(spark, folder):
     built = []
 
