@@ -241,8 +241,8 @@ def _part(rows: np.ndarray, n: int) -> pa.RecordBatch:
 
 
 def _collect_sums(parts: DataFrame) -> tuple[np.ndarray, int]:
-    """Parameter-sized sums over all parts; they are added up by latent on the executors."""
-    rows = sum_vectors(parts, ["latent_id"], "vector", "n").toArrow().sort_by("latent_id")
+    """Parameter-sized sums over all parts, of which each task has made one; they are added up by latent on the executors."""
+    rows = sum_vectors(parts, ["latent_id"], "vector", "n", folded=True).toArrow().sort_by("latent_id")
     return matrix(rows["_total"]), rows["_n"][0].as_py()
 
 

@@ -26,8 +26,8 @@ from spanlake.functions.arrays import list_parts, matrix, vectors_column
 from spanlake.functions.vectors import codes_column, largest, row_blocks
 from spanlake.session import remove, scratch_dir
 
-#: Bytes of the vectors of one chunk.
-CHUNK_BYTES = 4 << 20
+#: Bytes of the vectors of one chunk; a pass widens a chunk's rows to several matrices of ``k`` times that size.
+CHUNK_BYTES = 1 << 20
 #: A latent's numbers while it is fitted: encoder, decoder and two moments of each.
 FIT_COPIES = 6
 

@@ -92,12 +92,12 @@ def _runs(keys: Sequence[str], regroup: bool = False):
     return fold_any if regroup else fold
 
 
-def sum_vectors(df: DataFrame, keys: Sequence[str], vector_col: str = "vector", n_col: str | None = None) -> DataFrame:
+def sum_vectors(df: DataFrame, keys: Sequence[str], vector_col: str = "vector", n_col: str | None = None, folded: bool = False) -> DataFrame:
     """``keys, _n, _total``: number and sum of the vectors of each key.
 
     Each task first folds its own rows, so a key with very many rows reaches the shuffle as one partial sum per task.
     The second fold reads rows sorted by key and keeps one running sum, so no group is ever held as a whole.
-    Null vectors are left out.
+    Null vectors are left out. ``folded`` says that a task gives a key once at most, so that there is nothing to fold before.
     """
     n = F.col(n_col).cast("long") if n_col else F.lit(1).cast("long")
     rows = df.filter(F.col(vector_col).isNotNull()).select(
@@ -107,7 +107,7 @@ def sum_vectors(df: DataFrame, keys: Sequence[str], vector_col: str = "vector",
         [T.StructField(k, rows.schema[k].dataType) for k in keys]
         + [T.StructField(_N, T.LongType()), T.StructField(_TOTAL, T.ArrayType(T.DoubleType()))]
     )
-    partial = rows.mapInArrow(_runs(keys, regroup=True), schema)
+    partial = rows if folded else rows.mapInArrow(_runs(keys, regroup=True), schema)
     if not keys:
         # one partial sum per task: add them up by dimension, with partial aggregation in the JVM
         long = partial.select(_N, F.posexplode(_TOTAL).alias("_i", "_x"))

@@ -91,3 +91,14 @@ def test_broadcasts_are_destroyed(spark, monkeypatch, most):
     x = np.random.default_rng(4).normal(size=(60, 4))
     fitting.fit_topk_sae(frame(spark, x), fitting.FitConfig(n_latents=2, k=1, steps=1, max_epochs=2), max_bytes=most)
     assert len(made) >= 4 and not any(os.path.exists(b._path) for b in made)
+
+
+def test_gradient_sums_take_one_python_step(spark):
+    """A task gives each latent once, so its sums go to the shuffle without a second Python process beside the first."""
+    from spanlake.operators.pooling import sum_vectors
+
+    parts = spark.createDataFrame([(i % 3, 2, [float(i), 1.0]) for i in range(12)], "latent_id int, n long, vector array<double>")
+    plans = [sum_vectors(parts, ["latent_id"], "vector", "n", folded=f) for f in (False, True)]
+    assert [p._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("MapInArrow") for p in plans] == [2, 1]
+    one, other = (sorted((r.latent_id, r._n, r._total) for r in p.collect()) for p in plans)
+    assert one == other == [(i, 8, [18.0 + 4 * i, 4.0]) for i in range(3)]
