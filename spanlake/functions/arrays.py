@@ -7,8 +7,12 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Rows of a stream that are unpacked together.
+UNPACKED = 1 << 17
 
 
 def codes(batch: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
@@ -51,12 +55,82 @@ def whole_groups(groups: Sequence[str], fn: Callable[[pa.RecordBatch, np.ndarray
     return run
 
 
+def packed_groups(groups: Sequence[str]):
+    """For ``mapInArrow``: neighbours with equal ``groups`` become one row, whose other columns hold lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            code = codes(batch, groups)
+            starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            bounds, at = np.append(starts, len(code)), pa.array(starts)
+            cells = [v.take(at) if c in groups else list_column(v, bounds) for c, v in zip(batch.schema.names, batch.columns)]
+            yield pa.RecordBatch.from_arrays(cells, names=batch.schema.names)
+
+    return run
+
+
+def unpacked(groups: Sequence[str], order: Sequence[str], fn: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], most: int = UNPACKED):
+    """For :func:`whole_groups` over what :func:`packed_groups` gave: ``fn`` gets the single rows, sorted by ``order`` within each
+    group, of as many groups at a time as begin within ``most`` rows."""
+
+    def run(batch: pa.RecordBatch, group: np.ndarray) -> pa.RecordBatch:
+        names = batch.schema.names
+        lists = [c for c in names if c not in groups]
+        size = pc.list_value_length(batch.column(names.index(lists[0]))).to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))  # packed rows
+        before = np.concatenate([[0], np.cumsum(size)])[first]
+        out, at = [], 0
+        while at < len(first):
+            to = max(at + 1, int(np.searchsorted(before, before[at] + most)))
+            a, b = first[at], first[to] if to < len(first) else len(group)
+            part = batch.slice(a, b - a)
+            row = np.repeat(np.arange(b - a), size[a:b])
+            cells = {c: part.column(i).take(pa.array(row)) if c in groups else part.column(i).flatten() for i, c in enumerate(names)}
+            code = group[a:b][row]
+            by = np.lexsort([*(cells[c].to_numpy(zero_copy_only=False) for c in reversed(order)), code])
+            flat = pa.RecordBatch.from_arrays(list(cells.values()), names=names)
+            if (np.diff(by) != 1).any():
+                flat, code = flat.take(pa.array(by)), code[by]
+            out.append(fn(flat, code - code[0]))
+            at = to
+        whole = pa.Table.from_batches(out).combine_chunks().to_batches()
+        return whole[0] if whole else out[0]
+
+    return run
+
+
+def group_stream(
+    df: DataFrame, groups: Sequence[str], order: Sequence[str], fn: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch], schema: T.StructType
+) -> DataFrame:
+    """``fn`` over the rows of whole groups, sorted by ``groups`` and ``order``, with the number of each row's group.
+
+    Neighbours of a group are packed into one row before they are dealt out, so the shuffle sorts groups rather than rows. A
+    task holds the rows of one group, and of a few where they are small."""
+    kept = [T.StructField(f.name, f.dataType if f.name in groups else T.ArrayType(f.dataType)) for f in df.schema]
+    packed = df.mapInArrow(packed_groups(groups), T.StructType(kept))
+    dealt = packed.repartition(*groups).sortWithinPartitions(*groups)
+    return dealt.mapInArrow(whole_groups(groups, unpacked(groups, order, fn)), schema)
+
+
 def list_parts(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Flat values and row boundaries (starting at 0) of a list column; a null list has no values."""
     lengths = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
     return column.flatten(), np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
 
 
+def row_parts(*columns: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose lists have at most ``UNPACKED`` values in all, one row at least."""
+    ends = np.cumsum(sum(np.diff(list_parts(c)[1]) for c in columns))
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + UNPACKED, "right")))
+        yield at, to
+        at = to
+
+
 def matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
     """A list column of equally long vectors as a float64 matrix."""
     if isinstance(column, pa.ChunkedArray):

@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanlake.functions.arrays import whole_groups
+from spanlake.functions.arrays import group_stream
 
 #: Positions of a document that are swept together.
 STRETCH = 1 << 16
+#: Below all stretches: those of spans without a place.
+_APART = -(1 << 62)
 
 
 def _stretches(start: Column, end: Column, width: int) -> Column:
@@ -49,7 +51,7 @@ def _sweep(heads: Sequence[str]):
         column = lambda c: batch.column(batch.schema.get_field_index(c))
         is_point = column("_idx").is_valid().to_numpy(zero_copy_only=False)
         span, point = np.flatnonzero(~is_point), np.flatnonzero(is_point)  # points are sorted by start
-        start, end = (column(c).to_numpy(zero_copy_only=False) for c in ("_start", "_end"))
+        start, end = (column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("_start", "_end"))
         # one axis for all groups of the batch: those of a later group lie behind all of an earlier one
         least = min(start.min(), end.min())
         size = max(start.max(), end.max()) - least + 2
@@ -81,8 +83,8 @@ def range_of_points(
     may overlap, lie in each other and come in any order. A span without a point has nulls, as has one with a null key or
     a null end. Points with a null, or that end where they begin, are left out. Equal spans are one row.
 
-    Spans and points meet in one sorted stream by stretches of ``width`` positions, so a long document is shared by many
-    tasks and a row is copied only where it reaches over the border of a stretch. A task holds the rows of one stretch, as
+    Spans and points meet in one stream by stretches of ``width`` positions, so a long document is shared by many tasks and a
+    row is copied only where it reaches over the border of a stretch. Neighbours of a stretch are dealt out as one row. A task holds the rows of one stretch, as
     numbers; spans over several stretches are put together by their least and greatest.
     """
     heads, moved = [*keys, *span_cols, *span], [*keys, *span_cols]
@@ -92,9 +94,10 @@ def range_of_points(
         known = known & F.col(c).isNotNull()
     none = F.lit(None).cast("long")
     start, end = (F.col(c).cast("long") for c in span)
-    pieces = slim.where(known).select(
-        *moved, F.explode(_stretches(start, end, width)).alias("_stretch"), start.alias("_start"), end.alias("_end"), none.alias("_idx")
-    )
+    # spans that meet no point stand apart, dealt out by what they hold, so that the table is read once
+    apart = F.array(F.lit(_APART) + F.pmod(F.xxhash64(*heads), F.lit(1 << 12)))
+    stretches = F.when(known, _stretches(start, end, width)).otherwise(apart)
+    pieces = slim.select(*moved, F.explode(stretches).alias("_stretch"), start.alias("_start"), end.alias("_end"), none.alias("_idx"))
     a, b = (F.col(c).cast("long") for c in point)
     whole = F.col(idx).isNotNull() & (a < b)
     for k in keys:
@@ -104,13 +107,11 @@ def range_of_points(
         *keys, *blank, F.explode(_stretches(a, b, width)).alias("_stretch"), a.alias("_start"), b.alias("_end"), F.col(idx).cast("long").alias("_idx")
     )
     groups = [*keys, "_stretch"]
-    stream = pieces.unionByName(placed).repartition(*groups).sortWithinPartitions(*groups, "_start")
     out = [*moved, "_start", "_end"]
     long = [T.StructField(c, T.LongType()) for c in ("_start", "_end", "_first", "_last")]
     schema = T.StructType([T.StructField(c, slim.schema[c].dataType) for c in moved] + long)
-    swept = stream.mapInArrow(whole_groups(groups, _sweep(out)), schema)
-    unknown = slim.where(~known).select(*moved, start.alias("_start"), end.alias("_end"), none.alias("_first"), none.alias("_last"))
+    swept = group_stream(pieces.unionByName(placed), groups, ["_start"], _sweep(out), schema)
     places = [F.col(made).cast(slim.schema[c].dataType).alias(c) for made, c in zip(("_start", "_end"), span)]
     kind = points.schema[idx].dataType
-    found = swept.unionByName(unknown).groupBy(*out).agg(F.min("_first").cast(kind).alias("first"), F.max("_last").cast(kind).alias("last"))
+    found = swept.groupBy(*out).agg(F.min("_first").cast(kind).alias("first"), F.max("_last").cast(kind).alias("last"))
     return found.select(*moved, *places, "first", "last")

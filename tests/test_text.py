@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -225,3 +226,31 @@ def test_last_generation_of_an_id_counts(spark):
     )
     got = pr.attach_text(gens.select("response_id").distinct(), gens, ["file", "line"])
     assert sorted(tuple(r) for r in got.collect()) == [("a", "p2", "r2"), ("b", "p3", "r3")]
+
+
+def test_offsets_in_parts(spark, monkeypatch):
+    """A batch of many offsets is cut a few rows at a time, with the same result; no part has more values than asked."""
+    from spanlake.functions import arrays
+
+    lists = pa.array([[1, 2, 3], [4], [], None, [5] * 9, [6], [7]])
+    assert list(arrays.row_parts(lists)) == [(0, 7)]
+    monkeypatch.setattr(arrays, "UNPACKED", 5)
+    assert list(arrays.row_parts(lists)) == [(0, 4), (4, 5), (5, 7)]
+
+
+def test_groups_are_dealt_packed():
+    """Neighbours of a group are one row in the shuffle; behind it the single rows are back, sorted, a few groups at a time."""
+    from spanlake.functions import arrays
+
+    made = []
+
+    def count(batch, group):
+        made.append(batch.num_rows)
+        return batch
+
+    rows = [pa.RecordBatch.from_pydict({"g": [g] * 3, "x": [3, 1, 2]}) for g in (1, 1, 2, 3)]
+    packed = list(arrays.packed_groups(["g"])(iter(rows)))
+    assert [b.num_rows for b in packed] == [1] * 4
+    found = list(arrays.whole_groups(["g"], arrays.unpacked(["g"], ["x"], count, 3))(iter(packed)))
+    assert made == [6, 3, 3]
+    assert [(r["g"], r["x"]) for b in found for r in b.to_pylist()] == [(1, v) for v in (1, 1, 2, 2, 3, 3)] + [(g, v) for g in (2, 3) for v in (1, 2, 3)]
