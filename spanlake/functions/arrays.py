@@ -167,9 +167,13 @@ def running_total(lengths: Column) -> Column:
 
     @F.arrow_udf("array<int>")
     def totals(column: pa.Array) -> pa.Array:
+        parts = [inside(column.slice(a, b - a)) for a, b in row_parts(column)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+
+    def inside(column: pa.Array) -> pa.Array:
         values, bounds = list_parts(column)
         sums = np.concatenate([[0], np.cumsum(values.to_numpy(zero_copy_only=False), dtype=np.int64)])
-        inside = sums[1:] - np.repeat(sums[bounds[:-1]], np.diff(bounds))
-        return list_column(pa.array(inside.astype(np.int32)), bounds)
+        total = sums[1:] - np.repeat(sums[bounds[:-1]], np.diff(bounds))
+        return list_column(pa.array(total.astype(np.int32)), bounds)
 
     return totals(lengths)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.fixed import SENTENCE_END, TOKEN
-from spanlake.functions.arrays import list_column, list_parts, running_total
+from spanlake.functions.arrays import list_column, list_parts, row_parts, running_total
 
 _MARK = "\u0001"
 _SPACE = " \t\n\f\r"
@@ -161,6 +161,14 @@ _CUT = (
 )
 
 
+_CUT_ARROW = pa.struct(
+    [
+        ("sents", pa.list_(pa.struct([(c, pa.int64()) for c in ("char_start", "char_end", "tok_start", "tok_end")]))),
+        *((c, pa.int64()) for c in ("n_tokens", "resp_start", "resp_end")),
+    ]
+)
+
+
 def _cut(piece: tuple[Column, Column, Column], tokens: tuple[Column, Column], measured: bool, shift: Column) -> Column:
     """All offsets of a row in one pass over ints: sentences in the response, tokens in prefix + response.
 
@@ -169,7 +177,12 @@ def _cut(piece: tuple[Column, Column, Column], tokens: tuple[Column, Column], me
     """
 
     @F.arrow_udf(_CUT)
-    def cut(whole: pa.Array, left: pa.Array, core: pa.Array, t0: pa.Array, t1: pa.Array, at: pa.Array) -> pa.Array:
+    def cut(*columns: pa.Array) -> pa.Array:
+        # whole, left, core, t0, t1, at: an Arrow batch may hold very many offsets, which a few rows at a time are widened and searched
+        parts = [cut_rows(*(c.slice(a, b - a) for c in columns)) for a, b in row_parts(columns[0], columns[3])]
+        return pa.concat_arrays(parts) if parts else pa.array([], _CUT_ARROW)
+
+    def cut_rows(whole: pa.Array, left: pa.Array, core: pa.Array, t0: pa.Array, t1: pa.Array, at: pa.Array) -> pa.Array:
         lengths, bounds = list_parts(whole)
         row = _row_of(bounds)
         start = _inner_sums(_ints(lengths), bounds) - _ints(list_parts(left)[0])
