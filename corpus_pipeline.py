@@ -22,7 +22,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, Jaccard 0.8): the one with the smallest id."""
+    """One document of each group of near duplicates (SimHash groups and MinHash bands of five-word shingles, Jaccard 0.8): the
+    one with the smallest id."""
     return near_copies.keep_one(docs)
 
 

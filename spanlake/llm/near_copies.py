@@ -1,8 +1,9 @@
-"""Near copies of documents: MinHash of word shingles, banding, exact Jaccard, components.
+"""Near copies of documents: SimHash groups and MinHash bands of word shingles, exact Jaccard, components.
 
 Texts are compared by the set of their ``SHINGLE``-word shingles, A-Z lowered (as 64-bit hashes). Two texts link when
-the Jaccard similarity of their sets is at least ``ALIKE``. Candidates share one of ``BANDS`` buckets of ``ROWS``
-minima: a pair at 0.8 shares one with a chance of 1 - (1 - 0.8^4)^24 = 0.999997. In a bucket all links count; the sets
+the Jaccard similarity of their sets is at least ``ALIKE``. Candidates share a group of :func:`simhash.near_duplicates`
+over the same shingles, whose radius reaches the closest copies, or one of ``BANDS`` buckets of ``ROWS`` minima: a pair
+at 0.8 shares one with a chance of 1 - (1 - 0.8^4)^24 = 0.999997. In a group or bucket all links count; the sets
 themselves decide. Equal texts are folded to one before any comparison.
 """
 
@@ -125,9 +126,18 @@ def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return edges
 
 
+def _groups(narrow: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``(key, size, bucket)``: the SimHash group of every text with words, as one more bucket beside the bands."""
+    alike = simhash.near_duplicates(narrow, "__id", "__text", SHINGLE, root="__alike").select("__h", "__alike").distinct()
+    texts = sketches.where("size > 0").select("__h", "key", "size").distinct()
+    bucket = F.lit(BANDS << 32).bitwiseOR(F.shiftrightunsigned(F.xxhash64("__alike"), 32))
+    return texts.join(alike, "__h").select("key", "size", bucket.alias("bucket"))
+
+
 def links(narrow: DataFrame, sketches: DataFrame) -> DataFrame:
     """``(a, b)``: keys of texts that link, a spanning forest per bucket and pair of pieces."""
-    once = sketches.select("key", "size", F.explode("bands").alias("bucket")).repartition("bucket").dropDuplicates(["bucket", "key"])
+    buckets = sketches.select("key", "size", F.explode("bands").alias("bucket")).unionByName(_groups(narrow, sketches))
+    once = buckets.repartition("bucket").dropDuplicates(["bucket", "key"])
     own = Window.partitionBy("bucket")
     # similar texts share many buckets: of buckets with the same members (told by two hashes of all of them) one is enough
     same = {"n": F.count("*").over(own), "x": F.bit_xor("key").over(own), "y": F.bit_xor(F.xxhash64("key")).over(own)}

@@ -3,8 +3,10 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from spanlake.llm import near_copies
+from spanlake.llm import near_copies, simhash
 
 
 def shingles(text):
@@ -68,3 +70,22 @@ def test_large_buckets_are_compared_in_pieces(spark, monkeypatch):
     rows = made_up()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == brute_kept(rows)
+
+
+def test_simhash_groups_are_compared_without_any_band(spark, monkeypatch):
+    """Without any band, only the groups of ``simhash.near_duplicates`` are candidates."""
+    made = near_copies._sketches
+    monkeypatch.setattr(near_copies, "_sketches", lambda narrow: made(narrow).withColumn("bands", F.array().cast("array<long>")))
+    rnd = random.Random(8)
+    rows = []
+    for _ in range(20):
+        words = [f"w{rnd.randint(0, 5000)}" for _ in range(3000)]
+        rows += [" ".join(words), edited(rnd, words, 1), edited(rnd, words, 1500)]
+    # the same fingerprint by one shingle that repeats, but other words: no near copies
+    rows += [f"{'word ' * 400}{' '.join(f'{end}{i}' for i in range(40))}" for end in "xy"]
+    rows = list(enumerate([*rows, None, "", "one"]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, shingle=near_copies.SHINGLE).collect()}
+    near = [i for i in range(1, 60, 3) if groups[i] == i - 1]
+    kept = {r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()}
+    assert len(near) > 10 and groups[61] == 60 and kept == {i for i, _ in rows} - {*near, 63}
