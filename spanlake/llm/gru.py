@@ -15,8 +15,8 @@ import numpy as np
 CLASS, WIDTH = 64, 16
 #: Steps that gradients go back through, streams side by side, step size of Adagrad, largest norm of a gradient.
 STEPS, LANES, RATE, CLIP = 16, 256, 0.08, 5.0
-#: Sequences scored side by side.
-GROUP = 512
+#: Sequences scored side by side, and states whose classes are rated at a time, so that the logits fit the cache.
+GROUP, ROWS = 512, 2048
 
 NAMES = ("table", "turn", "class_w", "class_b", "word_w", "word_b")
 
@@ -25,7 +25,9 @@ _HALF, _ONE = np.float32(0.5), np.float32(1)
 
 
 def _softsign(x: np.ndarray) -> np.ndarray:
-    return x / (np.abs(x) + _ONE)
+    out = np.abs(x)
+    out += _ONE
+    return np.divide(x, out, out=out)
 
 
 @dataclass
@@ -92,42 +94,55 @@ class Model:
             g2[...] = 1e-6
         return model
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The next state from the input rows and the state; (z, r, new, h turned) of the step side by side, for the way back."""
+    def step(self, x: np.ndarray, h: np.ndarray, trace: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """The next state from the input rows and the state. ``trace`` gets (z, r, new, h turned) of the step, for the way back."""
         w = WIDTH
         u = h @ self.p["turn"]
-        out = np.empty((len(h), 4 * w), np.float32)
         gates = _softsign(x[:, : 2 * w] + u[:, : 2 * w])
         gates *= _HALF
         gates += _HALF
-        out[:, : 2 * w], out[:, 3 * w :] = gates, u[:, 2 * w :]
-        new = _softsign(x[:, 2 * w :] + gates[:, w:] * u[:, 2 * w :])
-        out[:, 2 * w : 3 * w] = new
-        return new + gates[:, :w] * (h - new), out
+        moved = gates[:, w:] * u[:, 2 * w :]
+        moved += x[:, 2 * w :]
+        new = _softsign(moved)
+        if trace is not None:
+            trace[0], trace[1], trace[2], trace[3] = gates[:, :w], gates[:, w:], new, u[:, 2 * w :]
+        after = h - new
+        after *= gates[:, :w]
+        after += new
+        return after, trace
 
     def _class_logits(self, states: np.ndarray) -> np.ndarray:
         logits = states @ self.p["class_w"]
         logits += self.p["class_b"]
         return logits
 
-    def _members(self, symbols: np.ndarray):
-        """(class, rows) of the word symbols, class by class."""
+    def _members(self, symbols: np.ndarray) -> tuple[np.ndarray, list[tuple[slice, slice]]]:
+        """The rows of the word symbols, class by class, and for each class its words and its part of these rows."""
         words = np.flatnonzero(symbols < self.shape.words)
-        of = symbols[words] // CLASS
+        of = (symbols[words] // CLASS).astype(np.uint16)  # sorted by radix
         order = words[np.argsort(of, kind="stable")]
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=self.shape.word_classes))])
-        for c in np.flatnonzero(np.diff(cuts)):
-            yield int(c), order[cuts[c] : cuts[c + 1]]
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=self.shape.word_classes))]).tolist()
+        parts = [(slice(c * CLASS, (c + 1) * CLASS), slice(a, b)) for c, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+        return order, parts
 
     def log_probability(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Natural logarithm of each symbol's probability in the state before it."""
-        logits = self._class_logits(states)
-        own = logits[np.arange(len(symbols)), self.shape.class_of(symbols)]
-        out = (own - _log_sum(logits)).astype(np.float64)
-        for c, rows in self._members(symbols):
-            part = slice(c * CLASS, (c + 1) * CLASS)
-            inner = states[rows] @ self.p["word_w"][part].T + self.p["word_b"][part]
-            out[rows] += inner[np.arange(len(rows)), symbols[rows] - c * CLASS] - _log_sum(inner)
+        out = np.empty(len(symbols))
+        own_class = self.shape.class_of(symbols)
+        for at in range(0, len(symbols), ROWS):
+            part = slice(at, at + ROWS)
+            logits = self._class_logits(states[part])
+            own = logits[np.arange(len(logits)), own_class[part]]
+            out[part] = own - _log_sum(logits)
+        order, parts = self._members(symbols)
+        ordered, inside = states.take(order, axis=0), symbols[order] % CLASS
+        of_word = np.empty(len(order), np.float32)
+        for words, rows in parts:
+            inner = ordered[rows] @ self.p["word_w"][words].T
+            inner += self.p["word_b"][words]
+            own = inner[np.arange(len(inner)), inside[rows]]
+            of_word[rows] = own - _log_sum(inner)
+        out[order] += of_word
         return out
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, counted: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -137,13 +152,13 @@ class Model:
         """
         steps, lanes = inputs.shape
         w = WIDTH
-        x = self.p["table"][inputs]
+        x = self.p["table"].take(inputs, axis=0)
         kept = (~fresh).astype(np.float32)[:, :, None]
         before, after = np.empty((steps, lanes, w), np.float32), np.empty((steps, lanes, w), np.float32)
-        trace = np.empty((steps, lanes, 4 * w), np.float32)
+        trace = np.empty((4, steps, lanes, w), np.float32)
         for t in range(steps):
             before[t] = h * kept[t]
-            after[t], trace[t] = self.step(x[t], before[t])
+            after[t] = self.step(x[t], before[t], trace[:, t])[0]
             h = after[t]
         states, symbols, weight = after.reshape(-1, w), targets.ravel(), counted.ravel()
         share = np.float32(1 / max(int(weight.sum()), 1))
@@ -154,19 +169,24 @@ class Model:
         grads["class_w"], grads["class_b"] = states.T @ d_class, d_class.sum(0)
         d_states = d_class @ self.p["class_w"].T
         word_w, word_b = np.zeros_like(self.p["word_w"]), np.zeros_like(self.p["word_b"])
-        for c, rows in self._members(np.where(weight, symbols, self.shape.start)):
-            part = slice(c * CLASS, (c + 1) * CLASS)
-            own = states[rows]
-            d = own @ self.p["word_w"][part].T
-            d += self.p["word_b"][part]
-            d = _softmax(d)
-            d[np.arange(len(rows)), symbols[rows] - c * CLASS] -= _ONE
-            d *= share
-            word_w[part], word_b[part] = d.T @ own, d.sum(0)
-            d_states[rows] += d @ self.p["word_w"][part]
+        order, parts = self._members(np.where(weight, symbols, self.shape.start))
+        ordered, back = states.take(order, axis=0), np.empty((len(order), w), np.float32)
+        d_word = np.empty((len(order), CLASS), np.float32)
+        for words, rows in parts:
+            np.matmul(ordered[rows], self.p["word_w"][words].T, out=d_word[rows])
+            d_word[rows] += self.p["word_b"][words]
+        _softmax(d_word)
+        d_word[np.arange(len(order)), symbols[order] % CLASS] -= _ONE
+        d_word *= share
+        for words, rows in parts:
+            d = d_word[rows]
+            np.matmul(d.T, ordered[rows], out=word_w[words])
+            d.sum(0, out=word_b[words])
+            np.matmul(d, self.p["word_w"][words], out=back[rows])
+        d_states[order] += back
         grads["word_w"], grads["word_b"] = word_w, word_b
         d_states = d_states.reshape(steps, lanes, w)
-        z, r, new, inner = (trace[:, :, i * w : (i + 1) * w] for i in range(4))
+        z, r, new, inner = trace
         # slopes of the gates: that of a softsign is (1 - |value|)^2, that of a moved one half of it in 2 value - 1
         by_new = (_ONE - z) * (_ONE - np.abs(new)) ** 2
         by_z = (before - new) * (_HALF * (_ONE - np.abs(2 * z - _ONE)) ** 2)
@@ -185,10 +205,10 @@ class Model:
             back = (d_h * z[t] + own @ turn_t) * kept[t]
         d_x[:, :, : 2 * w] = d_u[:, :, : 2 * w]
         grads["turn"] = before.reshape(-1, w).T @ d_u.reshape(-1, 3 * w)
-        order = np.argsort(inputs.ravel(), kind="stable")
+        order = np.argsort(inputs.ravel().astype(np.uint16), kind="stable")  # symbols are two bytes; sorted by radix
         ordered = inputs.ravel()[order]
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        rows, d_table = ordered[first], np.add.reduceat(d_x.reshape(-1, 3 * w)[order], first, axis=0)
+        rows, d_table = ordered[first], np.add.reduceat(d_x.reshape(-1, 3 * w).take(order, axis=0), first, axis=0)
         norm = np.sqrt(sum(float((g * g).sum()) for g in [*grads.values(), d_table]))
         shrink = np.float32(min(1.0, CLIP / max(norm, 1e-12)))
         for name, g in grads.items():
@@ -235,7 +255,7 @@ class Model:
                 states, symbols, rows = [], [], []
                 for t in range(t0, min(t0 + 4 * STEPS, lengths[0])):
                     live = int(np.searchsorted(-lengths, -t, side="left"))
-                    h = self.step(self.p["table"][symbol[:live]], h[:live])[0]
+                    h = self.step(self.p["table"].take(symbol[:live], axis=0), h[:live])[0]
                     symbol = flat[begin[:live] + t]
                     states.append(h)
                     symbols.append(symbol)
@@ -244,14 +264,24 @@ class Model:
         return out
 
 
+def _row_max(x: np.ndarray) -> np.ndarray:
+    """The largest value of each row, by its place: quicker than the maximum itself for short rows."""
+    return x[np.arange(len(x)), x.argmax(axis=1)]
+
+
 def _softmax(logits: np.ndarray) -> np.ndarray:
     """In place."""
-    logits -= logits.max(axis=1)[:, None]
+    if not len(logits):
+        return logits
+    logits -= _row_max(logits)[:, None]
     np.exp(logits, out=logits)
     logits /= logits.sum(axis=1)[:, None]
     return logits
 
 
 def _log_sum(logits: np.ndarray) -> np.ndarray:
-    top = logits.max(axis=1)
-    return np.log(np.exp(logits - top[:, None]).sum(axis=1)) + top
+    """The logarithm of each row's sum of exponentials; the logits are overwritten."""
+    top = _row_max(logits)
+    logits -= top[:, None]
+    np.exp(logits, out=logits)
+    return np.log(logits.sum(axis=1)) + top

@@ -151,6 +151,20 @@ def test_slopes_are_those_of_the_loss(monkeypatch):
             assert (sides[0] - sides[1]) / 2e-2 == pytest.approx(full.ravel()[place], rel=0.05, abs=2e-4)
 
 
+def test_words_of_all_classes_are_rated_in_one_array(monkeypatch):
+    """One softmax over the classes and one over the words of a window; what is added up in blocks is what single rows give."""
+    model, rng = small_model()
+    calls, softmax = [], gru._softmax
+    monkeypatch.setattr(gru, "_softmax", lambda logits: calls.append(logits.shape) or softmax(logits))
+    inputs, targets = rng.integers(0, 104, (5, 8)), np.arange(40).reshape(5, 8) * 2
+    model.learn(inputs, targets, rng.random((5, 8)) < 0.2, np.ones((5, 8), bool), np.zeros((8, gru.WIDTH), np.float32))
+    assert calls == [(40, model.shape.classes), (40, gru.CLASS)]
+    monkeypatch.setattr(gru, "ROWS", 7)
+    states, symbols = rng.normal(0, 0.5, (60, gru.WIDTH)).astype(np.float32), rng.integers(0, 103, 60)
+    single = [model.log_probability(states[i : i + 1], symbols[i : i + 1])[0] for i in range(60)]
+    assert model.log_probability(states, symbols) == pytest.approx(single, rel=1e-5)
+
+
 def test_states_go_on_over_windows():
     """A text's score is that of one long recurrence, in whatever company it is scored."""
     model, rng = small_model()
