@@ -16,6 +16,8 @@ from spanlake.functions.vectors import doubles
 _N, _TOTAL = "_n", "_total"
 #: Partial sums of a task that are kept open together.
 MAX_OPEN_BYTES = 64 << 20
+#: Neighbouring places of a response whose vectors are packed into one row.
+PACKED = 64
 
 
 def _runs(keys: Sequence[str], regroup: bool = False):
@@ -130,8 +132,15 @@ def global_center(response_vectors: DataFrame, vector_col: str = "vector", out:
     return mean_vectors(response_vectors, [], vector_col, out).select(out)
 
 
-def _prefix_sums(groups: Sequence[str], span_keys: Sequence[str], width: int):
-    """Vector sums of span pieces over sorted rows: those of a group adjacent, its pieces before its vectors, these by place.
+def _vectors_where(there: np.ndarray, block: np.ndarray) -> pa.Array:
+    """A list column with the rows of ``block`` where ``there`` is true, in order, and nulls elsewhere."""
+    size = np.concatenate([[0], np.cumsum(np.where(there, block.shape[1], 0))])
+    offsets = pa.array(size.astype(np.int32), mask=np.append(~there, False))  # a null offset marks a null list
+    return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(block).reshape(-1)))
+
+
+def _prefix_sums(groups: Sequence[str], response_cols: Sequence[str], span_cols: Sequence[str], width: int):
+    """Vector sums of span pieces, a null one where a piece has no vector, over packed rows: those of a group adjacent.
 
     A running sum over the vectors gives each piece as the difference of two of its rows. Only the rows of the last group of
     a batch, of at most ``width`` places, are held until the next one.
@@ -139,21 +148,28 @@ def _prefix_sums(groups: Sequence[str], span_keys: Sequence[str], width: int):
 
     def pooled(batch: pa.RecordBatch, group: np.ndarray) -> pa.RecordBatch:
         column = lambda c: batch.column(batch.schema.get_field_index(c))
-        numbers = lambda c: column(c).to_numpy(zero_copy_only=False)
-        is_piece = numbers("_kind") == 0
-        piece, token = np.flatnonzero(is_piece), np.flatnonzero(~is_piece)
-        key = group * (width + 1) + numbers("_from")
-        low = np.searchsorted(key[token], key[piece])
-        high = np.searchsorted(key[token], group[piece] * (width + 1) + numbers("_to")[piece])
-        n = high - low
-        piece, low, high, n = (v[n > 0] for v in (piece, low, high, n))
+        numbers = lambda v: v.to_numpy(zero_copy_only=False).astype(np.int64)
+        at, bounds = list_parts(column("_at"))
+        key = np.repeat(group, np.diff(bounds)) * (width + 1) + numbers(at)
+        vectors = list_parts(column(_TOTAL))[0]
+        if (key[1:] < key[:-1]).any():
+            order = np.argsort(key, kind="stable")
+            key, vectors = key[order], vectors.take(pa.array(order))
+        pieces, bounds = list_parts(column("_pieces"))
+        row = np.repeat(np.arange(len(group)), np.diff(bounds))
+        low = np.searchsorted(key, group[row] * (width + 1) + numbers(pieces.field("_from")))
+        high = np.searchsorted(key, group[row] * (width + 1) + numbers(pieces.field("_to")))
+        n = np.maximum(high - low, 0)
+        there = n > 0
         sums = np.zeros((0, 0))
-        if len(piece):
-            x = matrix(column(_TOTAL).take(pa.array(token)))
+        if there.any():
+            x = matrix(vectors)
             running = np.vstack([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0)])
-            sums = running[high] - running[low]
-        heads = [column(c).take(pa.array(piece)) for c in span_keys]
-        return pa.RecordBatch.from_arrays([*heads, pa.array(n.astype(np.int64)), vectors_column(sums)], names=[*span_keys, _N, _TOTAL])
+            sums = running[high[there]] - running[low[there]]
+        fields = {c: pieces.field(c) for c in span_cols}
+        fields |= {c: column(c).take(pa.array(row)) for c in response_cols}
+        keys = [response_cols[0], *span_cols, *response_cols[1:]]
+        return pa.RecordBatch.from_arrays([*(fields[c] for c in keys), pa.array(n), _vectors_where(there, sums)], names=[*keys, _N, _TOTAL])
 
     return whole_groups(groups, pooled)
 
@@ -165,15 +181,13 @@ def _fold_sums(keys: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key, open_n, open_total = None, 0, None
 
-        def out(heads: list[pa.Array], n: np.ndarray, totals: list) -> pa.RecordBatch:
+        def out(heads: list[pa.Array], n: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
             full = n > 0
-            sums = [t for t, f in zip(totals, full) if f]
-            means = np.vstack(sums) / n[full][:, None] if sums else np.zeros((0, 0))
-            size = np.concatenate([[0], np.cumsum(np.where(full, means.shape[1], 0))])
-            offsets = pa.array(size.astype(np.int32), mask=np.append(~full, False))  # a null offset marks a null list
-            return pa.RecordBatch.from_arrays(
-                [*heads, pa.ListArray.from_arrays(offsets, pa.array(means.reshape(-1))), pa.array(n, pa.int64())], names=[*keys, "vector", "n_vectors"]
-            )
+            means = _vectors_where(full, sums / n[full][:, None])
+            return pa.RecordBatch.from_arrays([*heads, means, pa.array(n, pa.int64())], names=[*keys, "vector", "n_vectors"])
+
+        def opened() -> pa.RecordBatch:
+            return out(open_key, np.array([open_n]), np.zeros((0, 0)) if open_total is None else open_total[None])
 
         for batch in batches:
             if batch.num_rows == 0:
@@ -185,21 +199,27 @@ def _fold_sums(keys: Sequence[str]):
             there = column.is_valid().to_numpy(zero_copy_only=False)
             x = matrix(column.take(pa.array(np.flatnonzero(there))))
             place = np.concatenate([[0], np.cumsum(there)])[np.append(starts, len(there))]
-            totals: list = [x[a:b].sum(axis=0) if b > a else None for a, b in zip(place, place[1:])]
+            full = place[1:] > place[:-1]
+            # keys without a sum have no rows in x, so each sum ends where the next one begins
+            sums = np.add.reduceat(x, place[:-1][full], axis=0) if full.any() else x
             heads = [batch.column(i).take(pa.array(starts)) for i in range(len(keys))]
             if open_key is not None:
                 if [h[0].as_py() for h in heads] == [h[0].as_py() for h in open_key]:
                     n[0] += open_n
                     if open_total is not None:
-                        totals[0] = open_total if totals[0] is None else totals[0] + open_total
+                        if full[0]:
+                            sums[0] += open_total
+                        else:
+                            sums = np.vstack([open_total[None], sums]) if len(sums) else open_total[None]
+                            full[0] = True
                 else:
-                    yield out(open_key, np.array([open_n]), [open_total])
+                    yield opened()
             last = len(starts) - 1
             if last:
-                yield out([h.slice(0, last) for h in heads], n[:last], totals[:last])
-            open_key, open_n, open_total = [h.slice(last) for h in heads], int(n[last]), totals[last]
+                yield out([h.slice(0, last) for h in heads], n[:last], sums[: int(full[:last].sum())])
+            open_key, open_n, open_total = [h.slice(last) for h in heads], int(n[last]), sums[-1].copy() if full[last] else None
         if open_key is not None:
-            yield out(open_key, np.array([open_n]), [open_total])
+            yield opened()
 
     return run
 
@@ -219,7 +239,8 @@ def mean_pool(
 
     Token positions are cut into runs of ``width``; each run's vectors come together in one sorted stream, whose running sum
     gives any span as a difference, so no vector is copied or joined, and a long response is shared by several tasks. A span
-    over several runs has a piece in each, and the pieces' sums are added up.
+    over several runs has a piece in each, and the pieces' sums are added up. Both tables are dealt out as rows, then packed:
+    a row that goes to Python holds the vectors, or the pieces, of ``PACKED`` neighbouring places.
     """
     keys = [response_col, *span_cols, *extra_keys]
     every = spans.select(response_col, *span_cols, "tok_start", "tok_end")
@@ -228,37 +249,41 @@ def mean_pool(
         every = every.join(token_vectors.select(response_col, *extra_keys).distinct(), response_col, "left")
     start, end = F.col("tok_start").cast("long"), F.col("tok_end").cast("long")
     runs = F.sequence(F.floor(start / width), F.floor((end - 1) / width))
-    pieces = every.filter(end > start).withColumn("_run", F.explode(runs))
+    # a span without a place stands in the first run as an empty piece, so that none is missing below
+    none = F.array(F.lit(0).cast("long"))
+    pieces = every.select("*", F.explode(F.when(end > start, runs).otherwise(none)).alias("_run"))
     base = F.col("_run") * width
+    low = F.when(end > start, F.greatest(start - base, F.lit(0))).otherwise(0)
+    high = F.when(end > start, F.least(end - base, F.lit(width))).otherwise(0)
     pieces = pieces.select(
-        *keys,
+        response_col,
+        *extra_keys,
         "_run",
-        F.lit(0).alias("_kind"),
-        F.greatest(start - base, F.lit(0)).alias("_from"),
-        F.least(end - base, F.lit(width)).alias("_to"),
+        F.lit(None).cast("int").alias("_at"),
         F.lit(None).cast("array<double>").alias(_TOTAL),
+        F.struct(*span_cols, low.cast("int").alias("_from"), high.cast("int").alias("_to")).alias("_piece"),
     )
     place = F.col("tok_idx").cast("long")
-    tokens = token_vectors.filter(F.col("vector").isNotNull()).select(
+    tokens = token_vectors.filter(F.col("vector").isNotNull() & place.isNotNull()).select(
         response_col,
-        *[F.lit(None).cast(every.schema[c].dataType).alias(c) for c in span_cols],
         *extra_keys,
         F.floor(place / width).alias("_run"),
-        F.lit(1).alias("_kind"),
-        F.pmod(place, F.lit(width)).alias("_from"),
-        F.lit(0).cast("long").alias("_to"),
+        F.pmod(place, F.lit(width)).cast("int").alias("_at"),
         doubles(F.col("vector")).alias(_TOTAL),
+        F.lit(None).cast(pieces.schema["_piece"].dataType).alias("_piece"),
     )
     groups = [response_col, *extra_keys, "_run"]
-    both = tokens.unionByName(pieces).repartition(*groups).sortWithinPartitions(*groups, "_kind", "_from")
+    dealt = tokens.unionByName(pieces).repartition(*groups)
+    # Spark measures the open Arrow batch anew for each row it writes, which costs more than the few numbers of a row
+    part = F.coalesce(F.floor(F.col("_at") / PACKED), -1 - F.floor(F.col("_piece._from") / PACKED))
+    lists = [F.collect_list("_at").alias("_at"), F.collect_list(_TOTAL).alias(_TOTAL), F.collect_list("_piece").alias("_pieces")]
+    packed = dealt.groupBy(*groups, part.alias("_part")).agg(*lists).sortWithinPartitions(*groups, "_part")
     schema = T.StructType(
         [T.StructField(k, every.schema[k].dataType) for k in keys]
         + [T.StructField(_N, T.LongType()), T.StructField(_TOTAL, T.ArrayType(T.DoubleType()))]
     )
-    sums = both.mapInArrow(_prefix_sums(groups, keys, width), schema)
-    # each span stands here once without a sum, so that none is missing below
-    nothing = every.select(*keys, F.lit(0).cast("long").alias(_N), F.lit(None).cast("array<double>").alias(_TOTAL))
-    merged = sums.unionByName(nothing).repartition(*keys).sortWithinPartitions(*keys)
+    sums = packed.mapInArrow(_prefix_sums(groups, groups[:-1], span_cols, width), schema)
+    merged = sums.repartition(*keys).sortWithinPartitions(*keys)
     out = T.StructType([*schema.fields[: len(keys)], T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("n_vectors", T.LongType())])
     return merged.mapInArrow(_fold_sums(keys), out)
 

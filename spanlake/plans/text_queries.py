@@ -330,7 +330,7 @@ def span_mean_pool(spark, sf):
     toks = segment.tokenize(texts(spark, sf, "doc_id", "text"))
     values = [F.col("end") - F.col("start"), F.col("start") % 7, F.col("tok_idx") % 5]
     vectors = toks.select("doc_id", "tok_idx", F.array(*[v.cast("double") for v in values]).alias("vector"))
-    spans = cut_lineage(_spans(spark, sf).select("doc_id", "sent_idx", "tok_start", "tok_end"))  # read twice
+    spans = cut_lineage(_spans(spark, sf).select("doc_id", "sent_idx", "tok_start", "tok_end"))  # cut once, whatever task is repeated
     pooled = mean_pool(vectors, spans, "doc_id", ["sent_idx"], extra_keys=[])
     names = ("mean_width", "mean_place", "mean_index")
     return pooled.select("doc_id", "sent_idx", *[r4(F.get("vector", F.lit(i))).alias(n) for i, n in enumerate(names)])

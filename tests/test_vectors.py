@@ -175,6 +175,41 @@ def test_pooling_moves_each_vector_once(spark):
     assert plan.count("Exchange") == 2 and "Join" not in plan and "hashpartitioning(response_id" in plan
 
 
+def test_pooling_sends_packed_rows_to_python(spark, monkeypatch):
+    """Python gets a row for many tokens, and the sums are those of every single one: spans over several packs and runs, without
+    a place, without a token, given twice; tokens in any order, given twice, without a place."""
+    rng = np.random.default_rng(9)
+    tokens = [("a", int(t), rng.normal(size=2).tolist()) for t in rng.permutation(2000)]
+    tokens += [("a", 70, [5.0, 1.0]), ("a", None, [1e9, 1e9]), ("b", 3, [1.0, 2.0])]
+    spans = [("a", i, 37 * i, 37 * i + 90) for i in range(50)] + [("a", 60, 10, 1990), ("b", 0, 0, 9), ("b", 1, 4, 9), ("a", 5, 0, 3)]
+    spans += [("a", 70, 8, 8), ("a", 71, None, 5), ("b", 72, 5, None), ("none", 0, 0, 4), ("none", 1, None, None)]
+    received, real = spark.sparkContext.accumulator(0), pooling._prefix_sums
+
+    def counting(*args):
+        run = real(*args)
+
+        def seen(batches):
+            for batch in batches:
+                received.add(batch.num_rows)
+                yield batch
+
+        return lambda batches: run(seen(batches))
+
+    monkeypatch.setattr(pooling, "_prefix_sums", counting)
+    tv = spark.createDataFrame(tokens, "response_id string, tok_idx int, vector array<double>").repartition(5)
+    sp = spark.createDataFrame(spans, "response_id string, sent_idx long, tok_start long, tok_end long").repartition(3)
+    rows = pooling.mean_pool(tv, sp, extra_keys=[], width=256).collect()
+    assert 0 < received.value < len(tokens) / 10
+    got = {(r.response_id, r.sent_idx): r for r in rows}
+    assert len(rows) == len(got) == len({s[:2] for s in spans})
+    for key, row in got.items():
+        inside = [
+            v for r, i, a, b in spans if (r, i) == key and None not in (a, b) for q, t, v in tokens if q == r and t is not None and a <= t < b
+        ]
+        assert row.n_vectors == len(inside)
+        assert row.vector is None if not inside else np.allclose(row.vector, np.mean(inside, axis=0))
+
+
 def test_dense_index(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), F.lit("x").alias("same")).repartition(9)
     rows = index.dense_index(df, [F.col("k").desc()]).collect()
